@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SECONDS_PER_DAY = 86400
 MAX_EPOCH_MS = 9_999_999_999_999
@@ -106,13 +106,27 @@ def strip_marks(text: ColumnLike, marks: str = "()#") -> Column:
     return F.regexp_replace(col(text), f"[{escaped}]", "")
 
 
+def fields(line: ColumnLike, delimiter: str = ",") -> Column:
+    """All fields of a delimited line; trailing blanks count.
+
+    A one-character pattern (escaped or not) spares Java a regex compilation per row.
+    """
+    if len(delimiter) > 1:
+        pattern = f"\\Q{delimiter}\\E"
+    elif delimiter.isalnum() or delimiter.isspace():
+        pattern = delimiter
+    else:
+        pattern = f"\\{delimiter}"
+    return F.split(col(line), pattern, -1)
+
+
 def field(line: ColumnLike, position: int, delimiter: str = ",") -> Column:
-    """The i-th field of a delimited line, NULL past its end; trailing blanks count."""
-    return F.get(F.split(col(line), f"\\Q{delimiter}\\E", -1), F.lit(position))
+    """The i-th field of a delimited line, NULL past its end."""
+    return F.get(fields(line, delimiter), F.lit(position))
 
 
 def width(line: ColumnLike, delimiter: str = ",") -> Column:
-    return F.size(F.split(col(line), f"\\Q{delimiter}\\E", -1))
+    return F.size(fields(line, delimiter))
 
 
 def is_filled(text: ColumnLike) -> Column:
@@ -237,5 +251,14 @@ def lettered_digest_key(name: ColumnLike, ts: ColumnLike) -> Column:
     return F.concat(letter, digest_key(name, compact_time(ts)))
 
 
-def columns_as(mapping: Mapping[str, ColumnLike]) -> list[Column]:
-    return [col(c).alias(name) for name, c in mapping.items()]
+# --- projections ----------------------------------------------------------------------
+
+
+def computed_once(df: DataFrame, columns: Mapping[str, Column], keep: Sequence[str] = ()) -> DataFrame:
+    """Project expensive columns so that later filters reuse them.
+
+    Through a plain projection a filter is pushed down together with the expressions it
+    refers to, and a parse is then done once per use. A generator stops that.
+    """
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*keep, F.inline(F.array(made)))

@@ -6,6 +6,7 @@ from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import DataFrame, functions as F
 
 from stallwise.functions import expr as X
+from stallwise.functions.work import cut
 
 
 def user_baskets(orders: DataFrame, min_products: int = 2) -> DataFrame:
@@ -71,9 +72,11 @@ def mine(
 ) -> FPGrowthModel:
     """Frequent item sets and rules over the ``items`` arrays."""
     growth = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
-    if partitions is not None:
-        growth = growth.setNumPartitions(partitions)
-    return growth.fit(baskets)
+    # Mining is bound by the processor, not by bytes: use every core, however small the input.
+    parallelism = baskets.sparkSession.sparkContext.defaultParallelism
+    growth = growth.setNumPartitions(partitions or parallelism)
+    # Mining reads the baskets several times, also after fit() returns.
+    return growth.fit(cut(baskets))
 
 
 def frequent_item_sets(model: FPGrowthModel) -> DataFrame:

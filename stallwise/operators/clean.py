@@ -135,10 +135,10 @@ def parsed_lines(
     line: str = "value",
 ) -> DataFrame:
     """Text columns picked by position from raw lines, tuple punctuation removed."""
-    kept = wide_enough(lines, min_width, line)
-    return kept.select(
-        *[X.strip_marks(X.field(line, i, delimiter)).alias(name) for name, i in fields.items()]
-    )
+    split = lines.select(X.fields(line, delimiter).alias("_parts"))
+    picked = {name: X.strip_marks(F.get("_parts", F.lit(i))) for name, i in fields.items()}
+    parsed = X.computed_once(split, {**picked, "_width": F.size("_parts")})
+    return parsed.filter(F.col("_width") > min_width).drop("_width")
 
 
 def typed_orders(df: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def typed_orders(df: DataFrame) -> DataFrame:
         "unit_price": X.number("unit_price"),
         "quantity": X.number("quantity").cast("int"),
     }
-    return df.withColumns({c: e for c, e in types.items() if c in df.columns})
+    return X.computed_once(df, {c: types.get(c, F.col(c)) for c in df.columns})
 
 
 # --- click log ------------------------------------------------------------------------
@@ -158,20 +158,23 @@ def typed_orders(df: DataFrame) -> DataFrame:
 
 def parsed_clicks(lines: DataFrame, line: str = "value") -> DataFrame:
     """Tab-separated click log to typed clicks on a course; other requests are dropped."""
-    parts = {name: X.field(line, i, "\t") for i, name in enumerate(("ip", "time", "request", "status", "referer"))}
-    url = F.get(F.split(parts["request"], " "), F.lit(1))
-    return lines.select(
-        parts["ip"].alias("ip"),
-        X.parse_time(parts["time"]).alias("clicked_at"),
-        X.course_id(url).alias("course_id"),
-        parts["status"].try_cast("int").alias("status"),
-        parts["referer"].alias("referer"),
-    ).filter(F.col("course_id") != 0)
+    split = lines.select(X.fields(line, "\t").alias("_parts"))
+    ip, time, request, status, referer = (F.get("_parts", F.lit(i)) for i in range(5))
+    url = F.get(X.fields(request, " "), F.lit(1))
+    columns = {
+        "ip": ip,
+        "clicked_at": X.parse_time(time),
+        "course_id": X.course_id(url),
+        "status": status.try_cast("int"),
+        "referer": referer,
+    }
+    return X.computed_once(split, columns).filter(F.col("course_id") != 0)
 
 
 def with_referer_host(clicks: DataFrame, referer: str = "referer") -> DataFrame:
     """Search host of each click; clicks without one are dropped."""
-    return clicks.withColumn("host", X.url_host(referer)).filter(F.col("host").isNotNull())
+    found = X.computed_once(clicks, {"host": X.url_host(referer)}, keep=clicks.columns)
+    return found.filter(F.col("host").isNotNull())
 
 
 # --- SQL on a table -------------------------------------------------------------------

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stallwise.functions import expr as X
+from stallwise.functions.skew import salted_join
 from stallwise.operators.clean import trailing, with_family
 
 
@@ -107,7 +108,7 @@ def new_users_weekly(
     length = bucket_days * X.SECONDS_PER_DAY
     bucket = F.floor(X.elapsed_seconds("opened_at", "first_at") / length)
     found = (
-        first.join(opened, "point_id", "inner")
+        salted_join(first, opened, "point_id", spread_by="account")
         .filter(F.col("first_at") >= F.col("opened_at"))
         .groupBy("point_id", bucket.alias("week"))
         .agg(F.count(F.lit(1)).alias("new_users"))

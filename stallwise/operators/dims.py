@@ -87,15 +87,13 @@ def star_lookup(
 ) -> DataFrame:
     """Orders with the attributes of point, site, machines, assortment and user.
 
-    Machine figures that are missing take the house defaults; other misses stay NULL.
+    Machine figures that are missing take the house defaults; other misses stay NULL. The
+    dimensions of a point are joined to each other first, so the orders are shuffled by
+    point and by account only.
     """
-    wide = (
-        orders.join(points, "point_id", "left")
-        .join(sites, "site_id", "left")
-        .join(machines, "point_id", "left")
-        .join(assortment, "point_id", "left")
-        .join(users, "account", "left")
-    )
+    equipment = machines.join(assortment, "point_id", "full")
+    located = points.join(sites, "site_id", "left").join(equipment, "point_id", "full")
+    wide = orders.join(located, "point_id", "left").join(users, "account", "left")
     return clean.with_defaults(wide, {"tenure_days": 30, "machines": 3, "faulty_machines": 0})
 
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stallwise.functions import expr as X
+from stallwise.functions.skew import salted_join
 from stallwise.operators.clean import in_band, tenured, trailing
 
 CENTS = 100
@@ -133,7 +134,8 @@ def site_tiers(
     """
     per_point = _per_point(orders, as_of, days)
     located = per_point.join(points.select("point_id", "site_id", "point_type"), "point_id", "inner")
-    located = located.join(sites.select("site_id", "tenure_days"), "site_id", "inner")
+    # A site may hold a large share of the points, and the next step groups by site again.
+    located = salted_join(located, sites, "site_id", spread_by="point_id")
     divisor = F.lit(float(days)) if fixed_days else X.window_days("tenure_days", days)
     daily = located.withColumn("daily", F.col("total") / divisor / CENTS)
     underground = F.col("point_type") == "1"
@@ -144,7 +146,7 @@ def site_tiers(
         measures += [
             F.count_if(member & (F.col("daily") >= t)).alias(f"{name}_{t}") for t in tiers
         ]
-    result = daily.groupBy("site_id").agg(*measures).join(sites, "site_id", "inner")
+    result = daily.groupBy(*sites.columns).agg(*measures)
     for name in groups:
         parts = [f"{name}_{t}" for t in sorted(tiers, reverse=True)] + [f"{name}_points"]
         result = result.withColumn(f"{name}_label", X.ratio_label(*parts))
@@ -174,7 +176,8 @@ def point_fact(
     for extra in (machines, assortment):
         if extra is not None:
             fact = fact.join(extra, "point_id", "left")
-    fact = fact.join(sites, "site_id", "left").join(in_site, "site_id", "left")
+    # Both are one row per site: joined first, so that the points are joined once.
+    fact = fact.join(sites.join(in_site, "site_id", "left"), "site_id", "left")
     return fact.withColumn("is_poor", F.col("sales") <= poor_at_most)
 
 
@@ -304,8 +307,8 @@ def channel_month_means(
 
     One row per (terminal, month) makes the distinct terminals a plain count.
     """
-    clean = _terminal_months(sales).join(blocked, "terminal_id", "left_anti")
-    located = clean.join(terminals.select("terminal_id", *keys), "terminal_id", "inner")
+    allowed = terminals.select("terminal_id", *keys).join(blocked, "terminal_id", "left_anti")
+    located = _terminal_months(sales).join(allowed, "terminal_id", "inner")
     return located.groupBy(*keys, "month").agg(
         (F.sum("total") / F.count(F.lit(1))).alias("mean_sales")
     )

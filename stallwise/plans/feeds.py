@@ -32,7 +32,7 @@ def clean_orders(t: Tables) -> DataFrame:
             F.concat(F.col("o_orderpriority"), F.lit("#)")),
         ).alias("value")
     )
-    header = t.region.limit(1).select(F.lit("id,created_at,amount,status,priority").alias("value"))
+    header = t.spark.range(1).select(F.lit("id,created_at,amount,status,priority").alias("value"))
     fields = {"id": 0, "created_at": 1, "amount": 2, "status": 3, "priority": 4}
     parsed = clean.parsed_lines(lines.unionByName(header), fields, min_width=4)
     parsed = clean.non_blank(clean.without_header_rows(parsed), ["id", "created_at", "status"])

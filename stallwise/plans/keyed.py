@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from stallwise.functions import expr as X
 from stallwise.functions.work import fresh_path
 from stallwise.operators import clean, keyed
 from stallwise.plans.registry import Tables, query
-from stallwise.sources import writers
+from stallwise.sources import readers, writers
 
 # Customers are the keyed table here: c_name is its row key, stored as text.
 _COLUMNS = ("c_name", "c_custkey", "c_acctbal", "c_mktsegment")
@@ -215,6 +216,17 @@ def counter_sink(t: Tables) -> DataFrame:
     return writers.summed_deltas(t.spark, path, counted.schema, ["c_mktsegment"], "n")
 
 
+@query(
+    "A14 K1 K4",
+    f"SELECT {_SQL_COLUMNS} FROM customer WHERE c_name >= 'Customer#000000100' AND c_name < 'Customer#000000200'",
+)
+def compacted_scan(t: Tables) -> DataFrame:
+    """A range scan of a table that was compacted by key: other files are skipped."""
+    path = fresh_path(t.spark, "compacted")
+    writers.write_sorted_by_key(_table(t), path, "c_name")
+    return keyed.scan(t.spark.read.parquet(path), "c_name", "Customer#000000100", "Customer#000000200")
+
+
 # --- files ----------------------------------------------------------------------------
 
 
@@ -223,9 +235,6 @@ def counter_sink(t: Tables) -> DataFrame:
     "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, s_acctbal AS balance FROM supplier",
 )
 def csv_roundtrip(t: Tables) -> DataFrame:
-    from stallwise.functions import expr as X
-    from stallwise.sources import readers
-
     path = fresh_path(t.spark, "csv")
     marked = F.concat(F.lit("("), F.col("s_suppkey").cast("string")).alias("s_suppkey")
     writers.write_csv(t.supplier.select(marked, "s_name", "s_acctbal"), path, header=False)
@@ -235,8 +244,6 @@ def csv_roundtrip(t: Tables) -> DataFrame:
 
 @query("A1 A9 A10", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
 def text_roundtrip(t: Tables) -> DataFrame:
-    from stallwise.sources import readers
-
     path = fresh_path(t.spark, "lines")
     writers.write_lines(t.orders, path, ["o_orderkey", "o_custkey", "o_orderstatus"], overwrite=False)
     fields = {"o_orderkey": 0, "o_custkey": 1, "o_orderstatus": 2}

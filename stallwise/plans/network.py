@@ -133,7 +133,7 @@ opened AS (SELECT l_suppkey AS point_id, min(l_shipdate) AS first FROM lineitem
 machines AS ({SQL_MACHINES}),
 sizes AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1)
 SELECT s_suppkey AS point_id, s_name AS point_name, supplier.s_nationkey AS site_id,
-  n_name AS site_name, r_name AS city_name, round(coalesce(sales, 0), 2) AS sales,
+  n_name AS site_name, r_name AS city_name, round(coalesce(sales, 0), 4) AS sales,
   n AS points_in_site, coalesce(machines, 0) AS products,
   round(date_diff('day', first, {SQL_AS_OF}), 4) AS operating_days,
   coalesce(sales, 0) <= 40 AS is_poor
@@ -149,7 +149,7 @@ def point_fact(t: Tables) -> DataFrame:
     assortment = machines_at_points(t).withColumnRenamed("machines", "products")
     every = dims.complete_fact(points(t), assortment, "point_id", {"products": 0})
     fact = sales.point_fact(valid_lines(t), every, sites(t), AS_OF, machines=operating)
-    fact = rounded(rounded(fact, 2, "sales"), 4, "operating_days")
+    fact = rounded(fact, 4, "sales", "operating_days")
     return fact.drop("city", "point_type")
 
 

@@ -9,6 +9,7 @@ from stallwise.plans.binding import click_lines
 from stallwise.plans.feeds import SQL_CLICKS_PER_COURSE, SQL_CLICKS_PER_HOST, SQL_WORDS
 from stallwise.plans.registry import Tables, query, shown
 from stallwise.sources import readers
+from stallwise.sources.writers import latest_deltas
 from stallwise.streaming import counts, orders, run
 
 
@@ -145,17 +146,16 @@ def _messages(t: Tables) -> DataFrame:
     """
 SELECT substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 3) || lpad(CAST(9999999999999 - epoch_ms(o_orderdate) AS VARCHAR), 13, '0')
     || '_' || o_orderkey AS row_key, CAST(o_orderkey AS VARCHAR) AS order_id, o_totalprice AS amount,
-  CAST(o_custkey AS VARCHAR) AS account, o_orderpriority AS product_id, 3.0::DOUBLE AS charged, strftime(o_orderdate, '%Y%m') AS period
+  CAST(o_custkey AS VARCHAR) AS account, o_orderpriority AS product_id, 3.0::DOUBLE AS charged
 FROM orders""",
 )
 def st_upsert(t: Tables) -> DataFrame:
     path, checkpoint = fresh_path(t.spark, "keyed"), fresh_path(t.spark, "offsets")
-    parsed = orders.parsed_orders(_messages(t), period="yyyyMM")
-    sink = orders.upsert_sink(path, ["created_at"])
-    run.start(parsed, sink, checkpoint, mode="append").awaitTermination()
-    stored = t.spark.read.schema(parsed.schema).parquet(path)
+    parsed = orders.parsed_orders(_messages(t))
+    run.start(parsed, orders.order_sink(path), checkpoint, mode="append").awaitTermination()
+    table = latest_deltas(t.spark, path, parsed.schema, ["row_key"])
     charged = (F.col("unit_price") * F.col("quantity")).alias("charged")
-    return stored.select("row_key", "order_id", "amount", "account", "product_id", charged, "period")
+    return table.select("row_key", "order_id", "amount", "account", "product_id", charged)
 
 
 @query(

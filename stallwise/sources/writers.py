@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructType
 
@@ -55,9 +56,14 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", n_files: in
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], fmt: str = "parquet") -> None:
-    """One folder per value of ``by``; a later run replaces only the folders it writes."""
+    """One folder per value of ``by``; a later run replaces only the folders it writes.
+
+    Rebalancing gathers each folder's rows into few files and splits a folder that is much
+    larger than the others over several tasks.
+    """
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", *[F.col(c) for c in by])
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)
         .format(fmt)
@@ -92,12 +98,14 @@ def latest_per_key(
     return best.select(*[F.col(c) if c in keys else fields[c] for c in df.columns])
 
 
-def has_rows(spark: SparkSession, path: str) -> bool:
-    """Whether anything was written below ``path``."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(folder) and len(fs.listStatus(folder)) > 0
+def stored_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The parquet table at ``path``, or None when nothing was written there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def upsert(
@@ -105,44 +113,45 @@ def upsert(
 ) -> None:
     """Merge a batch into the keyed table at ``path``; applying it twice changes nothing.
 
-    ``partition`` must be a function of the key, so that all versions of a key share a
-    folder. Only the folders that the batch touches are read and replaced.
+    ``partition`` must be a function of the key (a day or month of it), so that all
+    versions of a key share a folder. Only the folders that the batch touches are read and
+    replaced. For small, frequent batches use ``delta_sink``, which rewrites nothing.
     """
-    spark = batch.sparkSession
     merged = batch
-    if has_rows(spark, path):
-        stored = spark.read.schema(batch.schema).parquet(path)
-        touched = batch.select(partition).distinct()
-        merged = stored.join(touched, partition, "left_semi").unionByName(batch)
+    stored = stored_table(batch.sparkSession, path, batch.schema)
+    if stored is not None:
+        # As many values as the batch has periods; as literals they prune the folders.
+        touched = [row[0] for row in batch.select(partition).distinct().collect()]
+        merged = stored.filter(F.col(partition).isin(touched)).unionByName(batch)
     write_partitioned(latest_per_key(merged, [key], newest), path, [partition])
 
 
-def delta_sink(path: str, also: BatchWriter | None = None) -> BatchWriter:
+# --- micro-batches --------------------------------------------------------------------
+
+
+def delta_sink(path: str) -> BatchWriter:
     """Per-batch sink that keeps each micro-batch in a folder of its own.
 
     A replayed batch replaces its own folder, so the sink is idempotent, and no batch
-    rereads what earlier ones wrote.
+    rereads or rewrites what earlier ones wrote.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        if also is not None:
-            also(batch, batch_id)
 
     return write
 
 
 def read_deltas(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     with_batch = StructType.fromJson(schema.jsonValue()).add("batch_id", LongType())
-    if not has_rows(spark, path):  # the stream has not produced a batch yet
-        return spark.createDataFrame([], with_batch)
-    return spark.read.schema(with_batch).parquet(path)
+    stored = stored_table(spark, path, with_batch)
+    return spark.createDataFrame([], with_batch) if stored is None else stored
 
 
 def latest_deltas(
     spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]
 ) -> DataFrame:
-    """Current value per key of a stream that emits running totals."""
+    """Current row per key: the one of the last batch that wrote the key."""
     rows = read_deltas(spark, path, schema)
     return latest_per_key(rows, keys, ["batch_id"]).drop("batch_id")
 
@@ -155,6 +164,12 @@ def summed_deltas(
     return rows.groupBy(*keys).agg(F.sum(counter).alias(counter))
 
 
+def write_sorted_by_key(df: DataFrame, path: str, key: str) -> None:
+    """A compacted keyed table: range-partitioned and sorted, so that the statistics of
+    each file let a lookup or range scan of the key skip all others."""
+    df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+
+
 def jdbc_sink(url: str, table: str, properties: dict[str, str]) -> BatchWriter:
     """Insert each micro-batch, one connection per partition; the table holds ``batch_id``.
 

@@ -11,8 +11,7 @@ from stallwise.operators import clean
 def words(lines: DataFrame, line: str = "value", separator: str = " ") -> DataFrame:
     """One row per non-empty word."""
     rest = [c for c in lines.columns if c != line]
-    parts = F.split(F.col(line), f"\\Q{separator}\\E", -1)
-    return lines.select(*rest, F.explode(parts).alias("word")).filter(F.col("word") != "")
+    return lines.select(*rest, F.explode(X.fields(line, separator)).alias("word")).filter(F.col("word") != "")
 
 
 def word_counts(tokens: DataFrame) -> DataFrame:

@@ -6,41 +6,42 @@ from pyspark.sql import DataFrame, functions as F
 
 from stallwise.functions import expr as X
 from stallwise.sources.schemas import ORDER_MESSAGE
-from stallwise.sources.writers import BatchWriter, upsert
+from stallwise.sources.writers import BatchWriter, delta_sink
 
 
-def parsed_orders(
-    messages: DataFrame, value: str = "value", period: str = "yyyyMMdd"
-) -> DataFrame:
-    """CSV order messages to typed orders with their row key and period.
+def parsed_orders(messages: DataFrame, value: str = "value") -> DataFrame:
+    """CSV order messages to typed orders with their row key.
 
-    Key and period (the folder of the keyed table: a day unless told otherwise) depend on
-    the message alone, so a replay meets its own row.
+    The key depends on the message alone, so a replay meets its own row.
     """
-    text = messages.select(F.from_csv(value, ORDER_MESSAGE.toDDL()).alias("m"))
-    m = F.col("m")
-    typed = text.select(
-        m["order_id"].alias("order_id"),
-        X.parse_time(m["created_at"]).alias("created_at"),
-        *[m[c].alias(c) for c in ("machine_id", "status", "pay_method")],
-        X.number(m["amount"]).alias("amount"),
-        *[m[c].alias(c) for c in ("account", "site_id", "point_id", "city", "product_id", "product_name")],
-        X.number(m["unit_price"]).alias("unit_price"),
-        m["quantity"].try_cast("int").alias("quantity"),
-    ).filter(F.col("order_id").isNotNull() & F.col("created_at").isNotNull())
-    return typed.withColumns(
-        {"row_key": X.reversed_time_key("order_id", "created_at"), "period": F.date_format("created_at", period)}
-    )
-
-
-def upsert_sink(path: str, newest: list[str]) -> BatchWriter:
-    """Per-batch upsert into the keyed table of orders; empty batches are skipped."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
+    text = messages.select(F.inline(F.array(F.from_csv(value, ORDER_MESSAGE.toDDL()))))
+    as_text = ("machine_id", "status", "pay_method", "account", "site_id", "point_id", "city")
+    columns = {
+        "order_id": F.col("order_id"),
+        "created_at": X.parse_time("created_at"),
+        **{c: F.col(c) for c in (*as_text, "product_id", "product_name")},
+        "amount": X.number("amount"),
+        "unit_price": X.number("unit_price"),
+        "quantity": F.col("quantity").try_cast("int"),
+    }
+    typed = X.computed_once(text, columns)
+    typed = typed.filter(F.col("order_id").isNotNull() & F.col("created_at").isNotNull())
+    return typed.withColumn("row_key", X.reversed_time_key("order_id", "created_at"))
+
+
+def order_sink(path: str) -> BatchWriter:
+    """Per-batch sink of the keyed order table; empty batches leave nothing behind.
+
+    The table is what ``latest_deltas`` reads by row key: a message that comes again, in
+    this batch or a later one, replaces its own row.
+    """
+    write = delta_sink(path)
+
+    def write_filled(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            upsert(batch, path, "row_key", newest, "period")
+            write(batch, batch_id)
 
-    return write
+    return write_filled
 
 
 def publishable(lines: DataFrame, line: str = "value", delimiter: str = ",") -> DataFrame:
