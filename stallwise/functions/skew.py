@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-SALTS = 16
+SALTS = 16  # a power of two, so that the salt is a mask of the hash and never NULL
 
 
 def salted_join(
@@ -17,7 +17,7 @@ def salted_join(
     partitioning. Use this where an aggregation on the same key follows, which would
     otherwise pin every row of a hot key to one task.
     """
-    salt = F.pmod(F.xxhash64(F.col(spread_by)), F.lit(salts)).cast("int")
+    salt = F.xxhash64(F.col(spread_by)).bitwiseAND(F.lit(salts - 1)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     left = facts.withColumn("_salt", salt)
     right = dim.withColumn("_salt", copies)

@@ -29,7 +29,10 @@ def day_baskets(orders: DataFrame, min_products: int = 2) -> DataFrame:
     Baskets are compared by size and two independent 64-bit sums over their products, so no
     basket is gathered in one place: 128 bits, by chance equal for one in 10^38 pairs.
     """
-    items = orders.select("account", X.day_of("paid_at").alias("day"), "product_id").distinct()
+    items = orders.select("account", X.day_of("paid_at").alias("day"), "product_id")
+    # An unknown account or day is no basket. Filtered here, both uses of the items below
+    # have the same plan, and Spark computes them once.
+    items = items.filter(F.col("account").isNotNull() & F.col("day").isNotNull()).distinct()
     seeds = [F.xxhash64("product_id", F.lit(seed)) for seed in (1, 2)]
     # Halves are summed apart, so the sums cannot overflow and stay exact.
     halves = [h for s in seeds for h in (F.shiftrightunsigned(s, 32), s.bitwiseAND(F.lit(0xFFFFFFFF)))]
@@ -52,8 +55,9 @@ def transactions(
     are built; what remains per basket is bounded by (mean basket size / support). Baskets
     that lose all items stay, as empty arrays, because they count in the support.
     """
-    rows = items.select(*basket, item).distinct()
-    n = items.select(*basket).distinct().count()
+    known = items.select(*basket, item).filter(F.col(item).isNotNull())
+    rows = known.distinct()
+    n = known.select(*basket).distinct().count()
     frequent = (
         rows.groupBy(item)
         .agg(F.count(F.lit(1)).alias("_n"))

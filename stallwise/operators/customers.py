@@ -101,7 +101,9 @@ def new_users_weekly(
     last one may be short. ``opened`` has point_id and opened_at; without it a point opens
     with its first order. The rows per point are bounded by the calendar.
     """
-    known = orders.filter(F.col("paid_at") < X.at(as_of))
+    # Stated here, the filters are the same for every use of ``first``, so Spark computes
+    # it once and reuses the exchange.
+    known = orders.filter((F.col("paid_at") < X.at(as_of)) & F.col("point_id").isNotNull())
     first = known.groupBy("point_id", "account").agg(F.min("paid_at").alias("first_at"))
     if opened is None:
         opened = first.groupBy("point_id").agg(F.min("first_at").alias("opened_at"))
