@@ -140,7 +140,8 @@ def filled_or(text: ColumnLike, default) -> Column:
 
 def number(text: ColumnLike) -> Column:
     """Text to double; NULL instead of an error when it is not a number."""
-    return F.trim(col(text)).try_cast("double")
+    # A failed try_cast costs an exception, so blanks are taken out before.
+    return F.nullif(F.trim(col(text)), F.lit("")).try_cast("double")
 
 
 def two_decimals(x: ColumnLike) -> Column:
@@ -189,7 +190,7 @@ def two_way_label(code: ColumnLike, when_equal: str, yes: str, no: str) -> Colum
 def course_id(request: ColumnLike, prefix: str = "/class/") -> Column:
     """Numeric id of ``<prefix><id>.<ext>`` in a request line, 0 when there is none."""
     found = F.regexp_extract(col(request), f"\\Q{prefix}\\E(\\d+)\\.", 1)
-    return F.coalesce(found.try_cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(F.nullif(found, F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def url_host(url: ColumnLike) -> Column:

@@ -23,7 +23,8 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     ``order`` must be unique inside a group, else ties are ranked arbitrarily.
     """
     keys = list(keys)
-    placed = cut(df.orderBy(*keys, *order).withColumn("_pos", F.monotonically_increasing_id()))
+    sorted_rows = df.orderBy(*keys, *order).withColumn("_pos", F.monotonically_increasing_id())
+    placed = cut(sorted_rows, "ranks")
     placed = placed.withColumn("_part", F.shiftright("_pos", PARTITION_SHIFT))
     # One row per (key, partition): at most #keys + #partitions rows in all.
     runs = placed.groupBy(*keys, "_part").agg(

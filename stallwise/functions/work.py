@@ -31,12 +31,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/stallwise/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage and read it from there.
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` to the shared folder and read it from there.
 
-    Later stages then see fixed rows in fixed partitions, also after an executor is lost.
+    Later stages then see fixed rows, also after an executor is lost, and what is used
+    several times is computed once. As parquet it keeps column pruning and a known size.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

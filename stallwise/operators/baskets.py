@@ -80,7 +80,7 @@ def mine(
     parallelism = baskets.sparkSession.sparkContext.defaultParallelism
     growth = growth.setNumPartitions(partitions or parallelism)
     # Mining reads the baskets several times, also after fit() returns.
-    return growth.fit(cut(baskets))
+    return growth.fit(cut(baskets, "baskets"))
 
 
 def frequent_item_sets(model: FPGrowthModel) -> DataFrame:

@@ -8,15 +8,15 @@ from stallwise.functions import expr as X
 from stallwise.operators import clean, ranking, sales
 from stallwise.plans.binding import (
     SQL_TERMINAL_SALES,
+    SQL_VALID,
     blocked_terminals,
     points,
     terminal_sales,
     terminals,
     valid_lines,
-    SQL_VALID,
 )
 from stallwise.plans.registry import Tables, query, rounded
-from stallwise.sources.writers import latest_per_key
+from stallwise.sources import writers
 
 YEAR = ("1997-01-01 00:00:00", "1998-01-01 00:00:00")
 MONTHS = tuple(f"1997-{m:02d}" for m in range(1, 13))
@@ -210,8 +210,8 @@ def first_n(t: Tables) -> DataFrame:
 SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS ordered, o_totalprice FROM orders
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
 )
-def latest_per_customer(t: Tables) -> DataFrame:
+def latest_per_key(t: Tables) -> DataFrame:
     rows = t.orders.select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
-    last = latest_per_key(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    last = writers.latest_per_key(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"])
     day = F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered")
     return last.select("o_custkey", "o_orderkey", day, "o_totalprice")

@@ -129,15 +129,16 @@ def upsert(
 # --- micro-batches --------------------------------------------------------------------
 
 
-def delta_sink(path: str) -> BatchWriter:
+def delta_sink(path: str, n_files: int | None = None) -> BatchWriter:
     """Per-batch sink that keeps each micro-batch in a folder of its own.
 
     A replayed batch replaces its own folder, so the sink is idempotent, and no batch
-    rereads or rewrites what earlier ones wrote.
+    rereads or rewrites what earlier ones wrote. ``n_files`` limits the files of small,
+    frequent batches; ``write_sorted_by_key`` of the latest state compacts a long history.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        _sized(batch, n_files).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return write
 

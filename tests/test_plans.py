@@ -57,6 +57,7 @@ def test_key_and_range_reads_reach_the_scan(spark):
     assert "GreaterThanOrEqual(c_name" in _formatted(keyed.scan(table, "c_name", "a", "b"))
     assert "StringStartsWith(c_name" in _formatted(keyed.scan_any(table, "c_name", "a", "b", prefix="x"))
     assert "TakeOrderedAndProject" in _plan(keyed.scan_top(table, "c_name", "a", "b", 5))
+    assert "TakeOrderedAndProject" in _plan(contract.queries()["search_page"](spark, FOLDER))
 
 
 def test_sql_predicate_is_pushed(spark):

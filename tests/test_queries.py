@@ -9,7 +9,6 @@ import oracle
 from conftest import DATA
 
 FOLDER = f"{DATA}/sf0.01"
-# Reports that are legitimately short or empty somewhere are listed; all others have rows.
 QUERIES, CHECKS = contract.queries(), contract.oracle_sql()
 
 
