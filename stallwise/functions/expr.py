@@ -61,7 +61,7 @@ def fractional_days(start: ColumnLike, end: ColumnLike) -> Column:
 
 def calendar_days(start: ColumnLike, end: ColumnLike) -> Column:
     """Difference of the two calendar dates, whatever the time of day."""
-    return F.datediff(col(end), col(start))
+    return F.datediff(col(end), col(start)).cast("bigint")
 
 
 def whole_years(days: ColumnLike) -> Column:

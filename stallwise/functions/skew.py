@@ -8,16 +8,25 @@ SALTS = 16  # a power of two, so that the salt is a mask of the hash and never N
 
 
 def salted_join(
-    facts: DataFrame, dim: DataFrame, on: str, spread_by: str, how: str = "inner", salts: int = SALTS
+    facts: DataFrame,
+    dim: DataFrame,
+    on: str,
+    spread_by: str | None = None,
+    how: str = "inner",
+    salts: int = SALTS,
 ) -> DataFrame:
     """Join facts to a dimension (one row per key) with each key split over ``salts`` tasks.
 
-    The salt is a hash of ``spread_by``, so a retried task computes the same one. Spark
-    splits hot keys of a join by itself only when nothing downstream uses the join's
-    partitioning. Use this where an aggregation on the same key follows, which would
-    otherwise pin every row of a hot key to one task.
+    Adaptive execution splits the hot keys of a join by itself, but only when both sides
+    come straight from a shuffle for this join and nothing downstream needs its
+    partitioning. Use this where ``dim`` is an aggregate or join on the same key, or where
+    an aggregation on that key follows: there a hot key would stay in one task.
+
+    The salt is a hash of ``spread_by``, so a retried task computes the same one. Without
+    it the whole row is hashed: then select the columns you need first.
     """
-    salt = F.xxhash64(F.col(spread_by)).bitwiseAND(F.lit(salts - 1)).cast("int")
+    spread = [spread_by] if spread_by is not None else facts.columns
+    salt = F.xxhash64(*[F.col(c) for c in spread]).bitwiseAND(F.lit(salts - 1)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     left = facts.withColumn("_salt", salt)
     right = dim.withColumn("_salt", copies)

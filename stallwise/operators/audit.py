@@ -62,7 +62,8 @@ def union_ids(sources: Sequence[DataFrame], key: str) -> DataFrame:
 
 
 def minus_ids(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    return left.select(key).subtract(right.select(key))
+    # A key may repeat very often on either side; distinct, it crosses the shuffle once per task.
+    return left.select(key).distinct().subtract(right.select(key).distinct())
 
 
 def reconciled_names(left: DataFrame, right: DataFrame, name: str) -> DataFrame:

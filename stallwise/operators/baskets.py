@@ -6,6 +6,7 @@ from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import DataFrame, functions as F
 
 from stallwise.functions import expr as X
+from stallwise.functions.skew import salted_join
 from stallwise.functions.work import cut
 
 
@@ -17,7 +18,8 @@ def user_baskets(orders: DataFrame, min_products: int = 2) -> DataFrame:
     """
     items = orders.select("account", "product_id").distinct()
     sizes = items.groupBy("account").agg(F.count(F.lit(1)).alias("products"))
-    return items.join(sizes.filter(F.col("products") >= min_products), "account", "inner")
+    kept = sizes.filter(F.col("products") >= min_products)
+    return salted_join(items, kept, "account", spread_by="product_id")
 
 
 def day_baskets(orders: DataFrame, min_products: int = 2) -> DataFrame:
@@ -64,7 +66,7 @@ def transactions(
         .filter(F.col("_n") >= F.lit(min_support) * F.lit(n))
         .select(item, F.lit(True).alias("_frequent"))
     )
-    marked = rows.join(frequent, item, "left")
+    marked = salted_join(rows, frequent, item, how="left")
     # collect_list skips NULL, so an infrequent item adds nothing to its basket.
     return marked.groupBy(*basket).agg(
         F.collect_list(F.when(F.col("_frequent"), F.col(item))).alias("items")

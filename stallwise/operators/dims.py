@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from stallwise.functions import expr as X
+from stallwise.functions.skew import salted_join
 from stallwise.operators import clean
 from stallwise.sources.writers import latest_per_key
 
@@ -54,12 +55,24 @@ def lookup(
     return clean.with_defaults(joined, defaults) if defaults else joined
 
 
-def in_set(facts: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    return facts.join(keys, on, "left_semi")
+def in_set(facts: DataFrame, keys: DataFrame, on: str, spread_by: str | None = None) -> DataFrame:
+    """Facts whose key is listed, once per key.
+
+    ``spread_by`` is for a list that is itself an aggregate on the key: see ``salted_join``.
+    """
+    return _against(facts, keys, on, "left_semi", spread_by)
+
+
+def not_in_set(facts: DataFrame, keys: DataFrame, on: str, spread_by: str | None = None) -> DataFrame:
+    """Facts whose key is not listed; an unknown (NULL) key is not."""
+    return _against(facts, keys, on, "left_anti", spread_by)
 
 
-def not_in_set(facts: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    return facts.join(keys, on, "left_anti")
+def _against(facts: DataFrame, keys: DataFrame, on: str, how: str, spread_by: str | None) -> DataFrame:
+    listed = keys.select(on)
+    if spread_by is None:
+        return facts.join(listed, on, how)
+    return salted_join(facts, listed, on, spread_by, how)
 
 
 def operating_stats(facts: DataFrame, key: str, as_of: X.TimeLike, ts: str = "paid_at") -> DataFrame:
@@ -89,11 +102,11 @@ def star_lookup(
 
     Machine figures that are missing take the house defaults; other misses stay NULL. The
     dimensions of a point are joined to each other first, so the orders are shuffled by
-    point and by account only.
+    point and by account only, a hot point over several tasks.
     """
     equipment = machines.join(assortment, "point_id", "full")
     located = points.join(sites, "site_id", "left").join(equipment, "point_id", "full")
-    wide = orders.join(located, "point_id", "left").join(users, "account", "left")
+    wide = salted_join(orders, located, "point_id", how="left").join(users, "account", "left")
     return clean.with_defaults(wide, {"tenure_days": 30, "machines": 3, "faulty_machines": 0})
 
 

@@ -18,7 +18,7 @@ def get_rows(
     table: DataFrame, keys: DataFrame, key: str, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Rows of a list of keys. A key listed twice gives its row once."""
-    found = table.join(keys.select(key), key, "left_semi")
+    found = table.join(keys.select(key).distinct(), key, "left_semi")
     return found.select(*columns) if columns else found
 
 
@@ -74,7 +74,7 @@ def scan_top(table: DataFrame, key: str, start, stop, n: int) -> DataFrame:
 
 
 def delete_rows(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return table.join(keys.select(key), key, "left_anti")
+    return table.join(keys.select(key).distinct(), key, "left_anti")
 
 
 def delete_cells(table: DataFrame, keys: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

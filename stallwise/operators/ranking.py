@@ -18,7 +18,8 @@ def top_n(
     Spark keeps only n rows per key and task before the shuffle (window group limit).
     """
     w = Window.partitionBy(*keys).orderBy(F.col(value).desc(), F.col(tie))
-    return df.withColumn(into, F.row_number().over(w)).filter(F.col(into) <= n)
+    ranked = df.withColumn(into, F.row_number().over(w)).filter(F.col(into) <= n)
+    return ranked.withColumn(into, F.col(into).cast("bigint"))
 
 
 def bands(

@@ -177,7 +177,7 @@ def point_fact(
         if extra is not None:
             fact = fact.join(extra, "point_id", "left")
     # Both are one row per site: joined first, so that the points are joined once.
-    fact = fact.join(sites.join(in_site, "site_id", "left"), "site_id", "left")
+    fact = salted_join(fact, sites.join(in_site, "site_id", "left"), "site_id", "point_id", "left")
     return fact.withColumn("is_poor", F.col("sales") <= poor_at_most)
 
 
@@ -218,7 +218,7 @@ def scaled_to_max(values: DataFrame, key: str, value: str = "total") -> DataFram
     filled = values.withColumn(value, F.coalesce(value, F.lit(0.0)))
     tops = filled.groupBy(key).agg(F.max(value).alias("_top"))
     scaled = F.try_divide(F.col(value), F.col("_top"))
-    return filled.join(tops, key, "inner").withColumn("scaled", scaled).drop("_top")
+    return salted_join(filled, tops, key).withColumn("scaled", scaled).drop("_top")
 
 
 def points_of_sites(points: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def points_of_sites(points: DataFrame) -> DataFrame:
     A site may hold a large share of all points, so the list stays in rows.
     """
     pairs = points.select("site_id", "point_id").distinct()
-    return pairs.join(counts(pairs, ["site_id"], "points"), "site_id", "inner")
+    return salted_join(pairs, counts(pairs, ["site_id"], "points"), "site_id", "point_id")
 
 
 # --- sales per machine ----------------------------------------------------------------
@@ -347,7 +347,7 @@ def terminal_year_means(
     kept = per_terminal.filter(F.col("records") > min_records).drop("records")
     located = kept.join(terminals.select("terminal_id", "channel_id"), "terminal_id", "inner")
     sizes = counts(located, ["channel_id"], "terminals").filter(F.col("terminals") > min_terminals)
-    return located.join(sizes, "channel_id", "inner")
+    return salted_join(located, sizes, "channel_id", "terminal_id")
 
 
 # --- marker product -------------------------------------------------------------------

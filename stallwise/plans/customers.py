@@ -75,7 +75,7 @@ per AS (
     {", ".join(f"count(*) FILTER (WHERE c_mktsegment = '{s}') AS level_{s.lower()}" for s in SEGMENTS)},
     CAST(sum(member) AS BIGINT) AS member_payments
   FROM buyers LEFT JOIN customer ON account = c_custkey GROUP BY 1)
-SELECT per.* EXCLUDE (total, last, repeat_interval), round(repeat_interval, 6) AS repeat_interval, machines,
+SELECT per.* EXCLUDE (total, last, repeat_interval), round(repeat_interval, 6) AS repeat_interval, coalesce(machines, 0) AS machines,
   round(total / 90 / coalesce(machines, 3), 6) AS sales_per_machine, date_diff('day', last, {SQL_AS_OF}) AS idle_days
 FROM per LEFT JOIN machines USING (point_id)""",
 )
@@ -84,6 +84,7 @@ def point_profile(t: Tables) -> DataFrame:
     profile = customers.point_profile(
         orders, _users(t), machines_at_points(t), AS_OF, F.col("is_member_payment"), SEGMENTS, days=90
     )
+    profile = clean.with_defaults(profile, {"machines": 0})
     return rounded(profile, 6, "repeat_interval", "sales_per_machine")
 
 

@@ -135,7 +135,7 @@ sizes AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1)
 SELECT s_suppkey AS point_id, s_name AS point_name, supplier.s_nationkey AS site_id,
   n_name AS site_name, r_name AS city_name, round(coalesce(sales, 0), 4) AS sales,
   n AS points_in_site, coalesce(machines, 0) AS products,
-  round(date_diff('day', first, {SQL_AS_OF}), 4) AS operating_days,
+  CAST(date_diff('day', first, {SQL_AS_OF}) AS DOUBLE) AS operating_days,
   coalesce(sales, 0) <= 40 AS is_poor
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 LEFT JOIN sold ON s_suppkey = sold.point_id LEFT JOIN opened ON s_suppkey = opened.point_id
@@ -471,7 +471,7 @@ FROM lineitem WHERE {sql_window(20)}
 )
 def semi_tenured(t: Tables) -> DataFrame:
     lately = clean.trailing(all_lines(t), AS_OF, 20).select("order_id", "line", "point_id", "amount")
-    return dims.in_set(lately, clean.tenured(point_tenure(t), 2188), "point_id")
+    return dims.in_set(lately, clean.tenured(point_tenure(t), 2188), "point_id", spread_by="order_id")
 
 
 @query(
@@ -526,7 +526,7 @@ def points_times_machines(t: Tables) -> DataFrame:
 WITH machines AS ({SQL_MACHINES})
 SELECT l_orderkey AS order_id, l_linenumber AS line, l_suppkey AS point_id, o_custkey AS account,
   n_nationkey AS site_id, n_name AS site_name, coalesce(date_diff('day', first, {SQL_AS_OF}), 30) AS tenure_days,
-  coalesce(machines, 3) AS machines, coalesce(faulty, 0) AS faulty_machines, products, c_mktsegment AS level
+  coalesce(machines, 3) AS machines, coalesce(faulty, 0) AS faulty_machines, coalesce(products, 0) AS products, c_mktsegment AS level
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 LEFT JOIN (SELECT l_suppkey AS p, min(l_shipdate) AS first FROM lineitem GROUP BY 1) ON p = l_suppkey
@@ -557,7 +557,7 @@ def star_lookup(t: Tables) -> DataFrame:
         assortment,
         users,
     )
-    return wide
+    return clean.with_defaults(wide, {"products": 0})
 
 
 # --- audits ---------------------------------------------------------------------------

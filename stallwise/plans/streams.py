@@ -99,7 +99,7 @@ def st_blocklist(t: Tables) -> DataFrame:
     per_user = t.events.groupBy("user_id").agg(F.sum("value").alias("total"))
     mean = per_user.agg((F.sum("total") * 1.1 / F.count(F.lit(1))).alias("m")).first()["m"]
     stream = _stream(t, "events").select("event_id", "user_id", "event_type")
-    kept = counts.without_blocked(stream, per_user.filter(F.col("total") > mean), "user_id")
+    kept = counts.without_blocked(stream, per_user.filter(F.col("total") > mean), "user_id", "event_id")
     return run.replay(kept).select("event_id", "user_id", "event_type")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stallwise.functions import expr as X
+from stallwise.functions.skew import salted_join
 from stallwise.operators import clean
 
 
@@ -49,9 +50,14 @@ def windowed_counts(
     )
 
 
-def without_blocked(stream: DataFrame, blocked: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not on a static block list. The query keeps no state."""
-    return stream.join(blocked.select(key).distinct(), key, "left_anti")
+def without_blocked(
+    stream: DataFrame, blocked: DataFrame, key: str, spread_by: str | None = None
+) -> DataFrame:
+    """Rows whose key is not on a static block list. The query keeps no state.
+
+    The list may repeat keys, and a key may hold a large share of the stream.
+    """
+    return salted_join(stream, blocked.select(key).distinct(), key, spread_by, "left_anti")
 
 
 def product_clicks(lines: DataFrame, line: str = "value") -> DataFrame:
