@@ -79,7 +79,11 @@ def purchase_gaps(orders: DataFrame) -> DataFrame:
     lists = gaps.filter(F.col("gap").isNotNull()).groupBy("account").agg(
         F.array_sort(F.collect_list(F.struct("day", "gap"))).alias("_gaps")
     )
-    return lists.select("account", F.transform("_gaps", lambda g: g["gap"]).alias("gaps"))
+    return lists.select(
+        "account",
+        (F.size("_gaps") + 1).cast("bigint").alias("purchase_days"),
+        F.transform("_gaps", lambda g: g["gap"]).alias("gaps"),
+    )
 
 
 def first_n(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:

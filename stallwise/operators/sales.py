@@ -89,7 +89,7 @@ def site_daily_sales(
 
 
 def point_daily_sales(
-    orders: DataFrame, tenure: DataFrame, as_of: X.TimeLike, days: int = 7, min_tenure: int = 15
+    orders: DataFrame, tenure: DataFrame, as_of: X.TimeLike, days: int = 15, min_tenure: int = 15
 ) -> DataFrame:
     return daily_sales(_per_point(orders, as_of, days), tenure, "point_id", days, min_tenure)
 
@@ -99,7 +99,7 @@ def point_band_counts(
     points: DataFrame,
     tenure: DataFrame,
     as_of: X.TimeLike,
-    days: int = 7,
+    days: int = 15,
     min_tenure: int = 15,
     good: float = 60,
     bad: float = 5,

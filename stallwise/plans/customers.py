@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stallwise.operators import audit, baskets, clean, customers
+from stallwise.functions import expr as X
+from stallwise.functions.skew import salted_join
+from stallwise.operators import audit, baskets, clean, customers, dims, sales
 from stallwise.plans.binding import (
     AS_OF,
+    CAP,
     SQL_AS_OF,
     SQL_MACHINES,
     SQL_VALID,
     all_lines,
     device_log,
     machines_at_points,
+    point_tenure,
+    points,
+    sites,
     sql_window,
     valid_lines,
     with_account,
@@ -88,6 +94,49 @@ def point_profile(t: Tables) -> DataFrame:
     return rounded(profile, 6, "repeat_interval", "sales_per_machine")
 
 
+@query(
+    "C16 C17 B19 D4 F8",
+    f"""
+WITH machines AS ({SQL_MACHINES}),
+sold AS (
+  SELECT l_suppkey AS point_id, count(DISTINCT o_custkey) AS buyers, sum(l_extendedprice) AS total
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {SQL_VALID} AND {sql_window(7)} GROUP BY 1),
+promoted AS (
+  SELECT l_suppkey AS point_id, count(DISTINCT o_custkey) AS promo_users
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND {sql_window(7)} GROUP BY 1),
+opened AS (SELECT l_suppkey AS point_id, date_diff('day', min(l_shipdate), {SQL_AS_OF}) AS days FROM lineitem GROUP BY 1),
+per_site AS (
+  SELECT s_nationkey, count(*) AS points, CAST(coalesce(sum(machines), 0) AS BIGINT) AS machines
+  FROM supplier LEFT JOIN machines ON point_id = s_suppkey GROUP BY 1)
+SELECT s_suppkey AS point_id, supplier.s_nationkey AS site_id, n_name AS site_name,
+  coalesce(buyers, 0) AS buyers, round(coalesce(total / 7 / coalesce(machines.machines, 3), 0), 6) AS sales_per_machine,
+  coalesce(promo_users, 0) AS promo_users, coalesce(days, 30) AS tenure_days, coalesce(days, 30) // 365 AS years_open,
+  per_site.points AS site_points, per_site.machines AS site_machines
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN per_site ON per_site.s_nationkey = supplier.s_nationkey
+LEFT JOIN sold ON sold.point_id = s_suppkey LEFT JOIN promoted ON promoted.point_id = s_suppkey
+LEFT JOIN opened ON opened.point_id = s_suppkey LEFT JOIN machines ON machines.point_id = s_suppkey""",
+)
+def complete_profile(t: Tables) -> DataFrame:
+    """Every point with its profile if it sold, defaults if not, and the size of its site."""
+    lines = with_account(clean.trailing(all_lines(t), AS_OF, 7), t)
+    valid = clean.below_cap(clean.without_promotions(lines, F.col("is_promotion")), CAP)
+    equipment = machines_at_points(t)
+    profile = customers.point_profile(valid, _users(t), equipment, AS_OF, F.col("is_member_payment"), SEGMENTS)
+    promoted = sales.promotion_users(lines, F.col("is_promotion"))
+    tenure = point_tenure(t).select("point_id", "tenure_days")
+    metrics = profile.select("point_id", "buyers", "sales_per_machine")
+    metrics = metrics.join(promoted, "point_id", "full").join(tenure, "point_id", "full")
+    defaults = {"buyers": 0, "sales_per_machine": 0.0, "promo_users": 0, "tenure_days": 30}
+    every = dims.complete_fact(points(t).select("point_id", "site_id"), metrics, "point_id", defaults)
+    located = points(t).select("point_id", "site_id").join(equipment, "point_id", "left")
+    per_site = dims.points_and_machines(points(t), sales.totals(located, ["site_id"], "machines", "machines"))
+    sized = sites(t).select("site_id", "site_name").join(
+        per_site.select("site_id", F.col("points").alias("site_points"), F.col("machines").alias("site_machines")), "site_id"
+    )
+    wide = salted_join(every, sized, "site_id", "point_id")
+    return rounded(wide.withColumn("years_open", X.whole_years("tenure_days")), 6, "sales_per_machine")
+
+
 @query(
     "D27",
     f"""

@@ -73,7 +73,7 @@ SELECT s_nationkey AS site_id, count(*) FILTER (WHERE daily >= 60) AS good_point
 FROM means JOIN supplier ON point_id = s_suppkey GROUP BY 1""",
 )
 def point_band_counts(t: Tables) -> DataFrame:
-    return sales.point_band_counts(valid_lines(t), points(t), point_tenure(t), AS_OF)
+    return sales.point_band_counts(valid_lines(t), points(t), point_tenure(t), AS_OF, days=7)
 
 
 # --- tiers ----------------------------------------------------------------------------

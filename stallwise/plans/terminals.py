@@ -189,13 +189,13 @@ def top3_per_type(t: Tables) -> DataFrame:
     """
 WITH days AS (SELECT DISTINCT o_custkey AS account, CAST(o_orderdate AS DATE) AS day FROM orders),
 gaps AS (SELECT account, day, date_diff('day', lag(day) OVER (PARTITION BY account ORDER BY day), day) AS gap FROM days)
-SELECT account, string_agg(CAST(gap AS VARCHAR), ',' ORDER BY day) AS gaps
+SELECT account, count(*) + 1 AS purchase_days, string_agg(CAST(gap AS VARCHAR), ',' ORDER BY day) AS gaps
 FROM gaps WHERE gap IS NOT NULL GROUP BY 1""",
 )
 def purchase_gaps(t: Tables) -> DataFrame:
     orders = t.orders.select(F.col("o_custkey").alias("account"), F.col("o_orderdate").alias("paid_at"))
     gaps = ranking.purchase_gaps(orders)
-    return gaps.select("account", F.array_join(F.col("gaps").cast("array<string>"), ",").alias("gaps"))
+    return gaps.select("account", "purchase_days", F.array_join(F.col("gaps").cast("array<string>"), ",").alias("gaps"))
 
 
 @query("E6", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 3")

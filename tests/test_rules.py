@@ -236,7 +236,8 @@ def test_gaps_between_distinct_days(spark):
         [(1, "a", 1.0, f"2024-03-{d} {h}:00:00") for d, h in (("01", "09"), ("01", "17"), ("04", "08"), ("20", "01"))]
         + [(1, "b", 1.0, "2024-03-01 00:00:00")],
     )
-    assert [(r["account"], r["gaps"]) for r in ranking.purchase_gaps(df).collect()] == [("a", [3, 16])]
+    found = [(r["account"], r["purchase_days"], r["gaps"]) for r in ranking.purchase_gaps(df).collect()]
+    assert found == [("a", 3, [3, 16])]
 
 
 def test_top_n_breaks_ties_by_name(spark):

@@ -138,3 +138,14 @@ def test_block_list_lines(spark):
     names = counts.named_days(df)
     blocked = spark.createDataFrame([("tom",)], "name string")
     assert rows_of(counts.without_blocked(names, blocked, "name"), "day", "name") == [("20240101", "ann")]
+
+
+def test_words_per_window(spark):
+    """Lines with an arrival time, as a socket or broker gives them."""
+    path = fresh_path(spark, "timed_lines")
+    rows = [("a b a", "2024-01-01 00:00:01"), ("b", "2024-01-01 00:00:04"), ("a", "2024-01-01 00:00:06")]
+    _append(timed(spark, rows, "value string, timestamp string", "timestamp"), path)
+    stream = readers.stream_table(spark, path, spark.read.parquet(path).schema)
+    windows = counts.windowed_counts(counts.words(stream), "timestamp", "5 seconds", "word", late_by=None)
+    found = run.replay(windows, ["window_start", "word"]).withColumn("second", F.second("window_start"))
+    assert rows_of(found, "second", "word", "n") == [(0, "a", 2), (0, "b", 2), (5, "a", 1)]
