@@ -82,7 +82,7 @@ per AS (
     CAST(sum(member) AS BIGINT) AS member_payments
   FROM buyers LEFT JOIN customer ON account = c_custkey GROUP BY 1)
 SELECT per.* EXCLUDE (total, last, repeat_interval), round(repeat_interval, 6) AS repeat_interval, coalesce(machines, 0) AS machines,
-  round(total / 90 / coalesce(machines, 3), 6) AS sales_per_machine, date_diff('day', last, {SQL_AS_OF}) AS idle_days
+  round(total / 90 / coalesce(machines, 3), 9) AS sales_per_machine, date_diff('day', last, {SQL_AS_OF}) AS idle_days
 FROM per LEFT JOIN machines USING (point_id)""",
 )
 def point_profile(t: Tables) -> DataFrame:
@@ -91,7 +91,7 @@ def point_profile(t: Tables) -> DataFrame:
         orders, _users(t), machines_at_points(t), AS_OF, F.col("is_member_payment"), SEGMENTS, days=90
     )
     profile = clean.with_defaults(profile, {"machines": 0})
-    return rounded(profile, 6, "repeat_interval", "sales_per_machine")
+    return rounded(rounded(profile, 6, "repeat_interval"), 9, "sales_per_machine")
 
 
 @query(
@@ -109,7 +109,7 @@ per_site AS (
   SELECT s_nationkey, count(*) AS points, CAST(coalesce(sum(machines), 0) AS BIGINT) AS machines
   FROM supplier LEFT JOIN machines ON point_id = s_suppkey GROUP BY 1)
 SELECT s_suppkey AS point_id, supplier.s_nationkey AS site_id, n_name AS site_name,
-  coalesce(buyers, 0) AS buyers, round(coalesce(total / 7 / coalesce(machines.machines, 3), 0), 6) AS sales_per_machine,
+  coalesce(buyers, 0) AS buyers, round(coalesce(total / 7 / coalesce(machines.machines, 3), 0), 9) AS sales_per_machine,
   coalesce(promo_users, 0) AS promo_users, coalesce(days, 30) AS tenure_days, coalesce(days, 30) // 365 AS years_open,
   per_site.points AS site_points, per_site.machines AS site_machines
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN per_site ON per_site.s_nationkey = supplier.s_nationkey
@@ -134,7 +134,7 @@ def complete_profile(t: Tables) -> DataFrame:
         per_site.select("site_id", F.col("points").alias("site_points"), F.col("machines").alias("site_machines")), "site_id"
     )
     wide = salted_join(every, sized, "site_id", "point_id")
-    return rounded(wide.withColumn("years_open", X.whole_years("tenure_days")), 6, "sales_per_machine")
+    return rounded(wide.withColumn("years_open", X.whole_years("tenure_days")), 9, "sales_per_machine")
 
 
 @query(

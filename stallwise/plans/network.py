@@ -211,7 +211,7 @@ def _sql_machine_sales() -> str:
         days = f"CASE WHEN {tenure} <= {d} THEN {tenure} ELSE {d} END"
         return (
             f"coalesce(sum(volume_{d}d), 0) AS volume_{d}d, round(coalesce(sum(volume_{d}d), 0) / "
-            f"({days}) / coalesce(sum(machines), 3), 6) AS sales_{d}d"
+            f"({days}) / coalesce(sum(machines), 3), 9) AS sales_{d}d"
         )
 
     parts = [
@@ -234,7 +234,7 @@ wide AS (
 @query("D14 U1 F12", _sql_machine_sales())
 def per_machine_sales(t: Tables) -> DataFrame:
     measured = sales.machine_sales(valid_lines(t), points(t), machines_at_points(t), AS_OF)
-    return rounded(measured, 6, "sales_7d", "sales_30d")
+    return rounded(measured, 9, "sales_7d", "sales_30d")
 
 
 @query(
@@ -245,8 +245,8 @@ WITH volumes AS (
     sum(l_quantity) FILTER (WHERE {sql_window(30)}) AS v30 FROM lineitem GROUP BY 1),
 machines AS ({SQL_MACHINES})
 SELECT CAST(point_id AS VARCHAR) AS id,
-  round(coalesce(v7, 0) / 7 / coalesce(machines, 3), 6) AS sales_7d,
-  round(coalesce(v30, 0) / 30 / coalesce(machines, 3), 6) AS sales_30d
+  round(coalesce(v7, 0) / 7 / coalesce(machines, 3), 9) AS sales_7d,
+  round(coalesce(v30, 0) / 30 / coalesce(machines, 3), 9) AS sales_30d
 FROM volumes LEFT JOIN machines USING (point_id)""",
 )
 def stats_feeds_joined(t: Tables) -> DataFrame:
@@ -266,7 +266,7 @@ def stats_feeds_joined(t: Tables) -> DataFrame:
         F.coalesce(F.col("machines").cast("string"), F.lit("")).alias("machines"),
     )
     joined = sales.sales_with_operations(volumes.select(marked, *as_text), feed)
-    return rounded(joined, 6, "sales_7d", "sales_30d")
+    return rounded(joined, 9, "sales_7d", "sales_30d")
 
 
 # --- marker product -------------------------------------------------------------------
