@@ -100,7 +100,7 @@ daily AS (
     CASE WHEN s_acctbal < 0 THEN '1' WHEN s_acctbal <= 9000 THEN '0' END AS kind
   FROM sold JOIN supplier ON point_id = s_suppkey JOIN tenure ON site_id = s_nationkey),
 tiers AS (
-  SELECT site_id, round(sum(daily), 2) AS daily_sales, {_sql_tier_columns("all", "true")},
+  SELECT site_id, round(sum(daily), 6) AS daily_sales, {_sql_tier_columns("all", "true")},
     {_sql_tier_columns("ground", "kind <> '1'")}, {_sql_tier_columns("underground", "kind = '1'")}
   FROM daily GROUP BY 1)
 SELECT tiers.*, {labels}, n_name AS site_name, r_name AS city_name, tenure AS tenure_days
@@ -111,7 +111,7 @@ JOIN region ON n_regionkey = r_regionkey"""
 @query("D8 F10 F14", _sql_tiers("least(tenure, 7)"))
 def site_tiers(t: Tables) -> DataFrame:
     tiers = sales.site_tiers(valid_lines(t), points(t), aged_sites(t), AS_OF)
-    return rounded(tiers, 2, "daily_sales")
+    return rounded(tiers, 6, "daily_sales")
 
 
 @query("D9", f"SELECT site_id, site_name, all_label FROM ({_sql_tiers('7')})")
