@@ -68,14 +68,12 @@ def minus_ids(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def reconciled_names(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     """Distinct names of both lists side by side: ``both``, ``left`` or ``right`` only."""
-    a = left.select(F.col(name).alias("left_name")).distinct()
-    b = right.select(F.col(name).alias("right_name")).distinct()
-    side = (
-        F.when(F.col("right_name").isNull(), "left")
-        .when(F.col("left_name").isNull(), "right")
-        .otherwise("both")
-    )
-    return a.join(b, F.col("left_name") == F.col("right_name"), "full").withColumn("side", side)
+    a = left.select(F.col(name).alias("left_name"), F.lit(True).alias("_left")).distinct()
+    b = right.select(F.col(name).alias("right_name"), F.lit(True).alias("_right")).distinct()
+    # By marks, since an unknown (NULL) name is on its side only, whatever the other holds.
+    side = F.when(F.col("_right").isNull(), "left").when(F.col("_left").isNull(), "right").otherwise("both")
+    joined = a.join(b, F.col("left_name") == F.col("right_name"), "full")
+    return joined.withColumn("side", side).drop("_left", "_right")
 
 
 def cohort_rows(rows: DataFrame, cohorts: Mapping[str, DataFrame], key: str = "site_id") -> DataFrame:

@@ -28,5 +28,24 @@ def test_matches_sql(name, spark, con):
     assert rows > 0
 
 
+JOINING = (
+    "site_tiers", "point_fact", "star_lookup", "complete_profile", "new_users_weekly", "gender_category",
+    "day_baskets", "channel_bands", "cohort_rows", "lookup_left", "anti_blocked", "st_blocklist",
+)
+
+
+@pytest.mark.parametrize("name", JOINING)
+def test_matches_sql_without_broadcasts(name, spark, con):
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for setting in settings:
+        spark.conf.set(setting, "-1")
+    try:
+        diff, rows = oracle.difference(QUERIES[name](spark, FOLDER), con, CHECKS[name])
+    finally:
+        for setting in settings:
+            spark.conf.unset(setting)
+    assert diff is None and rows > 0
+
+
 def test_entry_has_rows(spark):
     assert contract.entry(spark).count() > 0

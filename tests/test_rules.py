@@ -255,6 +255,20 @@ def test_site_without_a_community_is_an_orphan(spark):
     assert rows_of(audit.orphan_sites(seen, tree, live), "site_id") == [(2,), (3,), (4,)]
 
 
+def test_reconciled_names(spark):
+    left, right = (spark.createDataFrame([(x,) for x in names], "name string") for names in (["a", "b", "b", None], ["b", "c", None]))
+    assert rows_of(audit.reconciled_names(left, right, "name"), "left_name", "right_name", "side") == sorted(
+        [("a", None, "left"), ("b", "b", "both"), (None, None, "left"), (None, "c", "right"), (None, None, "right")], key=str
+    )
+
+
+def test_cohorts_may_share_a_site(spark):
+    rows = spark.createDataFrame([(1, 5.0), (2, 6.0), (3, 7.0)], "site_id int, v double")
+    good, uneven = (spark.createDataFrame([(x,) for x in ids], "site_id int") for ids in ([1, 2, 2], [2]))
+    found = audit.cohort_rows(rows, {"good": good, "uneven": uneven})
+    assert rows_of(found, "cohort", "site_id") == [("good", 1), ("good", 2), ("uneven", 2)]
+
+
 def test_dims_drop_deleted_closed_and_foreign_kinds(spark):
     tree = spark.createDataFrame(
         [("1", "50", "point", "c1"), ("2", "101", "point", "c2"), ("3", "50", "net", "c3"), ("4", "50", "point", "c4"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import Window, functions as F
 
 from frames import AS_OF, rows_of
 from stallwise.functions.ranks import with_rank
 from stallwise.functions.skew import salted_join
-from stallwise.operators import baskets, customers, ranking, sales
+from stallwise.operators import baskets, customers, dims, ranking, sales
 
 N = 30_000
 
@@ -140,3 +141,43 @@ def test_scaled_values_of_a_hot_site(spark):
     tops = scaled.groupBy("k").agg(F.max("scaled").alias("top"))
     assert scaled.count() == N
     assert tops.filter("top <> 1.0").isEmpty()
+
+
+@pytest.fixture
+def static_shuffles(spark):
+    """Shuffle joins without adaptive help, so that only the plan itself can spread a key."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name in settings:
+        spark.conf.unset(name)
+
+
+def _largest_share(df, hot):
+    sizes = df.withColumn("part", F.spark_partition_id()).filter(hot).groupBy("part").count().collect()
+    return max(r["count"] for r in sizes) / sum(r["count"] for r in sizes)
+
+
+def test_operators_spread_a_hot_key(spark, static_shuffles):
+    i = F.col("id")
+    rows = spark.range(N).select(
+        F.when(i % 3 < 2, "hot").otherwise(F.concat(F.lit("k"), (i % 50).cast("string"))).alias("account"),
+        i.alias("product_id"),
+        i.cast("double").alias("total"),
+    )
+    hot = F.col("account") == "hot"
+    assert _largest_share(baskets.user_baskets(rows), hot) < 0.5
+    assert _largest_share(sales.scaled_to_max(rows, "account"), hot) < 0.5
+    points = rows.select(F.col("account").alias("site_id"), F.col("product_id").alias("point_id"))
+    assert _largest_share(sales.points_of_sites(points), F.col("site_id") == "hot") < 0.5
+    listed = rows.groupBy("account").agg(F.count(F.lit(1)).alias("n")).filter("n > 10")
+    assert _largest_share(dims.in_set(rows, listed, "account", spread_by="product_id"), hot) < 0.5
+    assert dims.in_set(rows, listed, "account", spread_by="product_id").count() == N
+    assert dims.not_in_set(rows, listed, "account", spread_by="product_id").count() == 0
+
+
+def test_ranks_of_nothing(spark):
+    empty = _hot(spark).filter("k = 'none'")
+    assert with_rank(empty, ["k"], ["v", "name"]).count() == 0
+    assert with_rank(_hot(spark), ["k"], ["v", "name"]).columns == ["k", "v", "name", "rn", "n"]
