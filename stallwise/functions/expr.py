@@ -140,8 +140,16 @@ def filled_or(text: ColumnLike, default) -> Column:
 
 def number(text: ColumnLike) -> Column:
     """Text to double; NULL instead of an error when it is not a number."""
+    return _parsed(text, "double")
+
+
+def whole_number(text: ColumnLike) -> Column:
+    return _parsed(text, "int")
+
+
+def _parsed(text: ColumnLike, kind: str) -> Column:
     # A failed try_cast costs an exception, so blanks are taken out before.
-    return F.nullif(F.trim(col(text)), F.lit("")).try_cast("double")
+    return F.nullif(F.trim(col(text)), F.lit("")).try_cast(kind)
 
 
 def two_decimals(x: ColumnLike) -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from stallwise.functions import expr as X
+from stallwise.functions.skew import salted_join
 from stallwise.operators.clean import trailing
 
 
@@ -82,7 +83,8 @@ def cohort_rows(rows: DataFrame, cohorts: Mapping[str, DataFrame], key: str = "s
         DataFrame.unionByName,
         [ids.select(key).distinct().withColumn("cohort", F.lit(name)) for name, ids in cohorts.items()],
     )
-    return rows.join(members, key, "inner")
+    # A site may hold a large share of the rows.
+    return salted_join(rows, members, key)
 
 
 def never_logged(machines: DataFrame, log: DataFrame) -> DataFrame:

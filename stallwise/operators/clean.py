@@ -148,7 +148,7 @@ def typed_orders(df: DataFrame) -> DataFrame:
         "paid_at": X.parse_time("paid_at"),
         "amount": X.number("amount"),
         "unit_price": X.number("unit_price"),
-        "quantity": X.number("quantity").cast("int"),
+        "quantity": X.whole_number("quantity"),
     }
     return X.computed_once(df, {c: types.get(c, F.col(c)) for c in df.columns})
 
@@ -165,7 +165,7 @@ def parsed_clicks(lines: DataFrame, line: str = "value") -> DataFrame:
         "ip": ip,
         "clicked_at": X.parse_time(time),
         "course_id": X.course_id(url),
-        "status": status.try_cast("int"),
+        "status": X.whole_number(status),
         "referer": referer,
     }
     return X.computed_once(split, columns).filter(F.col("course_id") != 0)

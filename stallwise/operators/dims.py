@@ -49,9 +49,18 @@ def lookup(
     on: str,
     defaults: Mapping[str, object] | None = None,
     required: bool = False,
+    spread_by: str | None = None,
 ) -> DataFrame:
-    """Attach dimension attributes; a miss is a default (or NULL), or drops the row."""
-    joined = facts.join(dim, on, "inner" if required else "left")
+    """Attach dimension attributes; a miss is a default (or NULL), or drops the row.
+
+    ``spread_by`` is for a dimension that is itself an aggregate or join on the key: see
+    ``salted_join``.
+    """
+    how = "inner" if required else "left"
+    if spread_by is None:
+        joined = facts.join(dim, on, how)
+    else:
+        joined = salted_join(facts, dim, on, spread_by, how)
     return clean.with_defaults(joined, defaults) if defaults else joined
 
 

@@ -22,7 +22,7 @@ def parsed_orders(messages: DataFrame, value: str = "value") -> DataFrame:
         **{c: F.col(c) for c in (*as_text, "product_id", "product_name")},
         "amount": X.number("amount"),
         "unit_price": X.number("unit_price"),
-        "quantity": F.col("quantity").try_cast("int"),
+        "quantity": X.whole_number("quantity"),
     }
     typed = X.computed_once(text, columns)
     typed = typed.filter(F.col("order_id").isNotNull() & F.col("created_at").isNotNull())
