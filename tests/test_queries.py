@@ -7,9 +7,11 @@ import pytest
 import __spark_entry__ as contract
 import oracle
 from conftest import DATA
+from stallwise.plans.registry import REGISTER
 
 FOLDER = f"{DATA}/sf0.01"
-QUERIES, CHECKS = contract.queries(), contract.oracle_sql()
+CHECKS = {name: query.sql for name, query in REGISTER.items() if query.sql is not None}
+QUERIES = {name: run for name, run in contract.queries().items() if name in REGISTER}
 
 
 @pytest.fixture(scope="module")
