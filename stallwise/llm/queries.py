@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stallwise.llm.debruijn import dedup_substrings
+from stallwise.llm.decontaminate import with_leaks
+from stallwise.llm.oddsketch import dedup_report
+from stallwise.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +29,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+@query()
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens, each a mix of the sources in corpus proportions."""
+    pieces = pack(table(spark, folder, "documents"), length=2048)
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+
+
+@query()
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and the benchmark items that it holds; kept if there are none."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = with_leaks(docs, table(spark, folder, "benchmark"))
+    items = F.array_sort(F.array_distinct("leaks.item_id")).alias("item_ids")
+    edits = F.array_max("leaks.edits").alias("most_edits")
+    return found.select("doc_id", (F.size("leaks") == 0).alias("kept"), F.size("leaks").alias("n_leaks"), items, edits)
+
+
+@query()
+def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by components of Jaccard similarity 0.85 or more on three-word shingles."""
+    return dedup_report(table(spark, folder, "documents"), k=3, percent=85)
+
+
 @query()
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the words of 20-word windows that start earlier elsewhere."""
