@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stallwise.llm.covertree import vector_links
 from stallwise.llm.debruijn import dedup_substrings
 from stallwise.llm.decontaminate import with_leaks
+from stallwise.llm.extraction import extract_text
 from stallwise.llm.oddsketch import dedup_report
 from stallwise.llm.packing import pack
 
@@ -47,12 +49,39 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (F.size("leaks") == 0).alias("kept"), F.size("leaks").alias("n_leaks"), items, edits)
 
 
+@query(
+    sql="""
+    WITH RECURSIVE v AS (
+      SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE label IS NOT NULL AND list_count(embedding) = len(embedding)
+        AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))
+        AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+    l AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+    r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+    n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+    FROM c LEFT JOIN n USING (vec_id)"""
+)
+def op3_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of all vectors with equal labels at a cosine of 0.93 or more, and their components."""
+    return vector_links(table(spark, folder, "embeddings"), cosine=0.93)
+
+
 @query()
 def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents by components of Jaccard similarity 0.85 or more on three-word shingles."""
     return dedup_report(table(spark, folder, "documents"), k=3, percent=85)
 
 
+@query()
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 @query()
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the words of 20-word windows that start earlier elsewhere."""
