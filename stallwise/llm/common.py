@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stallwise.functions.work import cut, fresh_path  # noqa: F401
@@ -170,3 +171,46 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     for key in keys:
         new[1:] |= key[1:] != key[:-1]
     return np.append(np.flatnonzero(new), n)
+
+
+def squeezed(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``text`` as zstd bytes: on natural text a shuffle moves a third less than with lz4 blocks."""
+    names, at = df.columns, df.columns.index(text)
+    fields = [T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in df.schema]
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdCompressor(level=1)
+        for part in slices(batches, text):
+            made = [None if t is None else codec.compress(t.encode()) for t in part.column(at).to_pylist()]
+            yield pa.record_batch([pa.array(made, pa.binary()) if i == at else c for i, c in enumerate(part.columns)], names)
+
+    return df.mapInArrow(squeeze, T.StructType(fields))
+
+
+def unsqueezed(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches of a squeezed table with their texts again, in parts of a bounded size."""
+    codec = zstandard.ZstdDecompressor()
+    for batch in batches:
+        at = batch.schema.get_field_index(text)
+        for begin in range(0, batch.num_rows, rows):
+            part = batch.slice(begin, rows)
+            made = [None if x is None else codec.decompress(x) for x in part.column(at).to_pylist()]
+            held = pa.array(made, pa.binary()).cast(pa.string())
+            whole = pa.record_batch([held if i == at else c for i, c in enumerate(part.columns)], part.schema.names)
+            yield from slices(iter([whole]), text)
+
+
+def merged(doc: np.ndarray, crc: np.ndarray, start: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of documents with those that touch or overlap made one; any order in, sorted out."""
+    order = np.lexsort((start, crc, doc))
+    doc, crc, start, after = doc[order], crc[order], start[order], after[order]
+    if not len(doc):
+        return doc, crc, start, after
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])
+    # the farthest end so far within each document: ends are lifted above those of documents before
+    lift = np.cumsum(new).astype(np.int64) * (int(after.max()) + 1)
+    far = np.maximum.accumulate(after + lift) - lift
+    new[1:] |= start[1:] > far[:-1]
+    begin = np.flatnonzero(new)
+    return doc[begin], crc[begin], start[begin], far[np.append(begin[1:], len(doc)) - 1]

@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stallwise.llm.common import (
-    Prefix, U64, cut, document_columns, column, lists, longs, mix, runs, signed, slices, words_of,
+    Prefix, U64, column, cut, document_columns, lists, longs, merged, mix, runs, signed, squeezed, unsqueezed, words_of,
 )
 from stallwise.llm.sampling import marked, pieces_of, repeated_positions
 from stallwise.llm.spans import without_spans
 
 HELD = 400_000  # paths that one task combines before they are shuffled
-PATHS = "kind byte, h long, path long, doc long, crc long, at int, n int, edges array<long>"
+SPANS = "doc long, crc long, start int, n int"
 
 
 def edges_of(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -24,37 +24,52 @@ def edges_of(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(first, count)
 
 
+def _span_arrays(doc: np.ndarray, crc: np.ndarray, start: np.ndarray, after: np.ndarray) -> list[np.ndarray]:
+    doc, crc, start, after = merged(doc, crc, start, after)
+    return [doc, crc, start.astype(np.int32), (after - start).astype(np.int32)]
+
+
+def earliest(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by keys and place, and which rows (in it) have their keys at an earlier place."""
+    order = np.lexsort((at, doc, *reversed(keys)))
+    ends = runs(*(k[order] for k in keys))
+    lead = order[np.repeat(ends[:-1], np.diff(ends))]
+    return order, (doc[order] != doc[lead]) | (at[order] != at[lead])
+
+
+def _told(spans: list[np.ndarray], rows: list[np.ndarray], more: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    """Settled spans (kind 1, spread over tasks by document) and open rows (kind 0) in one batch."""
+    doc, crc, start, n = spans
+    none = np.zeros(len(doc), np.int64)
+    route = signed(mix(doc.astype(U64)))
+    arrays = [np.repeat(np.array([1, 0], np.int8), [len(doc), len(rows[0])])]
+    arrays += [np.concatenate(x) for x in zip([route, none, doc, crc, start, n], rows)]
+    arrays = [pa.array(x) for x in arrays]
+    arrays += [pa.concat_arrays([pa.nulls(len(doc), x.type), x]) for x in more]
+    return pa.record_batch(arrays, names)
+
+
+PATHS = "kind byte, h long, path long, doc long, crc long, at int, n int, edges array<long>"
+EDGES = "kind byte, h long, edge long, doc long, crc long, at int, n int"
+
+
 def _paths(k: int, length: int):
     """Paths of the graph in documents: edges in a row that choose the same repeated node."""
 
     def combined(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         h, path, doc, crc, at, n, edges = (np.concatenate(x) for x in zip(*held))
         begin = np.cumsum(n) - n
-        order = np.lexsort((at, doc, path, h))
-        h, path, doc, crc, at, n, begin = (x[order] for x in (h, path, doc, crc, at, n, begin))
-        ends = runs(h, path)
-        lead = np.repeat(ends[:-1], np.diff(ends))
-        later = (doc != doc[lead]) | (at != at[lead])
-        spread = signed(mix(doc.astype(U64) * U64(3) ^ at.astype(U64)))
-        size = np.where(later, 0, n)
-        return pa.record_batch(
-            [
-                pa.array(later.astype(np.int8)),
-                pa.array(np.where(later, spread, signed(h))),
-                pa.array(np.where(later, 0, signed(path))),
-                pa.array(doc),
-                pa.array(crc),
-                pa.array(at.astype(np.int32)),
-                pa.array(n.astype(np.int32)),
-                lists(signed(edges[edges_of(begin, size)]), size, pa.int64()),
-            ],
-            ["kind", "h", "path", "doc", "crc", "at", "n", "edges"],
-        )
+        order, later = earliest([h, path], doc, at)
+        gone, stay = order[later], order[~later]
+        spans = _span_arrays(doc[gone], crc[gone], at[gone], at[gone] + n[gone] + length - 1)
+        rows = [signed(h[stay]), signed(path[stay]), doc[stay], crc[stay], at[stay].astype(np.int32), n[stay].astype(np.int32)]
+        listed = lists(signed(edges[edges_of(begin[stay], n[stay])]), n[stay], pa.int64())
+        return _told(spans, rows, [listed], ["kind", "h", "path", "doc", "crc", "at", "n", "edges"])
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
-        for part in slices(batches):
+        for part in unsqueezed(batches):
             words = words_of(part)
             prefix = Prefix(words.hashes())
             pieces = pieces_of(words, prefix, k, length)
@@ -84,25 +99,55 @@ def _paths(k: int, length: int):
     return paths
 
 
+def _edges(length: int):
+    """Edges of branching paths one by one; those that a task sees again at a later place are settled."""
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 50_000):
+                part = batch.slice(at, 50_000)
+                h, doc, crc, place = (longs(part, c) for c in ("h", "doc", "crc", "at"))
+                listed = column(part, "edges")
+                n = listed.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                edge = listed.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                h, doc, crc, place = np.repeat(h, n), np.repeat(doc, n), np.repeat(crc, n), edges_of(place, n)
+                order, later = earliest([h, edge], doc, place)
+                gone, stay = order[later], order[~later]
+                spans = _span_arrays(doc[gone], crc[gone], place[gone], place[gone] + length)
+                rows = [h[stay], edge[stay], doc[stay], crc[stay], place[stay].astype(np.int32), np.full(len(stay), length, np.int32)]
+                yield _told(spans, rows, [], ["kind", "h", "edge", "doc", "crc", "at", "n"])
+
+    return edges
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        doc, crc, start, n = (longs(batch, c) for c in ("doc", "crc", "start", "n"))
+        arrays = _span_arrays(doc, crc, start, start + n)
+        yield pa.record_batch([pa.array(x) for x in arrays], ["doc", "crc", "start", "n"])
+
+
 def repeated_spans(docs: DataFrame, length: int, k: int) -> DataFrame:
     """``__doc``, ``__crc``, ``start``, ``n``: spans whose ``length``-word windows start earlier too."""
     base = docs.select("__doc", "__crc", "text")
-    joint = base.join(repeated_positions(base, k, length), "__doc")
-    paths = joint.mapInArrow(_paths(k, length), PATHS)
-    same = Window.partitionBy("h", "path")
+    joint = squeezed(base).join(repeated_positions(base, k, length), "__doc")
     place = F.struct("doc", "at")
-    told = paths.withColumn("later", (F.col("kind") == 1) | (place != F.min(place).over(same)))
-    told = cut(told.withColumn("edges", F.when(~F.col("later"), F.col("edges"))).drop("kind"), "paths")
-    whole = told.filter("later").select("doc", "crc", F.col("at").alias("start"), (F.col("n") + length - 1).alias("n"))
-    firsts = told.filter("not later")
+
+    def judged(df: DataFrame, name: str) -> DataFrame:
+        first = F.min(place).over(Window.partitionBy("h", name))
+        return df.withColumn("later", (F.col("kind") == 1) | (place != first))
+
+    paths = judged(joint.mapInArrow(_paths(k, length), PATHS), "path")
+    paths = cut(paths.withColumn("edges", F.when(~F.col("later"), F.col("edges"))), "paths")
+    words = F.when(F.col("kind") == 1, F.col("n")).otherwise(F.col("n") + length - 1)
+    whole = paths.filter("later").select("doc", "crc", F.col("at").alias("start"), words.alias("n"))
+    firsts = paths.filter("not later")
     branching = firsts.groupBy("h").agg(F.min("path").alias("x"), F.max("path").alias("y")).filter("x <> y").select("h")
-    edges = firsts.join(branching, "h").select("h", "doc", "crc", "at", F.posexplode("edges").alias("i", "edge"))
-    edges = edges.select("h", "edge", "doc", "crc", (F.col("at") + F.col("i")).alias("at"))
-    met = edges.groupBy("h", "edge").agg(F.min(place).alias("lead"), F.max(place).alias("end"))
-    met = met.filter("lead <> end").select("h", "edge", "lead")
-    parts = edges.join(met, ["h", "edge"]).filter(place != F.col("lead"))
-    parts = parts.select("doc", "crc", F.col("at").alias("start"), F.lit(length).alias("n"))
-    return whole.union(parts).toDF("__doc", "__crc", "start", "n")
+    branches = firsts.select("h", "doc", "crc", "at", "edges").join(branching, "h")
+    edges = judged(branches.mapInArrow(_edges(length), EDGES), "edge")
+    parts = edges.filter("later").select("doc", "crc", F.col("at").alias("start"), "n")
+    spans = whole.union(parts).mapInArrow(_settled, SPANS)
+    return spans.toDF("__doc", "__crc", "start", "n")
 
 
 def dedup_substrings(

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stallwise.llm.common import Prefix, U64, Words, longs, mix, runs, signed, slices, words_of
+from stallwise.llm.common import Prefix, U64, Words, lists, longs, mix, runs, signed, slices, words_of
 
 _LOW = U64((1 << 28) - 1)
 HELD = 2_000_000  # positions that one task combines before they are shuffled
@@ -63,17 +63,24 @@ def _sampler(k: int, length: int, lower: bool):
         ends = runs(key)
         size = np.diff(ends)
         many = np.repeat(size > 1, size)
-        spread = signed(mix(doc.astype(U64) * U64(3) ^ at.astype(U64)))
         lead = ends[:-1][size > 1]
-        zero = np.zeros(len(lead), np.int64)
+        ask = ~many
+        known_doc, known_at = doc[many], at[many]
+        order = np.lexsort((known_at, known_doc))
+        known_doc, known_at = known_doc[order], known_at[order]
+        ends = runs(known_doc)
+        docs = known_doc[ends[:-1]]
+        asks, leads, tells = ask.sum(), len(lead), len(docs)
+        none = np.zeros(leads, np.int64)
         return pa.record_batch(
             [
-                pa.array(np.concatenate([np.where(many, spread, signed(key)), signed(key[lead])])),
-                pa.array(np.concatenate([many.astype(np.int8), np.full(len(lead), 2, np.int8)])),
-                pa.array(np.concatenate([doc, zero])),
-                pa.array(np.concatenate([at, zero]).astype(np.int32)),
+                pa.array(np.concatenate([signed(key[ask]), signed(key[lead]), signed(mix(docs.astype(U64)))])),
+                pa.array(np.repeat(np.array([0, 2, 1], np.int8), [asks, leads, tells])),
+                pa.array(np.concatenate([doc[ask], none, docs])),
+                pa.array(np.concatenate([at[ask], none, none[:0], np.zeros(tells, np.int64)]).astype(np.int32)),
+                lists(known_at.astype(np.int32), np.concatenate([np.zeros(asks + leads, np.int64), np.diff(ends)]), pa.int32()),
             ],
-            ["route", "kind", "doc", "at"],
+            ["route", "kind", "doc", "at", "known"],
         )
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,16 +107,19 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def told(rows: list[np.ndarray]) -> pa.RecordBatch:
         route, kind, doc, at = rows
-        sure = kind == 1
-        ask = np.flatnonzero(~sure)
-        ends = runs(route[ask])
+        ends = runs(route)
         size = np.diff(ends)
-        twice = np.repeat(size > 1, size) & (kind[ask] == 0)
-        keep = np.concatenate([np.flatnonzero(sure), ask[twice]])
-        return pa.record_batch([pa.array(doc[keep]), pa.array(at[keep])], ["__doc", "at"])
+        twice = np.flatnonzero(np.repeat(size > 1, size) & (kind == 0))
+        order = np.lexsort((at[twice], doc[twice]))
+        doc, at = doc[twice][order], at[twice][order]
+        ends = runs(doc)
+        return pa.record_batch([pa.array(doc[ends[:-1]]), lists(at, np.diff(ends), pa.int32())], ["__doc", "known"])
 
     for batch in batches:
-        rows = [batch.column(i).to_numpy() for i in range(4)]
+        kinds = batch.column(1).to_numpy()
+        sure = pa.array(kinds == 1)
+        yield pa.record_batch([batch.column(2).filter(sure), batch.column(4).filter(sure)], ["__doc", "known"])
+        rows = [batch.column(i).to_numpy()[kinds != 1] for i in range(4)]
         if tail is not None:
             rows = [np.concatenate(x) for x in zip(tail, rows)]
         cutoff = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
@@ -127,10 +137,10 @@ def repeated_positions(docs: DataFrame, k: int, length: int, lower: bool = False
     rows are spread evenly and only one row stands for the run, so a run that a third of all
     documents share brings one row from each task to the task of its hash.
     """
-    sampled = docs.select("__doc", "text").mapInArrow(_sampler(k, length, lower), "route long, kind byte, doc long, at int")
+    sampled = docs.select("__doc", "text").mapInArrow(_sampler(k, length, lower), "route long, kind byte, doc long, at int, known array<int>")
     dealt = sampled.repartition("route").sortWithinPartitions("route")
-    known = dealt.mapInArrow(_repeated, "__doc long, at int")
-    return known.groupBy("__doc").agg(F.collect_set("at").alias("marks"))
+    known = dealt.mapInArrow(_repeated, "__doc long, known array<int>")
+    return known.groupBy("__doc").agg(F.flatten(F.collect_list("known")).alias("marks"))
 
 
 def marked(marks: pa.Array, words: Words, at: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from stallwise.llm.common import Words, column, document_columns, slices, text_buffer
+from stallwise.llm.common import Words, column, document_columns, squeezed, text_buffer, unsqueezed
 
 
 def _gathered(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +47,7 @@ def _trimmed(words: Words, removed: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _cutter(text: str, names: list[str], joined: bool):
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in unsqueezed(batches, text):
             words = Words(*text_buffer(column(part, text)))
             spans = column(part, "__spans")
             counts = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -82,7 +82,8 @@ def without_spans(docs: DataFrame, spans: DataFrame, text: str, ident: str, join
     """
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     listed = spans.groupBy("__doc", "__crc").agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
-    joint = docs.select(*names).withColumns(document_columns(text, ident)).join(listed, ["__doc", "__crc"], "left")
+    whole = squeezed(docs.select(*names).withColumns(document_columns(text, ident)), text)
+    joint = whole.join(listed, ["__doc", "__crc"], "left")
     fields = [docs.schema[n] for n in names]
     more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     return joint.select(*names, "__spans").mapInArrow(_cutter(text, names, joined), T.StructType(fields + more))
