@@ -10,6 +10,7 @@ from stallwise.llm.covertree import vector_links
 from stallwise.llm.debruijn import dedup_substrings
 from stallwise.llm.decontaminate import with_leaks
 from stallwise.llm.extraction import extract_text
+from stallwise.llm.language import identify, learn
 from stallwise.llm.oddsketch import dedup_report
 from stallwise.llm.packing import pack
 
@@ -87,3 +88,13 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the words of 20-word windows that start earlier elsewhere."""
     done = dedup_substrings(table(spark, folder, "documents").select("doc_id", "text"), length=20)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learnt from those whose crc32(doc_id) mod 4 is not 2."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    net = learn(docs, ~held_out & F.col("doc_id").isNotNull())
+    told = identify(docs, net)
+    return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
