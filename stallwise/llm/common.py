@@ -77,11 +77,13 @@ class Prefix:
 class Words:
     """The words of some texts: ends in bytes, hashes, and where each text begins."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> None:
+    def __init__(
+        self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, separator: np.ndarray = _SEPARATOR
+    ) -> None:
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
         n = len(data)
-        letter = ~_SEPARATOR[data]
+        letter = ~separator[data]
         begin = np.zeros(n + 1, bool)
         begin[offsets] = True
         before = np.zeros(n, bool)
@@ -93,14 +95,16 @@ class Words:
         self.first = np.searchsorted(self.start, offsets).astype(np.int64)
         self.n = len(self.start)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """A hash of each word, or of its first ``most`` bytes."""
+        end = self.end if most is None else np.minimum(self.end, self.start + most)
         out = np.empty(self.n, U64)
         at = 0
         while at < self.n:
             base = self.start[at]
             to = max(at + 1, int(np.searchsorted(self.end, base + SLICE, side="right")))
             run = Prefix(self.data[base : self.end[to - 1]].astype(U64) + U64(1))
-            out[at:to] = run.run(self.start[at:to] - base, self.end[at:to] - base)
+            out[at:to] = run.run(self.start[at:to] - base, end[at:to] - base)
             at = to
         return out
 

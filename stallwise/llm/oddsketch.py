@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stallwise.llm.common import (
-    NO_ID, Prefix, U64, column, cut, document_columns, lists, longs, mix, runs, signed, slices, words_of,
+    NO_ID, Prefix, U64, column, cut, document_columns, lists, mix, runs, signed, slices, squeezed, unsqueezed, words_of,
 )
 from stallwise.llm.graph import components
 
@@ -245,3 +245,21 @@ def dedup_report(docs: DataFrame, k: int, percent: int) -> DataFrame:
         ident("__doc").alias("doc_id"), "n_shingles", ident("component").alias("component_id"),
         (F.col("__doc") == F.col("component")).alias("kept"),
     )
+
+
+def without_near_duplicates(
+    docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", ident: str = "doc_id"
+) -> DataFrame:
+    """One document of each group, that of the smallest id; columns as they are.
+
+    Documents without words belong to no group and stay. Rows of the same id and text are one
+    document: they stay or go together.
+    """
+    gone = near_duplicates(docs, k, percent, text, ident).filter(F.col("__doc") != F.col("component")).select("__doc", "__crc")
+    named = squeezed(docs.withColumns(document_columns(text, ident)), text)
+    kept = named.join(gone.distinct(), ["__doc", "__crc"], "left_anti").select(*docs.columns)
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return unsqueezed(batches, text)
+
+    return kept.mapInArrow(plain, docs.schema)

@@ -13,6 +13,8 @@ from stallwise.llm.extraction import extract_text
 from stallwise.llm.language import identify, learn
 from stallwise.llm.oddsketch import dedup_report
 from stallwise.llm.packing import pack
+from stallwise.llm.suffixes import dedup_passages
+from stallwise.llm.toxicity import learn as learn_toxicity, with_severity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,6 +79,14 @@ def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_report(table(spark, folder, "documents"), k=3, percent=85)
 
 
+@query()
+def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the passages of 50 words or more that stand earlier elsewhere."""
+    done = dedup_passages(table(spark, folder, "documents").select("doc_id", "text"), length=50)
+    kept = (F.col("n_removed") == 0).alias("kept")
+    return done.select("doc_id", kept, "n_words", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query()
 def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every page."""
@@ -98,3 +108,12 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     net = learn(docs, ~held_out & F.col("doc_id").isNotNull())
     told = identify(docs, net)
     return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's chance to be toxic and expected severity from 0 to 3."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    told = with_severity(docs, learn_toxicity(docs, table(spark, folder, "labels")))
+    toxic = F.col("p_toxic") >= 0.5
+    return told.select("doc_id", toxic.alias("toxic"), (~toxic).alias("kept"), F.round("p_toxic", 6).alias("p_toxic"), F.round("severity", 6).alias("severity"))
