@@ -11,6 +11,7 @@ from stallwise.llm.debruijn import dedup_substrings
 from stallwise.llm.decontaminate import with_leaks
 from stallwise.llm.extraction import extract_text
 from stallwise.llm.language import identify, learn
+from stallwise.llm.licences import learn as learn_licences, with_licences
 from stallwise.llm.oddsketch import dedup_report
 from stallwise.llm.packing import pack
 from stallwise.llm.suffixes import dedup_passages
@@ -100,6 +101,16 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query()
+def op8_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The licence notices of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = with_licences(docs, learn_licences(docs))
+    families = F.array_sort(F.array_distinct("licences.family")).alias("families")
+    versions = F.array_sort(F.array_distinct(F.filter("licences.version", lambda v: v.isNotNull()))).alias("versions")
+    return found.select("doc_id", F.size("licences").alias("n_notices"), families, versions, F.round(F.array_max("licences.p"), 4).alias("best_p"))
+
+
 @query()
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learnt from those whose crc32(doc_id) mod 4 is not 2."""
