@@ -144,7 +144,8 @@ def number(text: ColumnLike) -> Column:
 
 
 def whole_number(text: ColumnLike) -> Column:
-    return _parsed(text, "int")
+    """Text to a 64-bit whole number; NULL when it is none."""
+    return _parsed(text, "bigint")
 
 
 def _parsed(text: ColumnLike, kind: str) -> Column:
@@ -161,7 +162,9 @@ def ratio_label(*counts: ColumnLike) -> Column:
 
 
 def zero_padded(n: ColumnLike, digits: int) -> Column:
-    return F.lpad(col(n).cast("string"), digits, "0")
+    """At least ``digits`` digits; a longer number keeps all of its own."""
+    text = col(n).cast("string")
+    return F.lpad(text, F.greatest(F.lit(digits), F.length(text)), F.lit("0"))
 
 
 def next_number(text: ColumnLike, digits: int) -> Column:
@@ -196,9 +199,12 @@ def two_way_label(code: ColumnLike, when_equal: str, yes: str, no: str) -> Colum
 
 
 def course_id(request: ColumnLike, prefix: str = "/class/") -> Column:
-    """Numeric id of ``<prefix><id>.<ext>`` in a request line, 0 when there is none."""
-    found = F.regexp_extract(col(request), f"\\Q{prefix}\\E(\\d+)\\.", 1)
-    return F.coalesce(F.nullif(found, F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
+    """Numeric id of ``<prefix><id>.<ext>`` where a request path begins so, else 0.
+
+    An id beyond 64 bits is NULL, not 0: it is a course, only not one with a number here.
+    """
+    found = F.regexp_extract(F.coalesce(col(request), F.lit("")), f"^\\Q{prefix}\\E(\\d+)\\.", 1)
+    return F.when(found == "", F.lit(0).cast("bigint")).otherwise(found.try_cast("bigint"))
 
 
 def url_host(url: ColumnLike) -> Column:
@@ -241,13 +247,13 @@ def reversed_time_key(record_id: ColumnLike, ts: ColumnLike) -> Column:
     """Row key that spreads writes and lists the newest row of a salt first.
 
     Salt from a hash of the id, then the time counted down, then the id. It depends on the
-    row only, so a replayed message lands on the same key.
+    row only, so a replayed message lands on the same key. The 13 digits of the countdown hold
+    the times from 1970 to 2286; any other time has no key (NULL), see ``rejected_orders``.
     """
     ident = col(record_id).cast("string")
     left = F.lit(MAX_EPOCH_MS) - F.unix_millis(col(ts).cast("timestamp"))
-    return F.concat(
-        F.substring(F.md5(ident), 1, 3), F.lpad(left.cast("string"), 13, "0"), F.lit("_"), ident
-    )
+    held = F.when(left.between(0, MAX_EPOCH_MS), left)
+    return F.concat(F.substring(F.md5(ident), 1, 3), zero_padded(held, 13), F.lit("_"), ident)
 
 
 def digest_key(*parts: ColumnLike) -> Column:

@@ -11,7 +11,7 @@ def salted_join(
     facts: DataFrame,
     dim: DataFrame,
     on: str,
-    spread_by: str | None = None,
+    spread_by: str,
     how: str = "inner",
     salts: int = SALTS,
 ) -> DataFrame:
@@ -22,11 +22,13 @@ def salted_join(
     partitioning. Use this where ``dim`` is an aggregate or join on the same key, or where
     an aggregation on that key follows: there a hot key would stay in one task.
 
-    The salt is a hash of ``spread_by``, so a retried task computes the same one. Without
-    it the whole row is hashed: then select the columns you need first.
+    The salt is a hash of ``spread_by``, which must come out the same in a retried task: a key
+    or another stored value, never a floating sum, whose last bit may change and move the row.
+    Only joins that keep no unmatched row of ``dim`` are possible, as ``dim`` is copied.
     """
-    spread = [spread_by] if spread_by is not None else facts.columns
-    salt = F.xxhash64(*[F.col(c) for c in spread]).bitwiseAND(F.lit(salts - 1)).cast("int")
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"a salted join cannot be {how}: each row of the right side has {salts} copies")
+    salt = F.xxhash64(F.col(spread_by)).bitwiseAND(F.lit(salts - 1)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     left = facts.withColumn("_salt", salt)
     right = dim.withColumn("_salt", copies)

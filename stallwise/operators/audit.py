@@ -77,14 +77,18 @@ def reconciled_names(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     return joined.withColumn("side", side).drop("_left", "_right")
 
 
-def cohort_rows(rows: DataFrame, cohorts: Mapping[str, DataFrame], key: str = "site_id") -> DataFrame:
-    """Rows of each cohort (a list of ids), with the cohort's name; one join for all."""
+def cohort_rows(
+    rows: DataFrame, cohorts: Mapping[str, DataFrame], key: str = "site_id", spread_by: str | None = None
+) -> DataFrame:
+    """Rows of each cohort (a list of ids), with the cohort's name; one join for all.
+
+    ``spread_by`` names another stored column where one id may hold a large share of the rows.
+    """
     members = reduce(
         DataFrame.unionByName,
         [ids.select(key).distinct().withColumn("cohort", F.lit(name)) for name, ids in cohorts.items()],
     )
-    # A site may hold a large share of the rows.
-    return salted_join(rows, members, key)
+    return rows.join(members, key) if spread_by is None else salted_join(rows, members, key, spread_by)
 
 
 def never_logged(machines: DataFrame, log: DataFrame) -> DataFrame:

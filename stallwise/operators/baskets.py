@@ -66,7 +66,7 @@ def transactions(
         .filter(F.col("_n") >= F.lit(min_support) * F.lit(n))
         .select(item, F.lit(True).alias("_frequent"))
     )
-    marked = salted_join(rows, frequent, item, how="left")
+    marked = salted_join(rows, frequent, item, basket[0], "left")
     # collect_list skips NULL, so an infrequent item adds nothing to its basket.
     return marked.groupBy(*basket).agg(
         F.collect_list(F.when(F.col("_frequent"), F.col(item))).alias("items")

@@ -36,9 +36,12 @@ def matching(df: DataFrame, **equals) -> DataFrame:
 
 
 def without_promotions(df: DataFrame, promotion: Column | None = None) -> DataFrame:
-    """Drop promotion orders: by a predicate, or by the marker amount."""
+    """Drop promotion orders: by a predicate, or by the marker amount.
+
+    An unknown amount is no promotion; callers drop unparsed rows themselves.
+    """
     is_promotion = F.col("amount") == PROMOTION_AMOUNT if promotion is None else promotion
-    return df.filter(~is_promotion)
+    return df.filter(~F.coalesce(is_promotion, F.lit(False)))
 
 
 def below_cap(df: DataFrame, cap: float = HIGH_VALUE, amount: str = "amount") -> DataFrame:
@@ -83,7 +86,8 @@ def short_ids(df: DataFrame, column: str, max_length: int = 20) -> DataFrame:
 
 
 def without_values(df: DataFrame, column: str, values: Sequence) -> DataFrame:
-    return df.filter(~F.col(column).isin(*values))
+    """Drop the listed values; an unknown value is not listed and stays."""
+    return df.filter(~F.coalesce(F.col(column).isin(*values), F.lit(False)))
 
 
 def without_header_rows(df: DataFrame, column: str = "id", header: str = "id") -> DataFrame:
@@ -168,7 +172,7 @@ def parsed_clicks(lines: DataFrame, line: str = "value") -> DataFrame:
         "status": X.whole_number(status),
         "referer": referer,
     }
-    return X.computed_once(split, columns).filter(F.col("course_id") != 0)
+    return X.computed_once(split, columns).filter(~F.col("course_id").eqNullSafe(0))
 
 
 def with_referer_host(clicks: DataFrame, referer: str = "referer") -> DataFrame:

@@ -84,10 +84,26 @@ def _against(facts: DataFrame, keys: DataFrame, on: str, how: str, spread_by: st
     return salted_join(facts, listed, on, spread_by, how)
 
 
+def first_seen(facts: DataFrame, key: str, stored: DataFrame | None = None, ts: str = "paid_at") -> DataFrame:
+    """When each key was first seen: by the stored table merged with newer facts alone.
+
+    Kept as a table and merged with each day's facts, it spares every later question about
+    age a scan of the whole history.
+    """
+    fresh = facts.groupBy(key).agg(F.min(ts).alias("first_operated"))
+    if stored is None:
+        return fresh
+    return stored.select(key, "first_operated").unionByName(fresh).groupBy(key).agg(F.min("first_operated").alias("first_operated"))
+
+
+def with_tenure(seen: DataFrame, as_of: X.TimeLike) -> DataFrame:
+    """Operating statistics out of a first-seen table."""
+    return seen.withColumn("tenure_days", X.calendar_days("first_operated", X.at(as_of)))
+
+
 def operating_stats(facts: DataFrame, key: str, as_of: X.TimeLike, ts: str = "paid_at") -> DataFrame:
     """First operated and tenure per key, from every fact of it."""
-    first = facts.groupBy(key).agg(F.min(ts).alias("first_operated"))
-    return first.withColumn("tenure_days", X.calendar_days("first_operated", X.at(as_of)))
+    return with_tenure(first_seen(facts, key, ts=ts), as_of)
 
 
 def rolled_up_stats(
@@ -104,18 +120,16 @@ def star_lookup(
     points: DataFrame,
     sites: DataFrame,
     machines: DataFrame,
-    assortment: DataFrame,
     users: DataFrame,
 ) -> DataFrame:
-    """Orders with the attributes of point, site, machines, assortment and user.
+    """Orders with the attributes of point, site, machines (with their assortment) and user.
 
     Machine figures that are missing take the house defaults; other misses stay NULL. The
     dimensions of a point are joined to each other first, so the orders are shuffled by
     point and by account only, a hot point over several tasks.
     """
-    equipment = machines.join(assortment, "point_id", "full")
-    located = points.join(sites, "site_id", "left").join(equipment, "point_id", "full")
-    wide = salted_join(orders, located, "point_id", how="left").join(users, "account", "left")
+    located = points.join(sites, "site_id", "left").join(machines, "point_id", "full")
+    wide = salted_join(orders, located, "point_id", "order_id", "left").join(users, "account", "left")
     return clean.with_defaults(wide, {"tenure_days": 30, "machines": 3, "faulty_machines": 0})
 
 

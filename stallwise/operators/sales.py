@@ -218,7 +218,7 @@ def scaled_to_max(values: DataFrame, key: str, value: str = "total") -> DataFram
     filled = values.withColumn(value, F.coalesce(value, F.lit(0.0)))
     tops = filled.groupBy(key).agg(F.max(value).alias("_top"))
     scaled = F.try_divide(F.col(value), F.col("_top"))
-    return salted_join(filled, tops, key).withColumn("scaled", scaled).drop("_top")
+    return salted_join(filled, tops, key, "point_id").withColumn("scaled", scaled).drop("_top")
 
 
 def points_of_sites(points: DataFrame) -> DataFrame:
@@ -237,23 +237,25 @@ def machine_sales(
     orders: DataFrame,
     points: DataFrame,
     machines: DataFrame,
+    seen: DataFrame,
     as_of: X.TimeLike,
     grains: Sequence[str] = ("city", "site_id", "point_id"),
     windows: Sequence[int] = (7, 30),
 ) -> DataFrame:
     """Volume per machine and day over each window, at every grain and in total, in one pass.
 
-    ``machines`` has point_id and machines. Tenure of a grain starts with its first order.
+    ``machines`` has point_id and machines, ``seen`` point_id and first_operated. Tenure of a
+    grain starts with its first order. Only the longest window of the orders is read.
     """
-    per_point = orders.groupBy("point_id").agg(
-        F.min("paid_at").alias("first"),
+    per_point = trailing(orders, as_of, max(windows)).groupBy("point_id").agg(
         *[
             F.sum(F.when(X.in_trailing("paid_at", as_of, d), F.col("quantity"))).alias(f"volume_{d}d")
             for d in windows
         ],
     )
     located = points.select(*dict.fromkeys(["point_id", *grains]))
-    wide = per_point.join(located, "point_id", "inner")
+    first = seen.select("point_id", F.col("first_operated").alias("first"))
+    wide = first.join(per_point, "point_id", "left").join(located, "point_id", "inner")
     wide = wide.join(machines, "point_id", "left")
     sets = [[F.col(g)] for g in grains]
     grouped = wide.groupingSets([[], *sets], *grains).agg(
@@ -336,15 +338,24 @@ def box_year_means(rows: DataFrame, key: str = "channel_id") -> DataFrame:
 def terminal_year_means(
     sales: DataFrame,
     terminals: DataFrame,
+    year: tuple[X.TimeLike, X.TimeLike],
+    blocked: DataFrame | None = None,
     min_records: int = 7,
     min_terminals: int = 10,
 ) -> DataFrame:
-    """Monthly mean over a year of terminals with more than ``min_records`` sales, in
-    channels that have more than ``min_terminals`` such terminals."""
-    per_terminal = sales.groupBy("terminal_id").agg(
-        (F.sum("amount") / 12).alias("mean_sales"), F.count(F.lit(1)).alias("records")
+    """Monthly mean over one year of terminals with more than ``min_records`` months of sales, in
+    channels that have more than ``min_terminals`` such terminals.
+
+    A record is a month with sales; the divisor is 12 whatever their number. Blocked
+    terminals and those without an id are left out.
+    """
+    within = sales.filter(X.in_range("sold_at", *year) & F.col("terminal_id").isNotNull())
+    per_terminal = _terminal_months(within).groupBy("terminal_id").agg(
+        (F.sum("total") / 12).alias("mean_sales"), F.count(F.lit(1)).alias("records")
     )
     kept = per_terminal.filter(F.col("records") > min_records).drop("records")
+    if blocked is not None:
+        kept = kept.join(blocked.select("terminal_id"), "terminal_id", "left_anti")
     located = kept.join(terminals.select("terminal_id", "channel_id"), "terminal_id", "inner")
     sizes = counts(located, ["channel_id"], "terminals").filter(F.col("terminals") > min_terminals)
     return salted_join(located, sizes, "channel_id", "terminal_id")

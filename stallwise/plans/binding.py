@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from stallwise.functions import expr as X
+from stallwise.functions.work import cut
 from stallwise.operators import clean, dims
 from stallwise.plans.registry import Tables
 
@@ -82,8 +84,28 @@ def sites(t: Tables) -> DataFrame:
     )
 
 
+# Days before this one stand in the stored first-seen table; later ones are merged into it.
+STORED_UNTIL = "1999-01-01 00:00:00"
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def first_seen_points(t: Tables) -> DataFrame:
+    """The first-seen table of all points, kept in the shared folder for the session.
+
+    It is made once for a folder of tables, from the history and then from the later days
+    alone, as a daily job would; the queries read it and scan only their own window.
+    """
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _stored:
+        lines = all_lines(t).select("point_id", "paid_at")
+        history = cut(dims.first_seen(lines.filter(F.col("paid_at") < X.at(STORED_UNTIL)), "point_id"), "first-seen")
+        later = lines.filter(F.col("paid_at") >= X.at(STORED_UNTIL))
+        _stored[key] = cut(dims.first_seen(later, "point_id", history), "first-seen")
+    return _stored[key]
+
+
 def point_tenure(t: Tables) -> DataFrame:
-    return dims.operating_stats(all_lines(t), "point_id", AS_OF)
+    return dims.with_tenure(first_seen_points(t), AS_OF)
 
 
 def site_tenure(t: Tables) -> DataFrame:

@@ -216,6 +216,37 @@ def counter_sink(t: Tables) -> DataFrame:
     return writers.summed_deltas(t.spark, path, counted.schema, ["c_mktsegment"], "n")
 
 
+@query(
+    "A14 A17 ST3 ST9",
+    "SELECT o_custkey, max(o_orderkey) AS last_order, CAST(count(*) AS BIGINT) AS orders FROM orders GROUP BY 1",
+)
+def compacted_deltas(t: Tables) -> DataFrame:
+    """A table of batches, compacted twice, read as its base and the batches since.
+
+    Rows keep each account's last order, increments its number of orders; the third batch is
+    written twice and counts once.
+    """
+    keys = ["o_custkey"]
+    rows, sums = fresh_path(t.spark, "rows"), fresh_path(t.spark, "sums")
+    counted = t.orders.groupBy(*keys, F.pmod("o_orderkey", F.lit(4)).alias("batch")).agg(
+        F.max("o_orderkey").alias("last_order"), F.count(F.lit(1)).alias("orders")
+    )
+    last, number = counted.select(*keys, "last_order"), counted.select(*keys, "orders")
+    latest, total = writers.latest_of(keys), writers.sum_of(keys, "orders")
+    newest = lambda table: table.groupBy(*keys).agg(F.max("last_order").alias("last_order"))
+    for batch in (0, 1, 2, 2, 3):
+        part = counted.filter(F.col("batch") == batch)
+        known = writers.read_deltas(t.spark, rows, last.schema).select(*keys, "last_order")
+        state = newest(known.unionByName(part.select(*keys, "last_order")))
+        writers.delta_sink(rows)(state, batch)
+        writers.delta_sink(sums)(part.select(*keys, "orders"), batch)
+        if batch in (0, 1):
+            writers.compact(t.spark, rows, last.schema, latest, "o_custkey")
+            writers.compact(t.spark, sums, number.schema, total, "o_custkey")
+    stored = writers.latest_deltas(t.spark, rows, last.schema, keys)
+    return stored.join(writers.summed_deltas(t.spark, sums, number.schema, keys, "orders"), keys)
+
+
 @query(
     "A14 K1 K4",
     f"SELECT {_SQL_COLUMNS} FROM customer WHERE c_name >= 'Customer#000000100' AND c_name < 'Customer#000000200'",

@@ -14,6 +14,7 @@ from stallwise.plans.binding import (
     SQL_VALID,
     aged_sites,
     all_lines,
+    first_seen_points,
     machines_at_points,
     point_tenure,
     points,
@@ -222,9 +223,9 @@ def _sql_machine_sales() -> str:
 WITH machines AS ({SQL_MACHINES}),
 volumes AS (
   SELECT l_suppkey AS point_id, min(l_shipdate) AS first,
-    sum(l_quantity) FILTER (WHERE {sql_window(7)}) AS volume_7d,
-    sum(l_quantity) FILTER (WHERE {sql_window(30)}) AS volume_30d
-  FROM lineitem WHERE {SQL_VALID} GROUP BY 1),
+    sum(l_quantity) FILTER (WHERE {SQL_VALID} AND {sql_window(7)}) AS volume_7d,
+    sum(l_quantity) FILTER (WHERE {SQL_VALID} AND {sql_window(30)}) AS volume_30d
+  FROM lineitem GROUP BY 1),
 wide AS (
   SELECT * FROM volumes JOIN supplier ON point_id = s_suppkey
   JOIN nation ON s_nationkey = n_nationkey LEFT JOIN machines USING (point_id))
@@ -233,7 +234,7 @@ wide AS (
 
 @query("D14 U1 F12", _sql_machine_sales())
 def per_machine_sales(t: Tables) -> DataFrame:
-    measured = sales.machine_sales(valid_lines(t), points(t), machines_at_points(t), AS_OF)
+    measured = sales.machine_sales(valid_lines(t), points(t), machines_at_points(t), first_seen_points(t), AS_OF)
     return rounded(measured, 9, "sales_7d", "sales_30d")
 
 
@@ -252,12 +253,13 @@ FROM volumes LEFT JOIN machines USING (point_id)""",
 def stats_feeds_joined(t: Tables) -> DataFrame:
     """The two statistics feeds as text, with the tuple mark and blanks they come with."""
     marked = F.concat(F.lit("("), F.col("point_id").cast("string")).alias("id")
-    volumes = all_lines(t).groupBy("point_id").agg(
+    lately = clean.trailing(all_lines(t), AS_OF, 30).groupBy("point_id").agg(
         *[
             F.sum(F.when(X.in_trailing("paid_at", AS_OF, d), F.col("quantity"))).alias(f"v{d}")
             for d in (7, 30)
         ]
     )
+    volumes = first_seen_points(t).select("point_id").join(lately, "point_id", "left")
     as_text = [F.coalesce(F.col(f"v{d}").cast("string"), F.lit("")).alias(f"volume_{d}d") for d in (7, 30)]
     operations = point_tenure(t).join(machines_at_points(t), "point_id", "left")
     feed = operations.select(
@@ -506,7 +508,7 @@ def _open_sites(t: Tables) -> DataFrame:
     "C17",
     f"""
 WITH counted AS (
-  SELECT s_nationkey AS site_id, count(*) AS points FROM supplier WHERE s_acctbal >= 5000 GROUP BY 1),
+  SELECT s_nationkey AS site_id, count(*) AS points FROM supplier GROUP BY 1),
 machines AS (
   SELECT s_nationkey AS site_id, sum(machines) AS machines
   FROM ({SQL_MACHINES}) JOIN supplier ON point_id = s_suppkey GROUP BY 1)
@@ -516,8 +518,7 @@ FROM machines LEFT JOIN counted USING (site_id)""",
 def points_times_machines(t: Tables) -> DataFrame:
     located = machines_at_points(t).join(points(t).select("point_id", "site_id"), "point_id")
     per_site = sales.totals(located, ["site_id"], "machines", "machines")
-    rich = t.supplier.filter("s_acctbal >= 5000").select(F.col("s_nationkey").alias("site_id"))
-    return dims.points_and_machines(rich, per_site)
+    return dims.points_and_machines(points(t).select("site_id"), per_site)
 
 
 @query(
@@ -540,21 +541,20 @@ WHERE {sql_window(20)}""",
 )
 def star_lookup(t: Tables) -> DataFrame:
     lately = with_account(clean.trailing(all_lines(t), AS_OF, 20), t)
-    last_week = clean.trailing(all_lines(t), AS_OF, 7)
-    faulty = last_week.filter("is_promotion").groupBy("point_id").agg(F.count(F.lit(1)).alias("faulty_machines"))
-    machines = (
-        point_tenure(t).select("point_id", "tenure_days")
-        .join(machines_at_points(t), "point_id", "left")
-        .join(faulty, "point_id", "left")
+    # Machines, faults and products of a point in one pass over its last month.
+    last_week = X.in_trailing("paid_at", AS_OF, 7)
+    per_point = clean.trailing(all_lines(t), AS_OF, 30).groupBy("point_id").agg(
+        F.count_distinct("product_id").alias("machines"),
+        F.count_if(last_week & F.col("is_promotion")).alias("faulty_machines"),
+        F.count_distinct(F.when(last_week, F.col("product_id"))).alias("products"),
     )
-    assortment = last_week.groupBy("point_id").agg(F.count_distinct("product_id").alias("products"))
+    machines = point_tenure(t).select("point_id", "tenure_days").join(per_point, "point_id", "left")
     users = _live_customers(t).select(F.col("o_custkey").alias("account"), F.col("channel").alias("level"))
     wide = dims.star_lookup(
         lately.select("order_id", "line", "point_id", "account"),
         points(t).select("point_id", "site_id"),
         sites(t).select("site_id", "site_name"),
         machines,
-        assortment,
         users,
     )
     return clean.with_defaults(wide, {"products": 0})
@@ -639,30 +639,26 @@ def minus_ids(t: Tables) -> DataFrame:
     return audit.minus_ids(t.customer.select(F.col("c_custkey").alias("id")), buyers, "id")
 
 
-def _sql_names(start: str, stop: str) -> str:
-    return (
-        "SELECT DISTINCT p_name FROM lineitem JOIN part ON l_partkey = p_partkey "
-        f"WHERE l_shipdate >= TIMESTAMP '{start}' AND l_shipdate < TIMESTAMP '{stop}'"
-    )
-
-
 @query(
     "C12 E8",
-    f"""
+    """
 SELECT a.p_name AS left_name, b.p_name AS right_name,
   CASE WHEN b.p_name IS NULL THEN 'left' WHEN a.p_name IS NULL THEN 'right' ELSE 'both' END AS side
-FROM ({_sql_names("2000-12-01", "2000-12-03")}) a FULL JOIN ({_sql_names("2000-12-08", "2000-12-10")}) b
-ON a.p_name = b.p_name""",
+FROM (SELECT DISTINCT p_name FROM part WHERE p_size < 25) a FULL JOIN (SELECT DISTINCT p_name FROM part WHERE p_size >= 25) b
+ON a.p_name = b.p_name
+UNION ALL SELECT a.word, b.word,
+  CASE WHEN b.word IS NULL THEN 'left' WHEN a.word IS NULL THEN 'right' ELSE 'both' END
+FROM (SELECT DISTINCT 'c ' || c_name AS word FROM customer) a
+FULL JOIN (SELECT DISTINCT 'c Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS word FROM orders) b ON a.word = b.word""",
 )
 def reconcile_names(t: Tables) -> DataFrame:
-    def sold(start: str, stop: str) -> DataFrame:
-        lines = clean.between(all_lines(t), f"{start} 00:00:00", f"{stop} 00:00:00").select("product_id")
-        names = t.part.select(F.col("p_partkey").alias("product_id"), "p_name")
-        return lines.distinct().join(names, "product_id")
-
-    return audit.reconciled_names(
-        sold("2000-12-01", "2000-12-03"), sold("2000-12-08", "2000-12-10"), "p_name"
-    )
+    """Names of small and large parts side by side; names of customers against those that orders imply."""
+    names = t.part.select("p_name", "p_size")
+    parts = audit.reconciled_names(names.filter("p_size < 25"), names.filter("p_size >= 25"), "p_name")
+    held = t.customer.select(F.concat(F.lit("c "), "c_name").alias("word"))
+    key = X.zero_padded("o_custkey", 9)
+    implied = t.orders.select(F.concat(F.lit("c Customer#"), key).alias("word"))
+    return parts.unionByName(audit.reconciled_names(held, implied, "word"))
 
 
 @query(

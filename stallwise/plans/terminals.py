@@ -9,6 +9,7 @@ from stallwise.operators import clean, ranking, sales
 from stallwise.plans.binding import (
     SQL_TERMINAL_SALES,
     SQL_VALID,
+    all_lines,
     blocked_terminals,
     points,
     terminal_sales,
@@ -98,11 +99,9 @@ def channel_bands_small(t: Tables) -> DataFrame:
 def channel_bands(t: Tables) -> DataFrame:
     brands = t.part.select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("brand"))
     year = F.date_format("paid_at", "yyyy").alias("year")
-    per_point = (
-        valid_lines(t).join(brands, "product_id")
-        .groupBy("point_id", "brand", year)
-        .agg(F.sum("amount").alias("total"))
-    )
+    # Sums per product first: what meets the products is no longer every line.
+    per_product = valid_lines(t).groupBy("point_id", "product_id", year).agg(F.sum("amount").alias("total"))
+    per_point = per_product.join(brands, "product_id").groupBy("point_id", "brand", "year").agg(F.sum("total").alias("total"))
     located = per_point.join(points(t).select("point_id", F.col("city").alias("area_id")), "point_id")
     means = located.groupBy("area_id", "year", "brand").agg(
         (F.sum("total") / F.count(F.lit(1))).alias("mean_sales")
@@ -112,15 +111,22 @@ def channel_bands(t: Tables) -> DataFrame:
 
 # --- five numbers ---------------------------------------------------------------------
 
+# Here a terminal is a supplier, which sells in most months, and its channel the region; those
+# with a negative balance are blocked.
 SQL_TERMINAL_MEANS = f"""
-SELECT channel_id, terminal_id, round(sum(amount) / 12, 4) AS mean_sales
-FROM ({SQL_TERMINAL_SALES}) GROUP BY 1, 2 HAVING count(*) > 7
+SELECT channel_id, terminal_id, round(sum(total) / 12, 4) AS mean_sales FROM (
+  SELECT n_regionkey AS channel_id, l_suppkey AS terminal_id, strftime(l_shipdate, '%Y-%m') AS month, sum(l_extendedprice) AS total
+  FROM (SELECT *, l_shipdate AS sold_at FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+  WHERE s_acctbal >= 0 AND {SQL_YEAR} GROUP BY ALL)
+GROUP BY 1, 2 HAVING count(*) > 7
 QUALIFY count(*) OVER (PARTITION BY channel_id) > 10"""
 
 
 def _terminal_means(t: Tables) -> DataFrame:
-    means = sales.terminal_year_means(terminal_sales(t), terminals(t))
-    return rounded(means, 4, "mean_sales")
+    sold = all_lines(t).select(F.col("point_id").alias("terminal_id"), "amount", F.col("paid_at").alias("sold_at"))
+    placed = points(t).select(F.col("point_id").alias("terminal_id"), F.col("city").alias("channel_id"))
+    blocked = t.supplier.filter("s_acctbal < 0").select(F.col("s_suppkey").alias("terminal_id"))
+    return rounded(sales.terminal_year_means(sold, placed, YEAR, blocked), 4, "mean_sales")
 
 
 @query("D18", SQL_TERMINAL_MEANS)

@@ -79,12 +79,14 @@ def stream_table(
 ) -> DataFrame:
     """Stream over a parquet table, be it one file or a folder of files.
 
-    The trailing glob makes Spark resolve either; ``max_files`` bounds each micro-batch.
+    A pattern that only the path itself matches makes Spark resolve either, and leaves alone
+    what else begins with that path; ``max_files`` bounds each micro-batch.
     """
+    head, last = path.rstrip("/")[:-1], path.rstrip("/")[-1]
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", max_files)
-        .parquet(f"{path}*")
+        .parquet(f"{head}[{last}]")
     )
 
 

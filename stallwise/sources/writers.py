@@ -7,10 +7,11 @@ the caller, never a default.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import LongType, StringType, StructType
 
 BatchWriter = Callable[[DataFrame, int], None]
 
@@ -120,49 +121,129 @@ def upsert(
     merged = batch
     stored = stored_table(batch.sparkSession, path, batch.schema)
     if stored is not None:
-        # As many values as the batch has periods; as literals they prune the folders.
-        touched = [row[0] for row in batch.select(partition).distinct().collect()]
-        merged = stored.filter(F.col(partition).isin(touched)).unionByName(batch)
+        # A join prunes the folders at run time, however many periods the batch has; NULL is one of them.
+        touched = batch.select(F.col(partition).alias("_touched")).distinct()
+        same = stored[partition].eqNullSafe(F.col("_touched"))
+        merged = stored.join(touched, same, "left_semi").unionByName(batch)
     write_partitioned(latest_per_key(merged, [key], newest), path, [partition])
 
 
 # --- micro-batches --------------------------------------------------------------------
 
 
+QUERY_ID = "sql.streaming.queryId"  # the thread that runs a micro-batch carries its query's id
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below ``path``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in files.listStatus(where) if s.isDirectory()) if files.exists(where) else []
+
+
 def delta_sink(path: str, n_files: int | None = None) -> BatchWriter:
     """Per-batch sink that keeps each micro-batch in a folder of its own.
 
     A replayed batch replaces its own folder, so the sink is idempotent, and no batch
-    rereads or rewrites what earlier ones wrote. ``n_files`` limits the files of small,
-    frequent batches; ``write_sorted_by_key`` of the latest state compacts a long history.
+    rereads or rewrites what earlier ones wrote. Each query has its own run below the table
+    (``run=<number>-<query id>``, numbered as they first appear), so a second query, or one that
+    starts over with a new checkpoint, adds to the table. A restart from its checkpoint goes on in its
+    run. ``n_files`` limits the files of small, frequent batches; ``compact`` folds a long
+    history into one folder.
     """
+    runs: dict[str, str] = {}
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _sized(batch, n_files).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        query = spark.sparkContext.getLocalProperty(QUERY_ID) or "batch"
+        if query not in runs:
+            known = [f for f in _folders(spark, path) if f.startswith("run=")]
+            mine = [f for f in known if f.endswith(f"-{query}")]
+            runs[query] = mine[-1] if mine else f"run={len(known):08d}-{query}"
+        _sized(batch, n_files).write.mode("overwrite").parquet(f"{path}/{runs[query]}/batch_id={batch_id}")
 
     return write
 
 
+def _batches(spark: SparkSession, path: str) -> list[str]:
+    runs = [f for f in _folders(spark, path) if f.startswith("run=")]
+    return [f"{run}/{b}" for run in runs for b in _folders(spark, f"{path}/{run}") if b.startswith("batch_id=")]
+
+
+def _base(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """The number of the last finished compaction, 0 for none, and the batches it covers."""
+    bases = [f for f in _folders(spark, f"{path}/_bases") if f.startswith("covered-")]
+    if not bases:
+        return 0, []
+    covered = spark.read.text(f"{path}/_bases/{bases[-1]}")
+    return int(bases[-1].removeprefix("covered-")), [r[0] for r in covered.toLocalIterator()]
+
+
 def read_deltas(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    with_batch = StructType.fromJson(schema.jsonValue()).add("batch_id", LongType())
-    stored = stored_table(spark, path, with_batch)
-    return spark.createDataFrame([], with_batch) if stored is None else stored
+    """All batches of all runs, with ``run`` and ``batch_id``.
+
+    What was compacted is read from its base instead, as the empty run, older than all others.
+    """
+    with_batch = StructType.fromJson(schema.jsonValue()).add("run", StringType()).add("batch_id", LongType())
+    number, covered = _base(spark, path)
+    fresh = sorted(set(_batches(spark, path)) - set(covered))
+    parts = []
+    if fresh:
+        folders = [f"{path}/{b}" for b in fresh]
+        parts.append(spark.read.schema(with_batch).option("basePath", path).parquet(*folders))
+    if number:
+        base = spark.read.schema(schema).parquet(f"{path}/_bases/base-{number:08d}")
+        parts.append(base.withColumns({"run": F.lit(""), "batch_id": F.lit(-1).cast("bigint")}))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], with_batch)
+
+
+def compact(
+    spark: SparkSession, path: str, schema: StructType, fold: Callable[[DataFrame], DataFrame], key: str
+) -> None:
+    """Fold the base and all finished batches into a new base, sorted by key, and retire them.
+
+    ``fold`` takes the rows with ``run`` and ``batch_id`` and returns the current state without them. The
+    list of covered batches is written last and makes the base valid: readers take it whole
+    or not at all. Only then the covered batches and older bases are deleted, so the number of files
+    that a reader opens follows the state and the batches since, not the history. Run one
+    compaction at a time; streams may go on writing.
+    """
+    number, covered = _base(spark, path)
+    done = _batches(spark, path)
+    state = fold(read_deltas(spark, path, schema)).select(*schema.names)
+    write_sorted_by_key(state, f"{path}/_bases/base-{number + 1:08d}", key)
+    names = spark.createDataFrame([(b,) for b in sorted({*done, *covered})], "value string")
+    names.coalesce(1).write.mode("overwrite").text(f"{path}/_bases/covered-{number + 1:08d}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [f for f in _folders(spark, f"{path}/_bases") if int(f.rpartition("-")[2]) <= number]
+    for folder in [*done, *(f"_bases/{f}" for f in old)]:
+        files.delete(hadoop.Path(f"{path}/{folder}"), True)
 
 
 def latest_deltas(
     spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]
 ) -> DataFrame:
-    """Current row per key: the one of the last batch that wrote the key."""
-    rows = read_deltas(spark, path, schema)
-    return latest_per_key(rows, keys, ["batch_id"]).drop("batch_id")
+    """Current row per key: the one of the last run and in it the last batch that wrote the key."""
+    return latest_of(keys)(read_deltas(spark, path, schema))
+
+
+def latest_of(keys: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """The fold of a table of rows."""
+    return lambda rows: latest_per_key(rows, keys, ["run", "batch_id"]).drop("run", "batch_id")
+
+
+def sum_of(keys: Sequence[str], counter: str) -> Callable[[DataFrame], DataFrame]:
+    """The fold of a table of increments."""
+    return lambda rows: rows.groupBy(*keys).agg(F.sum(counter).alias(counter))
 
 
 def summed_deltas(
     spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], counter: str
 ) -> DataFrame:
     """Current counters of a stream that emits increments."""
-    rows = read_deltas(spark, path, schema)
-    return rows.groupBy(*keys).agg(F.sum(counter).alias(counter))
+    return sum_of(keys, counter)(read_deltas(spark, path, schema))
 
 
 def write_sorted_by_key(df: DataFrame, path: str, key: str) -> None:

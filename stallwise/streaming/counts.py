@@ -57,7 +57,10 @@ def without_blocked(
 
     The list may repeat keys, and a key may hold a large share of the stream.
     """
-    return salted_join(stream, blocked.select(key).distinct(), key, spread_by, "left_anti")
+    listed = blocked.select(key).distinct()
+    if spread_by is None:
+        return stream.join(listed, key, "left_anti")
+    return salted_join(stream, listed, key, spread_by, "left_anti")
 
 
 def product_clicks(lines: DataFrame, line: str = "value") -> DataFrame:

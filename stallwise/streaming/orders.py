@@ -25,8 +25,15 @@ def parsed_orders(messages: DataFrame, value: str = "value") -> DataFrame:
         "quantity": X.whole_number("quantity"),
     }
     typed = X.computed_once(text, columns)
-    typed = typed.filter(F.col("order_id").isNotNull() & F.col("created_at").isNotNull())
-    return typed.withColumn("row_key", X.reversed_time_key("order_id", "created_at"))
+    keyed = typed.withColumn("row_key", X.reversed_time_key("order_id", "created_at"))
+    return keyed.filter(F.col("row_key").isNotNull())
+
+
+def rejected_orders(messages: DataFrame, value: str = "value") -> DataFrame:
+    """Messages that ``parsed_orders`` has no row or no key for: no id, or no time from 1970 to 2286."""
+    text = messages.select(value, F.inline(F.array(F.from_csv(value, ORDER_MESSAGE.toDDL()))))
+    key = X.reversed_time_key("order_id", X.parse_time("created_at"))
+    return text.filter(key.isNull()).select(value)
 
 
 def order_sink(path: str) -> BatchWriter:

@@ -40,7 +40,7 @@ def replay(stream: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     mode = "append" if keys is None else "update"
     start(stream, delta_sink(path), checkpoint, mode).awaitTermination()
     if keys is None:
-        return read_deltas(spark, path, stream.schema).drop("batch_id")
+        return read_deltas(spark, path, stream.schema).drop("run", "batch_id")
     return latest_deltas(spark, path, stream.schema, keys)
 
 

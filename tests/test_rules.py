@@ -218,13 +218,16 @@ def test_five_numbers_at_exact_ranks(spark):
 
 
 def test_year_means_need_enough_records_and_terminals(spark):
-    rows = [(t, 12.0, "2024-01-01") for t in range(1, 12) for _ in range(8)]
-    rows += [(t, 12.0, "2024-01-01") for t in range(101, 111) for _ in range(8)]
-    rows += [(200, 12.0, "2024-01-01") for _ in range(7)]
+    months = [f"2024-{m:02d}-05" for m in range(1, 9)]
+    rows = [(t, 12.0, day) for t in [*range(1, 12), 300] for day in months]
+    rows += [(t, 12.0, day) for t in range(101, 111) for day in months]
+    rows += [(200, 12.0, day) for day in months[1:] * 9]  # many orders, seven months
+    rows += [(1, 500.0, "2023-12-31"), (1, 500.0, "2025-01-01"), (None, 9.0, months[0])]
     facts = timed(spark, rows, "terminal_id int, amount double, sold_at string", "sold_at")
-    members = [(t, "eleven") for t in [*range(1, 12), 200]] + [(t, "ten") for t in range(101, 111)]
+    members = [(t, "eleven") for t in [*range(1, 12), 200, 300]] + [(t, "ten") for t in range(101, 111)]
     terminals = spark.createDataFrame(members, "terminal_id int, channel_id string")
-    kept = sales.terminal_year_means(facts, terminals)
+    blocked = spark.createDataFrame([(300,)], "terminal_id int")
+    kept = sales.terminal_year_means(facts, terminals, ("2024-01-01 00:00:00", "2025-01-01 00:00:00"), blocked)
     assert {r["channel_id"] for r in kept.collect()} == {"eleven"}
     assert kept.count() == 11
     assert kept.first()["mean_sales"] == 8.0

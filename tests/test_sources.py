@@ -9,9 +9,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from frames import rows_of
+from stallwise.functions import expr as X
+from stallwise.functions.skew import salted_join
 from stallwise.functions.work import fresh_path, shared_folder
 from stallwise.operators import clean
 from stallwise.sources import readers, schemas, writers
+from stallwise.streaming import orders, run
 
 
 def _lines(spark, path, *lines, mode="append"):
@@ -123,3 +126,85 @@ def test_views_and_shared_folder(spark):
     assert spark.sql("SELECT count(*) AS n FROM three").first()["n"] == 3
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert fresh_path(spark, "a") != fresh_path(spark, "a")
+
+
+# --- nothing is lost ------------------------------------------------------------------
+
+
+def test_two_queries_into_one_table(spark):
+    path, rows = fresh_path(spark, "shared"), "k int, v string"
+    for first in (10, 20):  # a second query with a checkpoint of its own
+        source, checkpoint = fresh_path(spark, "source"), fresh_path(spark, "offsets")
+        for i in range(3):
+            spark.createDataFrame([(first + i, "x")], rows).coalesce(1).write.mode("append").parquet(source)
+        stream = readers.stream_table(spark, source, spark.createDataFrame([], rows).schema, max_files=1)
+        run.start(stream, writers.delta_sink(path), checkpoint, mode="append").awaitTermination()
+    stored = writers.latest_deltas(spark, path, spark.createDataFrame([], rows).schema, ["k"])
+    assert sorted(r["k"] for r in stored.collect()) == [10, 11, 12, 20, 21, 22]
+
+
+def test_upsert_keeps_rows_of_a_null_partition(spark):
+    path = fresh_path(spark, "nulls")
+    for key in (1, 3):
+        writers.upsert(spark.createDataFrame([(key, 1, None)], "k int, v int, day string"), path, "k", ["v"], "day")
+    stored = spark.read.schema("k int, v int, day string").parquet(path)
+    assert sorted(r["k"] for r in stored.collect()) == [1, 3]
+
+
+def test_stream_of_a_table_leaves_its_namesakes_alone(spark):
+    folder = fresh_path(spark, "streams")
+    schema = spark.createDataFrame([], "k int").schema
+    spark.createDataFrame([(1,), (2,), (3,)], "k int").write.parquet(f"{folder}/events")
+    spark.createDataFrame([(9,)] * 5, "k int").write.parquet(f"{folder}/events_old")
+    read = run.replay(readers.stream_table(spark, f"{folder}/events", schema))
+    assert sorted(r["k"] for r in read.collect()) == [1, 2, 3]
+
+
+def test_compaction_bounds_the_files_and_keeps_the_state(spark):
+    path = fresh_path(spark, "compacted")
+    schema = spark.createDataFrame([], "k int, n long").schema
+    files = []
+    for batch in range(6):
+        rows = spark.createDataFrame([(k, 1) for k in range(batch + 1)], "k int, n long").coalesce(1)
+        writers.delta_sink(path)(rows, batch)
+        writers.delta_sink(path)(rows, batch)
+        writers.compact(spark, path, schema, writers.sum_of(["k"], "n"), "k")
+        files.append(len(writers.read_deltas(spark, path, schema).inputFiles()))
+    writers.delta_sink(path)(spark.createDataFrame([(0, 5)], "k int, n long"), 6)
+    stored = writers.summed_deltas(spark, path, schema, ["k"], "n")
+    assert sorted((r["k"], r["n"]) for r in stored.collect()) == [(0, 11), (1, 5), (2, 4), (3, 3), (4, 2), (5, 1)]
+    assert max(files) <= files[0] + 1
+
+
+def test_wide_numbers_and_old_times(spark):
+    df = spark.createDataFrame(
+        [("123456", "9999", "3000000000", "1969-01-01 00:00:00")], "n string, last string, q string, ts string"
+    )
+    row = df.select(
+        X.zero_padded("n", 4).alias("n"), X.next_number("last", 4).alias("next"), X.whole_number("q").alias("q"),
+        X.reversed_time_key("n", X.parse_time("ts")).alias("key"),
+        X.course_id(F.lit("/other/class/12.html")).alias("other"), X.course_id(F.lit("/class/12.html")).alias("own"),
+        X.course_id(F.lit("/class/99999999999999999999.html")).alias("wide"), X.course_id(F.lit(None).cast("string")).alias("none"),
+    ).first()
+    assert tuple(row) == ("123456", "10000", 3_000_000_000, None, 0, 12, None, 0)
+
+
+def test_unknown_values_are_not_dropped_as_listed(spark):
+    df = spark.createDataFrame([(100.0, "a"), (None, None), (5.0, "b")], "amount double, product string")
+    assert clean.without_promotions(df).count() == 2
+    assert clean.without_values(df, "product", ["a"]).count() == 2
+
+
+def test_a_salted_join_refuses_outer_modes(spark):
+    df = spark.createDataFrame([(1, 2)], "k int, v int")
+    for how in ("right", "full"):
+        with pytest.raises(ValueError):
+            salted_join(df, df.select("k"), "k", "v", how)
+
+
+def test_messages_without_a_key_are_counted(spark):
+    line = "{id},{at},m1,1,102,9,u,2024-01-01 10:00:01,9,s,p,c,7,tea,1.5,1,1,0,m1,d"
+    messages = [line.format(id=1, at="2024-01-01 10:00:00"), line.format(id=2, at="1969-01-01 10:00:00"), "x"]
+    df = spark.createDataFrame([(m,) for m in messages], "value string")
+    assert orders.parsed_orders(df).count() == 1
+    assert orders.rejected_orders(df).count() == 2
