@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stallwise.llm.common import (
     NO_ID, Prefix, U64, column, cut, document_columns, lists, mix, runs, signed, slices, squeezed, unsqueezed, words_of,
@@ -91,40 +91,80 @@ def most_odd_bits(similarity: float) -> int:
     return math.ceil(mean + 3 * math.sqrt(mean / 2))
 
 
-def odd_bits(a: Column, b: Column) -> Column:
-    bits = [F.bit_count(a.getItem(i).bitwiseXOR(b.getItem(i))) for i in range(BITS // 64)]
-    return sum(bits[1:], bits[0])
-
-
-def _compare(most: int):
-    """Pairs of one bucket (or two blocks of it) in different components whose sketches are near."""
+def common_counts(deltas: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How many elements the sets of each pair share, by bit rows over the elements that two sets hold."""
+    size = np.array([len(d) for d in deltas], np.int64)
+    values, column, count = np.unique(np.concatenate(deltas), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(deltas)), size)
+    number = np.cumsum(count > 1) - 1
+    shared = count[column] > 1
+    row, column = row[shared], number[column[shared]]
+    total = np.zeros(len(p), np.int64)
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, 1 << 16):
+        some = (column >= low) & (column < low + (1 << 16))
+        at = column[some] - low
+        bits = np.zeros((len(deltas), (int(at.max()) >> 6) + 1 if len(at) else 1), U64)
+        np.bitwise_or.at(bits, (row[some], at >> 6), U64(1) << (at & 63).astype(U64))
+        for i in range(0, len(p), 4096):
+            both = bits[p[i : i + 4096]] & bits[q[i : i + 4096]]
+            total[i : i + 4096] += np.bitwise_count(both).sum(1, dtype=np.int64)
+    return total
+
+
+def _compare(most: int, percent: int):
+    """Links between members of different components of one lead's group, or of two blocks of it.
+
+    Pairs with near sketches are confirmed on the full sets: two sets differ where exactly one
+    of them differs from the lead's, so their differences from it tell the intersection. One link
+    for two components is enough, so pairs that links have joined meanwhile are passed over.
+    """
 
     def pairs(group: list[np.ndarray]) -> pa.RecordBatch:
-        rep, component, side, sketch = group
+        rep, component, side, size, delta, sketch = group
         left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-        a, b = [], []
+        found: list[np.ndarray] = []
         for at in range(0, len(left), 256):
             x = left[at : at + 256]
             bits = np.bitwise_count(sketch[x][:, None, :] ^ sketch[right][None, :, :]).sum(2, dtype=np.int64)
             near = (bits <= most) & (component[x][:, None] != component[right][None, :])
+            near &= (side[x] != 0)[:, None] | (x[:, None] < right[None, :])
             i, j = np.nonzero(near)
-            a.append(rep[x[i]])
-            b.append(rep[right[j]])
-        a, b = np.concatenate(a), np.concatenate(b)
+            found.append(np.stack([x[i], right[j]]))
+        p, q = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        _, label = np.unique(component, return_inverse=True)
+        deltas = [np.frombuffer(d, U64) for d in delta.tolist()]
+        length = np.array([len(d) for d in deltas], np.int64)
+        links: list[np.ndarray] = []
+        for at in range(0, len(p), 200_000):
+            i, j = p[at : at + 200_000], q[at : at + 200_000]
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            if not len(i):
+                continue
+            differ = length[i] + length[j] - 2 * common_counts(deltas, i, j)
+            same = (size[i] + size[j] - differ) // 2
+            linked = 100 * same >= percent * (size[i] + size[j] - same)
+            i, j = i[linked], j[linked]
+            _, first = np.unique(label[i] * len(label) + label[j], return_index=True)
+            for x, y in zip(i[first].tolist(), j[first].tolist()):
+                if label[x] != label[y]:
+                    label[label == label[x]] = label[y]
+                    links.append(np.array([rep[x], rep[y]]))
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
         return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
         for batch in batches:
-            keys = [batch.column(i).to_numpy() for i in range(6)]
-            keys.append(batch.column(6).flatten().to_numpy().view(U64).reshape(-1, BITS // 64))
+            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
+            keys.append(batch.column(9).flatten().to_numpy().view(U64).reshape(-1, BITS // 64))
             rows = keys if tail is None else [np.concatenate(x) for x in zip(tail, keys)]
-            ends = runs(*rows[:3])
+            ends = runs(*rows[:4])
             for i, j in zip(ends[:-2], ends[1:-1]):
-                yield pairs([x[i:j] for x in rows[3:]])
+                yield pairs([x[i:j] for x in rows[4:]])
             tail = [x[ends[-2] :] for x in rows] if len(ends) > 1 else rows
         if tail is not None and len(tail[0]):
-            yield pairs([x for x in tail[3:]])
+            yield pairs(tail[4:])
 
     return compare
 
@@ -139,16 +179,23 @@ def _sets(k: int):
 
 
 def _verifier(percent: int):
+    """Whether the full sets of a pair link, their sizes, and what only one of them holds."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(column(batch, "x"), column(batch, "y"))):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep[i] = 100 * common >= percent * (len(both) - common)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                linked, size, lead_size, delta = [], [], [], []
+                for x, y in zip(column(batch, "x"), column(batch, "y")):
+                    x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                    one = np.setxor1d(x, y, assume_unique=True)
+                    same = (len(x) + len(y) - len(one)) // 2
+                    linked.append(100 * same >= percent * (len(x) + len(y) - same))
+                    lead_size.append(len(x))
+                    size.append(len(y))
+                    delta.append(one.tobytes())
+                made = [pa.array(linked, pa.bool_()), pa.array(lead_size, pa.int64()), pa.array(size, pa.int64()), pa.array(delta, pa.binary())]
+                yield pa.record_batch([column(batch, "a"), column(batch, "b"), *made], ["a", "b", "linked", "lead_size", "size", "delta"])
 
     return verify
 
@@ -165,11 +212,12 @@ def near_duplicates(
 
     Documents with equal sets form a class at once and only its smallest id goes on. MinHash
     samples make band keys, and their parity bitmap is the odd sketch, from which the popcount
-    of an XOR tells high similarities apart. First each bucket's members are compared with
-    its smallest member. Then, only in buckets that still hold several components, all
-    members of different components are compared by sketch, in blocks, inside tasks; a huge
-    group of near copies is one component by then. Only pairs with near sketches are
-    confirmed on the sets, which are made anew for bucket sharers only.
+    of an XOR tells high similarities apart. First each bucket's members are confirmed against
+    its smallest member, its lead, on the full sets, which are made anew for bucket sharers only.
+    Then, only for leads whose members still lie in several components, members of different
+    components are compared by sketch, in blocks, inside tasks, and near ones confirmed
+    exactly by their differences from the lead's set. No pair leaves a task but one link for two
+    components; a huge group of near copies is one component by then.
 
     NULL or wordless text: an empty set, linked with nothing. NULL ids: an id after all others.
     Rows of the same id and text are one document; other texts under that id share its
@@ -197,39 +245,51 @@ def near_duplicates(
     copies = F.row_number().over(Window.partitionBy("__doc", "__crc").orderBy("text"))
     texts = base.join(chosen.toDF("__doc", "__crc"), ["__doc", "__crc"]).withColumn("copy", copies).filter("copy = 1")
     sets = cut(texts.mapInArrow(_sets(k), "rep long, items binary"), "sets")
-    sketches = classes.select("rep", "sketch")
     most = most_odd_bits(percent / 100)
-
-    def side(df: DataFrame, name: str, value: str) -> DataFrame:
-        return df.select(F.col("rep").alias(name), F.col(df.columns[1]).alias(value))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(side(sets, "a", "x"), "a").join(side(sets, "b", "y"), "b")
-        return both.mapInArrow(_verifier(percent), "a long, b long")
-
-    stars = met.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(side(sketches, "a", "x"), "a").join(side(sketches, "b", "y"), "b")
-    stars = stars.filter(odd_bits(F.col("x"), F.col("y")) <= most).select("a", "b")
-    links = cut(confirmed(stars), "stars")
+    pairs = met.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    stars = cut(
+        both.mapInArrow(_verifier(percent), "a long, b long, linked boolean, lead_size long, size long, delta binary"), "stars"
+    )
+    links = stars.filter("linked").select("a", "b")
     labels = cut(components(links), "labels")
 
-    def labelled(df: DataFrame, of: DataFrame) -> DataFrame:
-        named = of.select(F.col("node").alias("rep"), "component")
-        return df.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-
-    placed = labelled(met.select("bucket", "rep"), labels)
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
-    mixed = mixed.filter("x <> y").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    open_ = placed.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    open_ = open_.select("bucket", "rep", "component", "block", other).join(sketches, "rep")
-    dealt = open_.select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "component",
-        F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), -1).otherwise(1).alias("side"), "sketch",
+    def labelled(df: DataFrame, of: DataFrame, key: str = "rep") -> DataFrame:
+        named = of.select(F.col("node").alias(key), "component")
+        return df.join(named, key, "left").withColumn("component", F.coalesce("component", key))
+
+    leads = stars.groupBy("a").agg(F.any_value("lead_size").alias("size"))
+    own = leads.select("a", F.col("a").alias("rep"), "size", F.lit(b"").alias("delta"))
+    members = own.unionByName(stars.select("a", F.col("b").alias("rep"), "size", "delta"))
+    members = labelled(members, labels)
+    core = labelled(leads.select("a"), labels, "a").withColumnRenamed("component", "home")
+    placed = members.select("a", "rep", "component")
+    counted = placed.join(core, "a").groupBy("a").agg(
+        F.any_value("home").alias("home"), F.count_if(F.col("component") == F.col("home")).alias("inside"),
+        F.count_if(F.col("component") != F.col("home")).alias("outside"),
+    )
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    open_leads = counted.filter("outside > 1 or outside = 1 and inside > 1").select("a", "home", blocks("inside").alias("ins"), blocks("outside").alias("outs"))
+    open_ = members.join(open_leads, "a").join(classes.select("rep", "sketch"), "rep")
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("component") == F.col("home"), F.col("ins")).otherwise(F.col("outs"))).cast("int")
+    open_ = open_.withColumn("block", mine)
+    out, other = F.col("component") != F.col("home"), F.col("other")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    rest = ["rep", "component"], ["size", "delta", "sketch"]
+    block = F.col("block")
+    among = open_.filter(out).select("*", each("outs")).select(
+        "a", F.lit(0).alias("kind"), F.least(block, other).alias("i"), F.greatest(block, other).alias("j"), *rest[0],
+        F.when(block == other, 0).when(block < other, -1).otherwise(1).alias("side"), *rest[1],
+    )
+    outer = open_.filter(out).select("*", each("ins")).select(
+        "a", F.lit(1).alias("kind"), block.alias("i"), other.alias("j"), *rest[0], F.lit(-1).alias("side"), *rest[1]
+    )
+    inner = open_.filter(~out).select("*", each("outs")).select(
+        "a", F.lit(1).alias("kind"), other.alias("i"), block.alias("j"), *rest[0], F.lit(1).alias("side"), *rest[1]
     )
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = dealt.mapInArrow(_compare(most), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    further = cut(confirmed(more), "further")
+    key = ["a", "kind", "i", "j"]
+    dealt = among.union(outer).union(inner).repartition(*key).sortWithinPartitions(*key)
+    further = cut(dealt.mapInArrow(_compare(most, percent), "a long, b long").distinct(), "further")
     if not further.isEmpty():
         labels = cut(components(links.union(further)), "labels")
     grouped = labelled(classes.select("rep", *same), labels).select(*same, F.col("component").alias("group"))
