@@ -107,11 +107,25 @@ def matches(
 
 
 def page(hits: DataFrame, ts: str, key: str, number: int, size: int) -> DataFrame:
-    """Page ``number`` (0-based), newest first, ties by key."""
+    """Page ``number`` (0-based), newest first, ties by key.
+
+    All rows of the earlier pages are gathered on the way: for deep pages use ``page_after``.
+    """
     ordered = hits.orderBy(F.col(ts).desc(), F.col(key))
     return ordered.offset(number * size).limit(size)
 
 
+def page_after(hits: DataFrame, ts: str, key: str, size: int, last: tuple[X.TimeLike, object] | None = None) -> DataFrame:
+    """The page behind the row ``last`` (its time and key), newest first; the first page without one.
+
+    However deep the page, a task keeps no more than ``size`` rows.
+    """
+    if last is not None:
+        moment = X.at(last[0])
+        hits = hits.filter((F.col(ts) < moment) | ((F.col(ts) == moment) & (F.col(key) > F.lit(last[1]))))
+    return hits.orderBy(F.col(ts).desc(), F.col(key)).limit(size)
+
+
 def total(hits: DataFrame) -> DataFrame:
     return hits.agg(F.count(F.lit(1)).alias("hits"))
 

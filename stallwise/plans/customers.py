@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.fpm import FPGrowthModel
 from pyspark.sql import DataFrame, functions as F
 
 from stallwise.functions import expr as X
@@ -194,46 +195,56 @@ def day_baskets(t: Tables) -> DataFrame:
     return shown(baskets.day_baskets(_basket_orders(t)), "day", pattern="yyyy-MM-dd")
 
 
-def _brand_baskets(t: Tables) -> DataFrame:
-    brands = t.part.select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("brand"))
-    items = all_lines(t).select("order_id", "product_id").join(brands, "product_id")
-    return baskets.transactions(items, ["order_id"], "brand", 0.02)
+SUPPORT = 0.05
+_mined: dict[tuple[str, str], FPGrowthModel] = {}
 
 
-# Sets of up to three brands; longer ones stay below the support on these tables, as the
-# fourth level shows by being empty when the third is.
-_SQL_SETS = """
-WITH items AS (
-  SELECT DISTINCT l_orderkey AS o, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey),
-n AS (SELECT count(DISTINCT o) AS n FROM items),
+def _model(t: Tables) -> FPGrowthModel:
+    """Item sets of the product kinds in the day baskets, mined once for both queries."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _mined:
+        kinds = t.part.select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("kind"))
+        items = baskets.day_baskets(_basket_orders(t)).select("account", "day", "product_id").join(kinds, "product_id")
+        rows = baskets.transactions(items, ["account", "day"], "kind", SUPPORT)
+        _mined[key] = baskets.mine(rows, SUPPORT)
+    return _mined[key]
+
+
+# A basket is a bit mask of kinds, so sets of every size are counted by masking.
+_SQL_SETS = f"""
+WITH bought AS (
+  SELECT DISTINCT o_custkey AS account, CAST(o_orderdate AS DATE) AS day, l_partkey AS product_id
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {SQL_VALID}),
+lists AS (
+  SELECT account, day, list(product_id ORDER BY product_id) AS basket FROM bought GROUP BY 1, 2 HAVING count(*) > 1),
+kept AS (SELECT account, min(day) AS day FROM lists GROUP BY account, basket),
+kinds AS (SELECT kind, row_number() OVER (ORDER BY kind) - 1 AS bit FROM (SELECT DISTINCT p_type AS kind FROM part)),
+masks AS (
+  SELECT bit_or(CAST(1 << bit AS BIGINT)) AS mask FROM kept JOIN bought USING (account, day)
+  JOIN part ON product_id = p_partkey JOIN kinds ON p_type = kind GROUP BY account, day),
+n AS (SELECT count(*) AS n FROM masks),
 sets AS (
-  SELECT b AS items, 1 AS size, count(*) AS freq, b AS a1, NULL AS a2, NULL AS a3 FROM items GROUP BY b
-  UNION ALL SELECT x.b || ',' || y.b, 2, count(*), x.b, y.b, NULL
-  FROM items x JOIN items y ON x.o = y.o AND x.b < y.b GROUP BY x.b, y.b
-  UNION ALL SELECT x.b || ',' || y.b || ',' || z.b, 3, count(*), x.b, y.b, z.b
-  FROM items x JOIN items y ON x.o = y.o AND x.b < y.b JOIN items z ON x.o = z.o AND y.b < z.b GROUP BY x.b, y.b, z.b),
-kept AS (SELECT sets.* FROM sets, n WHERE freq >= ceil(0.02 * n))"""
+  SELECT s, count(*) AS freq FROM masks, (SELECT unnest(range(1, (SELECT CAST(1 << count(*) AS BIGINT) FROM kinds))) AS s)
+  WHERE mask & s = s GROUP BY s HAVING count(*) >= ceil({SUPPORT} * (SELECT n FROM n))),
+shown AS (
+  SELECT s, freq, string_agg(kind, ',' ORDER BY kind) AS items, count(*) AS size
+  FROM sets JOIN kinds ON s & CAST(1 << bit AS BIGINT) <> 0 GROUP BY s, freq)"""
 
 
-@query("M1", f"{_SQL_SETS} SELECT items, CAST(size AS BIGINT) AS size, freq FROM kept")
+@query("M1", f"{_SQL_SETS} SELECT items, size, freq FROM shown")
 def fp_items(t: Tables) -> DataFrame:
-    return baskets.frequent_item_sets(baskets.mine(_brand_baskets(t), 0.02))
+    return baskets.frequent_item_sets(_model(t))
 
 
 @query(
     "M2",
-    f"""{_SQL_SETS},
-pairs AS (
-  SELECT a1 AS antecedent, a2 AS consequent, freq FROM kept WHERE size = 2
-  UNION ALL SELECT a2, a1, freq FROM kept WHERE size = 2)
-SELECT antecedent, consequent, round(pairs.freq / x.freq, 6) AS confidence,
-  round(pairs.freq / x.freq / (y.freq / n), 6) AS lift, round(pairs.freq / n, 6) AS support
-FROM pairs JOIN kept x ON x.items = antecedent JOIN kept y ON y.items = consequent, n
-WHERE x.size = 1 AND y.size = 1""",
+    f"""{_SQL_SETS}
+SELECT a.items AS antecedent, c.items AS consequent, round(w.freq / a.freq, 6) AS confidence,
+  round(w.freq / a.freq / (c.freq / n), 6) AS lift, round(w.freq / n, 6) AS support
+FROM shown w JOIN shown c ON c.size = 1 AND w.s & c.s <> 0 JOIN shown a ON a.s = w.s - c.s, n WHERE w.size > 1""",
 )
 def fp_rules(t: Tables) -> DataFrame:
-    found = baskets.rules(baskets.mine(_brand_baskets(t), 0.02))
-    return rounded(found, 6, "confidence", "lift", "support")
+    return rounded(baskets.rules(_model(t)), 6, "confidence", "lift", "support")
 
 
 # --- devices --------------------------------------------------------------------------

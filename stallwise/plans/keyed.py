@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from stallwise.functions import expr as X
@@ -123,6 +125,31 @@ def search_page(t: Tables) -> DataFrame:
     return found.select("row_key", "user_id", F.date_format("paid_at", "yyyy-MM-dd").alias("paid"))
 
 
+@query(
+    "E12",
+    f"""
+SELECT row_key, user_id, paid, page FROM (
+  SELECT o_orderkey AS row_key, o_custkey AS user_id, strftime(o_orderdate, '%Y-%m-%d') AS paid,
+    (row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1) // 10 AS page {_SQL_HITS}) WHERE page < 4""",
+)
+def search_pages(t: Tables) -> DataFrame:
+    """The first four pages, each found from the last row of the one before."""
+    pages, last = [], None
+    for number in range(4):
+        found = keyed.page_after(_hits(t), "paid_at", "row_key", 10, last)
+        rows = found.select("row_key", "user_id", "paid_at").collect()
+        if not rows:
+            break
+        last = (rows[-1]["paid_at"], rows[-1]["row_key"])
+        pages.append(found.withColumn("page", F.lit(number).cast("bigint")))
+    shown = F.date_format("paid_at", "yyyy-MM-dd").alias("paid")
+    return reduce(DataFrame.unionByName, pages).select("row_key", "user_id", shown, "page") if pages else _no_page(t)
+
+
+def _no_page(t: Tables) -> DataFrame:
+    return _hits(t).limit(0).select("row_key", "user_id", F.lit("").alias("paid"), F.lit(0).cast("bigint").alias("page"))
+
+
 @query("E12", f"SELECT count(*) AS hits {_SQL_HITS}")
 def search_total(t: Tables) -> DataFrame:
     return keyed.total(_hits(t))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stallwise.functions.work import fresh_path
+from stallwise.functions import expr as X
+from stallwise.functions.work import cut, fresh_path
 from stallwise.plans.binding import click_lines
 from stallwise.plans.feeds import SQL_CLICKS_PER_COURSE, SQL_CLICKS_PER_HOST, SQL_WORDS
 from stallwise.plans.registry import Tables, query, shown
@@ -30,9 +31,26 @@ class Streamed(Tables):
         return _stream(self._tables, name)
 
 
+BATCHES = 4
+LATE_BY = "8 days"  # events come in four batches of about a week each, in any order within one
+
+
+def _events(t: Tables) -> DataFrame:
+    """The events as a stream of several micro-batches, in order of time from batch to batch."""
+    first, last = t.events.agg(F.min("ts"), F.max("ts")).first()
+    path = fresh_path(t.spark, "events")
+    if first is None:
+        t.events.write.parquet(path)
+    for i in range(BATCHES if first is not None else 0):
+        begin, end = (first + (last - first) * n / BATCHES for n in (i, i + 1))
+        upto = F.col("ts") < X.at(end) if i < BATCHES - 1 else F.lit(True)
+        t.events.filter((F.col("ts") >= X.at(begin)) & upto).write.mode("append").parquet(path)
+    files = len(t.spark.read.parquet(path).inputFiles())
+    return readers.stream_table(t.spark, path, t.events.schema, max_files=max(1, files // BATCHES))
+
+
 def _windows(t: Tables, length: str, *keys: str, slide: str | None = None) -> DataFrame:
-    # A bounded replay: nothing may be dropped as late.
-    return counts.windowed_counts(_stream(t, "events"), "ts", length, *keys, slide=slide, late_by=None)
+    return counts.windowed_counts(_events(t), "ts", length, *keys, slide=slide, late_by=LATE_BY)
 
 
 def _sql_windows(seconds: int, slide: int, keys: str = "event_type, ") -> str:
@@ -77,13 +95,32 @@ SELECT window_start, window_end, category, product, n, rank FROM (
 WHERE rank <= 3""",
 )
 def st_top3(t: Tables) -> DataFrame:
-    line = F.concat_ws(" ", F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("event_type"))
-    clicks = counts.product_clicks(_stream(t, "events").select("ts", line.alias("value")))
-    counted = counts.windowed_counts(clicks, "ts", "1 day", "category", "product", slide="12 hours", late_by=None)
-    totals = run.replay(counted, ["window_start", "window_end", "category", "product"])
+    totals = run.replay(_product_windows(t), ["window_start", "window_end", "category", "product"])
     return shown(run.top_per_window(totals, "category", "product"), "window_start", "window_end")
 
 
+def _product_windows(t: Tables) -> DataFrame:
+    line = F.concat_ws(" ", F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("event_type"))
+    clicks = counts.product_clicks(_events(t).select("ts", line.alias("value")))
+    return counts.windowed_counts(clicks, "ts", "1 day", "category", "product", slide="12 hours", late_by=LATE_BY)
+
+
+@query(
+    "ST5",
+    f"""
+WITH w AS ({_sql_windows(86400, 43200, "event_type, user_id, ")}),
+closed AS (SELECT * FROM w WHERE window_end <= (SELECT strftime(max(ts) - INTERVAL {LATE_BY}, '%Y-%m-%d %H:%M:%S') FROM events))
+SELECT window_start, window_end, category, product, n, rank FROM (
+  SELECT *, event_type AS category, CAST(user_id AS VARCHAR) AS product,
+    row_number() OVER (PARTITION BY window_start, event_type ORDER BY n DESC, CAST(user_id AS VARCHAR)) AS rank FROM closed)
+WHERE rank <= 3""",
+)
+def st_top3_closing(t: Tables) -> DataFrame:
+    """The top three of each window, ranked as the window closes."""
+    ranked = run.replay_closing(_product_windows(t), "category", "product")
+    return shown(ranked, "window_start", "window_end")
+
+
 @query("ST7 D32", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def st_sql(t: Tables) -> DataFrame:
     statement = "SELECT event_type, count(*) AS n, sum(value) AS total FROM event_stream GROUP BY event_type"
@@ -97,9 +134,11 @@ _SQL_BLOCKED = "SELECT user_id FROM events GROUP BY 1 HAVING sum(value) > (SELEC
 @query("ST6 C18", f"SELECT event_id, user_id, event_type FROM events WHERE user_id NOT IN ({_SQL_BLOCKED})")
 def st_blocklist(t: Tables) -> DataFrame:
     per_user = t.events.groupBy("user_id").agg(F.sum("value").alias("total"))
-    mean = per_user.agg((F.sum("total") * 1.1 / F.count(F.lit(1))).alias("m")).first()["m"]
+    mean = per_user.agg(F.sum("total") * 1.1 / F.count(F.lit(1))).scalar()
+    # Stored outside the query: a micro-batch reads the list, it does not compute it again.
+    blocked = cut(per_user.filter(F.col("total") > mean).select("user_id"), "blocked")
     stream = _stream(t, "events").select("event_id", "user_id", "event_type")
-    kept = counts.without_blocked(stream, per_user.filter(F.col("total") > mean), "user_id", "event_id")
+    kept = counts.without_blocked(stream, blocked, "user_id", "event_id")
     return run.replay(kept).select("event_id", "user_id", "event_type")
 
 

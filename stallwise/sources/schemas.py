@@ -27,24 +27,22 @@ ORDER_FIELDS = (
 ORDERS = named(*ORDER_FIELDS)
 ORDER_MESSAGE = named("order_id", *ORDER_FIELDS)
 
-SITE_TREE = named(
-    "id", "name", "parent_id", "created_by", "created_at", "updated_by", "updated_at",
-    "is_deleted", "kind", "office", "operator_id", "province", "city", "county",
-    "contact", "contact_phone", "address", "operators", "channel_type", "check_status",
-    "community_id", "lat", "lng", "auditor", "audited_at",
+SITE_TREE = positional(
+    25,
+    {
+        0: "id", 1: "name", 2: "parent_id", 4: "created_at", 7: "is_deleted", 8: "kind", 11: "province", 12: "city",
+        13: "county", 16: "address", 17: "operators", 20: "community_id", 21: "lat", 22: "lng",
+    },
 )
-POINT_ATTRIBUTES = named(
-    "id", "point_name", "site_kind_id", "sort", "point_type", "covered_households",
-    "occupied_households", "ctc_signal", "cmcc_signal", "cucc_signal", "created_by",
-    "created_at", "updated_by", "updated_at", "signal_operator", "signal_solution",
-    "is_deleted",
+POINT_ATTRIBUTES = positional(
+    17, {0: "id", 3: "sort", 4: "point_type", 5: "covered_households", 6: "occupied_households", 16: "is_deleted"}
 )
-SITE_ATTRIBUTES = named(
-    "id", "site_name", "site_kind_id", "property_manager_id", "province", "city",
-    "district", "trading_area", "households", "checked_in_households", "buildings",
-    "underground_parking", "underground_carpark", "elevator_halls", "completed_at",
-    "property_fee", "estate_price", "self_service_terminal", "explanation", "created_by",
-    "created_at", "updated_by", "updated_at", "address", "is_deleted",
+SITE_ATTRIBUTES = positional(
+    25,
+    {
+        0: "id", 2: "site_kind_id", 8: "households", 9: "checked_in_households", 10: "buildings", 14: "completed_at",
+        15: "property_fee", 16: "estate_price", 24: "is_deleted",
+    },
 )
 OPERATING_STATS = positional(
     14,

@@ -44,6 +44,30 @@ def replay(stream: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     return latest_deltas(spark, path, stream.schema, keys)
 
 
+def replay_closing(counted: DataFrame, category: str, product: str, n: int = 3) -> DataFrame:
+    """Top products of each window, ranked inside the stream when the watermark closes the window.
+
+    In append mode a window leaves the state once, complete, so its ranks are final. Windows
+    that are still open when the stream ends stay in its checkpoint.
+    """
+    spark = counted.sparkSession
+    path, checkpoint = fresh_path(spark, "deltas"), fresh_path(spark, "offsets")
+    write = delta_sink(path)
+    schema = top_per_window(spark.createDataFrame([], counted.schema), category, product, n).schema
+
+    def ranked(batch: DataFrame, batch_id: int) -> None:
+        write(top_per_window(batch, category, product, n), batch_id)
+
+    start(counted, ranked, checkpoint, "append").awaitTermination()
+    return read_deltas(spark, path, schema).drop("run", "batch_id")
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that came later than the watermark allows, over the query's recent progress."""
+    states = (s for p in query.recentProgress for s in p["stateOperators"])
+    return sum(s["numRowsDroppedByWatermark"] for s in states)
+
+
 def top_per_window(counted: DataFrame, category: str, product: str, n: int = 3) -> DataFrame:
     """Top products per window and category, out of the table that a count stream keeps.
 

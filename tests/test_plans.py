@@ -73,3 +73,23 @@ def test_facts_are_aggregated_before_the_join(spark):
         for i, line in enumerate(plan):
             if "l_suppkey" in line and "FileScan" in line:
                 assert any("HashAggregate" in above for above in plan[max(0, i - 4) : i]), name
+
+
+TENURED = (
+    "site_daily_sales", "point_band_counts", "site_tiers", "site_tiers_short", "site_cv", "star_lookup", "cohort_rows",
+    "idle_sites", "stats_feeds_joined", "per_machine_sales", "point_fact",
+)
+
+
+@pytest.mark.parametrize("name", TENURED)
+def test_no_query_of_a_window_scans_the_whole_history(name, spark):
+    plan = _formatted(contract.queries()[name](spark, FOLDER))
+    scans = [s for s in plan.split("\n\n") if "Scan parquet" in s and "lineitem.parquet" in s]
+    assert scans
+    for scan in scans:
+        assert re.search(r"PushedFilters: \[.*GreaterThan\w*\(l_shipdate", scan), scan
+
+
+def test_shared_scans(spark):
+    plan = _formatted(contract.queries()["star_lookup"](spark, FOLDER))
+    assert len([s for s in plan.split("\n\n") if "Scan parquet" in s and "lineitem.parquet" in s]) <= 3
