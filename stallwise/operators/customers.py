@@ -19,12 +19,14 @@ def gender_family_orders(
 ) -> DataFrame:
     """Orders per gender label and product family; accounts without a user do not count.
 
-    Orders shrink to one row per (label, product) before product names are looked up.
+    Orders shrink to one row per (account, product) before users are looked up, and to one per
+    (label, product) before product names are.
     """
+    per_account = orders.groupBy("account", "product_id").agg(F.count(F.lit(1)).alias("orders"))
     per_product = (
-        orders.join(users.select("account", "gender_label"), "account", "inner")
+        per_account.join(users.select("account", "gender_label"), "account", "inner")
         .groupBy("gender_label", "product_id")
-        .agg(F.count(F.lit(1)).alias("orders"))
+        .agg(F.sum("orders").alias("orders"))
     )
     named = with_family(per_product.join(products, "product_id", "inner"), families=families)
     return named.groupBy("gender_label", "family").agg(F.sum("orders").alias("orders"))

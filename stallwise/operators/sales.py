@@ -366,6 +366,7 @@ def terminal_year_means(
 
 def marker_sites(
     orders: DataFrame,
+    products: DataFrame,
     points: DataFrame,
     sites: DataFrame,
     marker: Column,
@@ -375,12 +376,16 @@ def marker_sites(
 ) -> DataFrame:
     """Sites that sold the marker product: how often, and the sales of everything else.
 
-    With ``as_of``, only orders of the window and sites older than ``min_tenure`` count.
+    With ``as_of``, only orders of the window and sites older than ``min_tenure`` count. Orders
+    shrink to one row per (point, product) before the products are looked up.
     """
     rows = orders if as_of is None else trailing(orders, as_of, days)
-    per_point = rows.groupBy("point_id").agg(
-        F.count_if(marker).alias("marker_orders"),
-        F.sum(F.when(~marker, F.col("amount"))).alias("others"),
+    per_product = rows.groupBy("point_id", "product_id").agg(
+        F.count(F.lit(1)).alias("_orders"), F.sum("amount").alias("_amount")
+    )
+    per_point = per_product.join(products, "product_id").groupBy("point_id").agg(
+        F.sum(F.when(marker, F.col("_orders")).otherwise(0)).alias("marker_orders"),
+        F.sum(F.when(~marker, F.col("_amount"))).alias("others"),
     )
     located = per_point.join(points.select("point_id", "site_id"), "point_id", "inner")
     per_site = located.groupBy("site_id").agg(

@@ -276,9 +276,8 @@ def stats_feeds_joined(t: Tables) -> DataFrame:
 MARKER = "Brand#5"
 
 
-def _branded(t: Tables, lines: DataFrame) -> DataFrame:
-    brands = t.part.select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("brand"))
-    return lines.join(brands, "product_id", "inner")
+def _brands(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("brand"))
 
 
 @query(
@@ -296,8 +295,8 @@ FROM sold JOIN tenure USING (site_id) JOIN nation ON site_id = n_nationkey
 JOIN region ON n_regionkey = r_regionkey WHERE marker_orders > 0 AND tenure > 20""",
 )
 def marker_sites(t: Tables) -> DataFrame:
-    lately = _branded(t, clean.trailing(valid_lines(t), AS_OF, 20))
-    found = sales.marker_sites(lately, points(t), aged_sites(t), F.col("brand") == MARKER, AS_OF)
+    marker = F.col("brand") == MARKER
+    found = sales.marker_sites(valid_lines(t), _brands(t), points(t), aged_sites(t), marker, AS_OF)
     return rounded(found, 4, "other_sales")
 
 
@@ -309,7 +308,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_
 JOIN nation ON s_nationkey = n_nationkey WHERE p_brand = '{MARKER}' GROUP BY 1, 2""",
 )
 def marker_sites_ever(t: Tables) -> DataFrame:
-    found = sales.marker_sites(_branded(t, all_lines(t)), points(t), sites(t), F.col("brand") == MARKER)
+    found = sales.marker_sites(all_lines(t), _brands(t), points(t), sites(t), F.col("brand") == MARKER)
     return found.select("site_id", "site_name", "marker_orders")
 
 

@@ -173,7 +173,9 @@ def test_marker_sites(spark):
     df = orders(spark, [(1, "m", 500.0, "2024-03-30"), (1, "x", 700.0, "2024-03-30"), (2, "x", 1.0, "2024-03-30")])
     points = spark.createDataFrame([(1, 10), (2, 20)], "point_id int, site_id int")
     sites = spark.createDataFrame([(10, 21), (20, 21)], "site_id int, tenure_days int")
-    found = sales.marker_sites(df, points, sites, F.col("account") == "m", AS_OF)
+    sold = df.withColumn("product_id", F.col("account"))
+    products = spark.createDataFrame([("m", True), ("x", False)], "product_id string, marker boolean")
+    found = sales.marker_sites(sold, products, points, sites, F.col("marker"), AS_OF)
     assert rows_of(found, "site_id", "marker_orders", "other_sales") == [(10, 1, 7.0)]
 
 
