@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stallwise.functions import expr as X
 from stallwise.functions.skew import salted_join
-from stallwise.operators.clean import trailing, with_family
+from stallwise.operators.clean import trailing, with_defaults, with_family
 
 
 # --- who buys what --------------------------------------------------------------------
@@ -91,6 +91,18 @@ def point_profile(
     )
 
 
+def full_profile(profile: DataFrame, points: DataFrame, equipment: DataFrame, sites: DataFrame) -> DataFrame:
+    """The behaviour of each point with its machines and its site in one row.
+
+    ``points`` has point_id and site_id; ``equipment`` per point tenure_days, faulty_machines,
+    products and vacancy_rate; ``sites`` per site households, fee and site_age_days. A point
+    without figures has no fault, no product, and is vacant; what its site lacks stays NULL.
+    """
+    placed = points.select("point_id", "site_id").join(sites, "site_id", "left").join(equipment, "point_id", "left")
+    wide = profile.join(placed, "point_id", "left")
+    return with_defaults(wide, {"faulty_machines": 0, "products": 0, "vacancy_rate": 1.0, "tenure_days": 30})
+
+
 # --- new users ------------------------------------------------------------------------
 
 

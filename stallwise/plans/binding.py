@@ -123,6 +123,36 @@ def machines_at_points(t: Tables, days: int = 30) -> DataFrame:
     return lately.groupBy("point_id").agg(F.count_distinct("product_id").alias("machines"))
 
 
+def equipment(t: Tables) -> DataFrame:
+    """Tenure, faults, products and vacancy of each point: one pass over its last month."""
+    last_week = X.in_trailing("paid_at", AS_OF, 7)
+    month = clean.trailing(all_lines(t), AS_OF, 30).groupBy("point_id").agg(
+        F.count_distinct("product_id").alias("_slots"),
+        F.count_if(last_week & F.col("is_promotion")).alias("faulty_machines"),
+        F.count_distinct(F.when(last_week, F.col("product_id"))).alias("products"),
+    )
+    vacancy = (1 - F.col("products") / F.col("_slots")).alias("vacancy_rate")
+    rates = month.select("point_id", "faulty_machines", "products", vacancy)
+    return point_tenure(t).select("point_id", "first_operated", "tenure_days").join(rates, "point_id", "left")
+
+
+def households(t: Tables) -> DataFrame:
+    """Households and fee of a site: its customers and their mean balance."""
+    return t.customer.groupBy(F.col("c_nationkey").alias("site_id")).agg(
+        F.count(F.lit(1)).alias("households"), F.round(F.avg("c_acctbal"), 4).alias("fee")
+    )
+
+
+SQL_EQUIPMENT = f"""
+SELECT o.point_id, o.first, date_diff('day', o.first, {SQL_AS_OF}) AS tenure_days, coalesce(faulty_machines, 0) AS faulty_machines,
+  coalesce(products, 0) AS products, coalesce(1 - products / slots, 1.0) AS vacancy_rate
+FROM (SELECT l_suppkey AS point_id, min(l_shipdate) AS first FROM lineitem GROUP BY 1) o LEFT JOIN (
+  SELECT l_suppkey AS point_id, count(DISTINCT l_partkey) AS slots,
+    count(*) FILTER (WHERE l_returnflag = 'R' AND {sql_window(7)}) AS faulty_machines,
+    count(DISTINCT l_partkey) FILTER (WHERE {sql_window(7)}) AS products
+  FROM lineitem WHERE {sql_window(30)} GROUP BY 1) m ON o.point_id = m.point_id"""
+SQL_HOUSEHOLDS = "SELECT c_nationkey AS site_id, count(*) AS households, round(avg(c_acctbal), 4) AS fee FROM customer GROUP BY 1"
+
 SQL_MACHINES = (
     "SELECT l_suppkey AS point_id, count(DISTINCT l_partkey) AS machines FROM lineitem "
     f"WHERE {sql_window(30)} GROUP BY 1"

@@ -12,13 +12,18 @@ from stallwise.plans.binding import (
     AS_OF,
     CAP,
     SQL_AS_OF,
+    SQL_EQUIPMENT,
+    SQL_HOUSEHOLDS,
     SQL_MACHINES,
     SQL_VALID,
     all_lines,
     device_log,
+    equipment,
+    households,
     machines_at_points,
     point_tenure,
     points,
+    site_tenure,
     sites,
     sql_window,
     valid_lines,
@@ -67,9 +72,7 @@ def gender_product_people(t: Tables) -> DataFrame:
     return customers.gender_product_buyers(_bought(t), _users(t))
 
 
-@query(
-    "D23 D24 D25 D26 C15",
-    f"""
+SQL_PROFILE = f"""
 WITH machines AS ({SQL_MACHINES}),
 buyers AS (
   SELECT l_suppkey AS point_id, o_custkey AS account, count(*) AS orders, sum(l_extendedprice) AS total,
@@ -84,8 +87,10 @@ per AS (
   FROM buyers LEFT JOIN customer ON account = c_custkey GROUP BY 1)
 SELECT per.* EXCLUDE (total, last, repeat_interval), round(repeat_interval, 6) AS repeat_interval, coalesce(machines, 0) AS machines,
   round(total / 90 / coalesce(machines, 3), 9) AS sales_per_machine, date_diff('day', last, {SQL_AS_OF}) AS idle_days
-FROM per LEFT JOIN machines USING (point_id)""",
-)
+FROM per LEFT JOIN machines USING (point_id)"""
+
+
+@query("D23 D24 D25 D26 C15", SQL_PROFILE)
 def point_profile(t: Tables) -> DataFrame:
     orders = with_account(clean.trailing(valid_lines(t), AS_OF, 90), t)
     profile = customers.point_profile(
@@ -95,6 +100,23 @@ def point_profile(t: Tables) -> DataFrame:
     return rounded(rounded(profile, 6, "repeat_interval"), 9, "sales_per_machine")
 
 
+@query(
+    "D23",
+    f"""
+SELECT p.*, s_nationkey AS site_id, tenure_days, faulty_machines, products, round(vacancy_rate, 9) AS vacancy_rate,
+  households, fee, site_age_days
+FROM ({SQL_PROFILE}) p JOIN supplier ON point_id = s_suppkey JOIN ({SQL_EQUIPMENT}) e ON e.point_id = p.point_id
+LEFT JOIN ({SQL_HOUSEHOLDS}) h ON h.site_id = s_nationkey
+LEFT JOIN (SELECT s_nationkey AS n, date_diff('day', min(l_shipdate), {SQL_AS_OF}) AS site_age_days
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1) ON n = s_nationkey""",
+)
+def full_profile(t: Tables) -> DataFrame:
+    """The profile of each point with its machines, its assortment and its site."""
+    of_site = households(t).join(site_tenure(t).select("site_id", F.col("tenure_days").alias("site_age_days")), "site_id", "full")
+    wide = customers.full_profile(point_profile(t), points(t), equipment(t).drop("first_operated"), of_site)
+    return rounded(wide, 9, "vacancy_rate")
+
+
 @query(
     "C16 C17 B19 D4 F8",
     f"""
@@ -121,15 +143,15 @@ def complete_profile(t: Tables) -> DataFrame:
     """Every point with its profile if it sold, defaults if not, and the size of its site."""
     lines = with_account(clean.trailing(all_lines(t), AS_OF, 7), t)
     valid = clean.below_cap(clean.without_promotions(lines, F.col("is_promotion")), CAP)
-    equipment = machines_at_points(t)
-    profile = customers.point_profile(valid, _users(t), equipment, AS_OF, F.col("is_member_payment"), SEGMENTS)
+    machines = machines_at_points(t)
+    profile = customers.point_profile(valid, _users(t), machines, AS_OF, F.col("is_member_payment"), SEGMENTS)
     promoted = sales.promotion_users(lines, F.col("is_promotion"))
     tenure = point_tenure(t).select("point_id", "tenure_days")
     metrics = profile.select("point_id", "buyers", "sales_per_machine")
     metrics = metrics.join(promoted, "point_id", "full").join(tenure, "point_id", "full")
     defaults = {"buyers": 0, "sales_per_machine": 0.0, "promo_users": 0, "tenure_days": 30}
     every = dims.complete_fact(points(t).select("point_id", "site_id"), metrics, "point_id", defaults)
-    located = points(t).select("point_id", "site_id").join(equipment, "point_id", "left")
+    located = points(t).select("point_id", "site_id").join(machines, "point_id", "left")
     per_site = dims.points_and_machines(points(t), sales.totals(located, ["site_id"], "machines", "machines"))
     sized = sites(t).select("site_id", "site_name").join(
         per_site.select("site_id", F.col("points").alias("site_points"), F.col("machines").alias("site_machines")), "site_id"

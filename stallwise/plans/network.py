@@ -10,11 +10,15 @@ from stallwise.plans.binding import (
     AS_OF,
     CLOSED_REGION,
     SQL_AS_OF,
+    SQL_EQUIPMENT,
+    SQL_HOUSEHOLDS,
     SQL_MACHINES,
     SQL_VALID,
     aged_sites,
     all_lines,
+    equipment,
     first_seen_points,
+    households,
     machines_at_points,
     point_tenure,
     points,
@@ -154,6 +158,33 @@ def point_fact(t: Tables) -> DataFrame:
     return fact.drop("city", "point_type")
 
 
+@query(
+    "D10",
+    f"""
+WITH sold AS (
+  SELECT l_suppkey AS point_id, sum(l_extendedprice) / 100 AS sales FROM lineitem WHERE {SQL_VALID} AND {sql_window(7)} GROUP BY 1),
+sizes AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1)
+SELECT s_suppkey AS point_id, s_name AS point_name, supplier.s_nationkey AS site_id, n_name AS site_name, r_name AS city_name,
+  n_regionkey AS area_id, households AS coverage, round(coalesce(sales, 0), 4) AS sales, n AS points_in_site,
+  round(1 - vacancy_rate, 9) AS stocked_rate, round(vacancy_rate, 9) AS vacancy_rate, products,
+  strftime(first, '%Y-%m-%d') AS first_online, tenure_days AS deployed_days, coalesce(sales, 0) <= 40 AS is_poor
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+JOIN sizes ON supplier.s_nationkey = sizes.s_nationkey LEFT JOIN sold ON s_suppkey = sold.point_id
+LEFT JOIN ({SQL_EQUIPMENT}) e ON e.point_id = s_suppkey LEFT JOIN ({SQL_HOUSEHOLDS}) h ON h.site_id = supplier.s_nationkey""",
+)
+def full_point_fact(t: Tables) -> DataFrame:
+    """Every point with coverage, assortment, area, deployment and sales."""
+    attributes = equipment(t).select(
+        "point_id", "products", "vacancy_rate", (1 - F.col("vacancy_rate")).alias("stocked_rate"),
+        F.date_format("first_operated", "yyyy-MM-dd").alias("first_online"), F.col("tenure_days").alias("deployed_days"),
+    )
+    attributes = clean.with_defaults(attributes, {"products": 0, "vacancy_rate": 1.0, "stocked_rate": 0.0})
+    of_site = sites(t).join(households(t).select("site_id", F.col("households").alias("coverage")), "site_id", "left")
+    every = points(t).withColumnRenamed("city", "area_id").drop("point_type")
+    fact = sales.point_fact(valid_lines(t), every, of_site, AS_OF, machines=attributes)
+    return rounded(rounded(fact, 4, "sales"), 9, "vacancy_rate", "stocked_rate")
+
+
 @query(
     "D11 F11",
     f"""
