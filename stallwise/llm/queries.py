@@ -74,7 +74,24 @@ def op3_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return vector_links(table(spark, folder, "embeddings"), cosine=0.93)
 
 
-@query()
+@query(
+    sql=r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 3
+        THEN list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])
+        WHEN len(words) > 0 THEN [array_to_string(words, ' ')] END) AS shingle FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (
+      SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+    r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""
+)
 def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents by components of Jaccard similarity 0.85 or more on three-word shingles."""
     return dedup_report(table(spark, folder, "documents"), k=3, percent=85)
@@ -94,7 +111,21 @@ def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract_text(table(spark, folder, "pages").select("page_id", "url", "html"))
 
 
-@query()
+@query(
+    sql=r"""
+    WITH w AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    v AS (
+      SELECT doc_id, i, array_to_string(words[i : i + 19], ' ') AS win FROM w, (SELECT unnest(range(1, (SELECT max(len(words)) FROM w) - 18)) AS i)
+      WHERE i <= len(words) - 19),
+    g AS (
+      SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM v) WHERE k > 1),
+    gone AS (SELECT DISTINCT doc_id, i + o AS i FROM g, (SELECT unnest(range(0, 20)) AS o)),
+    t AS (SELECT doc_id, i, words[i] AS word FROM w, (SELECT unnest(range(1, (SELECT max(len(words)) FROM w) + 1)) AS i) WHERE i <= len(words)),
+    k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+    SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM w LEFT JOIN k USING (doc_id)"""
+)
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the words of 20-word windows that start earlier elsewhere."""
     done = dedup_substrings(table(spark, folder, "documents").select("doc_id", "text"), length=20)

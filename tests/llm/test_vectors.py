@@ -1,4 +1,4 @@
-"""Cover trees against all pairs."""
+"""Cover trees against all pairs, and queries against their SQL."""
 
 from __future__ import annotations
 
@@ -69,8 +69,8 @@ def test_repeated_rows_link(spark):
     assert found == Counter({(4, 2, 4, True): 2, (None, 2, 4, False): 1, (9, 0, 9, True): 1})
 
 
-def test_query_matches_sql(spark):
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_matches_sql(spark, name):
     folder = f"{DATA}/sf0.01"
-    name = "op3_embedding_near_dedup"
     diff, rows = oracle.difference(QUERIES[name](spark, folder), oracle.connect(folder), SQL[name])
     assert diff is None and rows > 0
