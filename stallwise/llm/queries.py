@@ -15,7 +15,7 @@ from stallwise.llm.licences import learn as learn_licences, with_licences
 from stallwise.llm.oddsketch import dedup_report
 from stallwise.llm.packing import pack
 from stallwise.llm.suffixes import dedup_passages
-from stallwise.llm.toxicity import learn as learn_toxicity, with_severity
+from stallwise.llm.toxicity import THRESHOLD, learn as learn_toxicity, with_severity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -157,5 +157,5 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's chance to be toxic and expected severity from 0 to 3."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     told = with_severity(docs, learn_toxicity(docs, table(spark, folder, "labels")))
-    toxic = F.col("p_toxic") >= 0.5
+    toxic = F.col("p_toxic") >= THRESHOLD
     return told.select("doc_id", toxic.alias("toxic"), (~toxic).alias("kept"), F.round("p_toxic", 6).alias("p_toxic"), F.round("severity", 6).alias("severity"))

@@ -14,6 +14,7 @@ from stallwise.llm.common import U64, Words, blobs, column, mix, slices, text_bu
 SLOTS = 1 << 20  # hashed features
 SAMPLE = 12_000  # labelled documents to learn from, at most
 KEPT = 20_000  # features that enter the regression, at most
+THRESHOLD = 0.3  # chance from which a document counts as toxic: one that is missed costs more than a clean one
 GRADES = 4  # 0 clean, 1 to 3 toxic by rising evidence
 _OTHER = np.ones(256, bool)
 _OTHER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -159,5 +160,5 @@ def with_severity(docs: DataFrame, model: Model | None, text: str = "text") -> D
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are more likely clean than toxic, columns as they are."""
-    return with_severity(docs, learn(docs, labels)).filter("p_toxic < 0.5").select(*docs.columns)
+    """The documents whose chance to be toxic is below THRESHOLD, columns as they are."""
+    return with_severity(docs, learn(docs, labels)).filter(F.col("p_toxic") < THRESHOLD).select(*docs.columns)
