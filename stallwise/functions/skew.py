@@ -5,6 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 SALTS = 16  # a power of two, so that the salt is a mask of the hash and never NULL
+HOT_SHARE = 1 / 1024  # of the sampled rows; so there are at most 1024 hot keys
+SAMPLED = 64  # one in so many values of the spreading column
+
+
+def hot_keys(facts: DataFrame, on: str, spread_by: str, share: float = HOT_SHARE) -> DataFrame:
+    """Keys that hold at least ``share`` of the rows, by a sample that a hash of ``spread_by`` picks.
+
+    At most 1 / share keys. Whether a key is found changes how rows are dealt, never the result.
+    """
+    picked = facts.filter(F.pmod(F.xxhash64(F.col(spread_by), F.lit(64)), F.lit(SAMPLED)) == 0)
+    counted = picked.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
+    total = counted.agg(F.sum("_n")).scalar()
+    return counted.filter((F.col("_n") >= total * share) & (F.col("_n") > 1)).select(on).limit(round(1 / share))
 
 
 def salted_join(
@@ -14,9 +27,13 @@ def salted_join(
     spread_by: str,
     how: str = "inner",
     salts: int = SALTS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join facts to a dimension (one row per key) with each key split over ``salts`` tasks.
 
+    With ``hot`` (see ``hot_keys``; at most 1024 keys, so it is broadcast) only those keys are split and
+    only their rows of ``dim`` are copied: use it where ``dim`` is large, such as all accounts.
+
     Adaptive execution splits the hot keys of a join by itself, but only when both sides
     come straight from a shuffle for this join and nothing downstream needs its
     partitioning. Use this where ``dim`` is an aggregate or join on the same key, or where
@@ -29,7 +46,13 @@ def salted_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted join cannot be {how}: each row of the right side has {salts} copies")
     salt = F.xxhash64(F.col(spread_by)).bitwiseAND(F.lit(salts - 1)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    left = facts.withColumn("_salt", salt)
-    right = dim.withColumn("_salt", copies)
+    copies = F.sequence(F.lit(0), F.lit(salts - 1))
+    left, right = facts, dim
+    if hot is not None:
+        marked = F.broadcast(hot.select(on).withColumn("_hot", F.lit(True)))
+        left, right = facts.join(marked, on, "left"), dim.join(marked, on, "left")
+        salt = F.when(F.col("_hot"), salt).otherwise(0)
+        copies = F.when(F.col("_hot"), copies).otherwise(F.array(F.lit(0)))
+    left = left.withColumn("_salt", salt).drop("_hot")
+    right = right.withColumn("_salt", F.explode(copies)).drop("_hot")
     return left.join(right, [on, "_salt"], how).drop("_salt")

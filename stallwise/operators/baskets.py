@@ -6,7 +6,7 @@ from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import DataFrame, functions as F
 
 from stallwise.functions import expr as X
-from stallwise.functions.skew import salted_join
+from stallwise.functions.skew import hot_keys, salted_join
 from stallwise.functions.work import cut
 
 
@@ -19,7 +19,7 @@ def user_baskets(orders: DataFrame, min_products: int = 2) -> DataFrame:
     items = orders.select("account", "product_id").distinct()
     sizes = items.groupBy("account").agg(F.count(F.lit(1)).alias("products"))
     kept = sizes.filter(F.col("products") >= min_products)
-    return salted_join(items, kept, "account", spread_by="product_id")
+    return salted_join(items, kept, "account", "product_id", hot=hot_keys(items, "account", "product_id"))
 
 
 def day_baskets(orders: DataFrame, min_products: int = 2) -> DataFrame:

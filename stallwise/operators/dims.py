@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from stallwise.functions import expr as X
-from stallwise.functions.skew import salted_join
+from stallwise.functions.skew import hot_keys, salted_join
 from stallwise.operators import clean
 from stallwise.sources.writers import latest_per_key
 
@@ -81,7 +81,7 @@ def _against(facts: DataFrame, keys: DataFrame, on: str, how: str, spread_by: st
     listed = keys.select(on)
     if spread_by is None:
         return facts.join(listed, on, how)
-    return salted_join(facts, listed, on, spread_by, how)
+    return salted_join(facts, listed, on, spread_by, how, hot=hot_keys(facts, on, spread_by))
 
 
 def first_seen(facts: DataFrame, key: str, stored: DataFrame | None = None, ts: str = "paid_at") -> DataFrame:

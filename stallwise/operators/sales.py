@@ -209,16 +209,16 @@ def coefficient_of_variation(
     return kept.join(tenured(sites, min_tenure), "site_id", "inner")
 
 
-def scaled_to_max(values: DataFrame, key: str, value: str = "total") -> DataFrame:
+def scaled_to_max(values: DataFrame, key: str, value: str = "total", spread_by: str = "point_id") -> DataFrame:
     """Each value over the greatest one of its group; a missing value counts as 0.
 
     The maximum is aggregated and joined back, since a window would gather a hot group in
-    one task.
+    one task. ``spread_by`` tells the rows of a group apart.
     """
     filled = values.withColumn(value, F.coalesce(value, F.lit(0.0)))
     tops = filled.groupBy(key).agg(F.max(value).alias("_top"))
     scaled = F.try_divide(F.col(value), F.col("_top"))
-    return salted_join(filled, tops, key, "point_id").withColumn("scaled", scaled).drop("_top")
+    return salted_join(filled, tops, key, spread_by).withColumn("scaled", scaled).drop("_top")
 
 
 def points_of_sites(points: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 
 from frames import AS_OF, rows_of
 from stallwise.functions.ranks import with_rank
-from stallwise.functions.skew import salted_join
+from stallwise.functions.skew import hot_keys, salted_join
 from stallwise.operators import baskets, customers, dims, ranking, sales
 
 N = 30_000
@@ -137,7 +137,7 @@ def test_new_users_sum_to_distinct_buyers(spark):
 
 def test_scaled_values_of_a_hot_site(spark):
     values = _hot(spark).groupBy("k", "name").agg(F.sum("v").alias("total"))
-    scaled = sales.scaled_to_max(values, "k")
+    scaled = sales.scaled_to_max(values, "k", spread_by="name")
     tops = scaled.groupBy("k").agg(F.max("scaled").alias("top"))
     assert scaled.count() == N
     assert tops.filter("top <> 1.0").isEmpty()
@@ -168,7 +168,7 @@ def test_operators_spread_a_hot_key(spark, static_shuffles):
     )
     hot = F.col("account") == "hot"
     assert _largest_share(baskets.user_baskets(rows), hot) < 0.5
-    assert _largest_share(sales.scaled_to_max(rows, "account"), hot) < 0.5
+    assert _largest_share(sales.scaled_to_max(rows, "account", spread_by="product_id"), hot) < 0.5
     points = rows.select(F.col("account").alias("site_id"), F.col("product_id").alias("point_id"))
     assert _largest_share(sales.points_of_sites(points), F.col("site_id") == "hot") < 0.5
     listed = rows.groupBy("account").agg(F.count(F.lit(1)).alias("n")).filter("n > 10")
@@ -181,3 +181,29 @@ def test_ranks_of_nothing(spark):
     empty = _hot(spark).filter("k = 'none'")
     assert with_rank(empty, ["k"], ["v", "name"]).count() == 0
     assert with_rank(_hot(spark), ["k"], ["v", "name"]).columns == ["k", "v", "name", "rn", "n"]
+
+
+def test_only_hot_keys_are_copied(spark):
+    """One account holds half of all rows; the many others are not multiplied."""
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("account"), F.col("id").alias("product_id")
+    )
+    dim = rows.select("account").distinct().withColumn("size", F.lit(1))
+    hot = hot_keys(rows, "account", "product_id")
+    assert [r["account"] for r in hot.collect()] == [0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = salted_join(rows, dim, "account", "product_id", hot=hot)
+        assert joined.count() == 40_000
+        assert joined.exceptAll(rows.join(dim, "account").select(*joined.columns)).isEmpty()
+        parts = joined.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+        assert max(r["count"] for r in parts) < 2.5 * 40_000 / 8
+        plan = joined._jdf.queryExecution().executedPlan()
+        joined.write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    marked = dim.join(hot.withColumn("_hot", F.lit(True)), "account", "left")
+    copies = marked.withColumn("n", F.when(F.col("_hot"), 16).otherwise(1)).agg(F.sum("n")).first()[0]
+    assert copies == dim.count() + 15 and "BroadcastHashJoin" in plan.toString()
