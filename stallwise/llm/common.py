@@ -191,7 +191,9 @@ def squeezed(df: DataFrame, text: str = "text") -> DataFrame:
     return df.mapInArrow(squeeze, T.StructType(fields))
 
 
-def unsqueezed(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 256) -> Iterator[pa.RecordBatch]:
+def unsqueezed(
+    batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 256, most: int = SLICE
+) -> Iterator[pa.RecordBatch]:
     """The batches of a squeezed table with their texts again, in parts of a bounded size."""
     codec = zstandard.ZstdDecompressor()
     for batch in batches:
@@ -201,7 +203,7 @@ def unsqueezed(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int
             made = [None if x is None else codec.decompress(x) for x in part.column(at).to_pylist()]
             held = pa.array(made, pa.binary()).cast(pa.string())
             whole = pa.record_batch([held if i == at else c for i, c in enumerate(part.columns)], part.schema.names)
-            yield from slices(iter([whole]), text)
+            yield from slices(iter([whole]), text, most)
 
 
 def merged(doc: np.ndarray, crc: np.ndarray, start: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -14,7 +14,7 @@ from stallwise.llm.common import (
 from stallwise.llm.sampling import marked, pieces_of, repeated_positions
 from stallwise.llm.spans import without_spans
 
-HELD = 400_000  # paths that one task combines before they are shuffled
+HELD = 150_000  # paths that one task combines before they are shuffled
 SPANS = "doc long, crc long, start int, n int"
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from stallwise.llm.common import Prefix, U64, Words, lists, longs, mix, runs, signed, slices, words_of
 
 _LOW = U64((1 << 28) - 1)
-HELD = 2_000_000  # positions that one task combines before they are shuffled
+HELD = 400_000  # positions that one task combines before they are shuffled
 
 
 @dataclass

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stallwise.llm.common import (
-    Prefix, U64, blobs, column, document_columns, longs, merged, mix, runs, signed, squeezed, unsqueezed, words_of,
+    SLICE, Prefix, U64, blobs, column, document_columns, longs, merged, mix, runs, signed, squeezed, unsqueezed, words_of,
 )
 from stallwise.llm.sampling import marked, pieces_of, repeated_positions
 from stallwise.llm.spans import without_spans
 
-HELD = 150_000  # suffixes that one task combines before they are shuffled
+HELD = 30_000  # suffixes that one task combines before they are shuffled
 SUFFIXES = "kind byte, head long, route long, doc long, crc long, at int, left int, n int, words binary"
 SPANS = "doc long, crc long, start int, n int"
 
@@ -67,7 +67,7 @@ def _suffixes(k: int, length: int):
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
-        for part in unsqueezed(batches):
+        for part in unsqueezed(batches, most=SLICE // 4):
             words = words_of(part)
             hashes = words.hashes()
             prefix = Prefix(hashes)
@@ -113,7 +113,7 @@ class Seen:
 
     def __init__(self) -> None:
         self.head: int | None = None
-        self.first: dict[tuple[int, int, int], tuple[int, int]] = {}
+        self.first: dict[int, tuple[int, int]] = {}  # by a hash of the window and where the suffix is in it
 
 
 def repeats(
@@ -139,7 +139,7 @@ def repeats(
     order, common = suffix_array(group, right)
     prefix = Prefix(words.astype(U64) + U64(1))
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    kept: dict[tuple[int, int, int], tuple[int, int]] = {}
+    kept: dict[int, tuple[int, int]] = {}
     for a in range(length - k + 1):
         can = (left[order] >= a) & (size[order] - left[order] >= length - a)
         if not can.any():
@@ -153,22 +153,23 @@ def repeats(
         lead = row[by[ends[:-1]]]
         old_doc, old_at = doc[lead].copy(), at[lead] - a
         border = np.flatnonzero((group[lead] == group[-1]) | np.isin(group[lead], list(going_on)))
-        for i in border.tolist():
-            r = lead[i]
-            ahead = prefix.run(begin[r : r + 1] + left[r], begin[r : r + 1] + left[r] + length - a)
-            key = (a, int(ahead[0]), int(back[by[ends[i]]]))
+        at_head = begin[lead[border]] + left[lead[border]]
+        ahead = prefix.run(at_head, at_head + length - a) + mix(back[by[ends[border]]] + U64(a))
+        for i, key in zip(border.tolist(), ahead.tolist()):
             mine = (int(old_doc[i]), int(old_at[i]))
-            if group[r] in going_on:
+            if group[lead[i]] in going_on:
                 mine = seen.first.get(key, mine)
                 old_doc[i], old_at[i] = mine
-            if group[r] == group[-1]:
+            if group[lead[i]] == group[-1]:
                 kept[key] = mine
         whose = np.repeat(np.arange(len(lead)), np.diff(ends))
         mine = row[by]
         later = (doc[mine] != old_doc[whose]) | (at[mine] - a != old_at[whose])
         found.append((mine[later], np.full(int(later.sum()), a)))
     if n:
-        seen.first = {**seen.first, **kept} if group[-1] in going_on else kept
+        if group[-1] not in going_on:
+            seen.first = {}
+        seen.first.update(kept)
         seen.head = int(head[-1])
     none = np.zeros(0, np.int64)
     return tuple(np.concatenate([none, *x]) for x in zip(*found)) if found else (none, none)
