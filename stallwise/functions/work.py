@@ -26,9 +26,22 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stallwise/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, never used before."""
-    return f"{shared_folder(spark)}/stallwise/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def retire(spark: SparkSession) -> None:
+    """Delete every table that this application has written to the shared folder.
+
+    For the end of a job, when no DataFrame that reads them is used any more.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from frames import rows_of
-from stallwise.functions import expr as X
+from stallwise.functions import expr as X, work
 from stallwise.functions.skew import salted_join
 from stallwise.functions.work import fresh_path, shared_folder
 from stallwise.operators import clean
@@ -208,3 +208,12 @@ def test_messages_without_a_key_are_counted(spark):
     df = spark.createDataFrame([(m,) for m in messages], "value string")
     assert orders.parsed_orders(df).count() == 1
     assert orders.rejected_orders(df).count() == 2
+
+
+def test_retired_copies_are_gone(spark, monkeypatch):
+    own = f"{shared_folder(spark)}/stallwise/one-job"
+    monkeypatch.setattr(work, "_own_folder", lambda spark: own)
+    kept = work.cut(spark.range(3), "copy")
+    assert kept.count() == 3 and glob.glob(f"{own}/copy-*")
+    work.retire(spark)
+    assert not glob.glob(f"{own}*")
