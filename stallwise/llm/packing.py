@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,11 +15,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from stallwise.llm.common import blobs, column, cut, slices
 
-GRAIN = 32  # tokens that a queue's deficit must reach before the queue is served
+GRAIN = 32  # tokens that a queue's deficit must reach before the queue is served; divides the sequence length
+WEIGHTS = 1 << 20  # the sum of the queues' weights, about; with 2**40 grains products stay below 2**63
 MOST_QUEUES = 1024  # sources with a queue of their own; the smaller ones share one more
 BROADCAST_ROWS = 200_000  # of the table of queue positions, some 60 bytes each
 CACHE = 300_000  # words whose ids one task remembers
-_EDGE = re.compile(r"\s\s|^\s|\s$")
 
 
 class Encoder:
@@ -52,11 +51,20 @@ class Encoder:
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.added = [t for t in added if t]
         self.code = "H" if max([*ranks.values(), *added.values(), 0]) < 65536 else "I"
-        outer, self.words = self, {}
+        core, code = self.fast._core_bpe, self.code
 
         class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                ids = array(outer.code, outer.fast._core_bpe.encode_ordinary(" " + word)).tobytes()
+            """Ids of a word after a single space; None where it has white space at an end or is empty."""
+
+            def __missing__(self, word: str) -> bytes | None:
+                if not word or word[0].isspace() or word[-1].isspace():
+                    ids = None
+                elif word.isalpha():  # one piece of the pattern
+                    ids = array(code, core.encode_single_piece(b" " + word.encode())).tobytes()
+                elif word[-1] in ".,!?:;" and word[:-1].isalpha():  # two pieces
+                    ids = self[word[:-1]] + array(code, core.encode_single_piece(word[-1].encode())).tobytes()
+                else:
+                    ids = array(code, core.encode_ordinary(" " + word)).tobytes()
                 if len(self) >= CACHE:
                     self.clear()
                 self[word] = ids
@@ -72,11 +80,13 @@ class Encoder:
 
                 self.slow = Tokenizer.from_file(self.name)
             return array(self.code, self.slow.encode(text, add_special_tokens=False).ids).tobytes()
-        if _EDGE.search(text):
-            return array(self.code, self.fast.encode_ordinary(text)).tobytes()
         first, *rest = text.split(" ")
-        get = self.words
-        return array(self.code, self.fast.encode_ordinary(first)).tobytes() + b"".join([get[w] for w in rest])
+        if rest and first and not first[-1].isspace():
+            get = self.words
+            known = [get[w] for w in rest]
+            if None not in known:
+                return array(self.code, self.fast.encode_ordinary(first)).tobytes() + b"".join(known)
+        return array(self.code, self.fast.encode_ordinary(text)).tobytes()
 
 
 def _tokenise(name: str, end_id: int):
@@ -112,115 +122,157 @@ def _tokenise(name: str, end_id: int):
 
 @dataclass
 class Phase:
-    """A stretch of the output during which the same queues are served."""
+    """A stretch of the output, in grains, during which the same queues are served.
+
+    The grains of all queues stand in the order of their virtual times: the j-th grain of a queue
+    of weight w has (2j + 1) / 2w, queues in order on ties. ``grains`` 0 marks a tail: the
+    last tokens of one queue, less than a grain.
+    """
 
     at: int  # tokens of all queues before it
+    grains: int
     size: int  # tokens in it
-    grain: int
-    upto: dict[str, tuple[int, int, bool]]  # of each queue: weights before and with it; the last?
-    base: dict[str, int]  # tokens of each queue before it
-    weight: int  # of all its queues
-
-
-def _share(x, upto: int, weight: int, grain: int):
-    """Tokens that the queues up to one have had when the phase has served x: whole grains."""
-    whole, rest = x // (weight * grain), x % (weight * grain)
-    return (whole * upto + rest * upto // (weight * grain)) * grain
+    queues: list[str]
+    weight: np.ndarray
+    base: np.ndarray  # tokens of each of its queues before it
+
+    def counts(self, upto: np.ndarray) -> np.ndarray:
+        """Of each queue the grains among the first ``upto`` ones, exactly.
+
+        At virtual time upto / sum(w) the queues together have had that number but for half
+        their own number; the grains next in time make up the difference. Remainders are
+        whole numbers below 2**28, whose quotients doubles tell apart.
+        """
+        w, total = self.weight[:, None], int(self.weight.sum())
+        share = 2 * w * upto[None, :] + total
+        n = share // (2 * total)
+        rest = share - 2 * total * n
+        missing = upto - n.sum(0)
+        while (some := np.flatnonzero(missing > 0)).size:
+            q = ((2 * total - rest[:, some]) / w).argmin(0)
+            n[q, some] += 1
+            rest[q, some] -= 2 * total
+            missing[some] -= 1
+        while (some := np.flatnonzero(missing < 0)).size:
+            late = np.where(n[:, some] > 0, -rest[:, some] / w, -np.inf)
+            q = len(w) - 1 - late[::-1].argmax(0)
+            n[q, some] -= 1
+            rest[q, some] += 2 * total
+            missing[some] += 1
+        return n
+
+
+def position(j: int, q: int, weight: list[int]) -> int:
+    """How many grains come before the j-th one of queue q."""
+    before = 0
+    for other, w in enumerate(weight):
+        time = (2 * j + 1) * w
+        most = time // weight[q] if other < q else (time - 1) // weight[q]  # ties: queues in order
+        before += (most + 1) // 2
+    return before
 
 
 def phases(totals: dict[str, int], weights: dict[str, int], grain: int = GRAIN) -> list[Phase]:
     """When which queues are served.
 
-    While a phase lasts, queue q has had within two grains of its weight's share of all
-    tokens, at every point: the difference is the deficit it carries on, over windows and
-    partitions alike. A phase ends before its first queue runs dry; what that queue has left, a
-    few grains, follows at once, and the others go on in their own proportions.
+    While a phase lasts, each queue has had its weight's share of all grains at every point, but
+    for a deficit of a few grains that it carries on, over windows and partitions alike. A
+    phase ends where its first queue has no whole grain left, and the others go on in their own
+    proportions. Queues without weight are served when the others are dry. The tails, less
+    than a grain each, come last.
     """
-    left = {q: n for q, n in totals.items() if n > 0}
-    had = dict.fromkeys(left, 0)
+    left = {q: totals[q] // grain for q in sorted(totals) if totals[q] >= grain}
+    had = dict.fromkeys(totals, 0)
     out: list[Phase] = []
     at = 0
     while left:
-        for q in sorted(q for q in left if left[q] <= 4 * grain or weights[q] <= 0 and all(weights[p] <= 0 for p in left)):
-            out.append(Phase(at, left[q], 1, {q: (0, 1, True)}, {q: had[q]}, 1))
-            at += left.pop(q)
-        active = sorted(q for q in left if weights[q] > 0)
-        if not active:
-            continue
-        total = sum(weights[q] for q in active)
-        size = min((left[q] - 2 * grain) * total // weights[q] for q in active)
-        upto, before = {}, 0
-        for q in active:
-            upto[q] = (before, before + weights[q], q == active[-1])
-            before += weights[q]
-        out.append(Phase(at, size, grain, upto, {q: had[q] for q in active}, total))
-        for q in active:
-            low, high, last = upto[q]
-            n = (size if last else _share(size, high, total, grain)) - _share(size, low, total, grain)
-            had[q] += n
+        active = [q for q in left if weights[q] > 0] or list(left)
+        weight = [max(1, weights[q]) for q in active]
+        grains = min(position(left[q], i, weight) for i, q in enumerate(active))
+        base = np.array([had[q] for q in active], np.int64)
+        phase = Phase(at, grains, grains * grain, active, np.array(weight, np.int64), base)
+        out.append(phase)
+        for q, n in zip(active, phase.counts(np.array([grains]))[:, 0].tolist()):
+            had[q] += n * grain
             left[q] -= n
             if not left[q]:
                 left.pop(q)
-        at += size
+        at += grains * grain
+    for q in sorted(totals):
+        if size := totals[q] % grain:
+            out.append(Phase(at, 0, size, [q], np.ones(1, np.int64), np.array([had[q]])))
+            at += size
     return out
 
 
-def pieces_of(queue: str, begin: int, n: int, plan: list[Phase], length: int) -> list[tuple[int, int, int, int]]:
-    """(start, length, sequence, offset) of the pieces of n tokens that stand at ``begin`` in a queue."""
-    out = []
+def pieces_of(queue: list[str], begin: np.ndarray, n: np.ndarray, plan: list[Phase], length: int, grain: int = GRAIN):
+    """(row, start, length, sequence, offset) of the pieces of documents that stand in queues."""
+    names = np.array(queue, object)
+    parts: list[np.ndarray] = []
     for phase in plan:
-        if queue not in phase.upto:
-            continue
-        low, high, last = phase.upto[queue]
-        grain, weight = phase.grain, phase.weight
-        served = (phase.size if last else _share(phase.size, high, weight, grain)) - _share(phase.size, low, weight, grain)
-        u, v = max(begin - phase.base[queue], 0), min(begin + n - phase.base[queue], served)
-        if u >= v:
+        number = {q: i for i, q in enumerate(phase.queues)}
+        q = np.array([number.get(name, -1) for name in names.tolist()], np.int64)
+        rows = np.flatnonzero(q >= 0)
+        q = q[rows]
+        served = phase.counts(np.array([phase.grains]))[:, 0] * grain if phase.grains else np.array([phase.size])
+        u = np.maximum(begin[rows] - phase.base[q], 0)
+        v = np.minimum(begin[rows] + n[rows] - phase.base[q], served[q])
+        met = u < v
+        rows, q, u, v = rows[met], q[met], u[met], v[met]
+        if not len(rows):
             continue
-        skew, slack = phase.at % length, 2 * grain + 1
-        k = max(0, (u - slack) * weight // (high - low) + skew) // length
-        end = min(phase.size, (v + slack) * weight // (high - low) + 1)
-        cuts = np.arange(k, (end + skew) // length + 2) * length - skew
-        x = np.clip(cuts, 0, phase.size)
-        under = _share(x, low, weight, grain)
-        mine = (x if last else _share(x, high, weight, grain)) - under
-        first, after = np.maximum(mine[:-1], u), np.minimum(mine[1:], v)
-        for i in np.flatnonzero(first < after):
-            where = phase.at + int(x[i])
-            offset = where % length + int(under[i + 1] - under[i]) + int(first[i] - mine[i])
-            start = int(first[i]) + phase.base[queue] - begin
-            out.append((start, int(after[i] - first[i]), where // length, offset))
-    return out
+        skew = phase.at % length
+        if not phase.grains:
+            low, high = (skew + u) // length, (skew + v - 1) // length
+        else:
+            total = int(phase.weight.sum())
+            per = total / phase.weight[q]
+            slack = len(phase.queues) / 2 + 2 * per  # in grains of all queues
+            low = np.maximum(0, (u / grain * per - slack) * grain + skew) // length
+            high = np.minimum(phase.size, (v / grain * per + slack) * grain) + skew
+            low, high = low.astype(np.int64), (high // length).astype(np.int64)
+        count = high - low + 1
+        one = np.repeat(np.arange(len(rows)), count)
+        window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+        if phase.grains:
+            every, at = np.unique(np.concatenate([window, window + 1]), return_inverse=True)
+            cut_at = np.clip(every * length - skew, 0, phase.size)
+            counts = phase.counts(cut_at // grain) * grain
+            under = np.concatenate([np.zeros((1, len(every)), np.int64), np.cumsum(counts, 0)])
+            here, there = at[: len(window)], at[len(window) :]
+            mine, then = counts[q[one], here], counts[q[one], there]
+            ahead = under[q[one], there] - under[q[one], here]  # of queues before this one in the window
+            where = cut_at[here] + phase.at
+        else:
+            mine = np.clip(window * length - skew, 0, phase.size)
+            then = np.clip((window + 1) * length - skew, 0, phase.size)
+            ahead, where = np.zeros(len(window), np.int64), mine + phase.at
+        first, after = np.maximum(mine, u[one]), np.minimum(then, v[one])
+        real = first < after
+        one, first, after = one[real], first[real], after[real]
+        offset = (where[real] % length) + ahead[real] + first - mine[real]
+        start = first + phase.base[q[one]] - begin[rows[one]]
+        parts.append(np.stack([rows[one], start, after - first, where[real] // length, offset]))
+    found = np.concatenate(parts, 1) if parts else np.zeros((5, 0), np.int64)
+    return found[:, np.lexsort((found[1], found[0]))]
 
 
 def _cutter(plan: list[Phase], length: int):
-    by_queue: dict[str, list[Phase]] = {}
-    for phase in plan:
-        for q in phase.upto:
-            by_queue.setdefault(q, []).append(phase)
-
     def cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            counts = column(batch, "doc_tokens").to_pylist()
+            sums = np.concatenate([[0], np.cumsum(column(batch, "doc_tokens").to_numpy())])
             while at < batch.num_rows:
-                to, held = at, 0
-                while to < batch.num_rows and (to == at or held + counts[to] <= 1 << 20):
-                    held += counts[to]
-                    to += 1
+                to = max(at + 1, int(np.searchsorted(sums, sums[at] + (1 << 20), side="right")) - 1)
                 part = batch.slice(at, to - at)
-                at = to
-                rows, found, data = [], [], []
-                queues, begins = column(part, "queue").to_pylist(), column(part, "begin").to_pylist()
-                widths, ids = column(part, "width").to_pylist(), column(part, "ids")
-                for i, (queue, begin, n) in enumerate(zip(queues, begins, counts[to - part.num_rows : to])):
-                    mine = pieces_of(queue, begin, n, by_queue[queue], length)
-                    mine.sort()
-                    found += mine
-                    rows += [i] * len(mine)
-                    data.append(np.frombuffer(ids[i].as_buffer(), f"<u{widths[i]}").astype("<u4"))
-                start, size, sequence, offset = (np.array(x, np.int64) for x in zip(*found))
-                source = pa.array(rows, pa.int32())
+                begin, n = column(part, "begin").to_numpy(), column(part, "doc_tokens").to_numpy()
+                found = pieces_of(column(part, "queue").to_pylist(), begin, n, plan, length)
+                row, start, size, sequence, offset = found
+                ids = [
+                    np.frombuffer(x.as_buffer(), f"<u{w}").astype("<u4")
+                    for x, w in zip(column(part, "ids"), column(part, "width").to_pylist())
+                ]
+                source = pa.array(row)
                 yield pa.record_batch(
                     [
                         column(part, "doc_id").take(source),
@@ -230,10 +282,11 @@ def _cutter(plan: list[Phase], length: int):
                         column(part, "doc_tokens").take(source),
                         pa.array(sequence),
                         pa.array(offset),
-                        blobs(np.concatenate(data), size * 4),
+                        blobs(np.concatenate(ids), size * 4),
                     ],
                     ["doc_id", "queue", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
                 )
+                at = to
 
     return cutter
 
@@ -270,6 +323,8 @@ def pack(
     """
     if targets is not None and not 0 < len(targets) <= MOST_QUEUES:
         raise ValueError(f"name 1 to {MOST_QUEUES} sources")
+    if length % GRAIN:
+        raise ValueError(f"the length must be a multiple of {GRAIN}")
     base = docs.select(
         F.col(ident).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("queue"), F.col(text).alias("text")
     )
@@ -291,11 +346,11 @@ def pack(
     held = {r[0]: r[1] for r in totals.groupBy(queue_of.alias("q")).agg(F.sum("n")).collect()}
     if targets is None:
         total = sum(held.values())
-        scale = max(1, -(-total // (1 << 26)))
+        scale = max(1, -(-total // WEIGHTS))
         weights = {q: max(1, n // scale) for q, n in held.items()}
     else:
         scale = sum(targets.values())
-        weights = {q: round(targets.get(q, 0) / scale * (1 << 26)) for q in held}
+        weights = {q: round(targets.get(q, 0) / scale * WEIGHTS) for q in held}
     plan = phases(held, weights)
     order = Window.partitionBy("q").orderBy("queue", "part").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.withColumn("q", queue_of).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
