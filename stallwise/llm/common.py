@@ -20,7 +20,9 @@ from stallwise.functions.work import cut, fresh_path  # noqa: F401
 U64 = np.uint64
 NO_ID = (1 << 63) - 1  # stands for a NULL id, and sorts last
 SLICE = 1 << 20  # bytes of text that are handled at once, unless one text is longer
+HASHED = (1 << 18) - 1  # bytes whose prefix sums are held at once, unless one word is longer
 _BASE = 0x9E3779B97F4A7C55
+pa.set_memory_pool(pa.system_memory_pool())  # gives back what a worker frees; the default pool keeps it
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -102,7 +104,7 @@ class Words:
         at = 0
         while at < self.n:
             base = self.start[at]
-            to = max(at + 1, int(np.searchsorted(self.end, base + SLICE, side="right")))
+            to = max(at + 1, int(np.searchsorted(self.end, base + HASHED, side="right")))
             run = Prefix(self.data[base : self.end[to - 1]].astype(U64) + U64(1))
             out[at:to] = run.run(self.start[at:to] - base, end[at:to] - base)
             at = to

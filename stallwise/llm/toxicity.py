@@ -57,7 +57,11 @@ def fit(row: np.ndarray, slot: np.ndarray, value: np.ndarray, toxic: np.ndarray,
     many = np.array([np.count_nonzero(toxic == 0), np.count_nonzero(toxic == 1)], float)
     if not many.all():
         return None
-    df = np.stack([np.bincount(slot[toxic[row] == y], minlength=SLOTS) for y in (0, 1)]).astype(float)
+    df = np.zeros((2, SLOTS))
+    for at in range(0, len(row), 1 << 20):
+        some, bad = slot[at : at + (1 << 20)], toxic[row[at : at + (1 << 20)]] == 1
+        df[1] += np.bincount(some[bad], minlength=SLOTS)
+        df[0] += np.bincount(some[~bad], minlength=SLOTS)
     share = (df + 0.05) / (many[:, None] + 0.1)
     pooled = df.sum(0) / many.sum()
     error = np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / many).sum(), 1e-12))
@@ -66,7 +70,9 @@ def fit(row: np.ndarray, slot: np.ndarray, value: np.ndarray, toxic: np.ndarray,
     chosen = np.argsort(-clear, kind="stable")[:KEPT]
     chosen = np.sort(chosen[clear[chosen] > 0])
     odds = np.log(share[1] / share[0])
-    evidence = np.bincount(row, weights=np.where(clear[slot] > 0, odds[slot], 0) * value, minlength=len(toxic))
+    used = np.flatnonzero((clear > 0)[slot])
+    row, slot, value = row[used].astype(np.int64), slot[used].astype(np.int64), value[used].astype(float)
+    evidence = np.bincount(row, weights=odds[slot] * value, minlength=len(toxic))
     grade = np.zeros(len(toxic), np.int64)
     bad = np.flatnonzero(toxic == 1)
     grade[bad] = 1 + np.searchsorted(np.quantile(evidence[bad], [1 / 3, 2 / 3]), evidence[bad])
@@ -112,21 +118,25 @@ def learn(
     """Fit on at most SAMPLE labelled documents, chosen by a hash of their ids.
 
     Labels other than 0 and 1 and NULL ids do not count; of several labels of one id the largest
-    does. The sample's features (hashed words and counts, no texts) come to the driver.
+    does, and of several texts the last in order. The sample's features (hashed words and counts, no texts) come to the driver.
     """
     clean = labels.select(F.col(ident).cast("long").alias("__id"), F.col(label).cast("int").alias("toxic"))
     clean = clean.filter("__id is not null and toxic in (0, 1)").groupBy("__id").agg(F.max("toxic").alias("toxic"))
     chosen = clean.orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE)
     known = docs.select(F.col(ident).cast("long").alias("__id"), F.col(text).alias("text")).filter("text is not null")
     # at most SAMPLE ids and labels, 12 bytes each
-    known = known.join(F.broadcast(chosen), "__id").select("text", "toxic").limit(2 * SAMPLE)
-    rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in known.mapInArrow(_sampler, "toxic int, slots binary, values binary").toLocalIterator())
+    known = known.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    known = known.select("text", "toxic")
+    found = known.mapInArrow(_sampler, "toxic int, slots binary, values binary").toLocalIterator()
+    rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in found)
     if not rows:
         return None
-    slots = [np.frombuffer(r[1], "<u4") for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(s) for s in slots])
-    value = np.frombuffer(b"".join(r[2] for r in rows), np.uint8) / 16
-    return fit(row, np.concatenate(slots).astype(np.int64), value, np.array([r[0] for r in rows]))
+    toxic = np.array([r[0] for r in rows], np.int8)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) for r in rows])
+    slot = np.frombuffer(b"".join(r[1] for r in rows), "<u4")
+    value = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).astype(np.float32) / 16
+    del rows
+    return fit(row, slot, value, toxic)
 
 
 def _scorer(model: Model | None, names: list[str], text: str):
