@@ -193,7 +193,7 @@ def pooled(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", ident: str = "doc_id") -> Network | None:
     """Train on at most SAMPLE documents, chosen by hash, of each of the MOST_LANGUAGES commonest languages.
 
-    Only rows with ``may_learn``, a text and a language count. The sample alone comes to the driver, 8 kB from a
+    Only rows with ``may_learn``, a text and a language count; of several texts under one id one does. The sample alone comes to the driver, 8 kB from a
     random place of each text at most. None if there is nothing to learn from.
     """
     known = docs.filter(may_learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
@@ -202,9 +202,11 @@ def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
     size, order = F.length(text), F.xxhash64(F.col(ident).cast("string"), F.lit(5))
     part = F.substring(F.col(text), (F.pmod(order, F.greatest(size - 8000, F.lit(1))) + 1).cast("int"), F.lit(8000))
     rows = known.filter(F.col(lang).isin(names)).select(F.col(lang).alias("lang"), part.alias("part"), order.alias("h"))
-    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part")))
-    chosen = ranked.filter(F.col("n") <= SAMPLE).select("part", "lang").toLocalIterator()
-    return train(sorted((r[0].encode(), r[1]) for r in chosen))
+    # Ranks are taken of hashes alone, so that no text is sorted or moved but the chosen ones.
+    ranked = rows.select("lang", "h").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    chosen = ranked.filter(F.col("n") <= SAMPLE).select("lang", "h").distinct()  # MOST_LANGUAGES * SAMPLE rows at most
+    picked = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.max("part").alias("part"))
+    return train(sorted((r[0].encode(), r[1]) for r in picked.select("part", "lang").toLocalIterator()))
 
 
 def identify(docs: DataFrame, net: Network | None, text: str = "text", ident: str = "doc_id") -> DataFrame:
