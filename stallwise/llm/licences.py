@@ -234,7 +234,11 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
     size = F.length(text)
     order = F.xxhash64(F.col(text), F.lit(8))
     part = F.substring(F.col(text), (F.pmod(order, F.greatest(size - 20_000, F.lit(1))) + 1).cast("int"), F.lit(20_000))
-    rows = docs.filter(size > 0).select(part.alias("part"), order.alias("h")).distinct().orderBy("h", "part").limit(SAMPLE)
+    filled = docs.filter(size > 0)
+    # The hashes alone are sorted: of the texts only the chosen ones move.
+    chosen = filled.select(order.alias("h")).distinct().orderBy("h").limit(SAMPLE)
+    picked = filled.select(part.alias("part"), order.alias("h")).join(F.broadcast(chosen), "h")
+    rows = picked.groupBy("h").agg(F.max("part").alias("part")).select("part")
     pairs = [frozenset(zip(w, w[1:])) for some in TEMPLATES.values() for w in map(plain, some)]
     lines: list[str] = []
     for r in rows.toLocalIterator():
