@@ -72,6 +72,22 @@ TEMPLATES = {
     "unlicense": ["This is free and unencumbered software released into the public domain."],
     "proprietary": ["All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher."],
 }
+# How a family is named, in words as ``plain`` gives them; a window may tell several families only by these.
+NAMES = {
+    "apache": ["apache"],
+    "mit": ["mit", "permission is hereby granted free of charge"],
+    "gpl": ["gnu general", "gpl"],
+    "lgpl": ["lesser general", "library general", "lgpl"],
+    "agpl": ["affero general", "agpl"],
+    "bsd": ["bsd", "redistribution and use in source"],
+    "mpl": ["mozilla public", "mpl"],
+    "cc-by": ["cc by 0", "attribution 0"],
+    "cc-by-sa": ["cc by sa", "attribution sharealike"],
+    "cc-by-nc": ["cc by nc", "attribution noncommercial"],
+    "cc0": ["cc0", "waived all copyright"],
+    "unlicense": ["free and unencumbered"],
+    "proprietary": ["all rights reserved"],
+}
 SLOTS = 1 << 18
 STEP = 40  # words; a window is two steps, and each step but the first begins one
 SAMPLE = 400  # documents that give paragraphs without a licence, at most
@@ -97,20 +113,31 @@ def _grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return (mix(one) % U64(SLOTS)).astype(np.int64), (mix(two) % U64(SLOTS)).astype(np.int64)
 
 
-def windows(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First and after-last words of the windows: each paragraph (line), long ones in overlapping parts."""
+def windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and after-last words of the windows, and which are of joined lines.
+
+    A window is a line or a paragraph of lines up to one without a word; long ones come in overlapping
+    parts. Lines stand before paragraphs; a paragraph of one line is that line alone. Signs that
+    begin a line of comment (``#``, ``//``, ``*``) are no words, so a line of them alone ends a paragraph.
+    """
     if not words.n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     lines = np.concatenate([[0], np.cumsum(words.data == 10)])[words.start]
     owner = words.owner()
-    new = np.ones(words.n, bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (lines[1:] != lines[:-1])
-    begin = np.flatnonzero(new)
-    end = np.append(begin[1:], words.n)
-    count = np.maximum(1, -(-(end - begin) // STEP) - 1)
-    number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    first = np.repeat(begin, count) + number * STEP
-    return first, np.minimum(first + 2 * STEP, np.repeat(end, count))
+    parts = []
+    for most in (0, 1):
+        new = np.ones(words.n, bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (lines[1:] - lines[:-1] > most)
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], words.n)
+        if most:
+            several = lines[begin] != lines[end - 1]
+            begin, end = begin[several], end[several]
+        count = np.maximum(1, -(-(end - begin) // STEP) - 1)
+        number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        first = np.repeat(begin, count) + number * STEP
+        parts.append((first, np.minimum(first + 2 * STEP, np.repeat(end, count)), np.full(len(first), bool(most))))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 @dataclass
@@ -242,17 +269,52 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
     pairs = [frozenset(zip(w, w[1:])) for some in TEMPLATES.values() for w in map(plain, some)]
     lines: list[str] = []
     for r in rows.toLocalIterator():
-        for line in r[0].split("\n"):
-            words = line.split()[: 2 * STEP]
-            own = plain(" ".join(words))
-            held = set(zip(own, own[1:]))
-            if words and not any(len(held & p) >= CONFIRMED * len(p) for p in pairs):
-                lines.append(" ".join(words))
+        for paragraph in re.split(r"\n[\W_]*\n", r[0]):
+            own = plain(_LEADER.sub(b"\n", paragraph.encode().lower()).decode())
+            parts = [own[at : at + 2 * STEP] for at in range(0, max(len(own) - STEP, 1), STEP)]
+            if any(len(p.intersection(zip(x, x[1:]))) >= CONFIRMED * len(p) for x in parts for p in pairs):
+                continue  # its lines may hold a part of the notice each
+            lines += [" ".join(x) for x in (line.split()[: 2 * STEP] for line in paragraph.split("\n")) if x]
     return train(sorted(set(lines))[:4000])
 
 
 LICENCE = "array<struct<family:string,p:double,share:double,version:string,word:int>>"
 _VERSION = re.compile(rb"(?<![\w.])v?(\d+(?:\.\d+)*)(?![\w])")
+_REACH = 16  # words after a family's name in which its version stands
+_AFTER_NAME = re.compile(rb"(?:[^0-9a-z\x80-\xff]*[0-9a-z.\x80-\xff]+){0,%d}" % _REACH)
+_LEADER = re.compile(rb"\n[^\S\n]*(?:dnl|rem|c)(?=\s)")  # comment leaders that look like words
+_NAMED = {
+    family: re.compile(
+        rb"(?<![0-9a-z\x80-\xff])(?:%s)(?![0-9a-z\x80-\xff])"
+        % b"|".join(rb"[^0-9a-z\x80-\xff]+".join(rb"[0-9]+" if w == "0" else w.encode() for w in n.split()) for n in names)
+    )
+    for family, names in NAMES.items()
+}
+
+
+def _version(raw: bytes, family: str, named: dict[str, re.Match], joined: bool) -> str | None:
+    """The number that follows the family's name, before the next name; in a line without a name, the first number."""
+    if family in named:
+        begin = named[family].start()
+        others = [m.start() for m in named.values() if m.start() > begin]
+        reach = _AFTER_NAME.match(raw, named[family].end()).end()
+        # The name may hold the number itself.
+        hit = _VERSION.search(raw[begin : min([reach, *others])])
+        if hit:
+            return hit[1].decode()
+    hit = None if joined or len(named) > 1 else _VERSION.search(raw)
+    return hit[1].decode() if hit else None
+
+
+def _without(words: Words, a: int, b: int, lines: list[tuple[int, int]]) -> list[list[bytes]]:
+    """The words of a window in the stretches that the lines leave."""
+    rest, at = [], a
+    for start, end in [*sorted(lines), (b, b)]:
+        if start > at:
+            raw = _LEADER.sub(b"\n", words.data[words.start[at] : words.end[start - 1]].tobytes())
+            rest.append([b"0" if w.isdigit() else w for w in _TOKEN.findall(raw)])
+        at = max(at, end)
+    return rest
 
 
 def _scanner(model: Model, names: list[str], text: str):
@@ -262,30 +324,45 @@ def _scanner(model: Model, names: list[str], text: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             words = Words(*text_buffer(column(part, text)), lower=True, separator=_OTHER)
-            first, after = windows(words)
+            first, after, joined = windows(words)
             row, at, other, pairs = rows_of(words, first, after, model.place)
             p = probabilities(model.weight, row, at, other)
             best = p.argmax(1)
             found: list[list[dict]] = [[] for _ in range(part.num_rows)]
+            last: dict[tuple[int, str, bool], dict] = {}
+            told: dict[tuple[int, str], list[tuple[int, int]]] = {}  # words of the lines that tell a family
             owner = words.owner()
             for i in np.flatnonzero((best != unknown) & (pairs > 0)).tolist():
                 a, b = int(first[i]), int(after[i])
-                raw = words.data[words.start[a] : words.end[b - 1]].tobytes()
-                own = [b"0" if w.isdigit() else w for w in _TOKEN.findall(raw)]
-                held = set(zip(own, own[1:]))
-                family = model.families[best[i]]
-                share = max(len(held & t) / max(len(t), 1) for t in model.pairs[family])
-                if share < CONFIRMED:
-                    continue
                 doc = int(owner[a])
-                version = _VERSION.search(raw)
-                one = {"family": family, "p": float(p[i, best[i]]), "share": share, "version": version[1].decode() if version else None, "word": a - int(words.first[doc])}
-                last = found[doc][-1] if found[doc] else None
-                if last and last["family"] == family and one["word"] - last["word"] == STEP:
-                    if (share, one["p"]) > (last["share"], last["p"]):
-                        found[doc][-1] = one  # overlapping windows of one notice
-                else:
-                    found[doc].append(one)
+                raw = _LEADER.sub(b"\n", words.data[words.start[a] : words.end[b - 1]].tobytes())
+                named = {f: m for f, m in ((f, r.search(raw)) for f, r in _NAMED.items()) if m}
+                own = [b"0" if w.isdigit() else w for w in _TOKEN.findall(raw)]
+                whole = set(zip(own, own[1:]))
+                shares = {f: max(len(whole & t) / max(len(t), 1) for t in model.pairs[f]) for f in [*named, model.families[best[i]]]}
+                passed = [f for f in named if shares[f] >= CONFIRMED] or [model.families[best[i]]]
+                for family in passed:
+                    k, share = model.families.index(family), shares[family]
+                    lines = [x for x in told.get((doc, family), []) if x[0] < b and a < x[1]] if joined[i] else []
+                    if lines:  # what a line has told already is no second notice
+                        rest = _without(words, a, b, lines)
+                        held = {x for some in rest for x in zip(some, some[1:])}
+                        share = max(len(held & t) / max(len(t), 1) for t in model.pairs[family])
+                    if share < CONFIRMED:
+                        continue
+                    if not joined[i]:
+                        told.setdefault((doc, family), []).append((a, b))
+                    version = _version(raw, family, named, bool(joined[i]))
+                    one = {"family": family, "p": float(p[i, k]), "share": share, "version": version, "word": a - int(words.first[doc])}
+                    key = (doc, family, bool(joined[i]))
+                    if key in last and one["word"] - last[key]["word"] == STEP:
+                        if (share, one["p"]) > (last[key]["share"], last[key]["p"]):
+                            last[key].update(one)  # overlapping windows of one notice
+                    else:
+                        found[doc].append(one)
+                        last[key] = one
+            for some in found:
+                some.sort(key=lambda x: (x["word"], x["family"]))
             arrays = [pa.array(found, kind) if n == "licences" else column(part, n) for n in names]
             yield pa.record_batch(arrays, names)
 
@@ -295,9 +372,10 @@ def _scanner(model: Model, names: list[str], text: str):
 def with_licences(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` and ``licences``: per notice its family, probability, template share, version and first word.
 
-    Every paragraph (line) of the whole text is classified, long ones in overlapping windows of 80 words.
-    A family is told if it beats all others and the unknown class, and if the window holds 60 % of the
-    word pairs of one of its templates. NULL and empty texts have none (an empty list). Rows
+    Every line and every paragraph of several lines of the whole text is classified, long ones in
+    overlapping windows of 80 words. Where a family beats the unknown class, all families are told
+    that the window names and of which it holds 60 % of the word pairs of a template; if there is none, the
+    best family is if its pairs are held. What a line tells is not told again by its paragraph. NULL and empty texts have none (an empty list). Rows
     are scanned each for itself; an input column ``licences`` is replaced.
     """
     names = [c for c in docs.columns if c != "licences"]

@@ -161,6 +161,37 @@ def test_unknown_licences_and_odd_texts(spark):
     assert licences.with_licences(df.limit(0), licences.learn(df.limit(0))).isEmpty()
 
 
+def test_wrapped_and_dual_notices(spark):
+    model = licences.train(["the house is on the hill", "a word of the wise and the old"])
+    gpl = (
+        "This program is free software: you can redistribute it and/or modify\n{0}it under the terms of the GNU General Public License as published by\n"
+        "{0}the Free Software Foundation, either version 3 of the License, or\n{0}(at your option) any later version."
+    )
+    lgpl = (
+        "This library is free software; you can redistribute it and/or\n{0}modify it under the terms of the GNU Lesser General Public\n"
+        "{0}License as published by the Free Software Foundation; either\n{0}version 2.1 of the License, or (at your option) any later version."
+    )
+    bsd = (
+        "Copyright (c) 2019, Somebody\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following\nconditions are met:"
+    )
+    pointer = "Use of this source code is governed by a\n// BSD-style license that can be\n// found in the LICENSE file."
+    texts = {
+        1: gpl.format(" * "), 2: lgpl.format("# "), 3: bsd, 4: pointer, 5: gpl.format("dnl "),
+        6: "SPDX-License-Identifier: MIT OR Apache-2.0",
+        7: "Licensed under the Apache License, Version 2.0 and released under the MIT License.",
+        8: "Released under the MIT License.\nReleased under the MIT License.",
+        9: "Licensed under the Mozilla Public License, version 2.0.\nnothing else", 10: "Licensed under\nCC BY-SA 4.0.",
+        11: "the house\n\nReleased under the\n\nhill and MIT License",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: [(x.family, x.version) for x in r.licences] for r in licences.with_licences(df, model).collect()}
+    assert found == {
+        1: [("gpl", "3")], 2: [("lgpl", "2.1")], 3: [("bsd", None)], 4: [("bsd", None)], 5: [("gpl", "3")],
+        6: [("apache", "2.0"), ("mit", None)], 7: [("apache", "2.0"), ("mit", None)], 8: [("mit", None)] * 2,
+        9: [("mpl", "2.0")], 10: [("cc-by-sa", "4.0")], 11: [],
+    }
+
+
 # --- language -------------------------------------------------------------------------
 
 
