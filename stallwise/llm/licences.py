@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -91,6 +92,8 @@ NAMES = {
 SLOTS = 1 << 18
 STEP = 40  # words; a window is two steps, and each step but the first begins one
 SAMPLE = 400  # documents that give paragraphs without a licence, at most
+LINES = 4000  # windows of those documents that are learnt from, at most
+FILLER = 50_000  # words of them to put around notices, at most
 CONFIRMED = 0.6  # share of a template's word pairs that a window must hold
 _OTHER = np.ones(256, bool)
 _OTHER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -183,15 +186,16 @@ def _words(texts: list[str]) -> Words:
     return Words(np.frombuffer(b"".join(data), np.uint8), offsets, lower=True, separator=_OTHER)
 
 
-def train(unlicensed: list[str], seed: int = 3, rounds: int = 250) -> Model:
+def train(unlicensed: list[str], seed: int = 3, rounds: int = 250, filler_words: int = FILLER) -> Model:
     """Fit on varied templates against paragraphs of the corpus and notices of licences that do not exist.
 
     A fifth of the examples is held out to calibrate: one temperature divides the scores so that the
-    held-out likelihood is best, unknown class included.
+    held-out likelihood is best, unknown class included. Notices get words around them from the first
+    ``filler_words`` words of ``unlicensed``.
     """
     draw = np.random.default_rng(seed)
     families = list(TEMPLATES)
-    filler = [w for t in unlicensed for w in t.split()][:50_000] or ["text"]
+    filler = [w for t in unlicensed for w in t.split()][:filler_words] or ["text"]
     texts, label = [], []
     for k, name in enumerate(families):
         for template in TEMPLATES[name]:
@@ -252,30 +256,38 @@ _GENERAL = frozenset(
 )
 
 
-def learn(docs: DataFrame, text: str = "text") -> Model:
-    """Train with paragraphs from at most SAMPLE documents, chosen by hash, as examples without a licence.
+def sampled(examples: set[str], most: int) -> list[str]:
+    """At most ``most`` of the examples, those of smallest hash, in the order of their hashes."""
+    return sorted(examples, key=lambda x: hashlib.md5(x.encode()).digest())[:most]
 
-    The sample comes to the driver, 20 kB of a text at most. A sampled paragraph that holds a
-    template's pairs is no such example. Without documents the made-up notices stand alone.
+
+def learn(docs: DataFrame, text: str = "text", documents: int = SAMPLE, lines: int = LINES) -> Model:
+    """Train with windows of at most ``documents`` documents as examples without a licence.
+
+    The documents are chosen by hash and come to the driver, 20 kB of a text at most. Their lines and
+    paragraphs are cut into the windows of the scanner, of which ``lines`` at most are learnt from,
+    chosen by hash too. A sampled paragraph that holds a template's pairs is no such example. Without
+    documents the made-up notices stand alone.
     """
     size = F.length(text)
     order = F.xxhash64(F.col(text), F.lit(8))
     part = F.substring(F.col(text), (F.pmod(order, F.greatest(size - 20_000, F.lit(1))) + 1).cast("int"), F.lit(20_000))
     filled = docs.filter(size > 0)
     # The hashes alone are sorted: of the texts only the chosen ones move.
-    chosen = filled.select(order.alias("h")).distinct().orderBy("h").limit(SAMPLE)
+    chosen = filled.select(order.alias("h")).distinct().orderBy("h").limit(documents)
     picked = filled.select(part.alias("part"), order.alias("h")).join(F.broadcast(chosen), "h")
     rows = picked.groupBy("h").agg(F.max("part").alias("part")).select("part")
     pairs = [frozenset(zip(w, w[1:])) for some in TEMPLATES.values() for w in map(plain, some)]
-    lines: list[str] = []
+    examples: set[str] = set()
     for r in rows.toLocalIterator():
         for paragraph in re.split(r"\n[\W_]*\n", r[0]):
             own = plain(_LEADER.sub(b"\n", paragraph.encode().lower()).decode())
             parts = [own[at : at + 2 * STEP] for at in range(0, max(len(own) - STEP, 1), STEP)]
             if any(len(p.intersection(zip(x, x[1:]))) >= CONFIRMED * len(p) for x in parts for p in pairs):
                 continue  # its lines may hold a part of the notice each
-            lines += [" ".join(x) for x in (line.split()[: 2 * STEP] for line in paragraph.split("\n")) if x]
-    return train(sorted(set(lines))[:4000])
+            for words in map(str.split, {paragraph, *paragraph.split("\n")}):
+                examples.update(" ".join(words[at : at + 2 * STEP]) for at in range(0, max(len(words) - STEP, 1), STEP) if words)
+    return train(sampled(examples, lines))
 
 
 LICENCE = "array<struct<family:string,p:double,share:double,version:string,word:int>>"

@@ -192,6 +192,19 @@ def test_wrapped_and_dual_notices(spark):
     }
 
 
+def test_examples_without_a_licence_are_from_all_lines(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(licences, "train", lambda unlicensed, **_: seen.append(unlicensed))
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(i, "\n\n".join(f"{c}{i} line" for c in "abcxyzшя") + (f"\n\n{long}" if i == 0 else "")) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    licences.learn(docs, lines=60)
+    licences.learn(docs)
+    few, whole = seen
+    assert len(few) == 60 and {x[0] for x in few} >= set("abcxyzшя")
+    assert len(whole) == 8 * 30 + 4 and any(x.endswith("w199") for x in whole)  # four windows of the long line
+
+
 # --- language -------------------------------------------------------------------------
 
 
