@@ -77,7 +77,7 @@ def _sampler(k: int, length: int, lower: bool):
                 pa.array(np.concatenate([signed(key[ask]), signed(key[lead]), signed(mix(docs.astype(U64)))])),
                 pa.array(np.repeat(np.array([0, 2, 1], np.int8), [asks, leads, tells])),
                 pa.array(np.concatenate([doc[ask], none, docs])),
-                pa.array(np.concatenate([at[ask], none, none[:0], np.zeros(tells, np.int64)]).astype(np.int32)),
+                pa.array(np.concatenate([at[ask], size[size > 1], np.zeros(tells, np.int64)]).astype(np.int32)),
                 lists(known_at.astype(np.int32), np.concatenate([np.zeros(asks + leads, np.int64), np.diff(ends)]), pa.int32()),
             ],
             ["route", "kind", "doc", "at", "known"],
@@ -130,17 +130,58 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(tail)
 
 
+def _common(most: int):
+    """Rows come sorted by route; the count of the last route of a batch goes on in the next."""
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count = 0, 0
+        for batch in batches:
+            kind = longs(batch, "kind")
+            route = longs(batch, "route")[kind != 1]
+            places = np.where(kind == 2, longs(batch, "at"), 1)[kind != 1]
+            if not len(route):
+                continue
+            begin = runs(route)[:-1]
+            key, total = route[begin], np.add.reduceat(places, begin)
+            if key[0] == last:
+                total[0] += count
+            elif count > most:
+                yield pa.record_batch([pa.array([last], pa.int64())], ["key"])
+            last, count = int(key[-1]), int(total[-1])
+            yield pa.record_batch([pa.array(key[:-1][total[:-1] > most])], ["key"])
+        if count > most:
+            yield pa.record_batch([pa.array([last], pa.int64())], ["key"])
+
+    return common
+
+
+def sampled_positions(docs: DataFrame, k: int, length: int, lower: bool = False) -> DataFrame:
+    """Chosen positions dealt by the hash of their words, for ``positions_of`` and ``common_keys``.
+
+    What a task sees twice itself is known at once: those rows are spread evenly and only one row, with their
+    number, stands for the run, so a run that a third of all documents share brings one row from each
+    task to the task of its hash.
+    """
+    sampled = docs.select("__doc", "text").mapInArrow(_sampler(k, length, lower), "route long, kind byte, doc long, at int, known array<int>")
+    return sampled.repartition("route").sortWithinPartitions("route")
+
+
+def common_keys(places: DataFrame, most: int) -> DataFrame:
+    """``key``: hashes of runs chosen at more than ``most`` places."""
+    return places.mapInArrow(_common(most), "key long")
+
+
+def positions_of(places: DataFrame) -> DataFrame:
+    known = places.mapInArrow(_repeated, "__doc long, known array<int>")
+    return known.groupBy("__doc").agg(F.flatten(F.collect_list("known")).alias("marks"))
+
+
 def repeated_positions(docs: DataFrame, k: int, length: int, lower: bool = False) -> DataFrame:
     """``__doc``, ``marks``: chosen word positions whose k words are chosen elsewhere too.
 
-    ``docs`` has ``__doc`` and ``text``. What a task sees twice itself is known at once: those
-    rows are spread evenly and only one row stands for the run, so a run that a third of all
-    documents share brings one row from each task to the task of its hash.
+    ``docs`` has ``__doc`` and ``text``.
     """
-    sampled = docs.select("__doc", "text").mapInArrow(_sampler(k, length, lower), "route long, kind byte, doc long, at int, known array<int>")
-    dealt = sampled.repartition("route").sortWithinPartitions("route")
-    known = dealt.mapInArrow(_repeated, "__doc long, known array<int>")
-    return known.groupBy("__doc").agg(F.flatten(F.collect_list("known")).alias("marks"))
+    return positions_of(sampled_positions(docs, k, length, lower))
 
 
 def marked(marks: pa.Array, words: Words, at: np.ndarray) -> np.ndarray:

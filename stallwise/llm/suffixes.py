@@ -6,16 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from stallwise.llm.common import (
     SLICE, Prefix, U64, blobs, column, document_columns, longs, merged, mix, runs, signed, squeezed, unsqueezed, words_of,
 )
-from stallwise.llm.sampling import marked, pieces_of, repeated_positions
+from stallwise.llm.sampling import common_keys, marked, pieces_of, positions_of, sampled_positions
 from stallwise.llm.spans import without_spans
 
 HELD = 30_000  # suffixes that one task combines before they are shuffled
+MANY = 1000  # places of a head, above which its suffixes part into windows
+PARTED = 5000  # suffixes that part at once
 SUFFIXES = "kind byte, head long, route long, doc long, crc long, at int, left int, n int, words binary"
+NAMES = ["kind", "head", "route", "doc", "crc", "at", "left", "n", "words"]
 SPANS = "doc long, crc long, start int, n int"
 
 
@@ -61,8 +65,7 @@ def _suffixes(k: int, length: int):
             np.concatenate([told[3] - told[2], size[stay]]).astype(np.int32),
         ]
         raw = blobs(own.astype("<u4"), np.concatenate([none, size[stay] * 4]))
-        names = ["kind", "head", "route", "doc", "crc", "at", "left", "n", "words"]
-        return pa.record_batch([*(pa.array(x) for x in arrays), raw], names)
+        return pa.record_batch([*(pa.array(x) for x in arrays), raw], NAMES)
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -98,6 +101,54 @@ def _suffixes(k: int, length: int):
     return suffixes
 
 
+def _parted(length: int):
+    """Suffixes of heads with many places as one row a window (kind 2); spans and other suffixes as they are.
+
+    A window of such a head is named by its head and the hash of its words, and dealt by both, so that no
+    task gets all windows of a head. What a task sees of a window a second time is settled at once.
+    """
+
+    def windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        head, doc, crc, at, left, size = (longs(batch, c) for c in ("head", "doc", "crc", "at", "left", "n"))
+        words = np.frombuffer(b"".join(column(batch, "words").to_pylist()), "<u4")
+        prefix = Prefix(words.astype(U64) + U64(1))
+        count = size - length + 1
+        first = _expand(np.cumsum(size) - size, count)
+        start = _expand(at - left, count)
+        head, doc, crc, at = (np.repeat(x, count) for x in (head, doc, crc, at))
+        # where the head stands in the window is part of the name
+        key = mix(prefix.run(first, first + length) + mix((at - start).astype(U64)) + head.view(U64))
+        order = np.lexsort((start, doc, key, head))
+        ends = runs(head[order], key[order])
+        lead = order[np.repeat(ends[:-1], np.diff(ends))]
+        later = (doc[order] != doc[lead]) | (start[order] != start[lead])
+        gone, stay = order[later], order[~later]
+        told = merged(doc[gone], crc[gone], start[gone], start[gone] + length)
+        none = np.zeros(len(told[0]), np.int64)
+        arrays = [
+            np.repeat(np.array([1, 2], np.int8), [len(none), len(stay)]),
+            np.concatenate([none, head[stay]]),
+            np.concatenate([signed(mix(told[0].astype(U64))), signed(key[stay])]),
+            np.concatenate([told[0], doc[stay]]),
+            np.concatenate([told[1], crc[stay]]),
+            np.concatenate([told[2], start[stay]]).astype(np.int32),
+            np.zeros(len(none) + len(stay), np.int32),
+            np.concatenate([told[3] - told[2], np.full(len(stay), length)]).astype(np.int32),
+        ]
+        raw = pa.nulls(len(none) + len(stay), pa.binary())
+        yield pa.record_batch([*(pa.array(x) for x in arrays), raw], NAMES)
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many = column(batch, "many")
+            yield batch.filter(pa.compute.invert(many)).select(NAMES)
+            rest = batch.filter(many)
+            for at in range(0, rest.num_rows, PARTED):
+                yield from windows(rest.slice(at, PARTED))
+
+    return parted
+
+
 def suffix_array(group: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows of ``matrix`` in lexical order by group, and how many words each shares with the row before."""
     order = np.lexsort((*matrix.T[::-1], group))
@@ -180,6 +231,7 @@ def _neighbours(k: int, length: int):
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
+        first: dict[tuple[int, int], tuple[int, int]] = {}  # the last window of the slice before, and its first place
         for whole in batches:
             for at in range(0, whole.num_rows, 10_000):
                 batch = whole.slice(at, 10_000)
@@ -187,6 +239,19 @@ def _neighbours(k: int, length: int):
                 known = batch.filter(pa.array(kind == 1))
                 start = longs(known, "at")
                 yield _spans(longs(known, "doc"), longs(known, "crc"), start, start + longs(known, "n"))
+                window = batch.filter(pa.array(kind == 2))
+                if window.num_rows:
+                    own, route, doc, crc, start = (longs(window, c) for c in ("head", "route", "doc", "crc", "at"))
+                    # rows are in order of place within a route, and the sort here is stable
+                    order = np.lexsort((own, route))
+                    ends = runs(route[order], own[order])
+                    lead = order[ends[:-1]]
+                    names = list(zip(route[lead].tolist(), own[lead].tolist()))
+                    places = [first.get(x, y) for x, y in zip(names, zip(doc[lead].tolist(), start[lead].tolist()))]
+                    old = np.repeat(np.array(places, np.int64), np.diff(ends), axis=0)
+                    later = order[(doc[order] != old[:, 0]) | (start[order] != old[:, 1])]
+                    yield _spans(doc[later], crc[later], start[later], start[later] + length)
+                    first = {x: y for x, y in zip(names, places) if x[0] == int(route[-1])} | {x: y for x, y in first.items() if x[0] == int(route[-1])}
                 open_ = np.flatnonzero(kind == 0)
                 head = longs(batch, "head")[open_]
                 ends = runs(head)
@@ -206,12 +271,21 @@ def _neighbours(k: int, length: int):
     return neighbours
 
 
-def repeated_passages(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame:
-    """``__doc``, ``__crc``, ``start``, ``n``: passages whose ``length``-word windows start earlier too."""
+def parted_suffixes(docs: DataFrame, length: int, k: int) -> DataFrame:
+    """Settled spans, suffixes dealt by their heads and, for heads of more than MANY places, windows dealt by their words."""
     base = docs.select("__doc", "__crc", "text")
-    joint = squeezed(base).join(repeated_positions(base, k, length), "__doc")
+    places = sampled_positions(base, k, length)
+    joint = squeezed(base).join(positions_of(places), "__doc")
     suffixes = joint.mapInArrow(_suffixes(k, length), SUFFIXES)
-    dealt = suffixes.repartition("route").sortWithinPartitions("route", "doc", "at")
+    # A row of 8 bytes for MANY places at least: far less than the table
+    heads = F.broadcast(common_keys(places, MANY).select(F.col("key").alias("head"), F.lit(True).alias("many")))
+    flagged = suffixes.join(heads, "head", "left").withColumn("many", F.coalesce("many", F.lit(False)) & (F.col("kind") == 0))
+    return flagged.mapInArrow(_parted(length), SUFFIXES)
+
+
+def repeated_passages(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame:
+    """``__doc``, ``__crc``, ``start``, ``n``: passages whose ``length``-word windows start earlier too."""
+    dealt = parted_suffixes(docs, length, k).repartition("route").sortWithinPartitions("route", "doc", "at")
     return dealt.mapInArrow(_neighbours(k, length), SPANS).toDF("__doc", "__crc", "start", "n")
 
 
@@ -227,10 +301,11 @@ def dedup_passages(
 
     Suffixes are sampled where a run of ``k`` words has the smallest hash of a window: every window
     holds such a position, and equal windows hold the same. Suffixes whose heads of k words
-    occur once drop out. The others are sorted by head, then, head by head, by all their words:
-    neighbours in that array that share enough words form ranges, and within a range matches
-    extend to the left. Head, word and window hashes of 64 or 32 bits stand for the words: two different
-    windows of one head pass for equal only if their words agree in 64-bit hashes of both parts.
+    occur once drop out. Those of heads with more than MANY places part into their windows, which
+    meet by hash, so that no task holds a whole head. The others are sorted by head, then, head by
+    head, by all their words: neighbours in that array that share enough words form ranges, and within
+    a range matches extend to the left. Head, word and window hashes of 64 or 32 bits stand for the words: two different
+    windows of one head pass for equal only if their words agree in 64-bit hashes of both parts, or of the whole window.
 
     NULL text: no words, and it comes back empty. NULL ids: one document after all others. Rows
     of the same id and text are one document and get the same answer. Passages never cross

@@ -12,6 +12,7 @@ from llm import brute
 from pyspark.sql import functions as F
 
 from stallwise.llm import covertree, oddsketch, suffixes
+from stallwise.llm.common import document_columns
 from stallwise.llm.debruijn import dedup_substrings
 from stallwise.llm.graph import components
 from stallwise.llm.oddsketch import dedup_report, without_near_duplicates
@@ -81,6 +82,37 @@ def test_a_head_may_span_batches(spark, monkeypatch):
     assert {d: r.n_removed for d, r in done.items()} == {d: sum(g) for d, g in gone.items()}
 
 
+@pytest.mark.parametrize("rows_a_batch", ["10000", "3"])
+def test_a_common_head_is_shared_out(spark, monkeypatch, rows_a_batch):
+    """Lines and ends of passages that many documents share, in surroundings of their own."""
+    monkeypatch.setattr(suffixes, "MANY", 3)
+    monkeypatch.setattr(suffixes, "PARTED", 7)
+    length, k, n = 12, 4, 60
+    line, passage = [f"l{i}" for i in range(6)], [f"p{i}" for i in range(20)]
+    around = lambda i, x: [f"{x}{i}w{j}" for j in range(15)]
+    rows = [(i, " ".join([*around(i % 50, "a"), *line, *around(i, "b"), *passage[i % 3 :], *around(i, "c")])) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        base = docs.withColumns(document_columns()).withColumn("text", F.col("text"))
+        parts = suffixes.parted_suffixes(base, length, k).filter("kind <> 1")
+        most = parts.groupBy("route").count().agg(F.max("count")).first()[0]
+        done = {r.doc_id: r for r in dedup_passages(docs, length, k).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert rows_a_batch == "3" or most <= 32
+    gone = brute.repeated(rows, length)
+    assert {d: r.n_removed for d, r in done.items()} == {d: sum(g) for d, g in gone.items()}
+    for d, text in rows:
+        assert brute.words(done[d].text) == [w for w, g in zip(brute.words(text), gone[d]) if not g]
+
+
+@pytest.mark.parametrize("length,k", [(50, 16), (9, 4)])
+def test_passages_match_brute_force_in_parts(spark, monkeypatch, length, k):
+    monkeypatch.setattr(suffixes, "MANY", 2)
+    test_passages_match_brute_force(spark, length, k)
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(5, text), (5, text), (7, text + " tail"), (None, text), (None, text)]
