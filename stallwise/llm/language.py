@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stallwise.llm.common import column, slices, text_buffer
 
-HIDDEN = 8
+HIDDEN = 8  # units each way for 16 languages; more languages get more
 SPAN = 96  # bytes that the network reads in one go; a text is read span by span, to its end
 WIDTH = 2048  # spans side by side
-MOST_LANGUAGES = 64
 SAMPLE = 250  # labelled documents a language at most
+PART = 8000  # bytes of each at most; for more than 64 languages less, in proportion
+SCORES = 1 << 21  # texts times languages whose means are held at once
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -34,11 +35,17 @@ class Network:
         return [*self.byte, *self.turn, self.out, self.bias]
 
 
+def units(languages: int) -> int:
+    """Hidden units each way that tell this many languages apart."""
+    return HIDDEN * max(1, int(np.ceil((languages / 16) ** 0.5)))
+
+
 def fresh(languages: list[str], seed: int = 7) -> Network:
     draw = np.random.default_rng(seed)
-    byte = [draw.normal(0, 0.5, (256, 3 * HIDDEN)).astype(np.float32) for _ in range(2)]
-    turn = [draw.normal(0, HIDDEN**-0.5, (3 * HIDDEN, HIDDEN)).astype(np.float32) for _ in range(2)]
-    out = draw.normal(0, 0.3, (len(languages), 2 * HIDDEN)).astype(np.float32)
+    size = units(len(languages))
+    byte = [draw.normal(0, 0.5, (256, 3 * size)).astype(np.float32) for _ in range(2)]
+    turn = [draw.normal(0, size**-0.5, (3 * size, size)).astype(np.float32) for _ in range(2)]
+    out = draw.normal(0, 0.3, (len(languages), 2 * size)).astype(np.float32)
     return Network(languages, byte, turn, out, np.zeros(len(languages), np.float32))
 
 
@@ -48,7 +55,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _states(letters: np.ndarray, byte: np.ndarray, turn: np.ndarray, real: np.ndarray | None, order: range, keep: bool):
     """States (T, H, N) of one direction; with ``keep`` also what backpropagation needs."""
-    size = HIDDEN
+    size = turn.shape[1]
     table = np.ascontiguousarray(byte.T)
     h = np.zeros((size, letters.shape[1]), np.float32)
     out = np.empty((len(letters), size, letters.shape[1]), np.float32)
@@ -70,11 +77,11 @@ def _states(letters: np.ndarray, byte: np.ndarray, turn: np.ndarray, real: np.nd
 
 def position_probabilities(net: Network, letters: np.ndarray, real: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
     """For each position t of the spans (T, N): the probabilities (K, N) of its language."""
-    steps = range(len(letters))
+    steps, size = range(len(letters)), net.turn[0].shape[1]
     ahead, _ = _states(letters, net.byte[0], net.turn[0], real, steps, False)
     back, _ = _states(letters, net.byte[1], net.turn[1], real, steps[::-1], False)
     for t in steps:
-        score = net.out[:, :HIDDEN] @ ahead[t] + net.out[:, HIDDEN:] @ back[t] + net.bias[:, None]
+        score = net.out[:, :size] @ ahead[t] + net.out[:, size:] @ back[t] + net.bias[:, None]
         score -= score.max(0)
         np.exp(score, out=score)
         score /= score.sum(0)
@@ -83,7 +90,7 @@ def position_probabilities(net: Network, letters: np.ndarray, real: np.ndarray |
 
 def gradients(net: Network, letters: np.ndarray, label: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean loss over all positions that are letters, and its gradient by backpropagation through time."""
-    size, n = HIDDEN, letters.shape[1]
+    size, n = net.turn[0].shape[1], letters.shape[1]
     steps = range(len(letters))
     runs = [
         _states(letters, net.byte[0], net.turn[0], None, steps, True),
@@ -128,7 +135,10 @@ def gradients(net: Network, letters: np.ndarray, label: np.ndarray) -> tuple[flo
 
 
 def train(texts: list[tuple[bytes, str]], rounds: int = 320, batch: int = 192, span: int = 48, seed: int = 11) -> Network | None:
-    """A network from (text, language) pairs: random spans, languages in equal parts, Adam."""
+    """A network from (text, language) pairs: random spans, languages in equal parts, Adam.
+
+    Many languages get more rounds, so that each is seen ``batch * rounds / 64`` times at least.
+    """
     languages = sorted({lang for _, lang in texts})
     if not languages:
         return None
@@ -139,10 +149,11 @@ def train(texts: list[tuple[bytes, str]], rounds: int = 320, batch: int = 192, s
     usable = [k for k, some in enumerate(by) if some]
     if not usable:
         return None
+    rounds = max(rounds, -(-rounds * len(usable) // 64))
     params = net.arrays()
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, rounds + 1):
-        label = np.resize(usable, batch)
+        label = np.take(usable, np.arange((step - 1) * batch, step * batch), mode="wrap")
         letters = np.empty((span, batch), np.uint8)
         for i, k in enumerate(label):
             x = by[k][draw.integers(len(by[k]))]
@@ -191,20 +202,20 @@ def pooled(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", ident: str = "doc_id") -> Network | None:
-    """Train on at most SAMPLE documents, chosen by hash, of each of the MOST_LANGUAGES commonest languages.
+    """Train on at most SAMPLE documents, chosen by hash, of each language.
 
-    Only rows with ``may_learn``, a text and a language count; of several texts under one id one does. The sample alone comes to the driver, 8 kB from a
-    random place of each text at most. None if there is nothing to learn from.
+    Only rows with ``may_learn``, a text and a language count; of several texts under one id one does. The sample alone comes to the driver, PART
+    characters from a random place of each text at most, fewer for more than 64 languages. None if there is nothing to learn from.
     """
     known = docs.filter(may_learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
-    common = known.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    names = [r[0] for r in common.collect()]
+    languages = known.select(lang).distinct().count()
+    most = max(PART * 64 // max(languages, 64), 2 * SPAN)
     size, order = F.length(text), F.xxhash64(F.col(ident).cast("string"), F.lit(5))
-    part = F.substring(F.col(text), (F.pmod(order, F.greatest(size - 8000, F.lit(1))) + 1).cast("int"), F.lit(8000))
-    rows = known.filter(F.col(lang).isin(names)).select(F.col(lang).alias("lang"), part.alias("part"), order.alias("h"))
+    part = F.substring(F.col(text), (F.pmod(order, F.greatest(size - most, F.lit(1))) + 1).cast("int"), F.lit(most))
+    rows = known.select(F.col(lang).alias("lang"), part.alias("part"), order.alias("h"))
     # Ranks are taken of hashes alone, so that no text is sorted or moved but the chosen ones.
     ranked = rows.select("lang", "h").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    chosen = ranked.filter(F.col("n") <= SAMPLE).select("lang", "h").distinct()  # MOST_LANGUAGES * SAMPLE rows at most
+    chosen = ranked.filter(F.col("n") <= SAMPLE).select("lang", "h").distinct()  # SAMPLE rows a language at most
     picked = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.max("part").alias("part"))
     return train(sorted((r[0].encode(), r[1]) for r in picked.select("part", "lang").toLocalIterator()))
 
@@ -223,8 +234,13 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", ident: st
             if net is None:
                 names, score = [None] * part.num_rows, np.zeros(part.num_rows)
             else:
-                p = pooled(net, *text_buffer(column(part, "text")))
-                names, score = [net.languages[i] for i in p.argmax(1)], p.max(1)
+                names, scores = [], [np.zeros(0)]
+                step = max(1, SCORES // len(net.languages))
+                for at in range(0, part.num_rows, step):
+                    p = pooled(net, *text_buffer(column(part.slice(at, step), "text")))
+                    names += [net.languages[i] for i in p.argmax(1)]
+                    scores.append(p.max(1))
+                score = np.concatenate(scores)
             yield pa.record_batch([column(part, "doc_id"), column(part, "letter"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "letter", "lang", "p"])
 
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letter")

@@ -251,6 +251,31 @@ def test_texts_without_letters_and_spans_of_any_length(spark):
     assert language.learn(empty, F.lit(True)) is None
 
 
+def test_every_language_is_learnt(spark, monkeypatch):
+    """Seventy languages, each with words and documents of its own; the rarest have fewest documents."""
+    monkeypatch.setattr(language, "SCORES", 700)
+    draw = random.Random(2)
+    names = [f"l{i:02}" for i in range(70)]
+    words = {n: ["".join(chr(0x400 + 3 * i + draw.randrange(3)) for _ in range(5)) for _ in range(6)] for i, n in enumerate(names)}
+    text = lambda n: " ".join(draw.choice(words[n]) for _ in range(60))
+    rows = [(100 * i + j, text(n), n) for i, n in enumerate(names) for j in range(2 if i < 6 else 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.learn(docs, F.lit(True))
+    assert net.languages == names
+    fresh = spark.createDataFrame([(i, text(n)) for i, n in enumerate(names)], "doc_id long, text string").coalesce(1)
+    told = {r.doc_id: r.lang_pred for r in language.identify(fresh, net).collect()}
+    assert np.mean([told[i] == n for i, n in enumerate(names)]) >= 0.9
+    assert np.mean([told[i] == names[i] for i in range(6)]) >= 0.8
+    assert language.units(4) == language.HIDDEN < language.units(70)
+
+
+def test_no_language_is_left_out_of_the_batches(monkeypatch):
+    seen = set()
+    monkeypatch.setattr(language, "gradients", lambda net, letters, label: (seen.update(label.tolist()), [np.zeros_like(p) for p in net.arrays()]))
+    language.train([(b"some text", f"l{i}") for i in range(300)], rounds=2)
+    assert seen == set(range(300))
+
+
 def test_a_long_text_is_the_mean_of_its_spans():
     net = language.train([(b"the and of with this cat " * 9, "en"), (b"der die das und ist mit " * 9, "de")], rounds=20)
     first, second = b"the and of" * 30, b"der die das und" * 50
