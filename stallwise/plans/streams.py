@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, functions as F
 
 from stallwise.functions import expr as X
@@ -32,25 +34,28 @@ class Streamed(Tables):
 
 
 BATCHES = 4
-LATE_BY = "8 days"  # events come in four batches of about a week each, in any order within one
+LATE_BY = "8 days"  # a batch holds no row from before the end of the last one, so however long it is none is too late
 
 
-def _events(t: Tables) -> DataFrame:
-    """The events as a stream of several micro-batches, in order of time from batch to batch."""
-    first, last = t.events.agg(F.min("ts"), F.max("ts")).first()
+def _events(t: Tables) -> tuple[DataFrame, Iterator[int]]:
+    """The events as a stream, and the steps that write them: in order of time, each step one micro-batch."""
     path = fresh_path(t.spark, "events")
-    if first is None:
-        t.events.write.parquet(path)
-    for i in range(BATCHES if first is not None else 0):
-        begin, end = (first + (last - first) * n / BATCHES for n in (i, i + 1))
-        upto = F.col("ts") < X.at(end) if i < BATCHES - 1 else F.lit(True)
-        t.events.filter((F.col("ts") >= X.at(begin)) & upto).write.mode("append").parquet(path)
-    files = len(t.spark.read.parquet(path).inputFiles())
-    return readers.stream_table(t.spark, path, t.events.schema, max_files=max(1, files // BATCHES))
+    t.events.limit(0).write.parquet(path)
+
+    def written() -> Iterator[int]:
+        first, last = t.events.agg(F.min("ts"), F.max("ts")).first()
+        for i in range(BATCHES if first is not None else 0):
+            begin, end = (first + (last - first) * n / BATCHES for n in (i, i + 1))
+            upto = F.col("ts") < X.at(end) if i < BATCHES - 1 else F.lit(True)
+            t.events.filter((F.col("ts") >= X.at(begin)) & upto).write.mode("append").parquet(path)
+            yield i
+
+    return readers.stream_table(t.spark, path, t.events.schema, max_files=2**31 - 1), written()
 
 
-def _windows(t: Tables, length: str, *keys: str, slide: str | None = None) -> DataFrame:
-    return counts.windowed_counts(_events(t), "ts", length, *keys, slide=slide, late_by=LATE_BY)
+def _windows(t: Tables, length: str, *keys: str, slide: str | None = None) -> tuple[DataFrame, Iterator[int]]:
+    events, feed = _events(t)
+    return counts.windowed_counts(events, "ts", length, *keys, slide=slide, late_by=LATE_BY), feed
 
 
 def _sql_windows(seconds: int, slide: int, keys: str = "event_type, ") -> str:
@@ -64,19 +69,21 @@ FROM (SELECT *, (CAST(floor(epoch(ts)) AS BIGINT) // {slide} - step) * {slide} A
 
 @query("ST2 A6 ST12", _sql_windows(5, 5))
 def st_tumbling(t: Tables) -> DataFrame:
-    totals = run.replay(_windows(t, "5 seconds", "event_type"), ["window_start", "window_end", "event_type"])
+    windows, feed = _windows(t, "5 seconds", "event_type")
+    totals = run.replay(windows, ["window_start", "window_end", "event_type"], feed)
     return shown(totals, "window_start", "window_end")
 
 
 @query("ST4", _sql_windows(60, 10))
 def st_sliding(t: Tables) -> DataFrame:
-    windows = _windows(t, "60 seconds", "event_type", slide="10 seconds")
-    return shown(run.replay(windows, ["window_start", "window_end", "event_type"]), "window_start", "window_end")
+    windows, feed = _windows(t, "60 seconds", "event_type", slide="10 seconds")
+    return shown(run.replay(windows, ["window_start", "window_end", "event_type"], feed), "window_start", "window_end")
 
 
 @query("ST8", _sql_windows(3600, 3600, ""))
 def st_count(t: Tables) -> DataFrame:
-    return shown(run.replay(_windows(t, "1 hour"), ["window_start", "window_end"]), "window_start", "window_end")
+    windows, feed = _windows(t, "1 hour")
+    return shown(run.replay(windows, ["window_start", "window_end"], feed), "window_start", "window_end")
 
 
 @query("ST3 ST1 ST12", SQL_WORDS)
@@ -95,14 +102,16 @@ SELECT window_start, window_end, category, product, n, rank FROM (
 WHERE rank <= 3""",
 )
 def st_top3(t: Tables) -> DataFrame:
-    totals = run.replay(_product_windows(t), ["window_start", "window_end", "category", "product"])
+    windows, feed = _product_windows(t)
+    totals = run.replay(windows, ["window_start", "window_end", "category", "product"], feed)
     return shown(run.top_per_window(totals, "category", "product"), "window_start", "window_end")
 
 
-def _product_windows(t: Tables) -> DataFrame:
+def _product_windows(t: Tables) -> tuple[DataFrame, Iterator[int]]:
+    events, feed = _events(t)
     line = F.concat_ws(" ", F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("event_type"))
-    clicks = counts.product_clicks(_events(t).select("ts", line.alias("value")))
-    return counts.windowed_counts(clicks, "ts", "1 day", "category", "product", slide="12 hours", late_by=LATE_BY)
+    clicks = counts.product_clicks(events.select("ts", line.alias("value")))
+    return counts.windowed_counts(clicks, "ts", "1 day", "category", "product", slide="12 hours", late_by=LATE_BY), feed
 
 
 @query(
@@ -117,7 +126,8 @@ WHERE rank <= 3""",
 )
 def st_top3_closing(t: Tables) -> DataFrame:
     """The top three of each window, ranked as the window closes."""
-    ranked = run.replay_closing(_product_windows(t), "category", "product")
+    windows, feed = _product_windows(t)
+    ranked = run.replay_closing(windows, "category", "product", feed=feed)
     return shown(ranked, "window_start", "window_end")
 
 

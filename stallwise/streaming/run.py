@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
@@ -29,26 +29,41 @@ def start(
     return query.start()
 
 
-def replay(stream: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+def _drain(stream: DataFrame, writer: BatchWriter, checkpoint: str, mode: str, feed: Iterable[object] | None) -> None:
+    """Run a query over all that is available: once, or once after each step of ``feed``, which may lose no row."""
+    for _ in [None] if feed is None else feed:
+        query = start(stream, writer, checkpoint, mode)
+        query.awaitTermination()
+        lost = 0 if feed is None else dropped_rows(query)
+        if lost:
+            raise ValueError(f"{lost} rows came later than the watermark allows")
+
+
+def replay(stream: DataFrame, keys: Sequence[str] | None = None, feed: Iterable[object] | None = None) -> DataFrame:
     """Run a stream over everything available and return what its sink then holds.
 
+    ``feed`` adds to the stream's source step by step. All that a step adds is read before the next,
+    and rows that come too late are an error then; without it they are dropped.
+
     With ``keys`` the stream emits running totals and the latest per key is returned,
     otherwise it appends rows.
     """
     spark = stream.sparkSession
     path, checkpoint = fresh_path(spark, "deltas"), fresh_path(spark, "offsets")
     mode = "append" if keys is None else "update"
-    start(stream, delta_sink(path), checkpoint, mode).awaitTermination()
+    _drain(stream, delta_sink(path), checkpoint, mode, feed)
     if keys is None:
         return read_deltas(spark, path, stream.schema).drop("run", "batch_id")
     return latest_deltas(spark, path, stream.schema, keys)
 
 
-def replay_closing(counted: DataFrame, category: str, product: str, n: int = 3) -> DataFrame:
+def replay_closing(
+    counted: DataFrame, category: str, product: str, n: int = 3, feed: Iterable[object] | None = None
+) -> DataFrame:
     """Top products of each window, ranked inside the stream when the watermark closes the window.
 
     In append mode a window leaves the state once, complete, so its ranks are final. Windows
-    that are still open when the stream ends stay in its checkpoint.
+    that are still open when the stream ends stay in its checkpoint. ``feed`` is as in ``replay``.
     """
     spark = counted.sparkSession
     path, checkpoint = fresh_path(spark, "deltas"), fresh_path(spark, "offsets")
@@ -58,7 +73,7 @@ def replay_closing(counted: DataFrame, category: str, product: str, n: int = 3)
     def ranked(batch: DataFrame, batch_id: int) -> None:
         write(top_per_window(batch, category, product, n), batch_id)
 
-    start(counted, ranked, checkpoint, "append").awaitTermination()
+    _drain(counted, ranked, checkpoint, "append", feed)
     return read_deltas(spark, path, schema).drop("run", "batch_id")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import DATA
 from frames import rows_of, timed
 from stallwise.functions.work import fresh_path
+from stallwise.plans import streams
 from stallwise.plans.registry import Tables
 from stallwise.sources import readers, writers
 from stallwise.streaming import counts, orders, run
@@ -70,6 +71,36 @@ def test_late_rows_are_dropped_after_the_watermark(spark):
     assert found.agg(F.sum("n")).first()[0] == 3
 
 
+def test_windows_of_a_long_table_lose_no_rows(spark, tmp_path, monkeypatch):
+    """400 days, far more than the watermark allows, in files of uneven numbers a quarter."""
+    ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 8640).cast("timestamp_ntz")
+    schema = Tables(spark, f"{DATA}/sf0.001").events.schema
+    made = {"ts": ts, "event_id": F.col("id"), "event_type": F.lit("a")}
+    rows = spark.range(4000).select(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
+    rows.repartitionByRange(7, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    table = Tables(spark, str(tmp_path))
+    monkeypatch.setitem(vars(table), "events", spark.read.parquet(f"{tmp_path}/events.parquet"))
+    batches = []
+    stream, feed = streams._events(table)
+    note = lambda batch, _: batches.append(tuple(batch.agg(F.min("event_id"), F.max("event_id"), F.count("*")).first()))
+    checkpoint = fresh_path(spark, "offsets")
+    for _ in feed:
+        run.start(stream, note, checkpoint, "append").awaitTermination()
+    assert [b[2] for b in batches] == [1000] * 4 and all(x[1] < y[0] for x, y in zip(batches, batches[1:]))
+    assert streams.st_count(table).agg(F.sum("n")).first()[0] == 4000
+
+
+def test_a_row_that_a_feed_brings_too_late_is_an_error(spark):
+    path = fresh_path(spark, "late")
+    make = lambda x: timed(spark, [("a", f"2024-01-01 {x}")], "k string, ts string", "ts")
+    _append(make("00:00:01").limit(0), path)
+    stream = readers.stream_table(spark, path, make("00:00:01").schema)
+    windows = counts.windowed_counts(stream, "ts", "1 minute", "k", late_by="10 minutes")
+    feed = (_append(make(x), path) for x in ("02:00:00", "02:05:00", "00:00:02"))
+    with pytest.raises(ValueError, match="1 rows"):
+        run.replay(windows, ["window_start", "k"], feed)
+
+
 def test_block_list_on_a_stream(spark, events):
     table, stream = events
     blocked = table.filter("event_type = 'error'").select("user_id").distinct()
