@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stallwise.llm.covertree import vector_links
 from stallwise.llm.debruijn import dedup_substrings
 from stallwise.llm.decontaminate import with_leaks
+from stallwise.llm.divergence import audit
 from stallwise.llm.extraction import extract_text
 from stallwise.llm.language import identify, learn
 from stallwise.llm.licences import learn as learn_licences, with_licences
 from stallwise.llm.oddsketch import dedup_report
 from stallwise.llm.packing import pack
+from stallwise.llm.periods import with_runs
 from stallwise.llm.suffixes import dedup_passages
 from stallwise.llm.toxicity import THRESHOLD, learn as learn_toxicity, with_severity
+from stallwise.llm.voronoi import top_products
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -159,3 +162,96 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     told = with_severity(docs, learn_toxicity(docs, table(spark, folder, "labels")))
     toxic = F.col("p_toxic") >= THRESHOLD
     return told.select("doc_id", toxic.alias("toxic"), (~toxic).alias("kept"), F.round("p_toxic", 6).alias("p_toxic"), F.round("severity", 6).alias("severity"))
+
+
+@query(
+    sql=r"""
+    WITH RECURSIVE b AS (
+      SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    crc(doc_id, s, k, x) AS (
+      SELECT doc_id, s, 0, 4294967295::BIGINT FROM b
+      UNION ALL
+      SELECT doc_id, s, k + 1, CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END
+      FROM (SELECT *, CASE WHEN k % 8 = 0 THEN xor(x, ascii(s[k // 8 + 1])::BIGINT) ELSE x END AS y FROM crc WHERE k < 8 * len(s))),
+    h AS (SELECT doc_id, xor(x, 4294967295::BIGINT) AS h FROM crc WHERE k = 8 * len(s)),
+    a AS (SELECT doc_id, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM b JOIN h USING (doc_id)),
+    o AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM b),
+    m AS (
+      SELECT doc_id, n, i, CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END AS j
+      FROM a JOIN o USING (doc_id)),
+    t AS (SELECT m.doc_id, n, m.i, word FROM m JOIN o ON m.doc_id = o.doc_id AND m.j = o.i),
+    p AS (
+      SELECT x.doc_id, y.i - x.i AS q, x.i FROM t x JOIN t y
+      ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+    l AS (
+      SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM p)
+      GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+    r AS (SELECT doc_id, start, length, min(q) AS period FROM l GROUP BY doc_id, start, length),
+    best AS (
+      SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+    told AS (
+      SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+      FROM r GROUP BY doc_id),
+    gone AS (SELECT DISTINCT t.doc_id, t.i FROM t JOIN r ON t.doc_id = r.doc_id AND t.i >= r.start + r.period AND t.i < r.start + r.length),
+    left_ AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT b.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+      (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+    FROM b LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN left_ USING (doc_id)"""
+)
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of words that repeat four times or more in a row, one document in ten said over again first."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    told = with_runs(docs, least=6, repeats=4, double_by="doc_id", digests=True)
+    return told.drop("text")
+
+
+@query(
+    sql=r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+    k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 3),
+    v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    own AS (SELECT lang, source, sum(n) AS n FROM c SEMI JOIN k USING (lang, term) GROUP BY lang, source),
+    p AS (
+      SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(own.n, 0) + v.v) AS p,
+        1 + (1000000000::HUGEINT * (k.n + 1)) // (v.n + v.v) AS q
+      FROM g JOIN v ON g.lang = v.lang JOIN k ON g.lang = k.lang LEFT JOIN own ON own.lang = g.lang AND own.source = g.source
+        LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    s AS (
+      SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    e AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM e)
+    WHERE part = 'pair' OR rank <= 200"""
+)
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the sources of each language lie apart, and the terms that set each one apart."""
+    return audit(table(spark, folder, "documents").select("lang", "source", "text"), terms=200, least=3)
+
+
+@query(
+    sql="""
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+      WHERE list_count(embedding) = len(embedding) AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))),
+    s AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+    SELECT query_id, rank::INT AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+)
+def op13_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The five rows of highest inner product with each vector whose id is divisible by 50."""
+    return top_products(table(spark, folder, "embeddings"), k=5, every=50, scale=256.0)
