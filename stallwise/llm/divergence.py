@@ -14,6 +14,8 @@ TERMS_AT_ONCE = 4 << 20  # bytes of text whose terms are sorted together
 LEAST_DOCUMENTS = 3
 SCALE = 1_000_000_000
 SOURCES = 256  # sources of a language in one block of pairs
+SHARD = 100_000  # counts of a language in one shard of its terms, about
+SHARDS = 8  # of a language at least
 CELLS = 1 << 20  # pairs times terms that are held at once
 _OTHER = np.ones(256, bool)  # bytes that no term holds
 _OTHER[65:91] = _OTHER[97:123] = _OTHER[128:] = False
@@ -248,7 +250,6 @@ def audit(
     pairs with value 0 if the language keeps no term. An empty table gives an empty one.
     """
     base = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
-    spark = docs.sparkSession
     group = ["lang", "source"]
     found = mapped(base, _counter, "lang string, source string, term string, n long, docs long")
     counts = found.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -271,12 +272,12 @@ def audit(
     best = Window.partitionBy(*group).orderBy(F.desc("value"), "item")
     told = told.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= terms)
 
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     block = F.floor(F.col("number") / SOURCES)
-    lasts = groups.groupBy("lang").agg(F.max(block).alias("last"))
-    placed = kept.join(groups, group).join(lasts, "lang").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    most = kept.groupBy("lang").agg(F.greatest(F.ceil(F.count("*") / SHARD), F.lit(SHARDS)).alias("shards"))
+    lasts = groups.groupBy("lang").agg(F.max(block).alias("last")).join(most, "lang")
+    placed = kept.join(groups, group).join(lasts, "lang").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")))
     placed = placed.select("lang", "number", "last", "shard", "id", "n", F.lit(0).cast("long").alias("total"), F.lit(False).alias("lead"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))
     heads = groups.filter("v > 0").join(lasts, "lang").withColumn("shard", every)
     heads = heads.select(
         "lang", "number", "last", "shard", F.lit(-1).cast("long").alias("id"), F.lit(0).cast("long").alias("n"), (F.col("total") + F.col("v")).alias("total"), F.lit(True).alias("lead")
@@ -287,7 +288,7 @@ def audit(
     two = rows.withColumn("other", others).select("*", F.lit(1).alias("side"), F.col("other").alias("i"), block.alias("j"))
     key = ["lang", "shard", "i", "j"]
     dealt = one.union(two).select(*key, "side", "number", "n", "total", "id", "lead")
-    dealt = dealt.repartition(shards, *key).sortWithinPartitions(*key, F.desc("lead"), "id")
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key, F.desc("lead"), "id")
     sums = mapped(dealt, _divergences, "lang string, a long, b long, value long, seen long")
     sums = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
     side = lambda n: groups.select("lang", F.col("number").alias(n), F.col("source").alias(f"source_{n}"), F.col("total").alias(f"total_{n}"), "v")

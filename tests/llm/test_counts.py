@@ -158,6 +158,7 @@ def _documents(seed: int, n: int) -> list[tuple]:
 def test_audit(spark, monkeypatch, sources, at_once):
     monkeypatch.setattr(divergence, "SOURCES", sources)
     monkeypatch.setattr(divergence, "TERMS_AT_ONCE", at_once)
+    monkeypatch.setattr(divergence, "SHARD", at_once)
     rows = _documents(1, 150)
     rows += [(None, None, None), (None, "a", "one"), ("en", None, "house house"), ("fr", "s1", ""), ("fr", "s2", "once"), rows[0], rows[0]]
     rows += [("en", "long", "w" * 100_000 + " a b " * 30_000)]
