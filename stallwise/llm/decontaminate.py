@@ -10,8 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from stallwise.llm.common import U64, column, longs, slices, text_buffer
-
+from stallwise.llm.common import U64, column, longs, mapped, slices, text_buffer
 Q = 12
 BITMAP = 22  # log2 of the bits that sort out q-grams of no item
 BLOCK_BYTES = 2_000_000  # of benchmark text that goes to every task in one pass
@@ -151,12 +150,14 @@ def leaks_in(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[
                 if place not in best or edits < best[place][2]:
                     best[place] = (start, after, edits)
         out = [(d, int(items.ids[n]), s + int(offsets[d]), e + int(offsets[d]), x) for (d, n, _), (s, e, x) in best.items()]
+    if items.short:
+        # a line feed, which no folded text holds, keeps neighbouring texts apart
+        joined = b"\n".join(data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:]))
+        begins = offsets[:-1] + np.arange(len(offsets) - 1)
     for ident, text in items.short:
-        joined = data.tobytes()
         for m in re.finditer(rb"(?<!\S)" + re.escape(text) + rb"(?!\S)", joined):
-            doc = int(np.searchsorted(offsets, m.start(), side="right")) - 1
-            if m.end() <= offsets[doc + 1]:
-                out.append((doc, ident, m.start(), m.end(), 0))
+            doc = int(np.searchsorted(begins, m.start(), side="right")) - 1
+            out.append((doc, ident, m.start() - doc, m.end() - doc, 0))
     return out
 
 
@@ -212,7 +213,7 @@ def with_leaks(
         rows = [(r[0], r[1]) for r in chosen.toLocalIterator()]
         if rows:
             finder = _finder(prepared(sorted(rows), rate), text, [*names, "leaks"])
-            out = out.mapInArrow(finder, T.StructType(fields))
+            out = mapped(out, finder, T.StructType(fields))
     return out
 
 

@@ -74,6 +74,21 @@ def test_leaks_match_edit_distance(spark, monkeypatch, block):
             assert leak.edits or _plain(part) == _plain(dict(items)[ident])
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_leaks_at_the_ends_of_texts(spark, parts):
+    """What stands before or behind a text in its batch has no say, nor has the number of partitions."""
+    rows = [(1, "the answer is forty two"), (2, "forty two is it"), (3, "forty two"), (4, "tyforty two"), (5, "so forty"), (6, "two"), (7, None), (8, "")]
+    rows += [(1, "the answer is forty two"), (9, "word " * 40_000 + "forty two")]
+    long = "a longer question with an answer at its end"
+    rows += [(10, long), (11, "x" + long[:-1]), (12, long + " yes"), (13, "no " + long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).repartitionByRange(parts, "doc_id")
+    items = spark.createDataFrame([(1, "Forty  two"), (2, long)], "item_id long, text string")
+    found = sorted((r.doc_id, [(x.item_id, x.edits) for x in r.leaks]) for r in decontaminate.with_leaks(docs, items).collect())
+    short, whole = [(1, 0)], [(2, 0)]
+    told = {1: short, 2: short, 3: short, 9: short, 10: whole, 11: [(2, 1)], 12: whole, 13: whole}
+    assert found == sorted((d, told.get(d, [])) for d, _ in rows)
+
+
 def test_every_planted_item_is_found(spark):
     docs = [tuple(r) for r in _table(spark, MIDDLE, "documents").select("doc_id", "text").collect()]
     items = [(r[0], _plain(r[1])) for r in _table(spark, MIDDLE, "benchmark").collect()]
