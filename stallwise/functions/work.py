@@ -35,6 +35,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def lasting_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that outlives the application."""
+    return f"{shared_folder(spark)}/stallwise/lasting/{name}"
+
+
+def input_files(spark: SparkSession, path: str) -> dict[str, str]:
+    """The data files of a table, one file or a folder with any partitions, and what tells their versions apart."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = {}
+    listed = files.listFiles(where, True)
+    while listed.hasNext():
+        status = listed.next()
+        name = status.getPath().toString()
+        inside = name.split(path.rstrip("/").rpartition("/")[2], 1)[-1].split("/")
+        if not any(part.startswith(("_", ".")) for part in inside if part):
+            found[name] = f"{status.getLen()}-{status.getModificationTime()}"
+    return found
+
+
 def retire(spark: SparkSession) -> None:
     """Delete every table that this application has written to the shared folder.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from stallwise.functions import expr as X
 
@@ -70,6 +70,19 @@ def eligible_machines(df: DataFrame, closed_sites: Sequence[str] = CLOSED_SITES)
     )
 
 
+def judged(lines: DataFrame, rules: Mapping[str, Column], counted: Observation | str = "feed") -> DataFrame:
+    """``lines`` with ``reasons``, the names of the rules that a line breaks, in the rules' order.
+
+    A rule is a condition that an accepted row meets; one that is unknown counts as broken. ``observe``
+    counts rows read, accepted, and broken by rule, in the pass that writes them.
+    """
+    broken = {rule: ~F.coalesce(met, F.lit(False)) for rule, met in rules.items()}
+    mask = F.filter(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in broken.items()]), lambda r: r.isNotNull())
+    told = lines.withColumn("reasons", mask)
+    counts = [F.count_if(F.array_contains("reasons", rule)).alias(rule) for rule in broken]
+    return told.observe(counted, F.count(F.lit(1)).alias("read"), F.count_if(F.size("reasons") == 0).alias("accepted"), *counts)
+
+
 def wide_enough(lines: DataFrame, min_width: int, line: str = "value") -> DataFrame:
     """Raw lines with more than ``min_width`` fields."""
     return lines.filter(X.width(line) > min_width)

@@ -7,12 +7,15 @@ family a terminal is a customer, its channel the market segment, its area the re
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, functions as F
 
 from stallwise.functions import expr as X
-from stallwise.functions.work import cut
+from stallwise.functions.work import input_files, lasting_path
 from stallwise.operators import clean, dims
 from stallwise.plans.registry import Tables
+from stallwise.sources.writers import kept_up
 
 AS_OF = "2001-01-01 00:00:00"
 CAP = 95000.0
@@ -84,24 +87,22 @@ def sites(t: Tables) -> DataFrame:
     )
 
 
-# Days before this one stand in the stored first-seen table; later ones are merged into it.
-STORED_UNTIL = "1999-01-01 00:00:00"
-_stored: dict[tuple[str, str], DataFrame] = {}
-
-
 def first_seen_points(t: Tables) -> DataFrame:
-    """The first-seen table of all points, kept in the shared folder for the session.
+    """The first-seen table of all points, kept in the shared folder for every application.
 
-    It is made once for a folder of tables, from the history and then from the later days
-    alone, as a daily job would; the queries read it and scan only their own window.
+    Files of lines that it has not seen yet are read and merged, once; the queries read the table and scan
+    only their own window.
     """
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _stored:
-        lines = all_lines(t).select("point_id", "paid_at")
-        history = cut(dims.first_seen(lines.filter(F.col("paid_at") < X.at(STORED_UNTIL)), "point_id"), "first-seen")
-        later = lines.filter(F.col("paid_at") >= X.at(STORED_UNTIL))
-        _stored[key] = cut(dims.first_seen(later, "point_id", history), "first-seen")
-    return _stored[key]
+    path = lasting_path(t.spark, f"first-seen-{sha256(t.folder.encode()).hexdigest()[:16]}")
+
+    def fresh(files: list[str]) -> DataFrame:
+        part = Tables(t.spark, t.folder, {"lineitem": t.spark.read.schema(t.lineitem.schema).parquet(*files)})
+        return dims.first_seen(all_lines(part).select("point_id", "paid_at"), "point_id")
+
+    def merged(known: DataFrame, more: DataFrame) -> DataFrame:
+        return known.unionByName(more).groupBy("point_id").agg(F.min("first_operated").alias("first_operated"))
+
+    return kept_up(t.spark, path, input_files(t.spark, t.path("lineitem")), fresh, merged)
 
 
 def point_tenure(t: Tables) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stallwise.functions import expr as X
 from stallwise.functions.skew import salted_join
+from stallwise.functions.work import cut
 from stallwise.operators import audit, baskets, clean, customers, dims, sales
 from stallwise.plans.binding import (
     AS_OF,
@@ -217,53 +218,44 @@ def day_baskets(t: Tables) -> DataFrame:
     return shown(baskets.day_baskets(_basket_orders(t)), "day", pattern="yyyy-MM-dd")
 
 
-SUPPORT = 0.05
-_mined: dict[tuple[str, str], FPGrowthModel] = {}
+HELD_TWICE = 2  # baskets that hold a frequent set, at least: pairs and sets of three among thousands of products
 
 
 def _model(t: Tables) -> FPGrowthModel:
-    """Item sets of the product kinds in the day baskets, mined once for both queries."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _mined:
-        kinds = t.part.select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("kind"))
-        items = baskets.day_baskets(_basket_orders(t)).select("account", "day", "product_id").join(kinds, "product_id")
-        rows = baskets.transactions(items, ["account", "day"], "kind", SUPPORT)
-        _mined[key] = baskets.mine(rows, SUPPORT)
-    return _mined[key]
+    """Item sets of the products in the day baskets."""
+    product = F.col("product_id").cast("string").alias("product_id")
+    items = cut(baskets.day_baskets(_basket_orders(t)).select("account", "day", product), "day-items")
+    n = items.select("account", "day").distinct().count()
+    support = (HELD_TWICE - 0.5) / max(n, 1)
+    return baskets.mine(baskets.transactions(items, ["account", "day"], "product_id", support), support)
 
 
-# A basket is a bit mask of kinds, so sets of every size are counted by masking.
+# Every subset of a basket, by a mask of its places; those that occur twice are frequent.
 _SQL_SETS = f"""
 WITH bought AS (
-  SELECT DISTINCT o_custkey AS account, CAST(o_orderdate AS DATE) AS day, l_partkey AS product_id
+  SELECT DISTINCT o_custkey AS account, CAST(o_orderdate AS DATE) AS day, CAST(l_partkey AS VARCHAR) AS product_id
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {SQL_VALID}),
 lists AS (
   SELECT account, day, list(product_id ORDER BY product_id) AS basket FROM bought GROUP BY 1, 2 HAVING count(*) > 1),
-kept AS (SELECT account, min(day) AS day FROM lists GROUP BY account, basket),
-kinds AS (SELECT kind, row_number() OVER (ORDER BY kind) - 1 AS bit FROM (SELECT DISTINCT p_type AS kind FROM part)),
-masks AS (
-  SELECT bit_or(CAST(1 << bit AS BIGINT)) AS mask FROM kept JOIN bought USING (account, day)
-  JOIN part ON product_id = p_partkey JOIN kinds ON p_type = kind GROUP BY account, day),
-n AS (SELECT count(*) AS n FROM masks),
-sets AS (
-  SELECT s, count(*) AS freq FROM masks, (SELECT unnest(range(1, (SELECT CAST(1 << count(*) AS BIGINT) FROM kinds))) AS s)
-  WHERE mask & s = s GROUP BY s HAVING count(*) >= ceil({SUPPORT} * (SELECT n FROM n))),
-shown AS (
-  SELECT s, freq, string_agg(kind, ',' ORDER BY kind) AS items, count(*) AS size
-  FROM sets JOIN kinds ON s & CAST(1 << bit AS BIGINT) <> 0 GROUP BY s, freq)"""
-
-
-@query("M1", f"{_SQL_SETS} SELECT items, size, freq FROM shown")
+kept AS (SELECT DISTINCT account, basket FROM lists),
+n AS (SELECT count(*) AS n FROM kept),
+masks AS (SELECT basket, unnest(range(1, CAST(1 << len(basket) AS BIGINT))) AS mask FROM kept),
+parts AS (SELECT [x FOR x, i IN basket IF mask & CAST(1 << (i - 1) AS BIGINT) <> 0] AS part FROM masks),
+sets AS (SELECT part, count(*) AS freq, len(part) AS size FROM parts GROUP BY 1 HAVING count(*) >= {HELD_TWICE})"""
+
+
+@query("M1", f"{_SQL_SETS} SELECT array_to_string(part, ',') AS items, size, freq FROM sets")
 def fp_items(t: Tables) -> DataFrame:
     return baskets.frequent_item_sets(_model(t))
 
 
 @query(
     "M2",
-    f"""{_SQL_SETS}
-SELECT a.items AS antecedent, c.items AS consequent, round(w.freq / a.freq, 6) AS confidence,
+    f"""{_SQL_SETS},
+wholes AS (SELECT part, freq, unnest(part) AS consequent FROM sets WHERE size > 1)
+SELECT array_to_string(a.part, ',') AS antecedent, consequent, round(w.freq / a.freq, 6) AS confidence,
   round(w.freq / a.freq / (c.freq / n), 6) AS lift, round(w.freq / n, 6) AS support
-FROM shown w JOIN shown c ON c.size = 1 AND w.s & c.s <> 0 JOIN shown a ON a.s = w.s - c.s, n WHERE w.size > 1""",
+FROM wholes w JOIN sets a ON a.part = list_filter(w.part, lambda x: x <> w.consequent) JOIN sets c ON c.part = [w.consequent], n""",
 )
 def fp_rules(t: Tables) -> DataFrame:
     return rounded(baskets.rules(_model(t)), 6, "confidence", "lift", "support")

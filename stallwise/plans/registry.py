@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 class Tables:
     """The test tables of one folder, read on first use."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
+    def __init__(self, spark: SparkSession, folder: str, read: dict[str, DataFrame] | None = None) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
-        self._read: dict[str, DataFrame] = {}
+        self._read: dict[str, DataFrame] = dict(read or {})
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from stallwise.functions import expr as X
 from stallwise.functions.work import cut, fresh_path
+from stallwise.operators import clean
 from stallwise.plans.binding import click_lines
 from stallwise.plans.feeds import SQL_CLICKS_PER_COURSE, SQL_CLICKS_PER_HOST, SQL_WORDS
 from stallwise.plans.registry import Tables, query, shown
-from stallwise.sources import readers
-from stallwise.sources.writers import latest_deltas
+from stallwise.sources import readers, writers
+from stallwise.sources.writers import delta_sink, latest_deltas, read_deltas
 from stallwise.streaming import counts, orders, run
 
 
@@ -20,19 +21,6 @@ def _stream(t: Tables, name: str) -> DataFrame:
     return readers.stream_table(t.spark, t.path(name), getattr(t, name).schema)
 
 
-class Streamed(Tables):
-    """The same tables, read as streams."""
-
-    def __init__(self, tables: Tables) -> None:
-        super().__init__(tables.spark, tables.folder)
-        self._tables = tables
-
-    def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_"):
-            raise AttributeError(name)
-        return _stream(self._tables, name)
-
-
 BATCHES = 4
 LATE_BY = "8 days"  # a batch holds no row from before the end of the last one, so however long it is none is too late
 
@@ -88,8 +76,9 @@ def st_count(t: Tables) -> DataFrame:
 
 @query("ST3 ST1 ST12", SQL_WORDS)
 def st_running_total(t: Tables) -> DataFrame:
+    """Totals that a table keeps: the stream has no state, its batches are increments."""
     lines = _stream(t, "documents").select("text")
-    return run.replay(counts.word_counts(counts.words(lines, "text")), ["word"])
+    return run.replay_increments(counts.words(lines, "text"), ["word"])
 
 
 @query(
@@ -152,16 +141,22 @@ def st_blocklist(t: Tables) -> DataFrame:
     return run.replay(kept).select("event_id", "user_id", "event_type")
 
 
+def _clicks(t: Tables) -> tuple[DataFrame, Iterator[int]]:
+    """Clicks in order of time: a day is closed, and leaves the state, LATE_BY after its end."""
+    events, feed = _events(t)
+    return counts.timed_clicks(click_lines(Tables(t.spark, t.folder, {"events": events})), LATE_BY), feed
+
+
 @query("ST11 D33 A17", SQL_CLICKS_PER_COURSE)
 def st_clicks(t: Tables) -> DataFrame:
-    clicks = counts.course_clicks(click_lines(Streamed(t)))
-    return run.replay(counts.clicks_per_course(clicks), ["day", "course_id"])
+    clicks, feed = _clicks(t)
+    return run.replay(counts.clicks_of_day(clicks, "course_id"), ["day", "course_id"], feed)
 
 
 @query("ST11 B21 A17", SQL_CLICKS_PER_HOST)
 def st_clicks_per_host(t: Tables) -> DataFrame:
-    clicks = counts.course_clicks(click_lines(Streamed(t)))
-    return run.replay(counts.clicks_per_host(clicks), ["day", "host", "course_id"])
+    clicks, feed = _clicks(t)
+    return run.replay(counts.clicks_of_day(clean.with_referer_host(clicks), "host", "course_id"), ["day", "host", "course_id"], feed)
 
 
 # --- order messages -------------------------------------------------------------------
@@ -169,7 +164,10 @@ def st_clicks_per_host(t: Tables) -> DataFrame:
 
 def _messages(t: Tables) -> DataFrame:
     """The stream of orders as CSV messages: order id, then the fields of the order feed."""
-    o = _stream(t, "orders")
+    return _as_messages(_stream(t, "orders"))
+
+
+def _as_messages(o: DataFrame) -> DataFrame:
     empty = F.lit("")
     fields = [
         F.col("o_orderkey").cast("string"),
@@ -207,6 +205,70 @@ def st_upsert(t: Tables) -> DataFrame:
     return table.select("row_key", "order_id", "amount", "account", "product_id", charged)
 
 
+@query(
+    "ST9 A14 E9",
+    """
+SELECT substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 3) || lpad(CAST(9999999999999 - epoch_ms(o_orderdate) AS VARCHAR), 13, '0')
+    || '_' || o_orderkey AS row_key, o_totalprice AS amount, CAST(1 AS BIGINT) AS batches, n_read, n_kept, n_read - n_kept AS n_stopped
+FROM orders, (SELECT 2 * count(*) AS n_read, count(*) AS n_kept FROM orders)""",
+)
+def st_once(t: Tables) -> DataFrame:
+    """A topic folder that is played a second time: no key reaches the sink twice, and the counts add up."""
+    first, last = t.orders.agg(F.min("o_orderdate"), F.max("o_orderdate")).first()
+    folder, path, checkpoint = (fresh_path(t.spark, n) for n in ("topic", "keyed", "offsets"))
+    t.orders.limit(0).write.parquet(folder)
+    middle = X.at(first + (last - first) / 2) if first is not None else F.lit(None)
+    early = F.coalesce(F.col("o_orderdate") < middle, F.lit(False))
+
+    def feed() -> Iterator[int]:
+        for i, step in enumerate((early, F.lit(True), ~early)):  # the early half, all of it, the late half again
+            t.orders.filter(step).write.mode("append").parquet(folder)
+            yield i
+
+    messages = _as_messages(readers.stream_table(t.spark, folder, t.orders.schema, max_files=2**31 - 1))
+    span = f"{(last - first).days + 1} days" if first is not None else "1 day"
+    parsed = orders.once(orders.parsed_orders(messages), span)
+    read, kept, stopped = orders.stopped(run.drain(parsed, delta_sink(path), checkpoint, feed=feed()))
+    written = read_deltas(t.spark, path, parsed.schema)
+    per_key = written.groupBy("row_key").agg(F.max("amount").alias("amount"), F.count(F.lit(1)).alias("batches"))
+    counts_ = {"n_read": read, "n_kept": kept, "n_stopped": stopped}
+    return per_key.withColumns({c: F.lit(n).cast("bigint") for c, n in counts_.items()})
+
+
+STEPS = 3
+
+
+@query(
+    "A6 ST1 ST12 A3",
+    f"""
+SELECT doc_id % {STEPS} AS step, count(*) AS lines, sum(len(regexp_extract_all(text, '[^\\s]+'))) AS words,
+  CAST(1 AS BIGINT) AS times_read FROM documents GROUP BY 1""",
+)
+def st_text_folder(t: Tables) -> DataFrame:
+    """Documents dropped into a folder as text files in three steps, each by its own start of the query."""
+    folder, archive, path, checkpoint = (fresh_path(t.spark, n) for n in ("inbox", "archive", "lines", "offsets"))
+    line = F.concat_ws(" ", F.col("doc_id").cast("string"), F.regexp_replace("text", r"\s+", " ")).alias("value")
+
+    def feed() -> Iterator[int]:
+        for i in range(STEPS):
+            part = t.documents.filter(F.pmod("doc_id", F.lit(STEPS)) == i).select(line)
+            writers.write_lines(part, f"{folder}/step-{i}", ["value"])
+            yield i
+
+    t.spark.createDataFrame([], "value string").write.text(f"{folder}/step-none")
+    stream = readers.new_text_files(t.spark, f"{folder}/step-*", archive=archive)
+    run.drain(stream, delta_sink(path), checkpoint, feed=feed())
+    read = read_deltas(t.spark, path, stream.schema).filter(F.col("value") != "")
+    step = F.regexp_extract("file", r"step-(\d+)/", 1).cast("bigint").alias("step")
+    words = F.size(F.filter(X.fields("value", " "), lambda w: w != "")).cast("bigint") - 1  # the id leads the line
+    per_file = read.groupBy(step, "file").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(words).alias("words"), F.count_distinct("run", "batch_id").alias("times")
+    )
+    return per_file.groupBy("step").agg(
+        F.sum("lines").alias("lines"), F.sum("words").alias("words"), F.max("times").alias("times_read")
+    )
+
+
 @query(
     "ST10 A13",
     "SELECT CAST(o_orderkey AS VARCHAR) AS key, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ',m' || o_custkey AS value FROM orders",

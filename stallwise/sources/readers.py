@@ -69,9 +69,17 @@ def socket_lines(spark: SparkSession, host: str, port: int) -> DataFrame:
     )
 
 
-def new_text_files(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """Stream of the lines of each file that appears in a folder, read once."""
-    return spark.readStream.option("maxFilesPerTrigger", max_files).text(folder)
+def new_text_files(spark: SparkSession, folder: str, max_files: int = 1000, archive: str | None = None) -> DataFrame:
+    """Stream of the lines of each file that appears in a folder or pattern: ``value``, ``file`` and ``file_time``.
+
+    Each file is read once; a second start from the same checkpoint reads only what is new. With
+    ``archive`` finished files move there while later batches run, so that the folder stays short.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
+    if archive is not None:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    lineage = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("file_time")
+    return reader.text(folder).select("value", *lineage)
 
 
 def stream_table(

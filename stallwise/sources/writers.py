@@ -10,8 +10,8 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructType
 
 BatchWriter = Callable[[DataFrame, int], None]
 
@@ -89,14 +89,15 @@ def latest_per_key(
 ) -> DataFrame:
     """One row per key: the one with the greatest ``newest`` columns, compared in order.
 
-    A max over a struct combines on the map side, so a key with very many versions never
-    gathers in one task. The remaining columns break ties, which keeps reruns equal.
+    The rank is limited before the shuffle too, so a key with very many versions sends one row a
+    task. The remaining columns break ties, which keeps reruns equal.
     """
     rest = [c for c in df.columns if c not in keys]
     order = [*newest, *[c for c in rest if c not in newest]]
-    best = df.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_best"))
-    fields = {c: F.col("_best")[c].alias(c) for c in rest}
-    return best.select(*[F.col(c) if c in keys else fields[c] for c in df.columns])
+    if not order:
+        return df.distinct()
+    best = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    return df.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").drop("_rank")
 
 
 def stored_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
@@ -234,6 +235,77 @@ def latest_of(keys: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
     return lambda rows: latest_per_key(rows, keys, ["run", "batch_id"]).drop("run", "batch_id")
 
 
+DELETED, CLEARED = "_deleted", "_cleared"
+
+
+def with_marks(schema: StructType) -> StructType:
+    """The schema of a table whose batches hold delete markers beside rows."""
+    return StructType.fromJson(schema.jsonValue()).add(DELETED, BooleanType()).add(CLEARED, ArrayType(StringType()))
+
+
+def changes(
+    schema: StructType,
+    keys: Sequence[str],
+    puts: DataFrame | None = None,
+    deleted: DataFrame | None = None,
+    cleared: Sequence[tuple[DataFrame, Sequence[str]]] = (),
+) -> DataFrame:
+    """One batch for ``delta_sink``: rows to put, keys whose rows go, and keys whose cells in some columns go.
+
+    Within a batch the markers come first, so a row that is deleted and put by one batch stays as put.
+    """
+    marked = with_marks(schema)
+    parts = [] if puts is None else [(puts, {DELETED: F.lit(None), CLEARED: F.lit(None)})]
+    parts += [] if deleted is None else [(deleted.select(*keys).distinct(), {DELETED: F.lit(True), CLEARED: F.lit(None)})]
+    for rows, columns in cleared:
+        unknown = sorted(set(columns) - set(schema.names) | set(columns) & set(keys))
+        if unknown:
+            raise ValueError(f"no such cells: {unknown}")
+        parts.append((rows.select(*keys).distinct(), {DELETED: F.lit(None), CLEARED: F.array(*[F.lit(c) for c in columns])}))
+
+    def whole(rows: DataFrame, marks: dict[str, Column]) -> DataFrame:
+        value = lambda f: marks.get(f.name, F.col(f.name) if f.name in rows.columns else F.lit(None))
+        return rows.select(*[value(f).cast(f.dataType).alias(f.name) for f in marked])
+
+    return reduce(DataFrame.unionByName, [whole(*p) for p in parts])
+
+
+def _moment() -> Column:
+    """The order of batches: by run, then number; what was compacted comes before all."""
+    run = F.substring("run", 1, 8).cast("bigint")
+    return F.when(F.col("run") == "", F.lit(-1)).otherwise(run * (1 << 40) + F.col("batch_id"))
+
+
+def current_of(keys: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """The fold of a table of rows and delete markers (``with_marks``).
+
+    The last row of each key counts, unless a later batch deletes it; cells that a later batch clears are NULL.
+    """
+
+    def fold(rows: DataFrame) -> DataFrame:
+        columns = [c for c in rows.columns if c not in ("run", "batch_id", DELETED, CLEARED)]
+        cells = [c for c in columns if c not in keys]
+        is_mark = F.coalesce(DELETED, F.lit(False)) | F.col(CLEARED).isNotNull()
+        timed = rows.withColumn("_at", _moment())
+        newest = latest_per_key(timed.filter(~is_mark).select(*columns, "_at"), keys, ["_at"])
+        gone = F.max(F.when(F.col(DELETED), F.col("_at"))).alias("_gone")
+        emptied = [F.max(F.when(F.array_contains(CLEARED, c), F.col("_at"))).alias(f"_cleared_{i}") for i, c in enumerate(cells)]
+        marks = timed.filter(is_mark).groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(gone, *emptied)
+        same = reduce(Column.__and__, [newest[k].eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+        held = newest.join(marks, same, "left").filter(F.col("_gone").isNull() | (F.col("_gone") <= F.col("_at")))
+        later = lambda i: F.coalesce(F.col(f"_cleared_{i}") > F.col("_at"), F.lit(False))
+        kept = {c: F.when(~later(i), F.col(c)).alias(c) for i, c in enumerate(cells)}
+        none = [F.lit(None).cast("boolean").alias(DELETED), F.lit(None).cast("array<string>").alias(CLEARED)]
+        return held.select(*[kept.get(c, F.col(c)) for c in columns], *none)
+
+    return fold
+
+
+def current_rows(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
+    """What a table of rows and delete markers holds now."""
+    return current_of(keys)(read_deltas(spark, path, with_marks(schema))).select(*schema.names)
+
+
 def sum_of(keys: Sequence[str], counter: str) -> Callable[[DataFrame], DataFrame]:
     """The fold of a table of increments."""
     return lambda rows: rows.groupBy(*keys).agg(F.sum(counter).alias(counter))
@@ -252,6 +324,42 @@ def write_sorted_by_key(df: DataFrame, path: str, key: str) -> None:
     df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
 
 
+def kept_up(
+    spark: SparkSession,
+    path: str,
+    files: dict[str, str],
+    fresh: Callable[[list[str]], DataFrame],
+    merged: Callable[[DataFrame, DataFrame], DataFrame],
+) -> DataFrame:
+    """An aggregate of a table's ``files`` that is stored at ``path`` and reads each file once.
+
+    ``fresh`` aggregates some files and ``merged`` joins two aggregates. ``files`` are the table's files with what
+    tells their versions apart. If one that is already in the aggregate has changed or is gone, all are
+    read again. The list of covered files is written last and makes a version valid; the version
+    before it stays for readers that have it open. Run one update at a time.
+    """
+    done = [f for f in _folders(spark, path) if f.startswith("covered-")]
+    number = int(done[-1].removeprefix("covered-")) if done else 0
+    known = {f"{f} {v}" for f, v in files.items()}
+    covered = {r[0] for r in spark.read.text(f"{path}/{done[-1]}").toLocalIterator()} if done else set()
+    table = spark.read.parquet(f"{path}/table-{number:08d}") if done else None
+    if done and covered == known:
+        return table
+    if not covered <= known:
+        covered, table = set(), None
+    more = fresh(sorted(f for f, v in files.items() if f"{f} {v}" not in covered))
+    now = more if table is None else merged(table, more)
+    now.write.mode("overwrite").parquet(f"{path}/table-{number + 1:08d}")
+    names = spark.createDataFrame([(n,) for n in sorted(known)], "value string")
+    names.coalesce(1).write.mode("overwrite").text(f"{path}/covered-{number + 1:08d}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in _folders(spark, path):
+        if int(folder.rpartition("-")[2]) < number:
+            system.delete(hadoop.Path(f"{path}/{folder}"), True)
+    return spark.read.schema(now.schema).parquet(f"{path}/table-{number + 1:08d}")
+
+
 def jdbc_sink(url: str, table: str, properties: dict[str, str]) -> BatchWriter:
     """Insert each micro-batch, one connection per partition; the table holds ``batch_id``.
 

@@ -85,6 +85,19 @@ def course_clicks(lines: DataFrame) -> DataFrame:
     )
 
 
+def timed_clicks(lines: DataFrame, late_by: str) -> DataFrame:
+    """Clean click-log lines of a stream to (clicked_at, course_id, referer), each day open for ``late_by``."""
+    clicks = clean.parsed_clicks(lines).select(F.col("clicked_at").cast("timestamp"), "course_id", "referer")
+    return clicks.withWatermark("clicked_at", late_by)
+
+
+def clicks_of_day(clicks: DataFrame, *keys: str) -> DataFrame:
+    """Clicks per day and ``keys`` out of ``timed_clicks``; a day leaves the state when the watermark closes it."""
+    day = F.window("clicked_at", "1 day").alias("_day")
+    counted = clicks.groupBy(day, *keys).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(X.compact_day("_day.start").alias("day"), *keys, "n")
+
+
 def clicks_per_course(clicks: DataFrame) -> DataFrame:
     return running_totals(clicks, "day", "course_id")
 

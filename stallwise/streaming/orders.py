@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from stallwise.functions import expr as X
 from stallwise.sources.schemas import ORDER_MESSAGE
@@ -29,6 +32,29 @@ def parsed_orders(messages: DataFrame, value: str = "value") -> DataFrame:
     return keyed.filter(F.col("row_key").isNotNull())
 
 
+def once(parsed: DataFrame, again_within: str) -> DataFrame:
+    """Parsed orders without those whose row key has come before, in a stream that keeps its keys for a time.
+
+    A message may come again while its event time is within ``again_within`` of the newest one; its key then
+    leaves the state. ``observe`` counts what is read and what is kept: see ``stopped``.
+    """
+    timed = parsed.withColumn("_event_time", F.col("created_at").cast("timestamp")).withWatermark("_event_time", again_within)
+    read = timed.observe("read", F.count(F.lit(1)).alias("n"))
+    kept = read.dropDuplicatesWithinWatermark(["row_key"]).drop("_event_time")
+    return kept.observe("kept", F.count(F.lit(1)).alias("n"))
+
+
+def stopped(queries: Iterable[StreamingQuery]) -> tuple[int, int, int]:
+    """Messages read, kept, and stopped as repeated, over the recent progress of some queries of ``once``."""
+    read, kept = 0, 0
+    for query in queries:
+        for progress in query.recentProgress:
+            seen = progress.observedMetrics
+            read += seen["read"]["n"] if "read" in seen else 0
+            kept += seen["kept"]["n"] if "kept" in seen else 0
+    return read, kept, read - kept
+
+
 def rejected_orders(messages: DataFrame, value: str = "value") -> DataFrame:
     """Messages that ``parsed_orders`` has no row or no key for: no id, or no time from 1970 to 2286."""
     text = messages.select(value, F.inline(F.array(F.from_csv(value, ORDER_MESSAGE.toDDL()))))
