@@ -23,6 +23,8 @@ SLICE = 1 << 20  # bytes of text that are handled at once, unless one text is lo
 HASHED = (1 << 18) - 1  # bytes whose prefix sums are held at once, unless one word is longer
 _BASE = 0x9E3779B97F4A7C55
 pa.set_memory_pool(pa.system_memory_pool())  # gives back what a worker frees; the default pool keeps it
+BATCH = "4m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -39,6 +41,14 @@ def document_columns(text: str = "text", ident: str = "doc_id") -> dict[str, Col
 
 
 def mapped(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` with batches of at most BATCH, whatever the length of the texts.
+
+    Spark's own bound of 64 MB lets several batches in each worker and in the memory beside the
+    heap fill an executor. A size that the session sets itself is left alone.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) in (None, "64MB", "67108864b"):
+        conf.set(_BATCH_SETTING, BATCH)
     return df.mapInArrow(function, schema)
 
 
@@ -190,7 +200,7 @@ def squeezed(df: DataFrame, text: str = "text") -> DataFrame:
             made = [None if t is None else codec.compress(t.encode()) for t in part.column(at).to_pylist()]
             yield pa.record_batch([pa.array(made, pa.binary()) if i == at else c for i, c in enumerate(part.columns)], names)
 
-    return df.mapInArrow(squeeze, T.StructType(fields))
+    return mapped(df, squeeze, T.StructType(fields))
 
 
 def unsqueezed(

@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stallwise.llm.common import U64, Words, blobs, column, cut, mapped, runs, slices, text_buffer
-
 TERMS_AT_ONCE = 4 << 20  # bytes of text whose terms are sorted together
 LEAST_DOCUMENTS = 3
 SCALE = 1_000_000_000

@@ -8,8 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stallwise.llm.common import cut
-
+from stallwise.llm.common import cut, mapped
 HELD = 400_000  # links that one task holds while it shortens them
 
 
@@ -56,7 +55,7 @@ def components(links: DataFrame) -> DataFrame:
     shuffle, and adaptive execution splits the joins. NULL ends and loops are left out.
     """
     clean = links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
-    rest = cut(clean.mapInArrow(_forest, "a long, b long"), "links")
+    rest = cut(mapped(clean, _forest, "a long, b long"), "links")
     moves: list[DataFrame] = []
     while not rest.isEmpty():
         both = rest.union(rest.select("b", "a"))
@@ -68,7 +67,7 @@ def components(links: DataFrame) -> DataFrame:
         second = move.select(F.col("node").alias("b"), F.col("to").alias("y"))
         moved = rest.join(first, "a").join(second, "b").filter("x <> y")
         pairs = moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        rest = cut(pairs.mapInArrow(_forest, "a long, b long"), "links")
+        rest = cut(mapped(pairs, _forest, "a long, b long"), "links")
     if not moves:
         return rest.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = moves[-1].select("node", F.col("to").alias("component"))

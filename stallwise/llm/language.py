@@ -9,8 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stallwise.llm.common import column, slices, text_buffer
-
+from stallwise.llm.common import column, mapped, slices, text_buffer
 HIDDEN = 8  # units each way for 16 languages; more languages get more
 SPAN = 96  # bytes that the network reads in one go; a text is read span by span, to its end
 WIDTH = 2048  # spans side by side
@@ -245,7 +244,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", ident: st
 
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letter")
     base = docs.select(F.col(ident).alias("doc_id"), letter, F.when(letter, F.col(text)).alias("text"))
-    told = base.mapInArrow(predict, f"doc_id {kind}, letter boolean, lang string, p double")
+    told = mapped(base, predict, f"doc_id {kind}, letter boolean, lang string, p double")
     sure = F.col("letter") & F.col("lang").isNotNull()
     return told.select(
         "doc_id", F.when(sure, F.col("lang")).otherwise("und").alias("lang_pred"),

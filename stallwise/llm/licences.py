@@ -11,8 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stallwise.llm.common import Prefix, U64, Words, column, mix, slices, text_buffer
-
+from stallwise.llm.common import Prefix, U64, Words, column, mapped, mix, slices, text_buffer
 # How well-known licences name themselves in notices.
 TEMPLATES = {
     "apache": [
@@ -392,4 +391,4 @@ def with_licences(docs: DataFrame, model: Model, text: str = "text") -> DataFram
     """
     names = [c for c in docs.columns if c != "licences"]
     schema = docs.select(*names).withColumn("licences", F.expr(f"cast(array() as {LICENCE})")).schema
-    return docs.select(*names).mapInArrow(_scanner(model, [*names, "licences"], text), schema)
+    return mapped(docs.select(*names), _scanner(model, [*names, "licences"], text), schema)

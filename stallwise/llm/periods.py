@@ -10,8 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from stallwise.llm.common import U64, Prefix, column, mix, runs, slices, text_buffer
-
+from stallwise.llm.common import Prefix, U64, column, mapped, mix, runs, slices, text_buffer
 LEAST = 6  # words of a run
 REPEATS = 4  # periods of a run
 SPLIT = 1 << 16  # bytes of text that are split into words at once
@@ -230,4 +229,4 @@ def with_runs(
     if set(needed) - set(names):
         raise ValueError(f"columns {needed} are needed, and none of them may be named like a result: {made.names}")
     schema = T.StructType([docs.schema[n] for n in names] + made.fields)
-    return docs.select(*names).mapInArrow(_finder(text, double_by, names, least, repeats, digests), schema)
+    return mapped(docs.select(*names), _finder(text, double_by, names, least, repeats, digests), schema)

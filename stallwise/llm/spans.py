@@ -8,8 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from stallwise.llm.common import Words, column, document_columns, squeezed, text_buffer, unsqueezed
-
+from stallwise.llm.common import Words, column, document_columns, mapped, squeezed, text_buffer, unsqueezed
 
 def _gathered(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The kept words of each text joined by one space, and the lengths of the results."""
@@ -86,4 +85,4 @@ def without_spans(docs: DataFrame, spans: DataFrame, text: str, ident: str, join
     joint = whole.join(listed, ["__doc", "__crc"], "left")
     fields = [docs.schema[n] for n in names]
     more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
-    return joint.select(*names, "__spans").mapInArrow(_cutter(text, names, joined), T.StructType(fields + more))
+    return mapped(joint.select(*names, "__spans"), _cutter(text, names, joined), T.StructType(fields + more))

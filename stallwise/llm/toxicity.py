@@ -9,8 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stallwise.llm.common import U64, Words, blobs, column, mix, slices, text_buffer
-
+from stallwise.llm.common import U64, Words, blobs, column, mapped, mix, slices, text_buffer
 SLOTS = 1 << 20  # hashed features
 SAMPLE = 12_000  # labelled documents to learn from, at most
 KEPT = 20_000  # features that enter the regression, at most
@@ -127,7 +126,7 @@ def learn(
     # at most SAMPLE ids and labels, 12 bytes each
     known = known.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
     known = known.select("text", "toxic")
-    found = known.mapInArrow(_sampler, "toxic int, slots binary, values binary").toLocalIterator()
+    found = mapped(known, _sampler, "toxic int, slots binary, values binary").toLocalIterator()
     rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in found)
     if not rows:
         return None
@@ -166,7 +165,7 @@ def with_severity(docs: DataFrame, model: Model | None, text: str = "text") -> D
     names = [c for c in docs.columns if c not in ("p_toxic", "severity")]
     base = docs.select(*names)
     schema = base.withColumn("p_toxic", F.lit(0.0)).withColumn("severity", F.lit(0.0)).schema
-    return base.mapInArrow(_scorer(model, names, text), schema)
+    return mapped(base, _scorer(model, names, text), schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stallwise.llm.common import NO_ID, column, cut, mapped, runs, text_buffer
-
 PIVOTS = 256  # of all lengths of vectors together, sampled by hash; the bound of all summaries
 QUERIES = 16_384  # in one group
 SHARD = 65_536  # rows that meet a group in one task, about
