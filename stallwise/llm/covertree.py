@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stallwise.llm.common import NO_ID, column, cut, runs
+from stallwise.llm.common import NO_ID, column, cut, mapped, runs, text_buffer
 from stallwise.llm.graph import components
 
 BLOCK = 2000  # vectors in one tree
@@ -202,29 +202,39 @@ def linked(x: np.ndarray, weight: np.ndarray, side: np.ndarray, cosine: float) -
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unit vectors as bytes; NULL for those that are null, zero or not finite throughout."""
     for batch in batches:
-        out = []
-        for v in column(batch, "embedding").to_pylist():
-            x = np.array([np.nan if c is None else c for c in v or []], np.float64)
-            top = np.abs(x).max() if len(x) else 0.0
-            if not np.isfinite(top) or top == 0:
-                out.append(None)
-                continue
-            x = x / top
-            out.append((x / np.sqrt((x * x).sum())).tobytes())
+        vectors = column(batch, "embedding")
+        size = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = np.cumsum(size) - size
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # NULL comes as NaN
+        out: list[bytes | None] = [None] * len(size)
+        for n in np.unique(size[size > 0]).tolist():
+            some = np.flatnonzero(size == n)
+            x = flat[begin[some][:, None] + np.arange(n)]
+            top = np.abs(x).max(1)
+            good = np.isfinite(top) & (top > 0)
+            x = x[good] / top[good][:, None]
+            x /= np.sqrt((x * x).sum(1))[:, None]
+            for i, row in zip(some[good].tolist(), x):
+                out[i] = row.tobytes()
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["vec", "label", "unit"])
 
 
 def _placer(pivots: dict[tuple[str, int], np.ndarray]):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, units = column(batch, "label").to_pylist(), column(batch, "unit").to_pylist()
+            units = column(batch, "unit")
+            of: dict[tuple[str, int], list[int]] = {}
+            for i, key in enumerate(zip(column(batch, "label").to_pylist(), column(batch, "bytes").to_pylist())):
+                of.setdefault(key, []).append(i)
             cell, away = np.full(len(units), -1, np.int32), np.zeros(len(units))
-            for i, (label, unit) in enumerate(zip(labels, units)):
-                known = pivots.get((label, len(unit)))
-                if known is not None:
-                    dots = known @ np.frombuffer(unit)
-                    cell[i] = dots.argmax()
-                    away[i] = math.sqrt(max(2 - 2 * dots[cell[i]], 0))
+            for key, own in of.items():
+                known = pivots.get(key)
+                for at in range(0, len(own) if known is not None else 0, 2048):
+                    some = np.array(own[at : at + 2048])
+                    held, _ = text_buffer(units.take(pa.array(some)))
+                    dots = np.frombuffer(held.tobytes()).reshape(len(some), -1) @ known.T
+                    cell[some] = dots.argmax(1)
+                    away[some] = np.sqrt(np.maximum(2 - 2 * dots[np.arange(len(some)), cell[some]], 0))
             yield pa.record_batch([*batch.columns, pa.array(cell), pa.array(away)], [*batch.schema.names, "cell", "away"])
 
     return place
@@ -288,10 +298,10 @@ def vector_links(
     walks them together. Groups return, per point, the weight of its links and one link to its
     component in the group, never the pairs.
     """
-    units = vectors.select(
+    units = mapped(vectors.select(
         F.coalesce(F.col(ident).cast("long"), F.lit(NO_ID)).alias("vec"), F.col(label).cast("string").alias("label"),
         F.col(vector).cast("array<double>").alias("embedding"),
-    ).mapInArrow(_unit, "vec long, label string, unit binary")
+    ), _unit, "vec long, label string, unit binary")
     units = cut(units, "units")
     valid = units.filter("label is not null and unit is not null")
     bytes_ = F.octet_length("unit").alias("bytes")
@@ -309,7 +319,7 @@ def vector_links(
         pivots.setdefault((r[0], r[1]), []).append(np.frombuffer(bytes(r[2])))
     held = {k: np.array(v) for k, v in pivots.items()}
     schema = "label string, bytes int, rep long, weight long, unit binary, cell int, away double"
-    placed = cut(points.mapInArrow(_placer(held), schema), "cells")
+    placed = cut(mapped(points, _placer(held), schema), "cells")
     key = ["label", "bytes"]
     cells = placed.groupBy(*key, "cell").agg(
         F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("away").alias("reach")
@@ -318,7 +328,7 @@ def vector_links(
     one = cells.select(*key, F.col("cell").alias("ci"), F.col("blocks").alias("bi"), F.col("reach").alias("ri"))
     two = cells.select(*key, F.col("cell").alias("cj"), F.col("blocks").alias("bj"), F.col("reach").alias("rj"))
     pairs = one.join(two, key).filter("ci <= cj")
-    pairs = pairs.mapInArrow(_pruner(held, math.sqrt(2 - 2 * cosine)), pairs.schema)
+    pairs = mapped(pairs, _pruner(held, math.sqrt(2 - 2 * cosine)), pairs.schema)
     pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("bi") - 1)))
     pairs = pairs.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("bj") - 1))).filter("ci < cj or i <= j")
     pairs = pairs.select(*key, "ci", "i", "cj", "j", F.xxhash64(*key, "ci", "i", "cj", "j").alias("task"))
@@ -329,7 +339,7 @@ def vector_links(
     placed = placed.join(cells.select(*key, "cell", "blocks"), [*key, "cell"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = placed.join(first.union(second), [*key, "cell", "block"]).select("task", "rep", "weight", "side", "unit")
-    met = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_meeter(cosine), "a long, b long, n long")
+    met = mapped(dealt.repartition("task").sortWithinPartitions("task"), _meeter(cosine), "a long, b long, n long")
     met = cut(met, "met")
     counts = met.groupBy("a").agg(F.sum("n").alias("n"))
     labels = components(met.select("a", "b"))
