@@ -7,16 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stallwise.llm.common import (
-    NO_ID, Prefix, U64, column, cut, document_columns, lists, mix, runs, signed, slices, squeezed, unsqueezed, words_of,
+    NO_ID, Prefix, U64, column, cut, document_columns, lists, mapped, mix, runs, signed, slices, squeezed, unsqueezed, words_of,
 )
 from stallwise.llm.graph import components
 
 BANDS, ROWS = 32, 6  # at similarity 0.85 a pair meets in no band with probability 3e-7, at 0.8 with 6e-5
 BITS = 512
-BLOCK = 1500  # members of one bucket that are compared with each other in one task
+BLOCK = 1500  # members of one bucket that are compared with each other in one task, about
+BLOCK_BYTES = 24_000_000  # of their differences, about
+HOT = 2000  # rows of one key that a join leaves in one task, about
 _random = np.random.default_rng(20_240_601)
 _ODD = _random.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _XOR = _random.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -111,6 +113,49 @@ def common_counts(deltas: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.
     return total
 
 
+def near_pairs(component: np.ndarray, side: np.ndarray, sketch: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Members of different components with near sketches: within side 0, or between sides -1 and 1."""
+    left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
+    for at in range(0, len(left), 256):
+        x = left[at : at + 256]
+        bits = np.bitwise_count(sketch[x][:, None, :] ^ sketch[right][None, :, :]).sum(2, dtype=np.int64)
+        near = (bits <= most) & (component[x][:, None] != component[right][None, :])
+        near &= (side[x] != 0)[:, None] | (x[:, None] < right[None, :])
+        i, j = np.nonzero(near)
+        yield x[i], right[j]
+
+
+def _grouped(told):
+    """``told`` of each run of rows with one lead, kind and pair of blocks; the last column is the sketch."""
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
+        for batch in batches:
+            keys = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
+            keys.append(batch.columns[-1].flatten().to_numpy().view(U64).reshape(-1, BITS // 64))
+            rows = keys if tail is None else [np.concatenate(x) for x in zip(tail, keys)]
+            ends = runs(*rows[:4])
+            for i, j in zip(ends[:-2], ends[1:-1]):
+                yield told(*(x[i:j] for x in (rows[0], *rows[4:])))
+            tail = [x[ends[-2] :] for x in rows] if len(ends) > 1 else rows
+        if tail is not None and len(tail[0]):
+            yield told(tail[0], *tail[4:])
+
+    return grouped
+
+
+def _flag(most: int):
+    """Members that a member of another component is near to by sketch."""
+
+    def flag(lead: np.ndarray, rep: np.ndarray, component: np.ndarray, side: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        some = np.zeros(len(rep), bool)
+        for p, q in near_pairs(component, side, sketch, most):
+            some[p] = some[q] = True
+        return pa.record_batch([pa.array(lead[some]), pa.array(rep[some])], ["a", "rep"])
+
+    return _grouped(flag)
+
+
 def _compare(most: int, percent: int):
     """Links between members of different components of one lead's group, or of two blocks of it.
 
@@ -119,18 +164,9 @@ def _compare(most: int, percent: int):
     for two components is enough, so pairs that links have joined meanwhile are passed over.
     """
 
-    def pairs(group: list[np.ndarray]) -> pa.RecordBatch:
-        rep, component, side, size, delta, sketch = group
-        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-        found: list[np.ndarray] = []
-        for at in range(0, len(left), 256):
-            x = left[at : at + 256]
-            bits = np.bitwise_count(sketch[x][:, None, :] ^ sketch[right][None, :, :]).sum(2, dtype=np.int64)
-            near = (bits <= most) & (component[x][:, None] != component[right][None, :])
-            near &= (side[x] != 0)[:, None] | (x[:, None] < right[None, :])
-            i, j = np.nonzero(near)
-            found.append(np.stack([x[i], right[j]]))
-        p, q = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+    def pairs(_, rep, component, side, size, delta, sketch) -> pa.RecordBatch:
+        found = list(near_pairs(component, side, sketch, most))
+        p, q = (np.concatenate(x) for x in zip(*found)) if found else np.zeros((2, 0), np.int64)
         _, label = np.unique(component, return_inverse=True)
         deltas = [np.frombuffer(d, U64) for d in delta.tolist()]
         length = np.array([len(d) for d in deltas], np.int64)
@@ -153,20 +189,7 @@ def _compare(most: int, percent: int):
         a, b = np.array(links, np.int64).reshape(-1, 2).T
         return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
-        for batch in batches:
-            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
-            keys.append(batch.column(9).flatten().to_numpy().view(U64).reshape(-1, BITS // 64))
-            rows = keys if tail is None else [np.concatenate(x) for x in zip(tail, keys)]
-            ends = runs(*rows[:4])
-            for i, j in zip(ends[:-2], ends[1:-1]):
-                yield pairs([x[i:j] for x in rows[4:]])
-            tail = [x[ends[-2] :] for x in rows] if len(ends) > 1 else rows
-        if tail is not None and len(tail[0]):
-            yield pairs(tail[4:])
-
-    return compare
+    return _grouped(pairs)
 
 
 def _sets(k: int):
@@ -200,6 +223,25 @@ def _verifier(percent: int):
     return verify
 
 
+def spread_join(facts: DataFrame, one: DataFrame, on: str, spread_by: str) -> DataFrame:
+    """Inner join with a table of one row per key, in which a key of more than HOT rows is dealt to several tasks.
+
+    Only the rows of ``one`` for those keys are copied. ``facts`` is read twice, so it should be a stored table.
+    """
+    many = facts.groupBy(on).agg(F.count("*").alias("__n")).filter(F.col("__n") > HOT)
+    many = cut(many.select(on, F.ceil(F.col("__n") / HOT).cast("int").alias("__salts")), "hot-keys")
+    salts = F.coalesce("__salts", F.lit(1))
+    left = facts.join(many, on, "left").withColumn("__salt", F.pmod(F.xxhash64(spread_by), salts).cast("int")).drop("__salts")
+    right = one.join(many, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return left.join(right, [on, "__salt"]).drop("__salt")
+
+
+def odd_bits(x: str, y: str) -> Column:
+    """Bits in which two sketches differ."""
+    words = F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.aggregate(words, F.lit(0), lambda total, n: total + n)
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", ident: str = "doc_id"
 ) -> DataFrame:
@@ -212,12 +254,12 @@ def near_duplicates(
 
     Documents with equal sets form a class at once and only its smallest id goes on. MinHash
     samples make band keys, and their parity bitmap is the odd sketch, from which the popcount
-    of an XOR tells high similarities apart. First each bucket's members are confirmed against
-    its smallest member, its lead, on the full sets, which are made anew for bucket sharers only.
-    Then, only for leads whose members still lie in several components, members of different
-    components are compared by sketch, in blocks, inside tasks, and near ones confirmed
-    exactly by their differences from the lead's set. No pair leaves a task but one link for two
-    components; a huge group of near copies is one component by then.
+    of an XOR tells high similarities apart. First each bucket's members are checked by sketch against
+    its smallest member, its lead, and the near ones confirmed on the full sets, which are made
+    anew. Then, only for leads whose members, near or not, still lie in several components, members of
+    different components are compared by sketch, in blocks, inside tasks; those with a near one are
+    compared once more and confirmed exactly by their differences from the lead's set. No pair leaves a
+    task but one link for two components; a huge group of near copies is one component by then.
 
     NULL or wordless text: an empty set, linked with nothing. NULL ids: an id after all others.
     Rows of the same id and text are one document; other texts under that id share its
@@ -226,8 +268,7 @@ def near_duplicates(
     """
     base = docs.withColumns(document_columns(text, ident)).select("__doc", "__crc", F.col(text).alias("text"))
     signed_docs = cut(
-        base.mapInArrow(
-            _signer(k), "__doc long, __crc long, n long, c1 long, c2 long, sketch array<long>, bands array<long>"
+        mapped(base, _signer(k), "__doc long, __crc long, n long, c1 long, c2 long, sketch array<long>, bands array<long>"
         ),
         "signatures",
     )
@@ -240,17 +281,24 @@ def near_duplicates(
     members = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("end")).filter("lead <> end")
     met = cut(members.join(shared.select("bucket", "lead"), "bucket"), "buckets")
-    involved = met.select("rep").distinct()
-    chosen = classes.join(involved, "rep", "left_semi").groupBy("rep").agg(F.min("crc").alias("crc"))
-    copies = F.row_number().over(Window.partitionBy("__doc", "__crc").orderBy("text"))
-    texts = base.join(chosen.toDF("__doc", "__crc"), ["__doc", "__crc"]).withColumn("copy", copies).filter("copy = 1")
-    sets = cut(texts.mapInArrow(_sets(k), "rep long, items binary"), "sets")
     most = most_odd_bits(percent / 100)
-    pairs = met.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    stars = cut(
-        both.mapInArrow(_verifier(percent), "a long, b long, linked boolean, lead_size long, size long, delta binary"), "stars"
-    )
+    pairs = cut(met.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    sketches = classes.select("rep", "sketch")
+    judged = spread_join(pairs, sketches.toDF("a", "x"), "a", "b").join(sketches.toDF("b", "y"), "b")
+    judged = cut(judged.select("a", "b", (odd_bits("x", "y") <= most).alias("near")), "judged")
+
+    def confirmed(chosen: DataFrame, name: str) -> DataFrame:
+        """Chosen pairs of a lead and a member on their full sets."""
+        involved = chosen.select(F.col("a").alias("rep")).union(chosen.select("b")).distinct()
+        who = classes.join(involved, "rep", "left_semi").groupBy("rep").agg(F.min("crc").alias("crc"))
+        copies = F.row_number().over(Window.partitionBy("__doc", "__crc").orderBy("text"))
+        texts = base.join(who.toDF("__doc", "__crc"), ["__doc", "__crc"]).withColumn("copy", copies).filter("copy = 1")
+        sets = cut(mapped(texts, _sets(k), "rep long, items binary"), "sets")
+        both = spread_join(chosen, sets.toDF("a", "x"), "a", "b").join(sets.toDF("b", "y"), "b")
+        told = "a long, b long, linked boolean, lead_size long, size long, delta binary"
+        return cut(mapped(both.select("a", "b", "x", "y"), _verifier(percent), told), name)
+
+    stars = confirmed(cut(judged.filter("near").select("a", "b"), "near"), "stars")
     links = stars.filter("linked").select("a", "b")
     labels = cut(components(links), "labels")
 
@@ -258,39 +306,61 @@ def near_duplicates(
         named = of.select(F.col("node").alias(key), "component")
         return df.join(named, key, "left").withColumn("component", F.coalesce("component", key))
 
-    leads = stars.groupBy("a").agg(F.any_value("lead_size").alias("size"))
-    own = leads.select("a", F.col("a").alias("rep"), "size", F.lit(b"").alias("delta"))
-    members = own.unionByName(stars.select("a", F.col("b").alias("rep"), "size", "delta"))
-    members = labelled(members, labels)
-    core = labelled(leads.select("a"), labels, "a").withColumnRenamed("component", "home")
-    placed = members.select("a", "rep", "component")
-    counted = placed.join(core, "a").groupBy("a").agg(
-        F.any_value("home").alias("home"), F.count_if(F.col("component") == F.col("home")).alias("inside"),
-        F.count_if(F.col("component") != F.col("home")).alias("outside"),
-    )
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    open_leads = counted.filter("outside > 1 or outside = 1 and inside > 1").select("a", "home", blocks("inside").alias("ins"), blocks("outside").alias("outs"))
-    open_ = members.join(open_leads, "a").join(classes.select("rep", "sketch"), "rep")
-    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("component") == F.col("home"), F.col("ins")).otherwise(F.col("outs"))).cast("int")
-    open_ = open_.withColumn("block", mine)
-    out, other = F.col("component") != F.col("home"), F.col("other")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
-    rest = ["rep", "component"], ["size", "delta", "sketch"]
-    block = F.col("block")
-    among = open_.filter(out).select("*", each("outs")).select(
-        "a", F.lit(0).alias("kind"), F.least(block, other).alias("i"), F.greatest(block, other).alias("j"), *rest[0],
-        F.when(block == other, 0).when(block < other, -1).otherwise(1).alias("side"), *rest[1],
-    )
-    outer = open_.filter(out).select("*", each("ins")).select(
-        "a", F.lit(1).alias("kind"), block.alias("i"), other.alias("j"), *rest[0], F.lit(-1).alias("side"), *rest[1]
-    )
-    inner = open_.filter(~out).select("*", each("outs")).select(
-        "a", F.lit(1).alias("kind"), other.alias("i"), block.alias("j"), *rest[0], F.lit(1).alias("side"), *rest[1]
+    leads = judged.select("a").distinct()
+    members = leads.select("a", F.col("a").alias("rep")).union(judged.select("a", F.col("b").alias("rep")))
+    members = cut(labelled(members, labels).select("a", "rep", "component"), "members")
+    home = labelled(leads, labels, "a").withColumnRenamed("component", "home")
+    # members are counted by lead and component before anything is dealt by lead alone
+    counted = members.groupBy("a", "component").agg(F.count("*").alias("n")).join(home, "a")
+    inside = F.col("component") == F.col("home")
+    counted = counted.groupBy("a").agg(
+        F.any_value("home").alias("home"), F.sum(F.when(inside, F.col("n")).otherwise(0)).alias("inside"),
+        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outside"),
     )
-    key = ["a", "kind", "i", "j"]
-    dealt = among.union(outer).union(inner).repartition(*key).sortWithinPartitions(*key)
-    further = cut(dealt.mapInArrow(_compare(most, percent), "a long, b long").distinct(), "further")
-    if not further.isEmpty():
+    blocks = lambda c, size: F.ceil(F.greatest(F.col(c) / BLOCK, size / BLOCK_BYTES)).cast("int")
+    open_leads = counted.filter("outside > 1 or outside = 1 and inside > 1")
+    open_leads = cut(open_leads.select("a", "home", blocks("inside", F.lit(0)).alias("ins"), blocks("outside", F.lit(0)).alias("outs")), "open")
+
+    def met_in_blocks(of: DataFrame, leads: DataFrame, rest: list[str]) -> DataFrame:
+        """Members of open leads dealt so that those of different components meet, two blocks at a time."""
+        out, other = F.col("component") != F.col("home"), F.col("other")
+        mine = F.pmod(F.xxhash64("rep"), F.when(out, F.col("outs")).otherwise(F.col("ins"))).cast("int")
+        open_ = of.join(leads, "a").join(sketches, "rep").withColumn("block", mine)
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+        block = F.col("block")
+        among = open_.filter(out).select("*", each("outs")).select(
+            "a", F.lit(0).alias("kind"), F.least(block, other).alias("i"), F.greatest(block, other).alias("j"), "rep", "component",
+            F.when(block == other, 0).when(block < other, -1).otherwise(1).alias("side"), *rest,
+        )
+        outer = open_.filter(out & (F.col("ins") > 0)).select("*", each("ins")).select(
+            "a", F.lit(1).alias("kind"), block.alias("i"), other.alias("j"), "rep", "component", F.lit(-1).alias("side"), *rest
+        )
+        inner = open_.filter(~out & (F.col("outs") > 0)).select("*", each("outs")).select(
+            "a", F.lit(1).alias("kind"), other.alias("i"), block.alias("j"), "rep", "component", F.lit(1).alias("side"), *rest
+        )
+        key = ["a", "kind", "i", "j"]
+        return among.union(outer).union(inner).repartition(*key).sortWithinPartitions(*key)
+
+    dealt = met_in_blocks(members, open_leads, ["sketch"])
+    flagged = cut(mapped(dealt, _flag(most), "a long, rep long").distinct(), "flagged")
+    if not flagged.isEmpty():
+        known = stars.select("a", F.col("b").alias("rep"), "size", "delta", "lead_size")
+        asked = flagged.filter("a <> rep").join(known.select("a", "rep"), ["a", "rep"], "left_anti")
+        more = confirmed(cut(asked.select("a", F.col("rep").alias("b")), "asked"), "more-stars")
+        links = links.union(more.filter("linked").select("a", "b"))
+        known = known.union(more.select("a", F.col("b").alias("rep"), "size", "delta", "lead_size"))
+        own = known.groupBy("a").agg(F.any_value("lead_size").alias("size"))
+        own = own.select("a", F.col("a").alias("rep"), "size", F.lit(b"").alias("delta"))
+        known = own.union(known.drop("lead_size")).join(flagged, ["a", "rep"])
+        known = cut(known.join(members, ["a", "rep"]), "differences")
+        size = lambda c: F.sum(F.when(c, F.octet_length("delta")).otherwise(0))
+        inside = F.col("component") == F.col("home")
+        again = known.join(open_leads.select("a", "home"), "a").groupBy("a", "home").agg(
+            F.count_if(inside).alias("inside"), F.count_if(~inside).alias("outside"), size(inside).alias("b_in"), size(~inside).alias("b_out")
+        )
+        again = again.select("a", "home", blocks("inside", F.col("b_in")).alias("ins"), blocks("outside", F.col("b_out")).alias("outs"))
+        dealt = met_in_blocks(known, again, ["size", "delta", "sketch"])
+        further = cut(mapped(dealt, _compare(most, percent), "a long, b long").distinct(), "further")
         labels = cut(components(links.union(further)), "labels")
     grouped = labelled(classes.select("rep", *same), labels).select(*same, F.col("component").alias("group"))
     told = signed_docs.select("__doc", "__crc", *same).join(grouped, same, "left")
@@ -322,4 +392,4 @@ def without_near_duplicates(
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return unsqueezed(batches, text)
 
-    return kept.mapInArrow(plain, docs.schema)
+    return mapped(kept, plain, docs.schema)
