@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stallwise.llm.common import (
-    Prefix, U64, column, cut, document_columns, lists, longs, merged, mix, runs, signed, squeezed, unsqueezed, words_of,
+    Prefix, U64, column, cut, document_columns, lists, longs, mapped, merged, mix, runs, signed, squeezed, unsqueezed, words_of,
 )
-from stallwise.llm.sampling import marked, pieces_of, repeated_positions
+from stallwise.llm.sampling import document_key, known_positions, marked, pieces_of, positions_of
 from stallwise.llm.spans import without_spans
 
 HELD = 150_000  # paths that one task combines before they are shuffled
@@ -130,23 +130,24 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, length: int, k: int) -> DataFrame:
     """``__doc``, ``__crc``, ``start``, ``n``: spans whose ``length``-word windows start earlier too."""
     base = docs.select("__doc", "__crc", "text")
-    joint = squeezed(base).join(repeated_positions(base, k, length), "__doc")
+    marks = positions_of(known_positions(base, k, length))
+    joint = squeezed(base.select("*", document_key())).join(marks, "__key")
     place = F.struct("doc", "at")
 
     def judged(df: DataFrame, name: str) -> DataFrame:
         first = F.min(place).over(Window.partitionBy("h", name))
         return df.withColumn("later", (F.col("kind") == 1) | (place != first))
 
-    paths = judged(joint.mapInArrow(_paths(k, length), PATHS), "path")
+    paths = judged(mapped(joint, _paths(k, length), PATHS), "path")
     paths = cut(paths.withColumn("edges", F.when(~F.col("later"), F.col("edges"))), "paths")
     words = F.when(F.col("kind") == 1, F.col("n")).otherwise(F.col("n") + length - 1)
     whole = paths.filter("later").select("doc", "crc", F.col("at").alias("start"), words.alias("n"))
     firsts = paths.filter("not later")
     branching = firsts.groupBy("h").agg(F.min("path").alias("x"), F.max("path").alias("y")).filter("x <> y").select("h")
     branches = firsts.select("h", "doc", "crc", "at", "edges").join(branching, "h")
-    edges = judged(branches.mapInArrow(_edges(length), EDGES), "edge")
+    edges = judged(mapped(branches, _edges(length), EDGES), "edge")
     parts = edges.filter("later").select("doc", "crc", F.col("at").alias("start"), "n")
-    spans = whole.union(parts).mapInArrow(_settled, SPANS)
+    spans = mapped(whole.union(parts), _settled, SPANS)
     return spans.toDF("__doc", "__crc", "start", "n")
 
 

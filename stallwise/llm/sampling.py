@@ -12,10 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-
-from stallwise.llm.common import Prefix, U64, Words, lists, longs, mix, runs, signed, slices, words_of
+from pyspark.sql import Column, DataFrame, functions as F
 
+from stallwise.llm.common import Prefix, U64, Words, lists, longs, mapped, mix, runs, signed, slices, words_of
 _LOW = U64((1 << 28) - 1)
 HELD = 400_000  # positions that one task combines before they are shuffled
 
@@ -101,87 +100,69 @@ def _sampler(k: int, length: int, lower: bool):
     return sample
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by route; the last route of a batch waits for the next batch."""
-    tail = None
+def _repeated(most: int | None):
+    """Documents with their known positions and, of runs chosen at more than ``most`` places, the hash."""
+    names = ["__key", "known", "head"]
 
-    def told(rows: list[np.ndarray]) -> pa.RecordBatch:
+    def told(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         route, kind, doc, at = rows
         ends = runs(route)
         size = np.diff(ends)
+        if most is not None:
+            places = np.add.reduceat(np.where(kind == 2, at, 1), ends[:-1])
+            common = route[ends[:-1]][places > most]
+            yield pa.record_batch([pa.nulls(len(common), pa.int64()), pa.nulls(len(common), pa.list_(pa.int32())), pa.array(common)], names)
         twice = np.flatnonzero(np.repeat(size > 1, size) & (kind == 0))
         order = np.lexsort((at[twice], doc[twice]))
         doc, at = doc[twice][order], at[twice][order]
         ends = runs(doc)
-        return pa.record_batch([pa.array(doc[ends[:-1]]), lists(at, np.diff(ends), pa.int32())], ["__doc", "known"])
-
-    for batch in batches:
-        kinds = batch.column(1).to_numpy()
-        sure = pa.array(kinds == 1)
-        yield pa.record_batch([batch.column(2).filter(sure), batch.column(4).filter(sure)], ["__doc", "known"])
-        rows = [batch.column(i).to_numpy()[kinds != 1] for i in range(4)]
-        if tail is not None:
-            rows = [np.concatenate(x) for x in zip(tail, rows)]
-        cutoff = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-        tail = [x[cutoff:] for x in rows]
-        if cutoff:
-            yield told([x[:cutoff] for x in rows])
-    if tail is not None and len(tail[0]):
-        yield told(tail)
-
-
-def _common(most: int):
-    """Rows come sorted by route; the count of the last route of a batch goes on in the next."""
-
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, count = 0, 0
+        known = lists(at, np.diff(ends), pa.int32())
+        yield pa.record_batch([pa.array(doc[ends[:-1]]), known, pa.nulls(len(known), pa.int64())], names)
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by route; the last route of a batch waits for the next batch."""
+        tail = None
         for batch in batches:
-            kind = longs(batch, "kind")
-            route = longs(batch, "route")[kind != 1]
-            places = np.where(kind == 2, longs(batch, "at"), 1)[kind != 1]
-            if not len(route):
-                continue
-            begin = runs(route)[:-1]
-            key, total = route[begin], np.add.reduceat(places, begin)
-            if key[0] == last:
-                total[0] += count
-            elif count > most:
-                yield pa.record_batch([pa.array([last], pa.int64())], ["key"])
-            last, count = int(key[-1]), int(total[-1])
-            yield pa.record_batch([pa.array(key[:-1][total[:-1] > most])], ["key"])
-        if count > most:
-            yield pa.record_batch([pa.array([last], pa.int64())], ["key"])
-
-    return common
-
-
-def sampled_positions(docs: DataFrame, k: int, length: int, lower: bool = False) -> DataFrame:
-    """Chosen positions dealt by the hash of their words, for ``positions_of`` and ``common_keys``.
-
-    What a task sees twice itself is known at once: those rows are spread evenly and only one row, with their
-    number, stands for the run, so a run that a third of all documents share brings one row from each
-    task to the task of its hash.
-    """
-    sampled = docs.select("__doc", "text").mapInArrow(_sampler(k, length, lower), "route long, kind byte, doc long, at int, known array<int>")
-    return sampled.repartition("route").sortWithinPartitions("route")
+            kinds = batch.column(1).to_numpy()
+            sure = batch.filter(pa.array(kinds == 1))
+            yield pa.record_batch([sure.column(2), sure.column(4), pa.nulls(sure.num_rows, pa.int64())], names)
+            rows = [batch.column(i).to_numpy()[kinds != 1] for i in range(4)]
+            if tail is not None:
+                rows = [np.concatenate(x) for x in zip(tail, rows)]
+            cutoff = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            tail = [x[cutoff:] for x in rows]
+            if cutoff:
+                yield from told([x[:cutoff] for x in rows])
+        if tail is not None and len(tail[0]):
+            yield from told(tail)
 
+    return repeated
 
-def common_keys(places: DataFrame, most: int) -> DataFrame:
-    """``key``: hashes of runs chosen at more than ``most`` places."""
-    return places.mapInArrow(_common(most), "key long")
 
+def document_key() -> Column:
+    """Names a document among all, those without an id too; should two share it, they only look at more positions."""
+    return F.xxhash64("__doc", "__crc").alias("__key")
 
-def positions_of(places: DataFrame) -> DataFrame:
-    known = places.mapInArrow(_repeated, "__doc long, known array<int>")
-    return known.groupBy("__doc").agg(F.flatten(F.collect_list("known")).alias("marks"))
 
+def known_positions(docs: DataFrame, k: int, length: int, most: int | None = None, lower: bool = False) -> DataFrame:
+    """``__key``, ``known``: chosen word positions whose k words are chosen elsewhere too, in parts.
 
-def repeated_positions(docs: DataFrame, k: int, length: int, lower: bool = False) -> DataFrame:
-    """``__doc``, ``marks``: chosen word positions whose k words are chosen elsewhere too.
+    ``docs`` has ``__doc``, ``__crc`` and ``text``. With ``most``, rows with a ``head`` instead tell the hashes of
+    runs chosen at more than so many places.
 
-    ``docs`` has ``__doc`` and ``text``.
+    Positions are dealt by the hash of their words. What a task sees twice itself is known at once: those
+    rows are spread evenly and only one row, with their number, stands for the run, so a run that a third
+    of all documents share brings one row from each task to the task of its hash.
     """
-    return positions_of(sampled_positions(docs, k, length, lower))
+    named = docs.select(document_key().alias("__doc"), "text")
+    sampled = mapped(named, _sampler(k, length, lower), "route long, kind byte, doc long, at int, known array<int>")
+    dealt = sampled.repartition("route").sortWithinPartitions("route")
+    return mapped(dealt, _repeated(most), "__key long, known array<int>, head long")
+
+
+def positions_of(known: DataFrame) -> DataFrame:
+    """``__key``, ``marks``: all known positions of a document."""
+    return known.filter("head is null").groupBy("__key").agg(F.flatten(F.collect_list("known")).alias("marks"))
 
 
 def marked(marks: pa.Array, words: Words, at: np.ndarray) -> np.ndarray:

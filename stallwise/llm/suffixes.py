@@ -10,9 +10,10 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from stallwise.llm.common import (
-    SLICE, Prefix, U64, blobs, column, document_columns, longs, merged, mix, runs, signed, squeezed, unsqueezed, words_of,
+    SLICE, Prefix, U64, blobs, column, cut, document_columns, longs, mapped, merged, mix, runs, signed, squeezed, unsqueezed,
+    words_of,
 )
-from stallwise.llm.sampling import common_keys, marked, pieces_of, positions_of, sampled_positions
+from stallwise.llm.sampling import document_key, known_positions, marked, pieces_of, positions_of
 from stallwise.llm.spans import without_spans
 
 HELD = 30_000  # suffixes that one task combines before they are shuffled
@@ -274,19 +275,19 @@ def _neighbours(k: int, length: int):
 def parted_suffixes(docs: DataFrame, length: int, k: int) -> DataFrame:
     """Settled spans, suffixes dealt by their heads and, for heads of more than MANY places, windows dealt by their words."""
     base = docs.select("__doc", "__crc", "text")
-    places = sampled_positions(base, k, length)
-    joint = squeezed(base).join(positions_of(places), "__doc")
-    suffixes = joint.mapInArrow(_suffixes(k, length), SUFFIXES)
-    # A row of 8 bytes for MANY places at least: far less than the table
-    heads = F.broadcast(common_keys(places, MANY).select(F.col("key").alias("head"), F.lit(True).alias("many")))
+    known = cut(known_positions(base, k, length, MANY), "positions")
+    # stored, so that Spark knows its size and broadcasts it only below the session's threshold
+    heads = cut(known.filter("head is not null").select("head", F.lit(True).alias("many")), "common-heads")
+    joint = squeezed(base.select("*", document_key())).join(positions_of(known), "__key")
+    suffixes = mapped(joint, _suffixes(k, length), SUFFIXES)
     flagged = suffixes.join(heads, "head", "left").withColumn("many", F.coalesce("many", F.lit(False)) & (F.col("kind") == 0))
-    return flagged.mapInArrow(_parted(length), SUFFIXES)
+    return mapped(flagged, _parted(length), SUFFIXES)
 
 
 def repeated_passages(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame:
     """``__doc``, ``__crc``, ``start``, ``n``: passages whose ``length``-word windows start earlier too."""
     dealt = parted_suffixes(docs, length, k).repartition("route").sortWithinPartitions("route", "doc", "at")
-    return dealt.mapInArrow(_neighbours(k, length), SPANS).toDF("__doc", "__crc", "start", "n")
+    return mapped(dealt, _neighbours(k, length), SPANS).toDF("__doc", "__crc", "start", "n")
 
 
 def dedup_passages(

@@ -11,7 +11,7 @@ from conftest import DATA
 from llm import brute
 from pyspark.sql import functions as F
 
-from stallwise.llm import covertree, oddsketch, suffixes
+from stallwise.llm import covertree, oddsketch, sampling, suffixes
 from stallwise.llm.common import document_columns
 from stallwise.llm.debruijn import dedup_substrings
 from stallwise.llm.graph import components
@@ -122,6 +122,29 @@ def test_repeated_rows_and_null_ids(spark):
         assert found == Counter({(5, 30, 0): 2, (7, 31, 30): 1, (None, 30, 30): 2})
 
 
+def test_many_null_ids(spark):
+    """Half of the documents have no id: each is looked at by its own positions, all after the others."""
+    rows = _copies(3, 12)
+    rows = [(None if i % 2 else d, t) for i, (d, t, *_) in enumerate(rows)]
+    rows.append((200, " ".join(f"v{i % 5000}" for i in range(40_000))))  # very long, repeats itself
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    base = docs.withColumns(document_columns()).filter("text is not null")
+    marks = sampling.positions_of(sampling.known_positions(base, 4, 12)).collect()
+    assert len(marks) > sum(d is None and t is not None for d, t in rows) // 2
+    own = {d: brute.words(t) for d, t in rows if d is not None}
+    first = {}
+    for d in sorted(own):
+        for i in range(len(own[d]) - 11):
+            first.setdefault(tuple(own[d][i : i + 12]), (d, i))
+    for dedup in (dedup_substrings, dedup_passages):
+        for r in dedup(docs, 12, 4).filter("doc_id is not null").collect():
+            gone = set()
+            for i in range(len(own[r.doc_id]) - 11):
+                if first[tuple(own[r.doc_id][i : i + 12])] != (r.doc_id, i):
+                    gone.update(range(i, i + 12))
+            assert r.n_removed == len(gone)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert dedup_substrings(docs).isEmpty() and dedup_passages(docs).isEmpty()
@@ -148,7 +171,8 @@ def _near(seed: int) -> list[tuple]:
 @pytest.mark.parametrize("k,percent,block", [(3, 85, 1500), (5, 80, 6)])
 def test_near_duplicates_match_brute_force(spark, monkeypatch, k, percent, block):
     monkeypatch.setattr(oddsketch, "BLOCK", block)
-    rows = _near(k)
+    monkeypatch.setattr(oddsketch, "HOT", block)
+    rows = _near(k) + [(2000, " ".join(f"long{i}" for i in range(60_000)))]
     sets = [brute.shingles(t, k) for _, t in rows]
     links = [
         (i, j) for i in range(len(rows)) for j in range(i)
