@@ -9,7 +9,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from stallwise.llm.common import slices
+from stallwise.llm.common import mapped, slices
 
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,8 +36,16 @@ ASIDE_WORDS = frozenset(
     "recommendations recommended related replies reply respond search share sharing shares sidebar sidebars signup skip social sponsor "
     "sponsored sponsors subscribe subscription teaser toolbar widget widgets".split()
 )
+# Words that say nothing about a part: with an aside word they still name no article.
+NEUTRAL_WORDS = frozenset(
+    "area bar block body bottom box buttons card cards col column container content desktop fixed form global group hidden holder icon "
+    "icons inner item items left link links list mobile module outer page panel post posts right root row section site slot small "
+    "sticky text thread title top unit wrap wrapper".split()
+)
 BONUS = {"article": 25.0, "main": 12.0, "section": 4.0, "div": 4.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0}
 
+LABEL = 60  # characters
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
       | <[!?][^>]*(?:>|\Z)
@@ -53,27 +61,34 @@ _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def is_aside(tag: str, rest: str) -> tuple[bool, bool]:
-    """Whether an element is no part of an article: by what it is, and only by its names."""
+def is_aside(tag: str, rest: str) -> tuple[bool, bool, bool]:
+    """Whether an element is no part of an article: by what it is, or only by its names; and whether a name hints at it.
+
+    A name rules out where one of its tokens says nothing else. An aside word among others, as in
+    "social-history", is a hint.
+    """
     if tag in ASIDE_TAGS:
-        return True, False
-    named = False
+        return True, False, False
+    named, hinted = False, False
     for key, value in _ATTRIBUTE.findall(rest) if rest and not rest.isspace() else ():
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
-            return True, False
+            return True, False, False
         if key == "role" and value.lower() in ASIDE_ROLES:
-            return True, False
-        if key in ("class", "id") and any(w.lower() in ASIDE_WORDS for w in _WORD.findall(value)):
-            named = True
-    return named, named
+            return True, False, False
+        for token in value.split() if key in ("class", "id") else ():
+            words = {w.lower() for w in _WORD.findall(token)}
+            if words & ASIDE_WORDS:
+                hinted = True
+                named = named or words <= ASIDE_WORDS | NEUTRAL_WORDS
+    return named, named, hinted and not named
 
 
 class Page:
     """A page as lists by node (a parent comes before its children) and its texts in order."""
 
     def __init__(self, html: str) -> None:
-        self.tag, self.up, self.aside, self.only_named = ["#"], [-1], [False], [False]
+        self.tag, self.up, self.aside, self.only_named, self.hinted = ["#"], [-1], [False], [False], [False]
         self.texts: list[tuple[int, str]] = []  # node -1: a block begins or ends here
         stack = [0]
 
@@ -112,17 +127,37 @@ class Page:
                 pop_to(_P, _SHIELD)
             if name in CLOSES:
                 pop_to(*CLOSES[name])
-            aside, named = is_aside(name, token["rest"] or token["rest2"] or "")
+            aside, named, hinted = is_aside(name, token["rest"] or token["rest2"] or "")
             self.tag.append(name)
             self.up.append(stack[-1])
             self.aside.append(aside)
             self.only_named.append(named)
+            self.hinted.append(hinted)
             stack.append(len(self.tag) - 1)
         if at < len(html):
             self.texts.append((stack[-1], html[at:]))
 
     def settle(self) -> None:
-        """A name does not rule out what holds the article or is it; children share a parent's fate."""
+        """A name does not rule out what holds the article or is it; children share a parent's fate.
+
+        What a name only hints at goes if half of its text is linked, or if it has no more text than a label.
+        """
+        if any(self.hinted):
+            n = len(self.tag)
+            size, linked, link = [0] * n, [0] * n, [False] * n
+            for i in range(1, n):
+                link[i] = self.tag[i] == "a" or link[self.up[i]]
+            for node, text in self.texts:
+                if node >= 0:
+                    length = len(text.strip())
+                    size[node] += length
+                    linked[node] += length if link[node] else 0
+            for i in range(n - 1, 0, -1):
+                size[self.up[i]] += size[i]
+                linked[self.up[i]] += linked[i]
+            for i in range(1, n):
+                if self.hinted[i] and (2 * linked[i] >= size[i] or size[i] < LABEL):
+                    self.aside[i] = self.only_named[i] = True
         holds = [t in ("article", "main", "body", "html") for t in self.tag]
         for i in range(len(self.tag) - 1, 0, -1):
             holds[self.up[i]] |= holds[i]
@@ -208,7 +243,8 @@ def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> Dat
     discounted by link density in turn; the best one is kept, or the article it is a part of, and
     its siblings with a fifth of its points or long unlinked paragraphs. Menus, headers,
     footers, sidebars, notices, adverts, forms and reader comments count nowhere and are left
-    out inside the article too: by element, role, or a word of class or id, where a name alone never
+    out inside the article too: by element, role, or a token of class or id that names nothing
+    else, and where such a word is one among others if the text is mostly linked or no longer than a label. A name never
     rules out what holds the article. Scripts, styles, comments and markup go.
     Character references are decoded once, after the markup is gone.
 
@@ -224,5 +260,5 @@ def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> Dat
             texts = [main_text(h) if h else "" for h in part.column(len(names)).to_pylist()]
             yield pa.record_batch([*part.columns[: len(names)], pa.array(texts, pa.string())], [*names, out])
 
-    done = pages.select(*names, F.col(html).alias("__html")).mapInArrow(extract, T.StructType(fields))
+    done = mapped(pages.select(*names, F.col(html).alias("__html")), extract, T.StructType(fields))
     return done.withColumn("n_chars", F.length(out).cast("long"))

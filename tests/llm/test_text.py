@@ -129,6 +129,17 @@ def test_odd_pages():
     assert main_text("<nav>only a menu</nav>") == ""
 
 
+def test_a_name_among_others_is_only_a_hint():
+    lead = "A lead that says, in one sentence, what the whole article is about."
+    body = "<p>A paragraph of the article, with commas, and with words enough to score.</p>" * 3
+    text = "A section about social history, which is a part of the article, and stays."
+    page = f"""<article><div class="article-header"><h1>Title</h1><p>{lead}</p></div>{body}<div class="social-history"><p>{text}</p></div>
+      <div class="related-reading"><a href="x">One more story that is worth the time, and another</a></div>
+      <div class="newsletter-teaser"><p>Subscribe, and get the news, all of it, every day of the week, for ever.</p></div>
+      <div id="comment-list"><p>I disagree, strongly, with all of this, from the first word to the last.</p></div></article>"""
+    assert main_text(page) == " ".join(["Title", lead, *["A paragraph of the article, with commas, and with words enough to score."] * 3, text])
+
+
 def test_all_pages_match_their_articles(spark):
     pages = {r.page_id: r for r in _table(spark, MIDDLE, "pages").collect()}
     done = QUERIES["op6_html_extraction"](spark, MIDDLE)
