@@ -13,8 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stallwise.llm.common import blobs, column, cut, slices
-
+from stallwise.llm.common import blobs, column, cut, mapped, slices
 GRAIN = 32  # tokens that a queue's deficit must reach before the queue is served; divides the sequence length
 WEIGHTS = 1 << 20  # the sum of the queues' weights, about; with 2**40 grains products stay below 2**63
 MOST_QUEUES = 1024  # sources with a queue of their own; the smaller ones share one more
@@ -291,6 +290,29 @@ def _cutter(plan: list[Phase], length: int):
     return cutter
 
 
+def _interleaved(sums: DataFrame) -> DataFrame:
+    """``before``: where each part of each source begins in a queue that many sources share.
+
+    Parts stand in the order of their virtual time, how far into its source a part's middle is, so every source
+    has about the same share of itself in any stretch of the queue. Ranges of that order are summed
+    apart; only one sum for each range is on the driver.
+    """
+    own = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = sums.groupBy("queue").agg(F.sum("n").alias("whole"))
+    timed = sums.withColumn("so_far", F.coalesce(F.sum("n").over(own), F.lit(0))).join(whole, "queue")
+    timed = timed.withColumn("time", (F.col("so_far") + F.col("n") / 2) / F.col("whole"))
+    order = ["time", "queue", "part"]
+    ranged = cut(timed.select(*order, "n").repartitionByRange(*order).withColumn("stretch", F.spark_partition_id()), "stretches")
+    base, begins = 0, []
+    for r in ranged.groupBy("stretch").agg(F.sum("n").alias("n")).orderBy("stretch").collect():
+        begins.append((r["stretch"], base))
+        base += r["n"]
+    begin = sums.sparkSession.createDataFrame(begins, "stretch int, base long")
+    inside = Window.partitionBy("stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    told = ranged.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(begin), "stretch")  # a row for each range
+    return told.select("queue", "part", (F.col("base") + F.col("inside")).alias("before"))
+
+
 def pack(
     docs: DataFrame,
     length: int = 2048,
@@ -311,8 +333,8 @@ def pack(
     A queue holds the documents of one source, in the order of the input's partitions.
     ``targets`` gives each source's share of tokens (any scale, at most MOST_QUEUES names;
     sources without one share a queue that is served when the others are dry); without
-    targets each source's share is its share of the corpus, where sources beyond the largest
-    MOST_QUEUES share a queue. In each window a queue may send what its share and its deficit
+    targets each source's share is its share of the corpus. Sources beyond the largest
+    MOST_QUEUES share a queue in which their parts are interleaved, each source spread over all of it. In each window a queue may send what its share and its deficit
     allow, in whole grains of GRAIN tokens; the rest is carried on. Since a queue's account
     after any number of windows has a closed form, each task finds its documents' windows by
     itself: only the tokens per source and partition are summed, and only the queues' totals
@@ -330,8 +352,7 @@ def pack(
     )
     kind = base.schema["doc_id"].dataType.simpleString()
     tokens = cut(
-        base.mapInArrow(
-            _tokenise(tokenizer, end_id),
+        mapped(base, _tokenise(tokenizer, end_id),
             f"doc_id {kind}, queue string, part int, begin long, doc_tokens long, width byte, ids binary",
         ),
         "tokens",
@@ -352,15 +373,18 @@ def pack(
         scale = sum(targets.values())
         weights = {q: round(targets.get(q, 0) / scale * WEIGHTS) for q in held}
     plan = phases(held, weights)
-    order = Window.partitionBy("q").orderBy("queue", "part").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.withColumn("q", queue_of).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    before = cut(before.select("queue", "part", "q", "before"), "queues")
+    order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    alone = sums.filter(queue_of == F.col("queue")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    before = alone.select("queue", "part", F.col("queue").alias("q"), "before")
+    if rest in held:
+        shared = _interleaved(sums.filter(queue_of != F.col("queue")))
+        before = before.union(shared.select("queue", "part", F.lit(rest).alias("q"), "before"))
+    before = cut(before, "queues")
     if before.count() <= BROADCAST_ROWS:
         before = F.broadcast(before)
     placed = tokens.join(before, ["queue", "part"]).select(
         "doc_id", F.col("q").alias("queue"), (F.col("begin") + F.col("before")).alias("begin"), "doc_tokens", "width", "ids"
     )
-    return placed.mapInArrow(
-        _cutter(plan, length),
+    return mapped(placed, _cutter(plan, length),
         f"doc_id {kind}, queue string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary",
     )

@@ -102,6 +102,25 @@ def test_sources_beyond_the_limit_share_a_queue(spark, monkeypatch):
     _check(packing.pack(spark.createDataFrame(rows, DOCS), 256).collect(), rows, 256)
 
 
+def test_sources_of_a_shared_queue_are_interleaved(spark, monkeypatch):
+    """Any stretch of the queue that small sources share holds about the same part of each of them."""
+    monkeypatch.setattr(packing, "MOST_QUEUES", 1)
+    rows = [(i, "word " * 50, "big" if i % 3 == 0 else f"small{i % 7}") for i in range(1680)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(16, "doc_id")
+    pieces = packing.pack(docs, 512).collect()
+    _check(pieces, rows, 512)
+    source = {i: s for i, _, s in rows}
+    placed = sorted((r.sequence_id, r.offset, source[r.doc_id], r.length) for r in pieces if source[r.doc_id] != "big")
+    total = Counter()
+    for _, _, s, n in placed:
+        total[s] += n
+    half, seen = sum(total.values()) / 2, Counter()
+    for _, _, s, n in placed:
+        if sum(seen.values()) < half:
+            seen[s] += n
+    assert all(0.35 < seen[s] / total[s] < 0.65 for s in total)
+
+
 @settings(max_examples=250, deadline=None)
 @given(
     st.dictionaries(st.sampled_from("abcdef"), st.integers(0, 5000), min_size=1),
