@@ -32,6 +32,14 @@ _LOWER[65:91] += 32
 _powers = (np.ones(1, U64), np.ones(1, U64))
 
 
+def plainly_named(docs: DataFrame) -> DataFrame:
+    """``docs``, unless a column has a name of those that the operators add on the way."""
+    taken = [c for c in docs.columns if c.startswith("__")]
+    if taken:
+        raise ValueError(f"column names that begin with two underscores are reserved: {taken}")
+    return docs
+
+
 def document_columns(text: str = "text", ident: str = "doc_id") -> dict[str, Column]:
     """``__doc`` and ``__crc``: rows with the same id and the same text are one document."""
     return {

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stallwise.llm.common import (
-    Prefix, U64, column, cut, document_columns, lists, longs, mapped, merged, mix, runs, signed, squeezed, unsqueezed, words_of,
+    Prefix, U64, column, cut, document_columns, lists, longs, mapped, merged, mix, plainly_named, runs, signed, squeezed, unsqueezed, words_of,
 )
 from stallwise.llm.sampling import document_key, known_positions, marked, pieces_of, positions_of
 from stallwise.llm.spans import without_spans
@@ -173,6 +173,6 @@ def dedup_substrings(
     text are one document and get the same answer; a second text under the same id is
     judged by its own positions. Windows never cross documents. Shorter documents stay whole.
     """
-    base = docs.withColumns(document_columns(text, ident)).withColumn("text", F.col(text))
+    base = plainly_named(docs).withColumns(document_columns(text, ident)).withColumn("text", F.col(text))
     spans = repeated_spans(base.filter("text is not null"), length, k)
     return without_spans(docs, spans, text, ident, joined=True)

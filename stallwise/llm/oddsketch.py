@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stallwise.llm.common import (
-    NO_ID, Prefix, U64, column, cut, document_columns, lists, mapped, mix, runs, signed, slices, squeezed, unsqueezed, words_of,
+    NO_ID, Prefix, U64, column, cut, document_columns, lists, mapped, mix, plainly_named, runs, signed, slices, squeezed, unsqueezed, words_of,
 )
 from stallwise.llm.graph import components
 
 BANDS, ROWS = 32, 6  # at similarity 0.85 a pair meets in no band with probability 3e-7, at 0.8 with 6e-5
 BITS = 512
-BLOCK = 1500  # members of one bucket that are compared with each other in one task, about
+BLOCK = 150  # members of one bucket that are compared with each other in one task, about
 BLOCK_BYTES = 24_000_000  # of their differences, about
 HOT = 2000  # rows of one key that a join leaves in one task, about
 _random = np.random.default_rng(20_240_601)
@@ -266,7 +266,7 @@ def near_duplicates(
     component if their sets agree, else what links them is judged on the text of the smallest
     checksum. Texts are used whole.
     """
-    base = docs.withColumns(document_columns(text, ident)).select("__doc", "__crc", F.col(text).alias("text"))
+    base = plainly_named(docs).withColumns(document_columns(text, ident)).select("__doc", "__crc", F.col(text).alias("text"))
     signed_docs = cut(
         mapped(base, _signer(k), "__doc long, __crc long, n long, c1 long, c2 long, sketch array<long>, bands array<long>"
         ),

@@ -10,7 +10,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from stallwise.llm.common import (
-    SLICE, Prefix, U64, blobs, column, cut, document_columns, longs, mapped, merged, mix, runs, signed, squeezed, unsqueezed,
+    SLICE, Prefix, U64, blobs, column, cut, document_columns, longs, mapped, merged, mix, plainly_named, runs, signed, squeezed, unsqueezed,
     words_of,
 )
 from stallwise.llm.sampling import document_key, known_positions, marked, pieces_of, positions_of
@@ -312,6 +312,6 @@ def dedup_passages(
     of the same id and text are one document and get the same answer. Passages never cross
     documents; shorter documents stay whole. Texts are read whole.
     """
-    base = docs.withColumns(document_columns(text, ident)).withColumn("text", F.col(text))
+    base = plainly_named(docs).withColumns(document_columns(text, ident)).withColumn("text", F.col(text))
     spans = repeated_passages(base.filter("text is not null"), length, k)
     return without_spans(docs, spans, text, ident, joined=False)

@@ -145,6 +145,13 @@ def test_many_null_ids(spark):
             assert r.n_removed == len(gone)
 
 
+def test_reserved_names_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a", "b")], "doc_id long, text string, __doc string")
+    for run in (dedup_passages, dedup_substrings, without_near_duplicates):
+        with pytest.raises(ValueError, match="reserved"):
+            run(docs)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert dedup_substrings(docs).isEmpty() and dedup_passages(docs).isEmpty()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -407,3 +408,34 @@ def test_the_pipeline_runs_whole(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     pieces = corpus_pipeline.run(spark, SMALL)
     assert pieces.count() > 0 and {"doc_id", "sequence_id", "ids"} <= set(pieces.columns)
+
+
+def test_odd_rows_through_the_pipeline(spark, tmp_path):
+    """NULL and repeated ids, NULL, empty and very long texts; and tables without any row."""
+    draw = random.Random(6)
+    words = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    long, copy = words(30_000), words(80)
+    texts = [long, copy, copy, words(200), "", None, " ", "one", words(60) + " " + copy, words(5)]
+    rows = [(None if i % 3 == 0 else i, t, None if i % 4 else "en", "s" if i % 2 else None, None) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], rows[4]]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    labels = [(i, 1, 0) for i in range(10)]  # nothing toxic to learn from
+    for name, docs in (("odd", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(docs, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels if docs else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "nothing holds this item, it is not in any text")] if docs else [], "item_id long, text string").write.parquet(
+            f"{folder}/benchmark.parquet"
+        )
+        kept = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            kept = cut(function(spark, kept, folder), stage)
+            assert kept.columns == [f.split()[0] for f in schema.split(", ")]
+        texts_left = Counter(r.text for r in kept.collect())
+        if docs:
+            # one of the copies is left, its passage is cut elsewhere, and nothing else goes
+            assert texts_left[long] == 1 and texts_left[copy] == 1 and sum(t is not None and copy in t for t in texts_left) == 1
+            assert sum(texts_left.values()) >= len(rows) - 3
+        pieces = corpus_pipeline.run(spark, folder).collect()
+        assert bool(pieces) == bool(docs)
+        assert len({r.doc_id for r in pieces}) == len({r.doc_id for r in kept.collect()})
