@@ -237,7 +237,9 @@ def z_index(t: Tables, n_files: int | None = None) -> DataFrame:
     key = F.concat_ws("-", "order_id", "line").alias("row_key")
     # zone-free times are not compared with the statistics of row groups, dates are
     rows = with_account(all_lines(t), t).select(key, "account", "point_id", "paid_at", X.day_of("paid_at").alias("paid_on"))
-    layouts.write_z_ordered(rows, path, ["account", "point_id", "paid_on"], "row_key", 4 << 10, n_files)
+    # some five hundred row groups, until they have the size that suits a large table
+    group = min(max(t.lineitem.count() // 12, 4 << 10), 32 << 20)
+    layouts.write_z_ordered(rows, path, ["account", "point_id", "paid_on"], "row_key", group, n_files)
     return t.spark.read.schema(rows.schema).parquet(path)
 
 

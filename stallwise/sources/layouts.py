@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -33,6 +33,14 @@ def quantile_bounds(df: DataFrame, columns: Sequence[str], bits: int = Z_BITS) -
     return {c: sorted(set(found[c] or [])) for c in columns}
 
 
+def _spread(place: int, columns: int, bits: int) -> Callable[[Column], Column]:
+    def spread(part: Column) -> Column:
+        moved = [F.shiftleft(F.shiftright(part, i).bitwiseAND(F.lit(1)), i * columns + place) for i in range(bits)]
+        return reduce(lambda a, b: a.bitwiseOR(b), moved)
+
+    return spread
+
+
 def z_value(bounds: Mapping[str, Sequence], bits: int = Z_BITS) -> Column:
     """The bits of each column's part, interleaved: near values of all columns get near numbers. NULL comes first."""
     terms = []
@@ -42,9 +50,8 @@ def z_value(bounds: Mapping[str, Sequence], bits: int = Z_BITS) -> Column:
             part = F.coalesce(F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: x <= F.col(column))), F.lit(0))
             # a column of few values spreads over all bits too, so that each column decides as often
             part = F.floor(part * ((1 << bits) - 1) / len(limits))
-        part = part.cast("bigint")
-        for i in range(bits):
-            terms.append(F.shiftleft(F.shiftright(part, i).bitwiseAND(F.lit(1)), i * len(bounds) + j))
+        # bound to a name, so that a row's part is found once and not for each of its bits
+        terms.append(F.element_at(F.transform(F.array(part.cast("bigint")), _spread(j, len(bounds), bits)), 1))
     return reduce(lambda a, b: a.bitwiseOR(b), terms)
 
 
