@@ -11,6 +11,7 @@ from html import unescape
 import numpy as np
 import pytest
 from conftest import DATA
+from hypothesis import given, settings, strategies as st
 from llm import brute
 from pyspark.sql import functions as F
 
@@ -75,9 +76,10 @@ def test_leaks_match_edit_distance(spark, monkeypatch, block):
             assert leak.edits or _plain(part) == _plain(dict(items)[ident])
 
 
-@pytest.mark.parametrize("parts", [1, 3])
-def test_leaks_at_the_ends_of_texts(spark, parts):
+@pytest.mark.parametrize(("parts", "block"), [(1, 2_000_000), (3, 2_000_000), (3, 20)])
+def test_leaks_at_the_ends_of_texts(spark, monkeypatch, parts, block):
     """What stands before or behind a text in its batch has no say, nor has the number of partitions."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     rows = [(1, "the answer is forty two"), (2, "forty two is it"), (3, "forty two"), (4, "tyforty two"), (5, "so forty"), (6, "two"), (7, None), (8, "")]
     rows += [(1, "the answer is forty two"), (9, "word " * 40_000 + "forty two")]
     long = "a longer question with an answer at its end"
@@ -100,6 +102,39 @@ def test_every_planted_item_is_found(spark):
         assert exact <= set(found[doc].item_ids) and found[doc].kept == (not found[doc].item_ids)
 
 
+def test_a_large_benchmark_gives_the_same_leaks(spark, monkeypatch):
+    docs = _table(spark, MIDDLE, "documents").select("doc_id", "text")
+    more = [(-1, "of the"), (-2, "The"), (-2, "The"), (-3, None), (-4, " \t "), (None, "the  OF")]
+    items = _table(spark, MIDDLE, "benchmark").select("item_id", "text").union(spark.createDataFrame(more, "item_id long, text string"))
+    odd = [(None, None), (None, ""), (7, "a the of the"), (7, "a the of the")]
+    docs = docs.union(docs.limit(5)).union(spark.createDataFrame(odd, "doc_id long, text string"))
+    told = lambda df: sorted(map(repr, df.collect()))
+    whole = told(decontaminate.with_leaks(docs, items))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)  # documents with several groups of items
+    dealt = decontaminate.with_leaks(docs, items)
+    assert told(dealt) == whole and any("item_id=-2" in x for x in whole)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan  # searched and stored already, however many items there are
+    monkeypatch.setattr(decontaminate, "SIEVE", 15)  # a small bitmap lets more hashes pass, which the join drops
+    assert told(decontaminate.with_leaks(docs, items)) == whole
+    assert decontaminate.with_leaks(docs.limit(0), items).isEmpty()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab ", min_size=12, max_size=200), st.lists(st.tuples(st.integers(0, 199), st.sampled_from(["", "x", "xy"])), max_size=12))
+def test_an_anchor_outlives_the_edits(text, changes):
+    """However an item is edited within its budget, one of its anchors stays."""
+    item = decontaminate.plain(text)
+    if len(item) >= decontaminate.Q:
+        budget = int(decontaminate.budgets(np.array([len(item)]), 0.06)[0])
+        held = item.decode()
+        for at, put in changes[:budget]:
+            at %= len(held) + 1
+            held = held[:at] + put[:1] + held[at + (put != "xy") :]  # one letter goes, changes or is put in
+        grams = decontaminate.grams(np.frombuffer(held.encode(), np.uint8))
+        assert np.isin(decontaminate.anchors_of(item, 0.06), grams).any()
+
+
 def test_no_benchmark_no_leaks(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
