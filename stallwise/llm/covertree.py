@@ -13,7 +13,9 @@ from stallwise.llm.common import NO_ID, column, cut, mapped, runs, text_buffer
 from stallwise.llm.graph import components
 
 BLOCK = 2000  # vectors in one tree
-PIVOTS = 1024  # cell centres of all labels together, sampled by hash
+FAN = 32  # cells that one cell is parted into, at most, around centres sampled by hash
+LEVELS = 8  # of cells below a label; cells that are still too large have several blocks
+SHARE = 16 * BLOCK  # vectors that meet a cell's centres in one task, about
 RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)  # of unit vectors; below them points are compared
 SLACK = 1e-9  # of bounds; links themselves are decided by the cosine alone
 
@@ -219,43 +221,134 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["vec", "label", "unit"])
 
 
-def _placer(pivots: dict[tuple[str, int], np.ndarray]):
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            units = column(batch, "unit")
-            of: dict[tuple[str, int], list[int]] = {}
-            for i, key in enumerate(zip(column(batch, "label").to_pylist(), column(batch, "bytes").to_pylist())):
-                of.setdefault(key, []).append(i)
-            cell, away = np.full(len(units), -1, np.int32), np.zeros(len(units))
-            for key, own in of.items():
-                known = pivots.get(key)
-                for at in range(0, len(own) if known is not None else 0, 2048):
-                    some = np.array(own[at : at + 2048])
-                    held, _ = text_buffer(units.take(pa.array(some)))
-                    dots = np.frombuffer(held.tobytes()).reshape(len(some), -1) @ known.T
-                    cell[some] = dots.argmax(1)
-                    away[some] = np.sqrt(np.maximum(2 - 2 * dots[np.arange(len(some)), cell[some]], 0))
-            yield pa.record_batch([*batch.columns, pa.array(cell), pa.array(away)], [*batch.schema.names, "cell", "away"])
-
-    return place
-
-
-def _pruner(pivots: dict[tuple[str, int], np.ndarray], limit: float):
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each vector the nearest centre of its cell and how far it is; centres stand before the vectors."""
+    names = ["label", "bytes", "cell", "rep", "weight", "unit"]
+    key, known = None, []
+    for batch in batches:
+        task = column(batch, "task").to_numpy(zero_copy_only=False)
+        ends = runs(task).tolist()
+        for i, j in zip(ends[:-1], ends[1:]):
+            if task[i] != key:
+                key, known = task[i], []
+            part = batch.slice(i, j - i)
+            first = int(np.count_nonzero(column(part, "side").to_numpy(zero_copy_only=False) == 0))
+            known += [np.frombuffer(x) for x in column(part.slice(0, first), "unit").to_pylist()]
+            for at in range(first, part.num_rows, 2048):
+                some = part.slice(at, 2048)
+                dots = np.array([np.frombuffer(x) for x in column(some, "unit").to_pylist()]) @ np.array(known).T
+                near = dots.argmax(1)
+                away = np.sqrt(np.maximum(2 - 2 * dots[np.arange(len(near)), near], 0))
+                arrays = [*(column(some, n) for n in names), pa.array(near.astype(np.int32)), pa.array(away)]
+                yield pa.record_batch(arrays, [*names, "idx", "away"])
+
+
+def _pruner(limit: float):
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for r in batch.to_pylist():
-                if r["ci"] < 0 or r["ci"] == r["cj"]:
+            columns = (column(batch, n).to_pylist() for n in ("a", "b", "ca", "cb", "ra", "rb"))
+            for a, b, x, y, ra, rb in zip(*columns):
+                if a == b:
                     keep.append(True)
                     continue
-                known = pivots[(r["label"], r["bytes"])]
-                away = math.sqrt(max(2 - 2 * float(known[r["ci"]] @ known[r["cj"]]), 0))
-                keep.append(away <= limit + r["ri"] + r["rj"] + SLACK)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                away = math.sqrt(max(2 - 2 * float(np.frombuffer(x) @ np.frombuffer(y)), 0))
+                keep.append(away <= limit + ra + rb + SLACK)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["label", "bytes", "a", "b", "ia", "ib"])
 
     return prune
 
 
+KEY = ["label", "bytes", "cell"]
+
+
+def _centres(held: DataFrame, large: DataFrame, level: int) -> DataFrame:
+    """Up to FAN vectors of each large cell, numbered; two at least."""
+    wanted = F.least(F.lit(FAN), F.ceil(F.col("size") / BLOCK)).alias("wanted")
+    mark = F.xxhash64("unit", F.lit(level))
+    some = held.join(large.select(*KEY, "size", wanted), KEY).filter(F.pmod(mark, F.col("size")) < 8 * F.col("wanted"))
+    order = Window.partitionBy(*KEY).orderBy(mark, "rep")  # of some 8 * wanted rows
+    some = some.withColumn("idx", F.row_number().over(order) - 1).filter("idx < wanted")
+    some = some.withColumn("found", F.count("*").over(Window.partitionBy(*KEY))).filter("found > 1")
+    return some.select(*KEY, "idx", "unit", F.ceil(F.col("size") / SHARE).alias("shares"))
+
+
+def cells_of(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The points with the smallest cell that holds them, and the tree of cells.
+
+    A label is a cell; a cell of more than BLOCK points is parted among centres of its own, and so
+    on. Points meet their cell's centres in shares, so no task holds a cell.
+    """
+    names = [*KEY, "rep", "weight", "unit"]
+    held = points.withColumn("cell", F.lit("")).select(*names)
+    none = [F.lit(0.0).alias("reach"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("binary").alias("centre")]
+    sizes = cut(held.groupBy(*KEY).agg(F.count("*").alias("size")).select(*KEY, "size", *none), "cells")
+    leaves, nodes = [], []
+    for level in range(LEVELS + 1):
+        large = sizes.filter(F.col("size") > BLOCK)
+        if level == LEVELS or large.isEmpty():
+            leaves.append(held)
+            nodes.append(sizes.withColumn("inner", F.lit(False)))
+            break
+        centres = cut(_centres(held, large, level), "centres")
+        split = centres.groupBy(*KEY).agg(F.max("shares").alias("shares"))
+        marked = sizes.join(split.select(*KEY, F.lit(True).alias("inner")), KEY, "left")
+        nodes.append(marked.withColumn("inner", F.coalesce("inner", F.lit(False))))
+        leaves.append(held.join(split, KEY, "left_anti").select(*names))
+        share = F.pmod(F.xxhash64("rep"), F.col("shares")).cast("long")
+        own = held.join(split, KEY).select(
+            F.xxhash64(*KEY, share).alias("task"), F.lit(1).alias("side"), F.lit(0).alias("idx"), *names
+        )
+        copies = centres.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+        copies = copies.select(
+            F.xxhash64(*KEY, "share").alias("task"), F.lit(0).alias("side"), "idx", *KEY, F.lit(0).cast("long").alias("rep"),
+            F.lit(0).cast("long").alias("weight"), "unit",
+        )
+        dealt = copies.union(own).repartition("task").sortWithinPartitions("task", "side", "idx")
+        schema = "label string, bytes int, cell string, rep long, weight long, unit binary, idx int, away double"
+        child = F.concat_ws(".", F.col("cell"), F.col("idx").cast("string"))
+        placed = cut(mapped(dealt, _place, schema).withColumn("parent", F.col("cell")).withColumn("cell", child), "placed")
+        sizes = placed.groupBy(*KEY, "parent").agg(F.count("*").alias("size"), F.max("away").alias("reach"))
+        named = centres.select("label", "bytes", child.alias("cell"), F.col("unit").alias("centre"))
+        sizes = cut(sizes.join(named, KEY).select(*KEY, "size", "reach", "parent", "centre"), "cells")
+        held = placed.select(*names)
+    out, tree = leaves[0], nodes[0]
+    for more, others in zip(leaves[1:], nodes[1:]):
+        out, tree = out.union(more), tree.union(others)
+    return out, cut(tree, "tree")
+
+
+def near_cells(tree: DataFrame, limit: float) -> DataFrame:
+    """Pairs of cells without cells below them that are in reach of each other, each once: label, bytes, a, b.
+
+    The pairs go down the tree of cells together, one level at a time, as ``dual`` does below
+    them: a pair whose centres are farther apart than the limit and both reaches is dropped.
+    """
+    key = ["label", "bytes"]
+    told = ["centre", "reach", "inner"]
+    kids = tree.filter("parent is not null").select(*key, F.col("parent").alias("up"), "cell", *told)
+    down = cut(kids.union(tree.filter("not inner").select(*key, F.col("cell").alias("up"), "cell", *told)), "down")
+
+    def side(up: str, cell: str, centre: str, reach: str, inner: str) -> DataFrame:
+        return down.toDF(*key, up, cell, centre, reach, inner)
+
+    roots = tree.filter("parent is null")
+    names = ["label", "bytes", "a", "b", "ia", "ib"]
+    pairs = roots.select(*key, F.col("cell").alias("a"), F.col("cell").alias("b"), F.col("inner").alias("ia"), F.col("inner").alias("ib"))
+    done = pairs.filter("not ia and not ib")
+    for _ in range(LEVELS):
+        pairs = pairs.filter("ia or ib")
+        if pairs.isEmpty():
+            break
+        pairs = pairs.select(*key, F.col("a").alias("ua"), F.col("b").alias("ub"))
+        pairs = pairs.join(side("ua", "a", "ca", "ra", "ia"), [*key, "ua"]).join(side("ub", "b", "cb", "rb", "ib"), [*key, "ub"])
+        pairs = pairs.filter("ua <> ub or a <= b")
+        schema = "label string, bytes int, a string, b string, ia boolean, ib boolean"
+        pairs = cut(mapped(pairs, _pruner(limit), schema), "cell-pairs")
+        done = done.union(pairs.filter("not ia and not ib").select(*names))
+    return done.select(*key, "a", "b")
+
+
 def _meeter(cosine: float):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(group: list[np.ndarray]) -> pa.RecordBatch:
@@ -291,10 +384,10 @@ def vector_links(
     vectors without a label link with nothing. One row per input row; repeated rows link with each
     other. NULL ids rank after all others; their own component_id is NULL.
 
-    Equal unit vectors are one point with a weight. Labels beyond BLOCK points are dealt into
-    cells around sampled centres (at most PIVOTS in all, chosen by hash; every point is placed)
-    and cells into blocks of about BLOCK points; pairs of cells out of reach of each other are dropped.
-    Each remaining pair of blocks is a group: a task builds both cover trees and
+    Equal unit vectors are one point with a weight. Labels beyond BLOCK points are parted into
+    cells around centres of their own, and cells again, until they hold BLOCK points or fewer (every point
+    is placed; centres, cells and their pairs stay in Spark). Pairs of cells go down that tree together, and those out of reach
+    of each other are dropped. Each remaining pair is a group: a task builds both cover trees and
     walks them together. Groups return, per point, the weight of its links and one link to its
     component in the group, never the pairs.
     """
@@ -307,38 +400,23 @@ def vector_links(
     bytes_ = F.octet_length("unit").alias("bytes")
     points = valid.groupBy("label", "unit").agg(F.min("vec").alias("rep"), F.count("*").alias("weight"))
     points = cut(points.select("label", bytes_, "rep", "weight", "unit"), "points")
-    sizes = points.groupBy("label", "bytes").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK)
-    total = points.count()
-    wanted = F.least(F.ceil(F.col("size") / BLOCK), F.floor(PIVOTS * F.col("size") / total))
-    ranked = Window.partitionBy("label", "bytes").orderBy(F.xxhash64("unit"), "rep")
-    sample = points.join(sizes.select("label", "bytes", wanted.alias("wanted")).filter("wanted > 1"), ["label", "bytes"])
-    sample = sample.filter(F.pmod(F.xxhash64("unit"), F.lit(BLOCK // 4)) == 0)  # some four times the wanted number
-    sample = sample.withColumn("rank", F.row_number().over(ranked)).filter("rank <= wanted").limit(PIVOTS)
-    pivots: dict[tuple[str, int], list[bytes]] = {}
-    for r in sample.select("label", "bytes", "unit").orderBy("label", "bytes", "unit").toLocalIterator():
-        pivots.setdefault((r[0], r[1]), []).append(np.frombuffer(bytes(r[2])))
-    held = {k: np.array(v) for k, v in pivots.items()}
-    schema = "label string, bytes int, rep long, weight long, unit binary, cell int, away double"
-    placed = cut(mapped(points, _placer(held), schema), "cells")
+    placed, tree = cells_of(points)
+    placed = cut(placed, "leaves")
     key = ["label", "bytes"]
-    cells = placed.groupBy(*key, "cell").agg(
-        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("away").alias("reach")
-    )
-    cells = cut(cells, "cell-sizes")
-    one = cells.select(*key, F.col("cell").alias("ci"), F.col("blocks").alias("bi"), F.col("reach").alias("ri"))
-    two = cells.select(*key, F.col("cell").alias("cj"), F.col("blocks").alias("bj"), F.col("reach").alias("rj"))
-    pairs = one.join(two, key).filter("ci <= cj")
-    pairs = mapped(pairs, _pruner(held, math.sqrt(2 - 2 * cosine)), pairs.schema)
+    blocks = tree.filter("not inner").select(*KEY, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    pairs = near_cells(tree, math.sqrt(2 - 2 * cosine))
+    pairs = pairs.join(blocks.toDF(*key, "a", "bi"), [*key, "a"]).join(blocks.toDF(*key, "b", "bj"), [*key, "b"])
     pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("bi") - 1)))
-    pairs = pairs.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("bj") - 1))).filter("ci < cj or i <= j")
-    pairs = pairs.select(*key, "ci", "i", "cj", "j", F.xxhash64(*key, "ci", "i", "cj", "j").alias("task"))
-    first = pairs.select(*key, F.col("ci").alias("cell"), F.col("i").alias("block"), "task", F.lit(0).alias("side"))
-    second = pairs.filter("ci <> cj or i <> j").select(
-        *key, F.col("cj").alias("cell"), F.col("j").alias("block"), "task", F.lit(1).alias("side")
+    pairs = pairs.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("bj") - 1))).filter("a <> b or i <= j")
+    pairs = pairs.select(*key, "a", "i", "b", "j", F.xxhash64(*key, "a", "i", "b", "j").alias("task"))
+    pairs = cut(pairs, "block-pairs")
+    first = pairs.select(*key, F.col("a").alias("cell"), F.col("i").alias("block"), "task", F.lit(0).alias("side"))
+    second = pairs.filter("a <> b or i <> j").select(
+        *key, F.col("b").alias("cell"), F.col("j").alias("block"), "task", F.lit(1).alias("side")
     )
-    placed = placed.join(cells.select(*key, "cell", "blocks"), [*key, "cell"])
+    placed = placed.join(blocks, KEY)
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = placed.join(first.union(second), [*key, "cell", "block"]).select("task", "rep", "weight", "side", "unit")
+    dealt = placed.join(first.union(second), [*KEY, "block"]).select("task", "rep", "weight", "side", "unit")
     met = mapped(dealt.repartition("task").sortWithinPartitions("task"), _meeter(cosine), "a long, b long, n long")
     met = cut(met, "met")
     counts = met.groupBy("a").agg(F.sum("n").alias("n"))

@@ -62,6 +62,43 @@ def test_links_of_a_table(spark, monkeypatch, block):
     assert found == {i: (degree[i], group[i], group[i] == i) for i in range(len(rows))}
 
 
+def _units(spark, x: np.ndarray):
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    rows = [("a", x.shape[1] * 8, i, 1, bytearray(v.tobytes())) for i, v in enumerate(x)]
+    return x, spark.createDataFrame(rows, "label string, bytes int, rep long, weight long, unit binary")
+
+
+def test_cells_nest_and_drop_pairs(spark, monkeypatch):
+    """Every point lies in one leaf, every link in a pair of leaves that is kept, and most pairs are not."""
+    monkeypatch.setattr(covertree, "BLOCK", 25)
+    monkeypatch.setattr(covertree, "FAN", 4)
+    draw = np.random.default_rng(8)
+    clusters = draw.normal(size=(40, 16))
+    x, points = _units(spark, np.repeat(clusters, 20, 0) + draw.normal(scale=0.05, size=(800, 16)))
+    placed, tree = covertree.cells_of(covertree.cut(points))
+    cell = {r.rep: r.cell for r in placed.collect()}
+    leaves = {r.cell: r.size for r in tree.filter("not inner").collect()}
+    assert sorted(cell) == list(range(800)) and Counter(cell.values()) == Counter(leaves)
+    assert tree.filter("inner and size <= 25").isEmpty() and max(c.count(".") for c in leaves) > 2
+    limit = (2 - 2 * 0.93) ** 0.5
+    pairs = [(r.a, r.b) for r in covertree.near_cells(tree, limit).collect()]
+    assert len(pairs) == len(set(pairs)) == len({frozenset(p) for p in pairs})
+    held = {frozenset(p) for p in pairs}
+    linked = zip(*np.nonzero(x @ x.T >= 0.93))
+    assert all(frozenset((cell[i], cell[j])) in held for i, j in linked)
+    assert len(pairs) < len(leaves) * (len(leaves) + 1) / 2 / 4
+
+
+def test_cells_that_do_not_part(spark, monkeypatch):
+    """Points too alike for more levels share a cell of several blocks, and none is lost."""
+    monkeypatch.setattr(covertree, "BLOCK", 10)
+    monkeypatch.setattr(covertree, "LEVELS", 1)
+    monkeypatch.setattr(covertree, "FAN", 2)
+    x = np.ones((120, 6)) + np.random.default_rng(9).normal(scale=1e-6, size=(120, 6))
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    assert {tuple(r) for r in covertree.vector_links(df).collect()} == {(i, 119, 0, i == 0) for i in range(120)}
+
+
 def test_repeated_rows_link(spark):
     rows = [(4, [1.0, 2.0], 1), (4, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (9, [1.0, 2.0], None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
