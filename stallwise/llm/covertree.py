@@ -141,43 +141,53 @@ def dual(left: Tree, right: Tree, shift: int, cosine: float, links: Links) -> No
     for level in range(len(RADII) + 1):
         last = level == len(RADII)
         next_a, next_b = [], []
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        heads = runs(a)
-        for s, e in zip(heads[:-1].tolist(), heads[1:].tolist()):
-            rows = left.children(level, a[s])
-            groups = [right.children(level, q) for q in b[s:e].tolist()]
-            columns = np.concatenate(groups)
-            twin = np.repeat(b[s:e] == a[s], [len(g) for g in groups]) & same
-            for at in range(0, len(rows), 512):
-                some = rows[at : at + 512]
-                allowed = ~twin[None, :] | (some[:, None] < columns[None, :])
-                if last:
-                    p, q = np.nonzero((left.x[some] @ right.x[columns].T >= cosine) & allowed)
-                    links.add(some[p], columns[q] + shift)
-                    continue
-                u = level + 1
-                dots = left.x[left.centre[u][some]] @ right.x[right.centre[u][columns]].T
-                away = np.sqrt(np.maximum(2 - 2 * dots, 0))
-                reach = left.reach[u][some][:, None] + right.reach[u][columns][None, :]
-                single = (left.size[u][some] == 1)[:, None] & (right.size[u][columns] == 1)[None, :]
-                p, q = np.nonzero(single & allowed & (dots >= cosine))
-                links.add(left.centre[u][some[p]], right.centre[u][columns[q]] + shift)
-                open_ = allowed & ~single & (away <= limit + reach + SLACK)
-                sure = open_ & (away + reach <= limit - SLACK)
-                for p, q in zip(*np.nonzero(sure)):
-                    links.add_all(left.points(u, some[p]), right.points(u, columns[q]) + shift)
-                p, q = np.nonzero(open_ & ~sure)
-                next_a.append(some[p])
-                next_b.append(columns[q])
-            if same and not last and twin.any():
-                u = level + 1
-                for node in rows[left.size[u][rows] > 1].tolist():
-                    if 2 * left.reach[u][node] <= limit - SLACK:
-                        links.add_among(left.points(u, node))
-                    else:
-                        next_a.append(np.array([node]))
-                        next_b.append(np.array([node]))
+        alone = left.size[level][a] == 1  # met from the other side, where they share few nodes
+        for flipped, chosen in ((False, ~alone), (True, alone)):
+            one, two = (right, left) if flipped else (left, right)
+            heads_of, others = (b[chosen], a[chosen]) if flipped else (a[chosen], b[chosen])
+            order = np.argsort(heads_of, kind="stable")
+            heads_of, others = heads_of[order], others[order]
+            heads = runs(heads_of)
+            for s, e in zip(heads[:-1].tolist(), heads[1:].tolist()):
+                rows = one.children(level, heads_of[s])
+                groups = [two.children(level, q) for q in others[s:e].tolist()]
+                columns = np.concatenate(groups)
+                twin = np.repeat(others[s:e] == heads_of[s], [len(g) for g in groups]) & same
+                for at in range(0, len(rows), 512):
+                    some = rows[at : at + 512]
+                    u = level + 1
+                    x = one.x[some if last else one.centre[u][some]]
+                    dots = x @ two.x[columns if last else two.centre[u][columns]].T
+                    if last:
+                        p, q = np.nonzero(dots >= cosine)
+                    else:  # few are left, and all else looks at them only
+                        bound = one.reach[u][some][:, None] + (two.reach[u][columns] + limit + SLACK)
+                        p, q = np.nonzero(2 - 2 * dots <= bound * bound)
+                    once = ~twin[q] | (some[p] < columns[q])
+                    p, q = p[once], q[once]
+                    cosines, p, q = dots[p, q], some[p], columns[q]
+                    p, q = (q, p) if flipped else (p, q)
+                    if last:
+                        links.add(p, q + shift)
+                        continue
+                    single = (left.size[u][p] == 1) & (right.size[u][q] == 1)
+                    met = single & (cosines >= cosine)
+                    links.add(left.centre[u][p[met]], right.centre[u][q[met]] + shift)
+                    p, q, cosines = p[~single], q[~single], cosines[~single]
+                    away = np.sqrt(np.maximum(2 - 2 * cosines, 0))
+                    sure = away + left.reach[u][p] + right.reach[u][q] <= limit - SLACK
+                    for i, j in zip(p[sure].tolist(), q[sure].tolist()):
+                        links.add_all(left.points(u, i), right.points(u, j) + shift)
+                    next_a.append(p[~sure])
+                    next_b.append(q[~sure])
+                if same and not last and twin.any():
+                    u = level + 1
+                    for node in rows[left.size[u][rows] > 1].tolist():
+                        if 2 * left.reach[u][node] <= limit - SLACK:
+                            links.add_among(left.points(u, node))
+                        else:
+                            next_a.append(np.array([node]))
+                            next_b.append(np.array([node]))
         if not next_a:
             return
         a, b = np.concatenate(next_a), np.concatenate(next_b)

@@ -70,7 +70,7 @@ def _units(spark, x: np.ndarray):
 
 def test_cells_nest_and_drop_pairs(spark, monkeypatch):
     """Every point lies in one leaf, every link in a pair of leaves that is kept, and most pairs are not."""
-    monkeypatch.setattr(covertree, "BLOCK", 25)
+    monkeypatch.setattr(covertree, "BLOCK", 10)  # less than a cluster, so that most leaves lie within one
     monkeypatch.setattr(covertree, "FAN", 4)
     draw = np.random.default_rng(8)
     clusters = draw.normal(size=(40, 16))
@@ -79,7 +79,7 @@ def test_cells_nest_and_drop_pairs(spark, monkeypatch):
     cell = {r.rep: r.cell for r in placed.collect()}
     leaves = {r.cell: r.size for r in tree.filter("not inner").collect()}
     assert sorted(cell) == list(range(800)) and Counter(cell.values()) == Counter(leaves)
-    assert tree.filter("inner and size <= 25").isEmpty() and max(c.count(".") for c in leaves) > 2
+    assert tree.filter("inner and size <= 10").isEmpty() and max(c.count(".") for c in leaves) > 2
     limit = (2 - 2 * 0.93) ** 0.5
     pairs = [(r.a, r.b) for r in covertree.near_cells(tree, limit).collect()]
     assert len(pairs) == len(set(pairs)) == len({frozenset(p) for p in pairs})
