@@ -204,6 +204,32 @@ def test_only_hot_keys_are_copied(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
-    marked = dim.join(hot.withColumn("_hot", F.lit(True)), "account", "left")
-    copies = marked.withColumn("n", F.when(F.col("_hot"), 16).otherwise(1)).agg(F.sum("n")).first()[0]
-    assert copies == dim.count() + 15 and "BroadcastHashJoin" in plan.toString()
+    salts = hot.first()["_salts"]
+    copies = dim.join(hot, "account", "left").agg(F.sum(F.coalesce("_salts", F.lit(1)))).first()[0]
+    assert 6 <= salts <= 10 and copies == dim.count() + salts - 1 and "BroadcastHashJoin" in plan.toString()
+
+
+def test_a_hot_key_is_split_by_its_share(spark):
+    i = F.col("id")
+    key = F.when(i % 4 < 2, "half").when(i % 4 == 2, "quarter").otherwise(F.concat(F.lit("k"), i.cast("string")))
+    rows = spark.range(200_000).select(key.alias("k"), "id")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        salts = {r["k"]: r["_salts"] for r in hot_keys(rows, "k", "id").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert set(salts) == {"half", "quarter"}
+    assert 85 <= salts["half"] <= 115 and 40 <= salts["quarter"] <= 60
+
+
+def test_a_join_by_shares_keeps_every_row(spark):
+    rows = _hot(spark)
+    dim = rows.select("k").distinct().filter("k <> 'k5'").withColumn("attr", F.upper("k"))
+    hot = hot_keys(rows, "k", "name")
+    assert [r["k"] for r in hot.collect() if r["k"] == "hot"] == ["hot"]
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        salted, plain = salted_join(rows, dim, "k", "name", how, hot=hot), rows.join(dim, "k", how)
+        columns = plain.columns
+        assert salted.count() == plain.count()
+        assert salted.select(columns).exceptAll(plain).isEmpty()
