@@ -309,13 +309,12 @@ def near_duplicates(
     leads = judged.select("a").distinct()
     members = leads.select("a", F.col("a").alias("rep")).union(judged.select("a", F.col("b").alias("rep")))
     members = cut(labelled(members, labels).select("a", "rep", "component"), "members")
-    home = labelled(leads, labels, "a").withColumnRenamed("component", "home")
-    # members are counted by lead and component before anything is dealt by lead alone
-    counted = members.groupBy("a", "component").agg(F.count("*").alias("n")).join(home, "a")
-    inside = F.col("component") == F.col("home")
+    # counted by lead and component before anything is dealt by lead alone; the lead's own row tells its component
+    counted = members.groupBy("a", "component").agg(F.count("*").alias("n"), F.max(F.col("rep") == F.col("a")).alias("own"))
     counted = counted.groupBy("a").agg(
-        F.any_value("home").alias("home"), F.sum(F.when(inside, F.col("n")).otherwise(0)).alias("inside"),
-        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outside"),
+        F.max(F.when(F.col("own"), F.col("component"))).alias("home"),
+        F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("inside"),
+        F.sum(F.when(F.col("own"), 0).otherwise(F.col("n"))).alias("outside"),
     )
     blocks = lambda c, size: F.ceil(F.greatest(F.col(c) / BLOCK, size / BLOCK_BYTES)).cast("int")
     open_leads = counted.filter("outside > 1 or outside = 1 and inside > 1")
