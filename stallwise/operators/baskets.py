@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth, FPGrowthModel
+import math
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from stallwise.functions import expr as X
@@ -73,19 +76,79 @@ def transactions(
     )
 
 
+@dataclass(frozen=True)
+class ItemSets:
+    """Frequent item sets: ``items`` sorted, ``freq`` baskets that hold them, out of ``baskets``."""
+
+    freqItemsets: DataFrame
+    baskets: int
+    min_confidence: float
+
+    @property
+    def associationRules(self) -> DataFrame:
+        """Each item of a set as the consequent of the others."""
+        sets = self.freqItemsets
+        rest = F.filter("items", lambda x: ~x.eqNullSafe(F.col("one")))
+        parts = sets.filter(F.size("items") > 1).withColumn("one", F.explode("items"))
+        parts = parts.select(rest.alias("antecedent"), F.array("one").alias("consequent"), F.col("freq").alias("both"))
+        known = parts.join(sets.select(F.col("items").alias("antecedent"), F.col("freq").alias("before")), "antecedent")
+        ones = sets.filter(F.size("items") == 1).select(F.col("items").alias("consequent"), F.col("freq").alias("alone"))
+        told = known.withColumn("confidence", F.col("both") / F.col("before")).filter(F.col("confidence") >= self.min_confidence)
+        lift = F.col("confidence") / (F.col("alone") / F.lit(self.baskets))
+        support = F.col("both") / F.lit(self.baskets)
+        return told.join(ones, "consequent").select("antecedent", "consequent", "confidence", lift.alias("lift"), support.alias("support"))
+
+
 def mine(
     baskets: DataFrame, min_support: float = 0.02, min_confidence: float = 0.0, partitions: int | None = None
-) -> FPGrowthModel:
-    """Frequent item sets and rules over the ``items`` arrays."""
-    growth = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
-    # Mining is bound by the processor, not by bytes: use every core, however small the input.
-    parallelism = baskets.sparkSession.sparkContext.defaultParallelism
-    growth = growth.setNumPartitions(partitions or parallelism)
-    # Mining reads the baskets several times, also after fit() returns.
-    return growth.fit(cut(baskets, "baskets"))
-
+) -> ItemSets:
+    """Frequent item sets and rules over the ``items`` arrays, by joins from each size of set to the next.
 
-def frequent_item_sets(model: FPGrowthModel) -> DataFrame:
+    A basket's sets of one size that differ in their last item alone are one row. Two of them together
+    are a candidate of the next size; candidates are counted, and the frequent ones numbered, stored
+    and joined back to the baskets. So neither the items nor a tree of the baskets is ever in one
+    task or on the driver: a task holds its share of candidates and spills it. An item twice in a basket is an error.
+    """
+    held = baskets.filter(F.col("items").isNotNull())
+    if partitions:
+        held = held.repartition(partitions)
+    twice = F.raise_error(F.lit("items in a basket must be unique"))
+    items = F.when(F.size(F.array_distinct("items")) == F.size("items"), F.col("items")).otherwise(twice)
+    held = cut(held.select(F.monotonically_increasing_id().alias("basket"), items.alias("items")), "baskets")
+    n = held.count()
+    counted, least = F.count(F.lit(1)).alias("freq"), math.ceil(min_support * n)
+    number = F.monotonically_increasing_id().alias("set")  # fixed once it is stored
+
+    bought = held.select("basket", F.explode("items").alias("item"))
+    ones = bought.groupBy("item").agg(counted).filter(F.col("freq") >= least)
+    ones = cut(ones.select(number, "item", F.array("item").alias("items"), "freq"), "item-sets")
+    levels = [ones]
+    names = ones.select(F.col("set").alias("last"), "item")
+    same = bought["item"].eqNullSafe(ones["item"])
+    found = bought.join(ones, same).select("basket", F.lit(-1).cast("bigint").alias("prefix"), F.col("set").alias("last"), "set")
+    while True:
+        # one row for the sets of a basket with the same prefix, ``set`` being prefix and last item
+        ends = F.sort_array(F.collect_list(F.struct("last", "set"))).alias("ends")
+        alike = cut(found.groupBy("basket", "prefix").agg(ends).filter(F.size("ends") > 1), "alike")
+        if alike.isEmpty():
+            break
+        one = alike.select("basket", "ends", F.posexplode("ends").alias("at", "end"))
+        later = F.explode(F.slice("ends", F.col("at") + 2, F.size("ends"))).alias("more")
+        pairs = one.select("basket", F.col("end.set").alias("prefix"), later)
+        pairs = pairs.select("basket", "prefix", F.col("more.last").alias("last"))
+        frequent = pairs.groupBy("prefix", "last").agg(counted).filter(F.col("freq") >= least)
+        named = frequent.join(names, "last").join(levels[-1].select(F.col("set").alias("prefix"), "items"), "prefix")
+        whole = F.array_sort(F.concat("items", F.array("item"))).alias("items")
+        longer = cut(named.select(number, "prefix", "last", whole, "freq"), "item-sets")
+        if longer.isEmpty():
+            break
+        levels.append(longer)
+        found = pairs.join(longer.select("prefix", "last", "set"), ["prefix", "last"])
+    sets = reduce(DataFrame.union, [level.select("items", "freq") for level in levels])
+    return ItemSets(sets, n, min_confidence)
+
+
+def frequent_item_sets(model: ItemSets) -> DataFrame:
     """Item sets as sorted text with their size and frequency."""
     return model.freqItemsets.select(
         F.array_join(F.array_sort("items"), ",").alias("items"),
@@ -94,7 +157,7 @@ def frequent_item_sets(model: FPGrowthModel) -> DataFrame:
     )
 
 
-def rules(model: FPGrowthModel) -> DataFrame:
+def rules(model: ItemSets) -> DataFrame:
     return model.associationRules.select(
         F.array_join(F.array_sort("antecedent"), ",").alias("antecedent"),
         F.array_join(F.array_sort("consequent"), ",").alias("consequent"),

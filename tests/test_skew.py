@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from itertools import combinations
+
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -121,6 +124,38 @@ def test_transactions_equal_plain_lists_of_frequent_items(spark):
     assert ours.exceptAll(theirs).isEmpty()
 
 
+def test_mining_finds_every_set_and_rule(spark):
+    draw = random.Random(5)
+    held = [sorted(draw.sample("abcdefgh", draw.randrange(0, 6))) for _ in range(60)] + [["a", None], ["a", None], None]
+    model = baskets.mine(spark.createDataFrame([(h,) for h in held], "items array<string>"), 1.5 / 62, 0.3)
+    known = [frozenset(h) for h in held if h is not None]
+    sets = {frozenset(c) for h in known for k in range(1, len(h) + 1) for c in combinations(h, k)}
+    freq = {s: sum(s <= h for h in known) for s in sets}
+    freq = {s: n for s, n in freq.items() if n > 1}
+    found = [(frozenset(r["items"]), r["freq"]) for r in model.freqItemsets.collect()]
+    assert len(found) == len(freq) and dict(found) == freq
+    rules = {(frozenset(r.antecedent), r.consequent[0]): (r.confidence, r.lift, r.support) for r in model.associationRules.collect()}
+    expected = {
+        (s - {c}, c): (n / freq[s - {c}], n / freq[s - {c}] / (freq[frozenset([c])] / 62), n / 62) for s, n in freq.items() if len(s) > 1 for c in s
+    }
+    assert rules == {k: v for k, v in expected.items() if v[0] >= 0.3}
+    assert baskets.mine(spark.createDataFrame([], "items array<string>"), 0.5).associationRules.isEmpty()
+    with pytest.raises(Exception, match="unique"):
+        baskets.mine(spark.createDataFrame([(["a", "a"],)], "items array<string>"))
+
+
+def test_mining_keeps_no_item_on_the_driver(spark, monkeypatch):
+    """Ten thousand items that two baskets share, mined without a row of them collected."""
+    i = F.col("id")
+    rows = spark.range(20_000).select((i % 1000 + F.floor(i / 10_000) * 1000).alias("basket"), (i % 10_000).cast("string").alias("item"))
+    made = rows.groupBy("basket").agg(F.slice(F.collect_list("item"), 1, 3).alias("items"))
+    for name in ("collect", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(type(made), name, lambda *a, **k: pytest.fail("collected"))
+    model = baskets.mine(made, 1.5 / 2000)
+    assert "Scan parquet" in model.freqItemsets._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in model.associationRules._jdf.queryExecution().executedPlan().toString()
+
+
 def test_new_users_sum_to_distinct_buyers(spark):
     i = F.col("id")
     orders = spark.range(20_000).select(
