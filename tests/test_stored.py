@@ -65,6 +65,16 @@ def test_bitmaps_merge_over_days_and_batches(spark):
     assert rows_of(rollup.distinct_members(window, ["point"]), "point", "members") == rows_of(expected, "point", "members")
 
 
+def test_members_far_apart_take_little_room(spark):
+    """A thousand members, each in another range: bitmaps of whole ranges took 4 KB for each."""
+    facts = spark.range(1000).select(
+        F.lit(1).alias("point"), (F.col("id") * 40_000 - 20_000_000).alias("account"), F.lit("2024-03-01 00:00:00").cast("timestamp_ntz").alias("paid_at")
+    )
+    table = rollup.member_bitmaps(facts.union(facts), ["point"], "account")
+    assert sum(len(m) if isinstance(m, bytes | bytearray) else 8 for (m,) in table.select("members").collect()) <= 1000 * 8
+    assert rows_of(rollup.distinct_members(table, ["point"]), "point", "members") == [(1, 1000)]
+
+
 # --- changes --------------------------------------------------------------------------
 
 
