@@ -56,6 +56,18 @@ def input_files(spark: SparkSession, path: str) -> dict[str, str]:
     return found
 
 
+PART_ROWS = 1 << 20  # that one task sorts or holds at once
+
+
+def parts_for(spark: SparkSession, rows: int) -> int | None:
+    """How many parts that many rows need for none to be larger than PART_ROWS or so.
+
+    None where the session's own number of partitions is enough: adaptive execution may then merge small ones.
+    """
+    parts = -(-rows // PART_ROWS)
+    return parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def retire(spark: SparkSession) -> None:
     """Delete every table that this application has written to the shared folder.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stallwise.functions.work import cut, parts_for
+
 Z_BITS = 8  # of each column in a Z order
 GRAM = 3
 
@@ -33,26 +35,25 @@ def quantile_bounds(df: DataFrame, columns: Sequence[str], bits: int = Z_BITS) -
     return {c: sorted(set(found[c] or [])) for c in columns}
 
 
-def _spread(place: int, columns: int, bits: int) -> Callable[[Column], Column]:
-    def spread(part: Column) -> Column:
-        moved = [F.shiftleft(F.shiftright(part, i).bitwiseAND(F.lit(1)), i * columns + place) for i in range(bits)]
-        return reduce(lambda a, b: a.bitwiseOR(b), moved)
-
-    return spread
+def _spread(part: int, place: int, columns: int, bits: int) -> int:
+    return sum((part >> i & 1) << (i * columns + place) for i in range(bits))
 
 
 def z_value(bounds: Mapping[str, Sequence], bits: int = Z_BITS) -> Column:
     """The bits of each column's part, interleaved: near values of all columns get near numbers. NULL comes first."""
     terms = []
     for j, (column, limits) in enumerate(bounds.items()):
-        part = F.lit(0)
-        if limits:
-            part = F.coalesce(F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: x <= F.col(column))), F.lit(0))
-            # a column of few values spreads over all bits too, so that each column decides as often
-            part = F.floor(part * ((1 << bits) - 1) / len(limits))
-        # bound to a name, so that a row's part is found once and not for each of its bits
-        terms.append(F.element_at(F.transform(F.array(part.cast("bigint")), _spread(j, len(bounds), bits)), 1))
-    return reduce(lambda a, b: a.bitwiseOR(b), terms)
+        if not limits:
+            continue
+        # how many limits a value has reached, found by halving
+        n, sorted_limits = len(limits), F.sort_array(F.array(*[F.lit(x) for x in limits]))
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+        reached = lambda at, step: F.get(sorted_limits, at + step - 1) <= F.col(column)  # noqa: B023, E731
+        part = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(reached(at, step), step).otherwise(0))  # noqa: B023
+        # a column of few values spreads over all bits too, so that each column decides as often
+        parts = [i * ((1 << bits) - 1) // n for i in range(n + 1)]
+        terms.append(F.get(F.array(*[F.lit(_spread(p, j, len(bounds), bits)).cast("bigint") for p in parts]), part))
+    return reduce(lambda a, b: a.bitwiseOR(b), terms, F.lit(0).cast("bigint"))
 
 
 def write_z_ordered(
@@ -62,7 +63,10 @@ def write_z_ordered(
 
     A Bloom filter on ``key`` lets a lookup of one row skip nearly all the others.
     """
-    placed = df.withColumn("_z", z_value(quantile_bounds(df, columns)))
+    # quantiles, the sample of the ranges and the ranges themselves each read all rows: ``df`` is computed once
+    stored = cut(df, "to-order")
+    placed = stored.withColumn("_z", z_value(quantile_bounds(stored, columns)))
+    n_files = n_files or parts_for(df.sparkSession, stored.count())
     dealt = placed.repartitionByRange(n_files, "_z") if n_files else placed.repartitionByRange("_z")
     writer = dealt.sortWithinPartitions("_z").drop("_z").write.mode("overwrite").option("parquet.block.size", row_group_bytes)
     if key is not None:

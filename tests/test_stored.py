@@ -159,6 +159,24 @@ def test_z_values_interleave(spark):
     assert [r[0] for r in df.select(layouts.z_value({"a": []}, 2)).distinct().collect()] == [0]
 
 
+def test_parts_of_a_z_value_are_the_limits_reached(spark):
+    draw = random.Random(3)
+    for n in (1, 2, 5, 8, 255):
+        limits = sorted(draw.sample(range(1000), n))
+        values = [None, *range(-2, 1003, 7), *limits]
+        df = spark.createDataFrame([(v,) for v in values], "a int")
+        made = {r[0]: r[1] for r in df.select("a", layouts.z_value({"a": limits})).collect()}
+        assert made == {v: sum(x <= v for x in limits if v is not None) * 255 // n for v in values}
+
+
+def test_a_z_ordered_table_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: (seen.add(1), x)[1], "long")
+    path = fresh_path(spark, "z")
+    layouts.write_z_ordered(spark.range(200, numPartitions=2).select(count("id").alias("a")), path, ["a"])
+    assert spark.read.parquet(path).count() == 200 and seen.value == 200
+
+
 def test_grams_find_every_key_that_holds_a_text(spark):
     draw = random.Random(4)
     keys = sorted({"".join(draw.choice("abc") for _ in range(draw.randrange(0, 8))) for _ in range(300)})
