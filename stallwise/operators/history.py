@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stallwise.functions.work import cut
+from stallwise.functions.work import cut, parts_for
 
 
 def as_of_join(
@@ -17,7 +17,8 @@ def as_of_join(
     ``versions`` has the key, ``since`` and the columns, one row per key and time. ``ident`` tells facts of
     equal times apart, so that they are dealt evenly. Facts and versions are merged in one range-partitioned sort
     by key and time, so a key with any share of the facts spans as many tasks as it needs. Each
-    range takes over the last version before it: one row for each range is on the driver. A NULL key or time finds no version.
+    range takes over the last version before it: one row for each range is on the driver. There are as many ranges
+    as the rows need, and each is one task's, so what a task sorts does not grow. A NULL key or time finds no version.
     """
     version = F.struct(F.col(key).alias("key"), F.col(since).alias("since"), *columns)
     kept = facts.columns
@@ -31,8 +32,10 @@ def as_of_join(
         F.lit(None).cast(rows.schema["_fact"].dataType).alias("_fact"), version.alias("_version"),
     )
     order = ["_key", "_at", "_kind", "_tie"]
-    ranged = known.union(rows).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranged = cut(ranged, "as-of")
+    both = known.union(rows)
+    n = parts_for(facts.sparkSession, both.count())
+    ranged = both.repartitionByRange(n, *order) if n else both.repartitionByRange(*order)
+    ranged = cut(ranged.withColumn("_part", F.spark_partition_id()), "as-of")
     lasts = ranged.filter("_kind = 0").groupBy("_part").agg(F.max_by("_version", F.struct("_key", "_at")).alias("_before"))
     parts = [r["_part"] for r in ranged.select("_part").distinct().collect()]
     found = {r["_part"]: r["_before"] for r in lasts.collect()}
@@ -44,7 +47,9 @@ def as_of_join(
     before = ranged.sparkSession.createDataFrame(carried, schema)
     in_part = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     latest = F.coalesce(F.last("_version", ignorenulls=True).over(in_part), F.col("_before"))
-    told = ranged.join(F.broadcast(before), "_part").withColumn("_valid", latest).filter("_kind = 1")  # a row for each range
+    # each range goes to a task of its own: by hash several could meet in one
+    dealt = ranged.repartitionById(max(parts, default=0) + 1, "_part")
+    told = dealt.join(F.broadcast(before), "_part").withColumn("_valid", latest).filter("_kind = 1")  # a row for each range
     same = F.col("_valid.key") == F.col("_key")
     timed = same & F.col("_at").isNotNull()
     return told.select("_fact.*", *[F.when(timed, F.col("_valid")[c]).alias(c) for c in columns])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from conftest import DATA
 from frames import orders, rows_of, timed
+from stallwise.functions import work
 from stallwise.functions.work import fresh_path, input_files
 from stallwise.operators import clean, dims, history, rollup
 from stallwise.plans import binding, stored
@@ -227,6 +228,17 @@ def test_versions_as_of_with_a_hot_key(spark):
     assert sorted(map(tuple, told), key=str) == sorted([(*f, valid(f[1], f[2])) for f in facts], key=str)
 
 
+def test_ranges_as_of_follow_the_rows(spark, monkeypatch):
+    """With many rows there are more ranges than partitions, and no two of them in one task."""
+    monkeypatch.setattr(work, "PART_ROWS", 100)
+    facts = spark.range(3000).select("id", (F.col("id") % 5).alias("point_id"), F.timestamp_seconds("id").alias("at"))
+    versions = spark.createDataFrame([(k, 0, k * 10) for k in range(4)], "point_id long, s long, label long")
+    told = history.as_of_join(facts, versions.withColumn("since", F.timestamp_seconds("s")).drop("s"), "point_id", "at", "since", ["label"], "id")
+    assert sorted(map(tuple, told.select("id", "label").collect())) == [(i, i % 5 * 10 if i % 5 < 4 else None) for i in range(3000)]
+    held = told.groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) > 16 and max(r["count"] for r in held) < 400
+
+
 # --- aggregates that read each file once ----------------------------------------------
 
 
