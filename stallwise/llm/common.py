@@ -8,6 +8,8 @@ of a polynomial modulo 2**64, so any run costs the same.
 
 from __future__ import annotations
 
+import ctypes
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +25,7 @@ SLICE = 1 << 20  # bytes of text that are handled at once, unless one text is lo
 HASHED = (1 << 18) - 1  # bytes whose prefix sums are held at once, unless one word is longer
 _BASE = 0x9E3779B97F4A7C55
 pa.set_memory_pool(pa.system_memory_pool())  # gives back what a worker frees; the default pool keeps it
+GIVE_BACK_S = 0.5  # between two times that a worker gives back memory
 BATCH = "4m"
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SEPARATOR = np.zeros(256, bool)
@@ -48,6 +51,34 @@ def document_columns(text: str = "text", ident: str = "doc_id") -> dict[str, Col
     }
 
 
+def give_back() -> None:
+    """Hand the memory that is free in this process to the system; the C library would keep it."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
+def given_back(function: Callable) -> Callable:
+    """``function`` over batches, on the way and after which the worker gives back the memory that it has freed.
+
+    A worker stays for later tasks, and a stage with two functions leaves twice as many as there are cores. What
+    each of them holds on to adds up from stage to stage.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = time.monotonic()
+        try:
+            for batch in function(batches):
+                yield batch
+                if time.monotonic() - done > GIVE_BACK_S:
+                    give_back()
+                    done = time.monotonic()
+        finally:
+            give_back()
+
+    return run
+
+
 def mapped(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with batches of at most BATCH, whatever the length of the texts.
 
@@ -57,7 +88,7 @@ def mapped(df: DataFrame, function: Callable, schema: str | T.StructType) -> Dat
     conf = df.sparkSession.conf
     if conf.get(_BATCH_SETTING, None) in (None, "64MB", "67108864b"):
         conf.set(_BATCH_SETTING, BATCH)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(given_back(function), schema)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ from llm import brute
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stallwise.llm import decontaminate, language, licences, toxicity
+from stallwise.llm import common, decontaminate, language, licences, toxicity
 from stallwise.llm.common import cut
 from stallwise.llm.extraction import extract_text, main_text
 from stallwise.llm.queries import QUERIES
@@ -28,6 +29,30 @@ def _table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# --- memory of the workers --------------------------------------------------------------
+
+
+def _resident() -> int:
+    with open("/proc/self/statm") as file:
+        return int(file.read().split()[1]) * 4096
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="glibc alone keeps what is freed")
+def test_a_worker_gives_back_what_a_task_has_freed():
+    """200 MB in small blocks, a few of which stay in use: the rest is the system's again."""
+    stays = []
+
+    def wasteful(batches):
+        for batch in batches:
+            blocks = [bytearray(2000) for _ in range(100_000)]
+            stays.extend(blocks[::1000])
+            yield batch
+
+    before = _resident()
+    assert list(common.given_back(wasteful)(iter([1]))) == [1]
+    assert _resident() - before < 50 << 20 and len(stays) == 100
+
+
 # --- decontamination ------------------------------------------------------------------
 
 
